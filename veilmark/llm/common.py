@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -65,13 +64,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def module(name: str):
-    return importlib.import_module(name)
-
-
 #: Words of the contracts: maximal runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"{name}_{i}" for i in range(len(taken) + 1)) if n.lower() not in taken)

@@ -28,6 +28,30 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilmark.llm.pii import report
+
+    return report(documents(spark, sf_dir))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilmark.llm.secrets import report
+
+    return report(documents(spark, sf_dir))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilmark.llm.quality import quality
+
+    return quality(documents(spark, sf_dir), clean=False)
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilmark.llm.media import describe, encode
+
+    return describe(encode(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
