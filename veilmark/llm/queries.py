@@ -40,6 +40,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(documents(spark, sf_dir))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilmark.llm.bpe import digest
+
+    return digest(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilmark.llm.quality import quality
 
@@ -52,6 +58,12 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(encode(documents(spark, sf_dir)))
 
 
+def op8_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilmark.llm.lmscore import score
+
+    return score(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
