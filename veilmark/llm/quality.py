@@ -122,3 +122,20 @@ def quality(docs: DataFrame, clean: bool = True) -> DataFrame:
     out = _OUT if clean else _OUT.removesuffix(", clean string")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(task(judged, clean=clean), f"doc_id long, {out}")
+
+
+def cleaned(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The rows that are kept, with the clean text in column ``text``."""
+    for b in batches:
+        for at in range(0, b.num_rows, 500):
+            part = b.slice(at, 500)
+            rows = [judge(x) for x in part.column(text).to_pylist()]
+            columns = list(part.columns)
+            columns[text] = pa.array([r[10] for r in rows], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names).filter(pa.array([r[6] for r in rows], pa.bool_()))
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, all their columns, with the lines that fail gone from ``text``."""
+    src = docs.withColumn("text", F.col("text").cast("string"))
+    return src.mapInArrow(task(cleaned, text=src.columns.index("text")), src.schema)

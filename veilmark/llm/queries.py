@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import documents
+from veilmark.llm.common import documents, fresh_path
 
 
 def _tokenizer(name: str) -> str:
@@ -64,6 +64,25 @@ def op8_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilmark.llm.linededup import report
+
+    return report(documents(spark, sf_dir))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three documents of four arrive first, the others after them."""
+    from veilmark.llm.sharding import Store, append, layout
+
+    store = Store(spark, fresh_path(spark, "store"))
+    docs = documents(spark, sf_dir)
+    late = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(4)) == 0
+    append(store, docs.where(~late))
+    manifest = append(store, docs.where(late))
+    store.vacuum()
+    return layout(store, manifest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 

@@ -189,3 +189,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = named.join(least, "root").select("fp", "component_id")
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def distinct_documents(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, k: int = SHINGLE) -> DataFrame:
+    """The documents, all their columns, of which each class of near-duplicates leaves the one with the smallest id.
+
+    Rows that share an id count as one document.  Rows without an id can't stand for a class and all stay."""
+    keep = near_duplicates(docs.where("doc_id is not null"), radius, blocks, k).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    some = docs.where("doc_id is not null")
+    kept = some.join(keep, some.doc_id.cast("long") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
