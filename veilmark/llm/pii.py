@@ -98,7 +98,11 @@ def find(docs: DataFrame, reach_share: float = DISCLOSE, generalise: float = GEN
     src = src.select("doc_id", "text", row_key().alias("row_key"))
     text = F.col("text")
     found = src.select("doc_id", "row_key", "text", *[c.alias(k) for k, c in zip(KINDS, base_spans(text), strict=False)])
-    every = F.concat(*[F.transform(F.col(k), lambda s, k=k: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))) for k in KINDS[:4]])
+
+    def named(k: str) -> Column:
+        return F.transform(F.col(k), lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+
+    every = F.concat(*map(named, KINDS[:4]))
     mentions = F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), F.filter(_near(text, s), lambda w: ~w["value"].rlike("[0-9@]")).alias("near")))
     hit = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
     base = materialise(found.select("doc_id", "row_key", *[F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS[:4]], F.when(hit, mentions).alias("mentions")), "pii")
@@ -146,8 +150,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
     Where spans overlap, the first (and of those that start together the longest) is replaced."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     f = find(docs).drop("doc_id").dropDuplicates(["row_key"])
+
+    def marked(k: str) -> Column:
+        return F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("e"), F.lit(f"<{k}>").alias("by")))
+
     edits = F.array_sort(F.concat(
-        *[F.transform(F.col(k), lambda s, k=k: F.struct(s["start"].alias("start"), (-s["end"]).alias("e"), F.lit(f"<{k}>").alias("by"))) for k in KINDS[:4]],
+        *map(marked, KINDS[:4]),
         F.transform("terms", lambda t: F.struct(t["start"].alias("start"), (-t["end"]).alias("e"), F.when(t["removed"], "").otherwise(F.concat(F.lit("<"), t["entity_kind"], F.lit(">"))).alias("by"))),
     ))
     out = F.aggregate(
