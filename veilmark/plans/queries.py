@@ -1,19 +1,443 @@
-"""Queries of the de-identification operators and their SQL."""
+"""Queries of the de-identification operators over whole driver tables, and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veilmark.functions import text as X
+from veilmark.functions.labels import map_tag, merge_adjacent, tag
+from veilmark.functions.schema import PHI, label_map, label_vocabulary, prefixes
+from veilmark.operators import context, entities, metrics, redact, scores, spans, split
+from veilmark.plans.pipeline import deidentify, tagged
+from veilmark.sources.notes import RunConfig
+
+KEY = ["doc_id"]
+WEIGHTS = {"train": 70, "validation": 15, "test": 15}
+
+
+def _docs(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
+
+
+def _long(*names: str) -> list[Column]:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+# --- shared SQL -----------------------------------------------------------------------------------------------------
+def _q(p: str) -> str:
+    return p.replace("'", "''")
+
+
+_LABEL = "CASE " + " ".join(f"WHEN regexp_full_match(piece, '{_q(p)}') THEN '{name}'" for name, p in X.RULES) + " END"
+
+
+def _tokens_sql(table: str = "documents", key: str = "doc_id") -> str:
+    return f"""
+tp AS (SELECT {key}, unnest(l) AS piece, CAST(generate_subscripts(l, 1) AS BIGINT) - 1 AS ent FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '{_q(X.COVER)}') AS l FROM {table})),
+tl AS (SELECT {key}, ent, {_LABEL} AS label, regexp_extract_all(piece, '{_q(X.BASE)}') AS l FROM tp),
+ts AS (SELECT {key}, ent, label, unnest(l) AS token, generate_subscripts(l, 1) AS sub FROM tl),
+tr AS (SELECT *, CAST(sum(length(token)) OVER w AS BIGINT) AS "end",
+  CAST(coalesce(sum(CASE WHEN label IS NULL AND (token IN ('.', '!', '?') OR contains(token, chr(10))) THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY ent, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sent
+  FROM ts WINDOW w AS (PARTITION BY {key} ORDER BY ent, sub)),
+t AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY ent, sub) - 1 AS idx, token, "end" - length(token) AS "start", "end", sent, label, ent,
+  row_number() OVER (PARTITION BY {key}, ent ORDER BY sub) AS k, count(*) OVER (PARTITION BY {key}, ent) AS n FROM tr WHERE regexp_matches(token, '\\S'))"""
+
+
+_T = "WITH " + _tokens_sql()
+_SPANS_SQL = """
+g AS (SELECT doc_id, ent, label, min("start") AS "start", max("end") AS "end" FROM t WHERE label IS NOT NULL GROUP BY ALL),
+h AS (SELECT *, substr(md5(concat(doc_id, ':', ent)), 1, 1) AS h FROM g),
+p AS (SELECT doc_id, ent, CASE WHEN h = '2' THEN 'ID' ELSE label END AS label, CASE WHEN h = '3' THEN "start" + 1 ELSE "start" END AS "start", "end" FROM h WHERE h NOT IN ('0', '1'))"""
+
+
+def _tag_sql(notation: str) -> str:
+    f, i, z, u = prefixes(notation)
+    return f"CASE WHEN label IS NULL THEN 'O' ELSE concat(CASE WHEN n = 1 THEN '{u}' WHEN k = 1 THEN '{f}' WHEN k = n THEN '{z}' ELSE '{i}' END, '-', label) END"
+
+
+# --- shared frames --------------------------------------------------------------------------------------------------
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    t = X.tokens(_docs(spark, d), KEY).where("label is not null")
+    return t.groupBy("doc_id", "ent", "label").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+def _perturb(g: DataFrame) -> DataFrame:
+    """Predictions made from gold spans by a hash: an eighth is lost, a sixteenth is given another type, a sixteenth begins a character late."""
+    h = F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("ent").cast("string"))), 1, 1)
+    p = g.withColumn("h", h).where(~F.col("h").isin("0", "1"))
+    return p.select("doc_id", "ent", F.when(F.col("h") == "2", "ID").otherwise(F.col("label")).alias("label"), (F.col("start") + (F.col("h") == "3").cast("long")).alias("start"), "end")
+
+
+def _labels(notation: str) -> Callable:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return tagged(_docs(spark, d), KEY, notation).select("doc_id", "idx", "tag")
+
+    return run
+
+
+def q01_notes_load(spark, d):
+    from veilmark.sources.notes import load_parquet, non_empty
+
+    n = non_empty(load_parquet(spark, f"{d}/documents.parquet", {"text": "text"}, {"doc_id": "note_id", "source": "group"}))
+    return n.select(F.col("meta.note_id").alias("note_id"), F.col("meta.group").alias("grp"), F.length("text").cast("long").alias("n_chars"), F.size("spans").cast("long").alias("n_spans"))
+
+
+def q02_sentence_spans(spark, d):
+    return X.sentencizer("rule")(_docs(spark, d), KEY).select("doc_id", "pos", "start", "end")
+
+
+def q03_tokens_offsets(spark, d):
+    return X.tokens(_docs(spark, d), KEY).select("doc_id", "idx", "token", "start", "end")
+
+
+def q04_token_squeeze(spark, d):
+    w = X.pieces(_docs(spark, d), r"(?:\s+|\S+)", KEY).where(F.col("piece").rlike(r"\S"))
+    return w.select("doc_id", "pos", X.squeeze(F.col("piece")).alias("token"))
+
+
+def q05_rule_spans(spark, d):
+    return _gold(spark, d).select("doc_id", "label", "start", "end")
+
+
+def q10_context_windows(spark, d):
+    w = context.windows(X.tokens(_docs(spark, d), KEY), KEY)
+    return w.select("doc_id", "sent", "i", "j", "n_before", "n_after", F.md5(F.array_join("context_before", " ")).alias("before_md5"), F.md5(F.array_join("context_after", " ")).alias("after_md5"))
+
+
+def _sentences(spark, d):
+    """Token ranges of sentences and the sizes of their contexts, without the tokens."""
+    t = X.tokens(_docs(spark, d), KEY).groupBy("doc_id", "sent").agg(F.min("idx").alias("i"), (F.max("idx") + 1).alias("j"))
+    size = F.max("j").over(Window.partitionBy("doc_id"))
+    return t.select("*", F.least("i", F.lit(32)).cast("long").alias("n_before"), F.least(size - F.col("j"), F.lit(32)).cast("long").alias("n_after"))
+
+
+_SENT_SQL = _T + """, s0 AS (SELECT doc_id, sent, min(idx) AS i, max(idx) + 1 AS j FROM t GROUP BY ALL),
+s AS (SELECT *, least(i, 32) AS n_before, least(max(j) OVER (PARTITION BY doc_id) - j, 32) AS n_after FROM s0)"""
+
+
+def q11_trim_budget(spark, d):
+    p, n = context.trim(F.col("n_before"), F.col("j") - F.col("i"), F.col("n_after"), 64, 8)
+    return _sentences(spark, d).select("doc_id", "sent", p.cast("long").alias("p"), n.cast("long").alias("n"))
+
+
+def _trim_sql(budget: int, chunk: int) -> str:
+    return f""", z0 AS (SELECT *, j - i AS c, greatest(0, n_before + j - i + n_after - {budget}) AS d0 FROM s),
+z1 AS (SELECT *, CASE WHEN n_after >= n_before THEN least(d0, n_after - n_before, greatest(n_after - {chunk}, 0)) ELSE least(d0, n_before - n_after, greatest(n_before - {chunk}, 0)) END AS k FROM z0),
+z2 AS (SELECT *, CASE WHEN n_after >= n_before THEN n_before ELSE n_before - k END AS p1, CASE WHEN n_after >= n_before THEN n_after - k ELSE n_after END AS n1, d0 - k AS d1 FROM z1),
+z3 AS (SELECT *, CASE WHEN d1 > 0 AND n1 = p1 AND n1 > {chunk} THEN least(d1, 2 * (n1 - {chunk})) ELSE 0 END AS m FROM z2),
+z AS (SELECT *, p1 - m // 2 AS tp, n1 - (m + 1) // 2 AS tn FROM z3)"""
+
+
+def q12_chunks(spark, d):
+    return context.split_long(_sentences(spark, d), 32, 8, 32, 32).select("doc_id", "sent", *_long("part", "part_i", "part_j", "left", "right"))
+
+
+def _span_labels(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source")
+    return docs.join(_gold(spark, d).select("doc_id", "label"), "doc_id", "left")
+
+
+def q13_label_distribution(spark, d):
+    return split.distribution(_span_labels(spark, d), "source")
+
+
+def q14_label_percent(spark, d):
+    p = split.percentages(_gold(spark, d))
+    return p.select("label", "n", F.round("percent", 6).alias("percent"))
+
+
+def q15_split_assign(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", split.bucket(F.col("doc_id").cast("string"), WEIGHTS).alias("split"))
+
+
+def q16_split_report(spark, d):
+    s = _span_labels(spark, d).select(split.bucket(F.col("doc_id").cast("string"), WEIGHTS).alias("split"), "label")
+    return split.report(s)
+
+
+_SPLIT_SQL = "CASE WHEN h < 70 THEN 'train' WHEN h < 85 THEN 'validation' ELSE 'test' END"
+_MD5_SQL = "CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 4)) AS BIGINT) % 100"
+
+
+def _by_note(spark, d):
+    """Per document with predictions: its text, token ends and predicted spans; only these documents' tokens are gathered."""
+    t = X.tokens(_docs(spark, d), KEY)
+    near = t.where("label is not null").groupBy("doc_id", "ent", "label").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list("start")).alias("starts"), F.array_sort(F.collect_list("end")).alias("ends"))
+    return near
+
+
+def q17_span_align(spark, d):
+    """Spans moved by one character inward at both ends, grown back to their tokens."""
+    g = _by_note(spark, d)
+    inner = F.struct((F.col("start") + 1).alias("start"), (F.col("end") - 1).alias("end"), F.col("label").alias("label"))
+    return g.where("end - start > 2").select("doc_id", "label", spans.align(inner, F.col("starts"), F.col("ends")).alias("s")).select("doc_id", "label", "s.start", "s.end")
+
+
+def q18_span_dedupe(spark, d):
+    """Each entity twice under two types, and a third span inside it.
+
+    The one inside is the first and cuts the others; of these two the higher priority wins, and stands as it was before the cut."""
+    g = _gold(spark, d).select("doc_id", "label", *_long("start", "end"))
+    three = F.array(*[F.struct(F.lit(a).alias("o"), F.col("start").cast("int").alias("start"), (F.col("end") - b).cast("int").alias("end"), lab.alias("label")) for a, b, lab in ((0, 0, F.lit("HOSP")), (1, 0, F.col("label")), (2, 1, F.lit("STAFF")))])
+    s = g.select("doc_id", F.explode(three).alias("x")).select("doc_id", "x.start", "x.end", "x.label", "x.o").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "o", "label"))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label"))).alias("spans"))
+    out = s.join(_docs(spark, d), "doc_id").select("doc_id", F.explode(spans.resolve(F.col("text"), F.col("spans"))).alias("s"))
+    return out.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.label").alias("label"))
+
+
+def q19_validation_spans(spark, d):
+    g = _gold(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("s"))
+    return g.select("doc_id", F.array_join(F.transform("s", lambda s: F.concat_ws(":", s["start"], s["end"], s["label"])), ",").alias("note_spans"))
+
+
+def q20_note_aggregate(spark, d):
+    t = tagged(_docs(spark, d), KEY, "BILOU")
+    s = t.groupBy(F.col("doc_id").alias("note_id"), "sent").agg(F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("idx", "token", "tag"))).alias("a"))
+    rows = s.select("note_id", "start", F.transform("a", lambda x: x["token"]).alias("tokens"), F.transform("a", lambda x: x["tag"]).alias("labels"), F.transform("a", lambda x: x["tag"]).alias("predictions"))
+    notes = rows.select("note_id").distinct()
+    n = entities.gather_notes(rows, notes)
+    return n.select(F.col("note_id").alias("doc_id"), F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"), F.md5(F.array_join("predictions", " ")).alias("tags_md5"))
+
+
+def _vectors(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
+_SOFT = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+x AS (SELECT *, list_max(v) AS m FROM e), y AS (SELECT *, list_transform(v, lambda a: exp(a - m)) AS w FROM x), s AS (SELECT vec_id, label, v, w, list_sum(w) AS z FROM y),
+p AS (SELECT vec_id, label, v, list_transform(w, lambda a: a / z) AS p, list_transform(w[2:], lambda a: a / z) AS q FROM s)"""
+
+
+def q21_argmax(spark, d):
+    return _vectors(spark, d).select("vec_id", scores.post_process("argmax", F.col("v"), 0).alias("tag"))
+
+
+def q22_threshold_max(spark, d):
+    return _vectors(spark, d).select("vec_id", scores.post_process("threshold_max", F.col("v"), 0, 0.0225).alias("tag"))
+
+
+def q23_threshold_sum(spark, d):
+    return _vectors(spark, d).select("vec_id", scores.post_process("threshold_sum", F.col("v"), 0, 0.985).alias("tag"))
+
+
+def q24_pr_threshold(spark, d):
+    s = _vectors(spark, d).select(F.round(scores.phi_score(F.col("v"), 0, "max"), 9).alias("score"), (F.col("label") != 0).alias("truth"))
+    r = scores.recall_threshold(s, 0.9)
+    return r.select(*[F.round(c, 9).alias(c) for c in ("precision", "recall", "threshold")])
+
+
+def _tags(spark, d, notation="BILOU"):
+    """Tags with holes: a token in sixteen, by hash, is O."""
+    t = tagged(_docs(spark, d), KEY, notation)
+    hole = F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("idx").cast("string"))), 1, 1) == "0"
+    return t.withColumn("tag", F.when(hole, "O").otherwise(F.col("tag")))
+
+
+def _tags_sql(notation: str = "BILOU") -> str:
+    return f""", v AS (SELECT *, CASE WHEN substr(md5(concat(doc_id, ':', idx)), 1, 1) = '0' THEN 'O' ELSE {_tag_sql(notation)} END AS tag FROM t)"""
+
+
+def q25_entities_strict(spark, d):
+    return entities.entities(_tags(spark, d), KEY, "BILOU").select("doc_id", "label", "start", "end")
+
+
+def q26_entities_relaxed(spark, d):
+    return entities.entities(entities.relax(_tags(spark, d)), KEY, "IO").select("doc_id", "label", "start", "end")
+
+
+def q27_entities_super_strict(spark, d):
+    return entities.entities(entities.absorb_signs(_tags(spark, d), KEY), KEY, "IO").select("doc_id", "label", "start", "end")
+
+
+_RUNS = """, r0 AS (SELECT *, CASE WHEN tag = 'O' THEN NULL ELSE substr(tag, 3) END AS ty FROM {src}),
+r1 AS (SELECT *, lag(ty) OVER w AS u, row_number() OVER w AS rn FROM r0 WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+r2 AS (SELECT *, sum(CASE WHEN ty IS NOT NULL AND ty IS DISTINCT FROM u THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM r1)
+SELECT doc_id, ty AS label, min("start") AS "start", max("end") AS "end" FROM r2 WHERE ty IS NOT NULL GROUP BY doc_id, run, ty"""
+_ABSORB = """, b0 AS (SELECT *, CASE WHEN NOT (tag = 'O' AND regexp_full_match(token, '[^\\p{L}\\p{N}]+')) THEN CASE WHEN tag = 'O' THEN 'O' ELSE concat('I-', substr(tag, 3)) END END AS hard FROM v),
+b1 AS (SELECT *, last_value(hard IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS back, first_value(hard IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead FROM b0),
+b AS (SELECT doc_id, idx, "start", "end", CASE WHEN hard IS NOT NULL THEN hard WHEN back = ahead THEN back ELSE 'O' END AS tag FROM b1)"""
+
+
+def _redact(strategy: str) -> Callable:
+    def run(spark, d):
+        return deidentify(_docs(spark, d), KEY, RunConfig(strategy=strategy))
+
+    return run
+
+
+def _redact_sql(strategy: str, table: str = "documents", key: str = "doc_id") -> str:
+    """Whole entities are pieces of the covering pattern, so texts are put together from pieces.  Neighbouring pieces of one type with nothing but signs between
+    them would merge; entities are set apart by words or blanks and other signs, which the merged form keeps the same way only where none is
+    adjacent, so pieces are merged here as well."""
+    by = {"remove": "''", "replace_tag_type": "ty", "replace_informative": "concat('<<', ty, ':', txt, '>>')"}[strategy]
+    return f"""WITH {_tokens_sql(table, key)}, v AS (SELECT *, {_tag_sql("BILOU")} AS tag FROM t){_ABSORB.replace("doc_id", key)},
+c0 AS (SELECT {key}, "start", "end", CASE WHEN tag = 'O' THEN NULL ELSE substr(tag, 3) END AS ty, idx FROM b),
+c1 AS (SELECT *, lag(ty) OVER (PARTITION BY {key} ORDER BY idx) AS u FROM c0),
+c2 AS (SELECT *, sum(CASE WHEN ty IS NOT NULL AND ty IS DISTINCT FROM u THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY idx) AS run FROM c1),
+c AS (SELECT {key}, ty, min("start") AS s, max("end") AS e FROM c2 WHERE ty IS NOT NULL GROUP BY {key}, run, ty),
+f AS (SELECT {", ".join("x." + k.strip() for k in key.split(","))}, s, e, ty, substr(text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) AS txt, text, lag(e, 1, 0) OVER (PARTITION BY {", ".join("x." + k.strip() for k in key.split(","))} ORDER BY s) AS prev FROM c x JOIN {table} y USING ({key})),
+o AS (SELECT {key}, string_agg(concat(substr(text, CAST(prev + 1 AS BIGINT), CAST(s - prev AS BIGINT)), {by}), '' ORDER BY s) AS head, max(e) AS last FROM f GROUP BY {key}),
+r AS (SELECT {", ".join("y." + k.strip() for k in key.split(","))}, CASE WHEN head IS NULL THEN coalesce(text, '') ELSE concat(head, substr(text, CAST(last + 1 AS BIGINT))) END AS x FROM {table} y LEFT JOIN o USING ({key}))
+SELECT {key}, regexp_replace(regexp_replace(regexp_replace(x, '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '\\n+', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS deid_text FROM r"""
+
+
+def q31_keep_age(spark, d):
+    """Document numbers as ages: which stay as they are."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    age = F.concat(F.pmod("doc_id", F.lit(130)).cast("string"), F.lit(" y"))
+    return docs.select("doc_id", redact.replacement(age, F.lit("AGE"), "replace_tag_type", keep_age=True).alias("age"))
+
+
+def q32_label_map(spark, d):
+    t = tagged(_docs(spark, d), KEY, "BILOU")
+    return t.select("doc_id", "idx", map_tag(F.col("tag"), "BILOU", PHI | {"EMAIL": "CONTACT", "PHONE": "CONTACT"}).alias("tag"))
+
+
+def _counts(spark, d):
+    g = _gold(spark, d)
+    return metrics.span_counts(g, _perturb(g), KEY)
+
+
+_COUNTS_SQL = _T + "," + _SPANS_SQL + """, j AS (SELECT coalesce(a.label, b.label) AS label, a.label AS x, b.label AS y FROM (SELECT DISTINCT doc_id, label, "start", "end" FROM g) a FULL JOIN (SELECT DISTINCT doc_id, label, "start", "end" FROM p) b USING (doc_id, label, "start", "end")),
+c AS (SELECT label, CAST(count(x) FILTER (y IS NOT NULL) AS DOUBLE) AS tp, CAST(count(y) AS DOUBLE) AS pp, CAST(count(x) AS DOUBLE) AS ac FROM j GROUP BY label),
+m AS (SELECT label, CASE WHEN pp = 0 THEN 0 ELSE tp / pp END AS p, CASE WHEN ac = 0 THEN 0 ELSE tp / ac END AS r, ac FROM c),
+f AS (SELECT label, p, r, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f1, ac FROM m)"""
+
+
+def _rounded(df: DataFrame, name: str) -> DataFrame:
+    return df.select(name, *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], F.col("support").cast("long").alias("support"))
+
+
+def q33_span_prf(spark, d):
+    return _rounded(metrics.scores(_counts(spark, d)), "label")
+
+
+def q34_micro_macro_weighted(spark, d):
+    return _rounded(metrics.averages(_counts(spark, d)), "average")
+
+
+def _token_pairs(spark, d):
+    """True and predicted types of tokens; predictions by the hash of their entity."""
+    t = X.tokens(_docs(spark, d), KEY)
+    h = F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("ent").cast("string"))), 1, 1)
+    truth = F.coalesce("label", F.lit("O"))
+    pred = F.when(F.col("label").isNull(), F.when(h == "f", "ID").otherwise("O")).when(h.isin("0", "1"), "O").when(h == "2", "ID").otherwise(F.col("label"))
+    return t.select(truth.alias("truth"), pred.alias("pred"))
+
+
+_PAIRS_SQL = _T + """, y AS (SELECT coalesce(label, 'O') AS truth, substr(md5(concat(doc_id, ':', ent)), 1, 1) AS h, label FROM t),
+w AS (SELECT truth, CASE WHEN label IS NULL THEN CASE WHEN h = 'f' THEN 'ID' ELSE 'O' END WHEN h IN ('0', '1') THEN 'O' WHEN h = '2' THEN 'ID' ELSE label END AS pred FROM y)"""
+
+
+def q35_token_prf(spark, d):
+    return _rounded(metrics.scores(metrics.token_counts(_token_pairs(spark, d))), "label")
+
+
+def q36_confusion(spark, d):
+    return metrics.confusion(_token_pairs(spark, d), ["EMAIL", "ID", "PHONE"]).drop("row")
+
+
+def q37_violations(spark, d):
+    return entities.violations(_tags(spark, d), KEY, "BILOU")
+
+
+def q38_crf_transitions(spark, d):
+    return scores.transitions(spark, "BILOU", label_vocabulary("BILOU", ["AGE", "DATE", "ID"]))
+
+
+def q39_conll(spark, d):
+    t = tagged(_docs(spark, d), KEY, "BILOU")
+    line = F.concat_ws(" ", "token", "tag", F.to_json(F.struct("start", "end")))
+    s = t.groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))).alias("a"))
+    return s.select("doc_id", "sent", F.md5(F.array_join(F.transform("a", lambda x: x["line"]), "\n")).alias("conll_md5"))
+
+
+def q40_conversation_redact(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return deidentify(c, ["conv_id", "turn"], RunConfig(strategy="replace_tag_type"))
+
+
+def q41_stream_redact(spark, d):
+    """The streaming form, as a batch."""
+    from veilmark.streaming.notes import redact_stream
+
+    return redact_stream(_docs(spark, d), "replace_informative").select("doc_id", "deid_text")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["q28_redact_remove"](spark, sf_dir)
+    return _redact("replace_tag_type")(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    own = {k: f for k, f in globals().items() if k[0] == "q" and k[1:3].isdigit()}
+    own |= {"q06_bilou_labels": _labels("BILOU"), "q07_bio_labels": _labels("BIO"), "q08_io_labels": _labels("IO"), "q09_bioes_labels": _labels("BIOES")}
+    own |= {"q28_redact_remove": _redact("remove"), "q29_redact_tag": _redact("replace_tag_type"), "q30_redact_informative": _redact("replace_informative")}
+    return dict(sorted(own.items()))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    tags = {f"q0{i}_{n.lower()}_labels": _T + f" SELECT doc_id, idx, {_tag_sql(n)} AS tag FROM t" for i, n in ((6, "BILOU"), (7, "BIO"), (8, "IO"), (9, "BIOES"))}
+    sign = r"[^\p{L}\p{N}]"
+    phi = label_map("BILOU", PHI | {"EMAIL": "CONTACT", "PHONE": "CONTACT"})
+    avg = "SELECT '{0}' AS average, round({1}, 9) AS precision, round({2}, 9) AS recall, round({3}, 9) AS f1, CAST({4} AS BIGINT) AS support FROM {5}"
+    return tags | {
+        "q01_notes_load": "SELECT doc_id AS note_id, source AS grp, length(text) AS n_chars, CAST(0 AS BIGINT) AS n_spans FROM documents WHERE text IS NOT NULL AND text <> ''",
+        "q02_sentence_spans": f"""WITH a AS (SELECT doc_id, unnest(l) AS piece, CAST(generate_subscripts(l, 1) AS BIGINT) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{X.SENTENCE}') AS l FROM documents)),
+b AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS "end" FROM a) SELECT doc_id, pos, "end" - length(piece) AS "start", "end" FROM b""",
+        "q03_tokens_offsets": _T + ' SELECT doc_id, idx, token, "start", "end" FROM t',
+        "q04_token_squeeze": f"""WITH a AS (SELECT doc_id, unnest(l) AS piece, CAST(generate_subscripts(l, 1) AS BIGINT) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:\\s+|\\S+)') AS l FROM documents))
+SELECT doc_id, pos, CASE WHEN regexp_matches(piece, '({sign}){{9,}}') THEN regexp_replace(piece, '({sign}){{8,}}', '{"\\1" * 8}', 'g') ELSE replace(piece, ' ', '-') END AS token FROM a WHERE regexp_matches(piece, '\\S')""",
+        "q05_rule_spans": _T + "," + _SPANS_SQL + ' SELECT doc_id, label, "start", "end" FROM g',
+        "q10_context_windows": _SENT_SQL + """, a AS (SELECT doc_id, list(token ORDER BY idx) AS l FROM t GROUP BY doc_id)
+SELECT doc_id, sent, i, j, n_before, n_after, md5(coalesce(array_to_string(l[i - n_before + 1 : i], ' '), '')) AS before_md5, md5(coalesce(array_to_string(l[j + 1 : j + n_after], ' '), '')) AS after_md5 FROM s JOIN a USING (doc_id)""",
+        "q11_trim_budget": _SENT_SQL + _trim_sql(64, 8) + " SELECT doc_id, sent, CAST(tp AS BIGINT) AS p, CAST(tn AS BIGINT) AS n FROM z",
+        "q12_chunks": _SENT_SQL + _trim_sql(32, 8) + """, q AS (SELECT *, tp + c + tn > 32 AS lg, CASE WHEN tp + c + tn > 32 THEN CAST(ceil(c / 16.0) AS BIGINT) ELSE 1 END AS parts FROM z), r AS (SELECT *, unnest(range(parts)) AS part FROM q),
+u AS (SELECT *, CASE WHEN lg THEN i + part * 16 ELSE i END AS part_i, CASE WHEN lg THEN least(j, i + part * 16 + 16) ELSE j END AS part_j FROM r)
+SELECT doc_id, sent, CAST(part AS BIGINT) AS part, CAST(part_i AS BIGINT) AS part_i, CAST(part_j AS BIGINT) AS part_j, CAST(CASE WHEN NOT lg OR part = 0 THEN tp ELSE least(32, 16, part_i - i) END AS BIGINT) AS "left", CAST(CASE WHEN NOT lg OR part = parts - 1 THEN tn ELSE least(32, j - part_j, 16) END AS BIGINT) AS "right" FROM u""",
+        "q13_label_distribution": _T + "," + _SPANS_SQL + " SELECT source, label, count(label) AS n FROM documents LEFT JOIN g USING (doc_id) GROUP BY ALL",
+        "q14_label_percent": _T + "," + _SPANS_SQL + ", c AS (SELECT label, count(*) AS n FROM g GROUP BY label) SELECT label, n, round(100.0 * n / sum(n) OVER (), 6) AS percent FROM c",
+        "q15_split_assign": f"SELECT doc_id, {_SPLIT_SQL} AS split FROM (SELECT doc_id, {_MD5_SQL} AS h FROM documents)",
+        "q16_split_report": _T + "," + _SPANS_SQL + f", c AS (SELECT {_SPLIT_SQL} AS split, label FROM (SELECT {_MD5_SQL} AS h, label FROM documents LEFT JOIN g USING (doc_id))) SELECT split, label, count(label) AS n, CAST(grouping(split, label) AS BIGINT) AS level FROM c GROUP BY GROUPING SETS ((split, label), (split), ())",
+        "q17_span_align": _T + "," + _SPANS_SQL + """ SELECT g.doc_id, g.label, max(CASE WHEN t."start" <= g."start" + 1 THEN t."start" END) AS "start", min(CASE WHEN t."end" >= g."end" - 1 THEN t."end" END) AS "end" FROM g JOIN t USING (doc_id, ent) WHERE g."end" - g."start" > 2 GROUP BY g.doc_id, g.ent, g.label""",
+        "q18_span_dedupe": _T + "," + _SPANS_SQL + """, o AS (SELECT doc_id, "start", "end", "end" - "start" AS n, label FROM g)
+SELECT doc_id, "start", "end" - 1 AS "end", 'STAFF' AS label FROM o WHERE n > 1 UNION ALL SELECT doc_id, "start", "end", label FROM o WHERE n > 1 UNION ALL SELECT doc_id, "start", "end", label FROM o WHERE n = 1""",
+        "q19_validation_spans": _T + "," + _SPANS_SQL + """ SELECT doc_id, string_agg(concat("start", ':', "end", ':', label), ',' ORDER BY "start", "end", label) AS note_spans FROM g GROUP BY doc_id""",
+        "q20_note_aggregate": _T + f""" SELECT doc_id, count(*) AS n_tokens, md5(string_agg(token, ' ' ORDER BY idx)) AS tokens_md5, md5(string_agg({_tag_sql("BILOU")}, ' ' ORDER BY idx)) AS tags_md5 FROM t GROUP BY doc_id""",
+        "q21_argmax": _SOFT + " SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS BIGINT) AS tag FROM p",
+        "q22_threshold_max": _SOFT + " SELECT vec_id, CAST(CASE WHEN list_max(q) >= 0.0225 THEN list_position(q, list_max(q)) ELSE 0 END AS BIGINT) AS tag FROM p",
+        "q23_threshold_sum": _SOFT + " SELECT vec_id, CAST(CASE WHEN list_sum(q) >= 0.985 THEN list_position(q, list_max(q)) ELSE 0 END AS BIGINT) AS tag FROM p",
+        "q24_pr_threshold": _SOFT + """, a AS (SELECT round(list_max(q), 9) AS score, label <> 0 AS truth FROM p), b AS (SELECT score, sum(CASE WHEN truth THEN 1 ELSE 0 END) AS t, count(*) AS n FROM a GROUP BY score),
+c AS (SELECT score, sum(t) OVER w AS tp, sum(n) OVER w AS pp, sum(t) OVER () AS al FROM b WINDOW w AS (ORDER BY score DESC))
+SELECT round(tp / pp, 9) AS precision, round(tp / al, 9) AS recall, score AS threshold FROM c WHERE al > 0 AND tp / al > 0.9 ORDER BY score DESC LIMIT 1""",
+        "q25_entities_strict": _T + _tags_sql() + """, a AS (SELECT *, substr(tag, 1, 1) AS p, CASE WHEN tag = 'O' THEN NULL ELSE substr(tag, 3) END AS ty FROM v), b AS (SELECT *, lag(p) OVER w AS q, lag(ty) OVER w AS u FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+c AS (SELECT *, sum(CASE WHEN p IN ('I', 'L') AND q IN ('B', 'I') AND ty IS NOT DISTINCT FROM u THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM b),
+e AS (SELECT doc_id, ty AS label, arg_min(p, idx) AS f, arg_max(p, idx) AS z, min("start") AS "start", max("end") AS "end" FROM c WHERE ty IS NOT NULL GROUP BY doc_id, run, ty) SELECT doc_id, label, "start", "end" FROM e WHERE (f = 'B' AND z = 'L') OR f = 'U'""",
+        "q26_entities_relaxed": _T + _tags_sql() + _RUNS.format(src="v"),
+        "q27_entities_super_strict": _T + _tags_sql() + _ABSORB + _RUNS.format(src="b"),
+        "q28_redact_remove": _redact_sql("remove"),
+        "q29_redact_tag": _redact_sql("replace_tag_type"),
+        "q30_redact_informative": _redact_sql("replace_informative"),
+        "q31_keep_age": "SELECT doc_id, CASE WHEN a BETWEEN 1 AND 8 OR a BETWEEN 10 AND 88 THEN concat(a, ' y') ELSE 'AGE' END AS age FROM (SELECT doc_id, doc_id % 130 AS a FROM documents)",
+        "q32_label_map": _T + f", v AS (SELECT doc_id, idx, {_tag_sql('BILOU')} AS tag FROM t) SELECT doc_id, idx, CASE tag " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in phi.items()) + " END AS tag FROM v",
+        "q33_span_prf": _COUNTS_SQL + " SELECT label, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1, CAST(ac AS BIGINT) AS support FROM f",
+        "q34_micro_macro_weighted": _COUNTS_SQL + ", mi0 AS (SELECT sum(tp) AS tp, sum(pp) AS pp, sum(ac) AS ac FROM c), mi AS (SELECT CASE WHEN pp = 0 THEN 0 ELSE tp / pp END AS p, CASE WHEN ac = 0 THEN 0 ELSE tp / ac END AS r, ac FROM mi0) "
+        + " UNION ALL ".join([avg.format("micro", "p", "r", "CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END", "ac", "mi"), avg.format("macro", "avg(p)", "avg(r)", "avg(f1)", "sum(ac)", "f"), avg.format("weighted", "sum(p * ac) / sum(ac)", "sum(r * ac) / sum(ac)", "sum(f1 * ac) / sum(ac)", "sum(ac)", "f")]),
+        "q35_token_prf": _PAIRS_SQL + """, l AS (SELECT DISTINCT truth AS label FROM w WHERE truth <> 'O' UNION SELECT DISTINCT pred FROM w WHERE pred <> 'O'), n AS (SELECT truth, pred, count(*) AS n FROM w GROUP BY ALL),
+c AS (SELECT label, CAST(sum(CASE WHEN truth = label AND pred = label THEN n ELSE 0 END) AS DOUBLE) AS tp, CAST(sum(CASE WHEN pred = label THEN n ELSE 0 END) AS DOUBLE) AS pp, CAST(sum(CASE WHEN truth = label THEN n ELSE 0 END) AS DOUBLE) AS ac FROM l, n GROUP BY label),
+m AS (SELECT label, CASE WHEN pp = 0 THEN 0 ELSE tp / pp END AS p, CASE WHEN ac = 0 THEN 0 ELSE tp / ac END AS r, ac FROM c) SELECT label, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 9) AS f1, CAST(ac AS BIGINT) AS support FROM m""",
+        "q36_confusion": _PAIRS_SQL + ", k AS (SELECT unnest(['EMAIL', 'ID', 'PHONE', 'O']) AS truth) SELECT truth, " + ", ".join(f"CAST(coalesce(sum(CASE WHEN pred = '{t}' THEN 1 ELSE 0 END), 0) AS BIGINT) AS pred_{t}" for t in ("EMAIL", "ID", "PHONE", "O")) + " FROM k LEFT JOIN w USING (truth) GROUP BY truth",
+        "q37_violations": _T + _tags_sql() + """, a AS (SELECT doc_id, tag, coalesce(lag(tag) OVER (PARTITION BY doc_id ORDER BY idx), 'O') AS b FROM v)
+SELECT doc_id, CAST(sum(CASE WHEN tag = 'O' THEN 0 WHEN tag[1] IN ('B', 'U') THEN CASE WHEN b[1] IN ('O', 'L', 'U') THEN 0 ELSE 1 END WHEN b[1] IN ('B', 'I') AND b[3:] = tag[3:] THEN 0 ELSE 1 END) AS BIGINT) AS violations FROM a GROUP BY doc_id""",
+        "q38_crf_transitions": """WITH y AS (SELECT unnest(['AGE', 'DATE', 'ID']) AS ty), l AS (SELECT concat(p, '-', ty) AS tag, p, ty FROM y, (SELECT unnest(['B', 'I', 'L', 'U']) AS p) UNION ALL SELECT 'O', 'O', NULL),
+a AS (SELECT * FROM l UNION ALL SELECT 'START', 'S', NULL), b AS (SELECT * FROM l UNION ALL SELECT 'END', 'E', NULL)
+SELECT a.tag AS from_tag, b.tag AS to_tag FROM a, b WHERE CASE WHEN a.p IN ('S', 'O', 'L', 'U') THEN b.p IN ('O', 'B', 'U') OR (b.p = 'E' AND a.p <> 'S') ELSE b.p IN ('I', 'L') AND a.ty = b.ty END""",
+        "q39_conll": _T + f""" SELECT doc_id, sent, md5(string_agg(concat(token, ' ', {_tag_sql("BILOU")}, ' ', '{{"start":', "start", ',"end":', "end", '}}'), chr(10) ORDER BY idx)) AS conll_md5 FROM t GROUP BY doc_id, sent""",
+        "q40_conversation_redact": _redact_sql("replace_tag_type", "conversations", "conv_id, turn"),
+        "q41_stream_redact": f"""WITH a AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_q(X.COVER)}') AS l FROM documents)), b AS (SELECT doc_id, pos, piece, {_LABEL} AS label FROM a),
+c AS (SELECT doc_id, string_agg(CASE WHEN label IS NULL THEN piece ELSE concat('<<', label, ':', piece, '>>') END, '' ORDER BY pos) AS x FROM b GROUP BY doc_id)
+SELECT d.doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(x, ''), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '\\n+', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS deid_text FROM documents d LEFT JOIN c USING (doc_id)""",
+    }
