@@ -11,7 +11,7 @@ length and the segment's number; each line probes, for every length that may mat
 difference leaves possible.  Index and probe keys of a bucket meet as sorted arrays.  Candidates are verified on their whole lines by
 a bit-parallel edit distance, banded by the threshold: it stops where no cell of the band can come back under it.
 
-Equal lines are one line throughout, by a 128-bit hash; only candidates' lines are moved for verification.  Keys are spread over buckets by hash, the number of
+Equal lines are one line throughout, by a 128-bit hash; for verification only lines that pass a filter of the candidates' ids, of fixed size, are moved.  Keys are spread over buckets by hash, the number of
 which grows with the number of lines; a key that many lines share is compared in slices of bounded size.  Classes are found by
 connected components on links.  Of a key's candidates those that already share a class by a chain of slices are still verified: no link is lost.
 
@@ -34,7 +34,9 @@ from veilmark.llm.graph import components
 
 EDITS, MIN_CHARS, MIN_WORDS = 2, 40, 3
 #: Keys of a bucket, about; and candidate pairs formed at once.
-BUCKET_KEYS, SLICE = 2_000_000, 4_000_000
+BUCKET_KEYS, SLICE = 1_000_000, 2_000_000
+#: Bits of the filter that is sent along to find candidates' lines: 1 MB, whatever the number of lines.
+FILTER_BITS = 1 << 23
 
 
 def line_id(line: str) -> bytes:
@@ -198,7 +200,7 @@ def key_blobs(batches: Iterator[pa.RecordBatch], edits: int, buckets: int) -> It
                 for seed, p, q in ask:
                     keys.append(digest(data[p * w : q * w] if plain else _narrow(data[p * 4 : q * 4]), seed) | 1)
                 ids += [me] * (len(own) + len(ask))
-            if len(keys) > 3_000_000:
+            if len(keys) > 800_000:
                 yield out(keys, ids)
                 keys, ids = [], []
         if keys:
@@ -261,15 +263,20 @@ def _once(k: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k[new], i[new]
 
 
-def wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(short id, id, line) of the texts' lines, once per batch."""
+def wanted_lines(batches: Iterator[pa.RecordBatch], bits: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+    """(short id, id, line) of the texts' lines that pass the filter, once per batch."""
     for b in batches:
         seen: dict[bytes, str] = {}
         for x in b.column(0).to_pylist():
             for line in (x or "").split("\n"):
                 line = line.strip()
-                if len(line) >= MIN_CHARS:
-                    seen.setdefault(line_id(line), line)
+                if len(line) < MIN_CHARS:
+                    continue
+                key = line_id(line)
+                slot = int.from_bytes(key[:8], "big") % FILTER_BITS
+                own = bits.get(slot >> 15)
+                if own and own[(slot & 32767) >> 3] >> (slot & 7) & 1:
+                    seen.setdefault(key, line)
         yield pa.record_batch([pa.array([int.from_bytes(k[:8], "big", signed=True) for k in seen], pa.int64()), pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.string())], names=["short", "line", "words"])
 
 
@@ -294,9 +301,12 @@ def line_links(texts: DataFrame, n_lines: int, edits: int = EDITS) -> DataFrame:
     blobs = texts.mapInArrow(task(key_blobs, edits=edits, buckets=buckets), "bucket long, keys binary, ids binary")
     pairs = blobs.repartition(min(buckets, 4000), "bucket").sortWithinPartitions("bucket").mapInArrow(task(candidate_pairs), "a long, b long")
     pairs = materialise(pairs.distinct(), "pairs")
-    # the lines that occur in a candidate; where they are few they are sent to the lines, else both are shuffled
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct()
-    lines = texts.mapInArrow(task(wanted_lines), "short long, line binary, words string").join(ids, "short", "left_semi")
+    # the lines that occur in a candidate: a filter of fixed size keeps most others from being shuffled
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct(), "candidates")
+    slot = F.pmod("short", F.lit(FILTER_BITS)) + 1
+    maps = ids.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    bits = {r["k"] - 1: bytes(r["bits"]) for r in maps.collect()}  # FILTER_BITS / 32768 rows of 4 KB at most
+    lines = texts.mapInArrow(task(wanted_lines, bits=bits), "short long, line binary, words string").join(ids, "short", "left_semi")
     lines = materialise(lines.dropDuplicates(["line"]), "lines")
     a = lines.select(F.col("short").alias("a"), F.col("line").alias("la"), F.col("words").alias("wa"))
     b = lines.select(F.col("short").alias("b"), F.col("line").alias("lb"), F.col("words").alias("wb"))
