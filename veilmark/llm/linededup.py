@@ -330,11 +330,11 @@ def find(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     # lines that are one of a kind need no look at their class
     hit = occ.join(dup, "line").where((F.col("keep.row") != F.col("row")) | (F.col("keep.no") != F.col("no")) | (F.col("links") > 0))
     gone = (F.col("keep.row") != F.col("row")) | (F.col("keep.no") != F.col("no"))
-    per = hit.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.when(gone, F.struct(F.col("no"), F.nullif(F.col("keep.doc_id"), F.lit(-(1 << 62))).alias("class_doc"), F.col("keep.no").alias("class_line"))))).alias("dropped"),
-        F.sum("links").alias("n_links"),
-    )
-    return per
+    # a set: equal rows of the input share their number and have the same lines
+    one = F.struct("no", gone.alias("gone"), F.nullif(F.col("keep.doc_id"), F.lit(-(1 << 62))).alias("class_doc"), F.col("keep.no").alias("class_line"), "links")
+    per = hit.groupBy("row").agg(F.array_sort(F.collect_set(one)).alias("s"))
+    dropped = F.transform(F.filter("s", lambda x: x["gone"]), lambda x: F.struct(x["no"].alias("no"), x["class_doc"].alias("class_doc"), x["class_line"].alias("class_line")))
+    return per.select("row", dropped.alias("dropped"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["links"]).alias("n_links"))
 
 
 def rows_of(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ and scoring is done once per distinct step, weighted by how often it occurs.
   contexts something is known.  The weights are learned online, slice by slice of the training steps, in every partition from the same start, and averaged over
   partitions by the bits they saw (parallel stochastic gradient descent), which takes one small row per partition.
 * refining: an adaptive probability map corrects the mixed prediction by what was seen at that quantised prediction in
-  training, again counts over all steps.
+  training, counted over all steps as the weights are learned.
 
 Every bit's two probabilities add up to one, so the model is a distribution over texts.  ``score`` is the log10
 probability of the text, ``bits_per_byte`` its total bits over its coded bytes.  ``base_score`` is the unigram score of
@@ -41,13 +41,12 @@ from veilmark.llm.common import fresh_path, materialise, task
 
 MOD, HELD_OUT = 7, 2
 CONTEXTS = 5
-MIN_BITS, MAX_BITS = 16, 22
+MIN_BITS, MAX_BITS = 16, 21
 #: Rows of a shard of looked-up tables, about; and characters of text in a block.
 SHARD_ROWS, BLOCK_CHARS = 500_000, 24_000_000
-RATE, ROUND = 0.02, 4096
+RATE, ROUND = 0.2, 8192
 _APM, _LIMIT = 33, 12.0
-END, BLANK = 0x0A, 0x20
-_STEP = "last long, word binary"
+BLANK = 0x20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -159,7 +158,7 @@ def count_slots(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Rec
     """Partial counts (slot of all tables, zeros, ones) of the steps' bits, by partition."""
     from collections import defaultdict
 
-    held: dict[int, np.ndarray] = defaultdict(lambda: np.zeros((2, 1 << bits), np.int64))
+    held: dict[int, np.ndarray] = defaultdict(lambda: np.zeros((2, 1 << bits), np.uint32))
     for x in _chunks(batches, ["last", "word", "c"]):
         c = x["c"].to_numpy()
         step, ctx, data = _lay_out(x["last"].to_numpy(), x["word"].to_pylist())
@@ -168,12 +167,12 @@ def count_slots(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Rec
             node = (np.uint64(1) << np.uint64(k)) | (data >> np.uint64(8 - k))
             bit = ((data >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
             for i, s in enumerate(_slots(ctx, node, bits)):
-                np.add.at(held[i], (bit.astype(np.int64), s), weight)
+                np.add.at(held[i], (bit.astype(np.int64), s), np.minimum(weight, 1 << 20).astype(np.uint32))
     for i, t in held.items():
         at = np.flatnonzero(t.any(0))
         for lo in range(0, len(at), 50_000):
             own = at[lo : lo + 50_000]
-            yield pa.record_batch([pa.array((i << bits) + own), pa.array(t[0][own]), pa.array(t[1][own])], names=["slot", "n0", "n1"])
+            yield pa.record_batch([pa.array((i << bits) + own), pa.array(t[0][own].astype(np.int64)), pa.array(t[1][own].astype(np.int64))], names=["slot", "n0", "n1"])
 
 
 def _filesystem(path: str):
@@ -263,39 +262,28 @@ def _model(path: str, bits: int, weights=None, apm=None) -> Model:
     return m
 
 
-def learn_weights(batches: Iterator[pa.RecordBatch], path: str, bits: int) -> Iterator[pa.RecordBatch]:
-    """One row: the bits seen, and the weights learned from the partition's training steps, times those bits."""
-    m, total = None, 0.0
+def learn(batches: Iterator[pa.RecordBatch], path: str, bits: int) -> Iterator[pa.RecordBatch]:
+    """Partial sums of a partition's training steps, in rows (kind, i, a, b): kind 0 the weights learned, times the bits seen, and these bits;
+    kind 1 the zeros and ones of each cell of the probability map, counted as the weights stood."""
+    m, total, n = None, 0.0, np.zeros((2, GATES * _APM))
     for x in _chunks(batches, ["last", "word", "c"], ROUND):
         m = m or _model(path, bits)
-        c = np.minimum(x["c"].to_numpy(), 255).astype(np.float32)
-        for step, inputs, gate, bit in _bits(x, m):
-            w = c[step]
-            p = 1 / (1 + np.exp(-m.mix(inputs, gate)))
-            err = ((bit - p) * w)[:, None] * inputs
-            used, place = np.unique(gate, return_inverse=True)
-            grad = np.stack([np.bincount(place, err[:, i], len(used)) for i in range(INPUTS)], 1)
-            weight = np.bincount(place, w, len(used))[:, None]
-            m.weights[used] += (RATE * 10 * grad / np.maximum(weight, 1)).astype(np.float32)
-            total += float(w.sum())
-    if m is not None and total:
-        yield pa.record_batch([pa.array([total]), pa.array([(m.weights.ravel().astype(float) * total).tolist()], pa.list_(pa.float64()))], names=["n", "w"])
-
-
-def learn_map(batches: Iterator[pa.RecordBatch], path: str, bits: int, weights: list[float]) -> Iterator[pa.RecordBatch]:
-    """Counts (cell, zeros, ones) of the probability map over the partition's training steps."""
-    n = None
-    for x in _chunks(batches, ["last", "word", "c"]):
-        m = _model(path, bits, weights)
-        n = np.zeros((2, GATES * _APM)) if n is None else n
         c = x["c"].to_numpy()
         for step, inputs, gate, bit in _bits(x, m):
-            cell, w = m.cell(m.mix(inputs, gate), gate), c[step]
+            z = m.mix(inputs, gate)
+            w, cell = c[step], m.cell(z, gate)
             n[0] += np.bincount(cell, w * (1 - bit), GATES * _APM)
             n[1] += np.bincount(cell, w * bit, GATES * _APM)
-    if n is not None:
+            w = np.minimum(w, 255).astype(np.float32)
+            err = (bit - 1 / (1 + np.exp(-z))) * w
+            grad = np.stack([np.bincount(gate, err * inputs[:, i], GATES) for i in range(INPUTS)], 1)
+            m.weights += (RATE * grad / np.maximum(np.bincount(gate, w, GATES)[:, None], 1)).astype(np.float32)
+            total += float(w.sum())
+    if m is not None and total:
         at = np.flatnonzero(n.any(0))
-        yield pa.record_batch([pa.array(at), pa.array(n[0][at]), pa.array(n[1][at])], names=["cell", "n0", "n1"])
+        flat = m.weights.ravel().astype(float)
+        cols = [np.repeat([0, 1], [len(flat), len(at)]), np.concatenate((np.arange(len(flat)), at)), np.concatenate((flat * total, n[0][at])), np.concatenate((np.full(len(flat), total), n[1][at]))]
+        yield pa.record_batch([pa.array(c) for c in cols], names=["kind", "i", "a", "b"])
 
 
 def step_key(last: np.ndarray, words: list[bytes]) -> np.ndarray:
@@ -404,21 +392,20 @@ def score(docs: DataFrame) -> DataFrame:
     n = words.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     distinct, total = n["v"], n["n"] or 0
     bits = min(MAX_BITS, max(MIN_BITS, int(n_steps * 4).bit_length()))
-    train = steps.where("c > 0").select("last", "word", "c")
+    # words that begin alike go to one partition: its slots are then mostly its own, and partial counts stay few
+    train = materialise(steps.where("c > 0").select("last", "word", "c").repartition(F.substring("word", 1, 4)), "train")
     slots = train.mapInArrow(task(count_slots, bits=bits), "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     path = fresh_path(docs.sparkSession, "slots")
     slots.write.parquet(path)
     how = {"path": path, "bits": bits}
-    # one row of GATES * INPUTS numbers per partition is averaged on the executors
-    got = train.mapInArrow(task(learn_weights, **how), "n double, w array<double>")
-    seen = got.select("n", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()
-    weights = start_weights().ravel().astype(float)
-    for r in seen:
-        weights[r["i"]] = r["w"]
-    cells = train.mapInArrow(task(learn_map, **how, weights=weights.tolist()), "cell long, n0 double, n1 double").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()
-    apm = np.zeros((2, GATES * _APM))
-    for r in cells:  # GATES * _APM rows at most
-        apm[:, r["cell"]] = r["n0"], r["n1"]
+    # GATES * (INPUTS + _APM) rows at most, whatever the size of the corpus
+    sums = train.mapInArrow(task(learn, **how), "kind long, i long, a double, b double").groupBy("kind", "i").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
+    weights, apm = start_weights().ravel().astype(float), np.zeros((2, GATES * _APM))
+    for r in sums:
+        if r["kind"]:
+            apm[:, r["i"]] = r["a"], r["b"]
+        else:
+            weights[r["i"]] = r["a"] / r["b"]
     scored = steps.select("last", "word").mapInArrow(task(score_steps, **how, weights=weights.tolist(), apm=apm.ravel().tolist()), "key long, value double")
     step_table = _write_shards(scored, n_steps, "step-scores")
     word_table = _write_shards(words.select("word", "c").mapInArrow(task(key_words), "key long, value double"), distinct, "word-counts")
