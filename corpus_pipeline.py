@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import linededup, packing, quality, secrets, simhash
+from veilmark.llm import jaccard, linededup, packing, quality, secrets
 from veilmark.llm.common import documents, materialise
 
 
@@ -27,8 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents the one with the smallest id stays."""
-    return simhash.distinct_documents(docs)
+    """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the one with the smallest id stays."""
+    return jaccard.distinct_documents(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

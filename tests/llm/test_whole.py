@@ -1,0 +1,38 @@
+"""Cases in which an operator did less than its whole job."""
+
+import random
+
+
+def test_near_dedup_is_brute_force_jaccard(spark):
+    from corpus_pipeline import near_dedup
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(2000)]
+    common = " ".join(rng.choice(words) for _ in range(40))
+    texts = [None, "", "One two", "one  TWO", "one two three"]
+    for n in (9, 30, 120, 300, 300):
+        base = [rng.choice(words) for _ in range(n)]
+        texts.append(" ".join(base) + " " + common)
+        for changes in (0, 1, 2, 3, 5, 8):
+            t = base[:]
+            for _ in range(changes):
+                t[rng.randrange(n)] = rng.choice(words)
+            texts.append(" ".join(t) + " " + common)
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(t) for t in texts]
+    comp = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 5 * len(a & b) >= 4 * len(a | b):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[5]), (None, texts[5])], "doc_id long, text string")
+    out = near_dedup(spark, docs, "")
+    got = sorted(r.doc_id for r in out.collect() if r.doc_id is not None)
+    assert got == sorted(set(comp)) and len(got) < len(texts) / 2
+    assert out.where("doc_id is null").count() == 2 and out.columns == docs.columns
+    assert near_dedup(spark, docs.limit(0), "").count() == 0
