@@ -36,3 +36,12 @@ def test_near_dedup_is_brute_force_jaccard(spark):
     assert got == sorted(set(comp)) and len(got) < len(texts) / 2
     assert out.where("doc_id is null").count() == 2 and out.columns == docs.columns
     assert near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_long_weak_values_are_redacted_whole(spark):
+    from veilmark.llm.secrets import redact
+
+    value, host = "aZ9-" * 50, "h.example" * 40
+    rows = [(1, f"user=alice pass={value} end"), (2, f"login=bob pw=abc https://{host} end")]
+    out = {r.doc_id: r.text for r in redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: "<secret> <secret> end", 2: "<secret> <secret> <secret> end"}

@@ -34,10 +34,10 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']
 #: A shorter run holds no longer match, so the least lengths may stand in these two patterns.
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-_VALUE = r"""["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9@+/_.%$!#-]{3,128}+"""
+_VALUE = r"""["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9@+/_.%$!#-]{3,}+"""
 IDENT = r"(?<![A-Za-z0-9])(?i:user(?:_?name|_?id)?|login|account(?:_?id)?|client_?id|access_?key(?:_?id)?)" + _VALUE
 WEAK = r"(?<![A-Za-z0-9])(?i:pass(?:phrase|code)?|pwd|pw|auth(?:_?key)?|credentials?|private_?key|key)" + _VALUE
-ENDPOINT = r"(?<![A-Za-z0-9])(?i:(?:https?|ftp|ssh|jdbc:[a-z]{1,20}+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~%:@\[\]-]{3,255}+|(?:host(?:_?name)?|server|endpoint|url|dsn)" + _VALUE + ")"
+ENDPOINT = r"(?<![A-Za-z0-9])(?i:(?:https?|ftp|ssh|jdbc:[a-z]{1,20}+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~%:@\[\]-]{3,}+|(?:host(?:_?name)?|server|endpoint|url|dsn)" + _VALUE + ")"
 
 
 def base_spans(text: Column) -> list[Column]:
