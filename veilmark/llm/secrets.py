@@ -7,12 +7,12 @@ often come in parts, none of which means much alone.  Weak candidates of three r
 * ``weak``: a secret too short or too plain for the base, ``pass|pwd|pw|key|auth|credential|private_key`` and a value;
 * ``endpoint``: a URL with a host, or ``host|hostname|server|endpoint|url|dsn`` and a value.
 
-A scope is ``SCOPE`` code points around a part.  The parts of a document, base spans among them (``access`` is an
+A scope is ``SCOPE`` code points around a part, from its start backwards and from its end onwards.  The parts of a document, base spans among them (``access`` is an
 identifier, ``assign`` and ``hex`` are secrets), are interval-joined within scopes: a weak identifier is reported where
 a secret lies within its scope, a weak secret where an identifier does, and an endpoint where both do.  Secrets of the base
 complete an identifier, base identifiers complete a secret; two weak candidates complete each other too.
 
-The join is a range frame over (document, stretch): each part is sent to the one or two stretches of ``STRETCH`` code
+The join is a running maximum over (document, stretch): each part is sent to all stretches of ``STRETCH`` code
 points that its scope reaches, so no text, however long, is one task's work.  All of it is DataFrame operations.
 Null texts count as empty: no spans.  Documents with a null id take part; repeated rows keep a row each with equal spans; an
 empty table gives no rows; other columns are ignored.
@@ -67,13 +67,15 @@ def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     several = F.size("ident") + F.size("weak") + F.size("endpoint") > 0
     parts = all_.where(several).dropDuplicates(["row_key"]).select("row_key", F.explode(F.concat(*[ranked(F.col(k), i) for i, k in enumerate(KINDS)])).alias("s")).select("row_key", "s.*")
-    # stretches that a part's scope touches: its own, and the next or last one
-    parts = parts.select("*", (F.col("start") / STRETCH).cast("int").alias("home"))
-    first, last = ((F.greatest(F.col("start") - scope, F.lit(0))) / STRETCH).cast("int"), ((F.col("start") + scope) / STRETCH).cast("int")
+    # every stretch that a part's scope touches: of two parts with a gap of at most a scope, each's scope reaches the other
+    first, last = (F.greatest(F.col("start") - scope, F.lit(0)) / STRETCH).cast("int"), ((F.col("end") + scope) / STRETCH).cast("int")
     parts = parts.select("*", F.explode(F.sequence(first, last)).alias("stretch"))
-    w = Window.partitionBy("row_key", "stretch").orderBy("start").rangeBetween(-scope, scope)
-    has = {r: F.max(F.col("rank").isin(ranks)).over(w) for r, ranks in (("id", [1, 3]), ("secret", [0, 2, 4]))}
-    near = parts.select("*", has["id"].alias("id"), has["secret"].alias("secret")).where("stretch = home")
+    # a part counts from its start on; it is judged where its scope ends, by the furthest end that has come till then
+    ends = parts.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("asks")).withColumn("at", F.when(F.col("asks"), F.col("end") + scope).otherwise(F.col("start")))
+    w = Window.partitionBy("row_key", "stretch").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    has = {r: F.coalesce(F.max(F.when(~F.col("asks") & F.col("rank").isin(ranks), F.col("end"))).over(w) >= F.col("start") - scope, F.lit(False)) for r, ranks in (("id", [1, 3]), ("secret", [0, 2, 4]))}
+    near = ends.select("*", has["id"].alias("id"), has["secret"].alias("secret")).where("asks")
+    near = near.groupBy("row_key", "start", "rank", "end").agg(F.max("id").alias("id"), F.max("secret").alias("secret"))
     ok = ((F.col("rank") == 3) & F.col("secret")) | ((F.col("rank") == 4) & F.col("id")) | ((F.col("rank") == 5) & F.col("id") & F.col("secret"))
     linked = near.where(ok).groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("linked"))
     none = F.from_json(F.lit("[]"), "array<struct<start:int,rank:int,end:int>>")
