@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of lines that repeat, but for two edits, the first stays."""
+    """Of lines that repeat, but for two characters or a word in twenty, the first stays."""
     return _counted(linededup.dedup(docs))
 
 

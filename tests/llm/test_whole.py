@@ -70,3 +70,45 @@ def test_secret_parts_link_by_the_gap_between_them(spark):
     got = {r.doc_id: r.spans for r in report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {i: brute(t) for i, t in enumerate(texts)}
     assert "ident" in got[0] and "endpoint" in got[0] and "ident" in got[1] and "weak" in got[2] and got[3] == ""
+
+
+def test_line_dedup_links_short_equal_lines_and_changed_words(spark):
+    from veilmark.llm.linededup import report, words_within
+
+    def far(a, b):
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            q = [i + 1]
+            for j, y in enumerate(b):
+                q.append(min(p[j] + (x != y), p[j + 1] + 1, q[j] + 1))
+            p = q
+        return p[-1]
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmn") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    lines = ["Les.", "And ornd.", "Les.", " And ornd. ", "", ""]
+    for n in (12, 19, 20, 39, 40, 60, 100):
+        base = [rng.choice(words) for _ in range(n)]
+        lines.append(" ".join(base))
+        for changes in (1, 1, 2, 2, 3, 5, n // 20, n // 20 + 1):
+            t = base[:]
+            for _ in range(changes):
+                k = rng.randrange(len(t))
+                t[k : k + 1] = rng.choice(([], [rng.choice(words)], [rng.choice(words)], [t[k], rng.choice(words)]))
+            lines.append(" ".join(t))
+    for _ in range(500):
+        a = [rng.choice("ab") for _ in range(rng.randint(18, 65))]
+        b = a[:]
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(b))
+            b[k : k + 1] = rng.choice(([], ["c"], [b[k], "a"]))
+        assert words_within(a, b) == (0 < min(len(a), len(b)) // 20 >= far(a, b))
+    own = [x.strip() for x in lines]
+    comp = list(range(len(own)))
+    near = [(i, j) for j in range(len(own)) for i in range(j) if own[i] and (own[i] == own[j] or (min(len(own[i]), len(own[j])) >= 40 and (far(own[i].split(), own[j].split()) <= min(len(own[i].split()), len(own[j].split())) // 20 or (abs(len(own[i]) - len(own[j])) <= 2 and far(own[i], own[j]) <= 2))))]
+    for _ in own:
+        for i, j in near:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    got = {r.doc_id: r.class_of for r in report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == {i: "" if c == i else f"{c}:0" for i, c in enumerate(comp)}
+    assert got[2] == "0:0" and sum(map(bool, got.values())) > 25

@@ -1,14 +1,19 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines that a text holds are compared across all documents.  Two lines within ``EDITS`` single-character edits of each other
-are linked; linked lines form classes; of a class the first occurrence, by document and line, stays and the others
-go.  Lines of fewer than ``MIN_CHARS`` code points are too short for edits to mean much: they link only if they are the same line
-and hold ``MIN_WORDS`` words; still shorter ones always stay.  Blanks at a line's ends don't count.
+Lines that a text holds are compared across all documents.  Equal lines are linked, whatever their length.  Two lines of ``MIN_CHARS`` code points
+or more are linked if they are within ``EDITS`` single-character edits of each other, or within one word inserted, deleted or replaced for every
+``PER_EDIT`` words of the one with fewer words: that threshold grows with the line.  Shorter lines are too short for edits to mean much.
+Linked lines form classes; of a class the first occurrence, by document and line, stays and the others
+go.  Blank lines always stay; blanks at a line's ends don't count.
 
 The join is exact.  A line is cut into ``EDITS + 1`` segments of even length; if another line is within the threshold,
 at least one segment of the shorter occurs in it unchanged, near its own place.  An index holds each segment's hash with its line's
 length and the segment's number; each line probes, for every length that may match, the few substrings that the length
-difference leaves possible.  Index and probe keys of a bucket meet as sorted arrays.  Candidates are verified on their whole lines by
+difference leaves possible.  Index and probe keys of a bucket meet as sorted arrays.
+
+Word edits have keys of their own.  Of m words, ``m // PER_EDIT`` edits leave a run of at least ``RUN`` untouched, and whatever run of ``RUN``
+words two lines share, both have the smallest hash of the ``GRAM``-word grams in it among their keys: the smallest of every run's.  So their number grows
+with the line's words only; lines whose sizes or places of the gram differ by more than the edits are no candidates.  Candidates are verified on their whole lines by
 a bit-parallel edit distance, banded by the threshold: it stops where no cell of the band can come back under it.
 
 Equal lines are one line throughout, by a 128-bit hash; for verification only lines that pass a filter of the candidates' ids, of fixed size, are moved.  Keys are spread over buckets by hash, the number of
@@ -32,7 +37,9 @@ from pyspark.sql import functions as F
 from veilmark.llm.common import free_name, materialise, task
 from veilmark.llm.graph import components
 
-EDITS, MIN_CHARS, MIN_WORDS = 2, 40, 3
+EDITS, MIN_CHARS = 2, 40
+#: Words for each word edit; the untouched run that leaves (19 words in two parts, at worst), and words of a gram in it.
+PER_EDIT, RUN, GRAM = 20, 10, 5
 #: Keys of a bucket, about; and candidate pairs formed at once.
 BUCKET_KEYS, SLICE = 1_000_000, 2_000_000
 #: Bits of the filter that is sent along to find candidates' lines: 1 MB, whatever the number of lines.
@@ -145,6 +152,27 @@ def _walk(a: str, b: str, edits: int) -> bool:
     return 0 <= k < width and bool(level[edits] >> k & 1)
 
 
+def words_within(a: list[str], b: list[str]) -> bool:
+    """Whether one word edit for every ``PER_EDIT`` words of the shorter line makes ``b`` of ``a``; by diagonals, how far each edit gets on each."""
+    n, m = len(a), len(b)
+    edits = min(n, m) // PER_EDIT
+    if not edits or abs(n - m) > edits:
+        return False
+    far: dict[int, int] = {}
+    for e in range(edits + 1):
+        before, far = far, {}
+        for d in range(-e, e + 1):  # place in b less place in a
+            i = max(before.get(d, -2) + 1, before.get(d + 1, -2) + 1, before.get(d - 1, -1)) if e else 0
+            if i < 0 or i > n or i + d > m or i + d < 0:
+                continue
+            while i < n and i + d < m and a[i] == b[i + d]:
+                i += 1
+            if i == n and i + d == m:
+                return True
+            far[d] = i
+    return False
+
+
 def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, doc_id, line number, id) of the lines of (row, doc_id, text) that may go."""
     for b in batches:
@@ -154,7 +182,7 @@ def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r, d, x in zip(*[c.to_pylist() for c in part.columns], strict=True):
                 for i, line in enumerate((x or "").split("\n")):
                     line = line.strip()
-                    if len(line) >= MIN_CHARS or len(line.split()) >= MIN_WORDS:
+                    if line:
                         rows.append(r)
                         docs.append(d)
                         nos.append(i)
@@ -166,9 +194,9 @@ def key_blobs(batches: Iterator[pa.RecordBatch], edits: int, buckets: int) -> It
     """Packed index and probe keys (bucket, keys, ids) of the texts' lines; a line is taken once per batch."""
     digest = xxhash.xxh3_64_intdigest
 
-    def out(keys: list, ids: list) -> pa.RecordBatch:
-        k, i = np.array(keys, np.uint64), np.array(ids, np.uint64)
-        bucket = ((k >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    def out(keys: list | np.ndarray, ids: list | np.ndarray, first: int = 0) -> pa.RecordBatch:
+        k, i = np.asarray(keys, np.uint64), np.asarray(ids, np.uint64)
+        bucket = ((k >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64) + first
         order = np.argsort(bucket, kind="stable")
         k, i, bucket = k[order], i[order], bucket[order]
         cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
@@ -179,7 +207,7 @@ def key_blobs(batches: Iterator[pa.RecordBatch], edits: int, buckets: int) -> It
         )
 
     for b in batches:
-        keys, ids, seen = [], [], set()
+        keys, ids, seen, hashes, sizes, mine, known = [], [], set(), [], [], [], {}
         for x in b.column(0).to_pylist():
             for line in (x or "").split("\n"):
                 line = line.strip()
@@ -200,11 +228,41 @@ def key_blobs(batches: Iterator[pa.RecordBatch], edits: int, buckets: int) -> It
                 for seed, p, q in ask:
                     keys.append(digest(data[p * w : q * w] if plain else _narrow(data[p * 4 : q * 4]), seed) | 1)
                 ids += [me] * (len(own) + len(ask))
+                words = line.split()
+                if len(words) >= PER_EDIT:
+                    hashes += [known.get(w) or known.setdefault(w, digest(w.encode("utf-8", "surrogatepass"))) for w in words]
+                    sizes.append(len(words))
+                    mine.append(me)
             if len(keys) > 800_000:
                 yield out(keys, ids)
                 keys, ids = [], []
+            if len(hashes) > 800_000:
+                yield out(*run_keys(hashes, sizes, mine), buckets)
+                hashes, sizes, mine, known = [], [], [], {}
         if keys:
             yield out(keys, ids)
+        if hashes:
+            yield out(*run_keys(hashes, sizes, mine), buckets)
+
+
+def run_keys(hashes: list[int], sizes: list[int], ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of lines, given as the hashes of all their words: of every run of ``RUN`` words the smallest hash of a gram; with each the
+    line's id, and its number of words (high half) with the gram's place (low half)."""
+    h, line = np.array(hashes, np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+    prime = np.uint64(0x9E3779B97F4A7C15)
+    g = np.zeros(len(h) - GRAM + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(GRAM):
+            g = (g + h[k : k + len(g)]) * prime
+            g ^= g >> np.uint64(29)
+    n = len(h) - RUN + 1
+    place = np.arange(n) + np.stack([g[k : k + n] for k in range(RUN - GRAM + 1)]).argmin(0)
+    place = np.unique(place[line[:n] == line[RUN - 1 :]])
+    size = np.array(sizes, np.uint64)
+    pos = place - (np.cumsum(sizes) - sizes)[line[place]]
+    with np.errstate(over="ignore"):
+        key = g[place] * np.uint64(0xD6E8FEB86659FD93)  # the smallest hashes would fill few buckets
+    return key ^ (key >> np.uint64(32)), np.stack((np.array(ids, np.uint64)[line[place]], size[line[place]] << np.uint64(32) | pos.astype(np.uint64)), 1)
 
 
 def _narrow(raw: bytes) -> bytes:
@@ -213,18 +271,27 @@ def _narrow(raw: bytes) -> bytes:
     return text.encode("ascii") if text.isascii() else raw
 
 
-def candidate_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b), a < b, of line ids that an index and a probe key share; input sorted by bucket."""
+def candidate_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b), a < b, of line ids that an index and a probe key share, or a run's key (from bucket ``buckets`` on); input sorted by bucket."""
     held: dict = {"bucket": None, "keys": [], "ids": []}
 
     def out() -> Iterator[pa.RecordBatch]:
         k = np.concatenate([np.frombuffer(x, np.uint64) for x in held["keys"]])
         i = np.concatenate([np.frombuffer(x, np.uint64) for x in held["ids"]])
-        probe = (k & np.uint64(1)).astype(bool)
-        k = k >> np.uint64(1)
-        ik, ii = _once(k[~probe], i[~probe])
-        qk, qi = _once(k[probe], i[probe])
-        lo, n = np.searchsorted(ik, qk, "left"), None
+        runs = held["bucket"] >= buckets
+        if runs:  # each with those that come after it
+            i = i.reshape(-1, 2)
+            order = np.argsort(k, kind="stable")
+            ik = qk = k[order]
+            ii = qi = i[order, 0]
+            size, place = (i[order, 1] >> np.uint64(32)).astype(np.int64), (i[order, 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            lo = np.arange(1, len(ik) + 1)
+        else:
+            probe = (k & np.uint64(1)).astype(bool)
+            k = k >> np.uint64(1)
+            ik, ii = _once(k[~probe], i[~probe])
+            qk, qi = _once(k[probe], i[probe])
+            lo = np.searchsorted(ik, qk, "left")
         n = np.searchsorted(ik, qk, "right") - lo
         at = np.flatnonzero(n)
         lo, n, qi = lo[at], n[at], qi[at]
@@ -238,6 +305,9 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             j = lo[q] + flat - (ends[q] - n[q])
             a, b = np.minimum(qi[q], ii[j]), np.maximum(qi[q], ii[j])
             keep = a != b
+            if runs:  # word edits move a run, and change the number of words, by no more than there are edits
+                x = at[q]
+                keep &= np.maximum(np.abs(size[x] - size[j]), np.abs(place[x] - place[j])) <= np.minimum(size[x], size[j]) // PER_EDIT
             pairs = np.unique(np.stack((a[keep], b[keep])), axis=1) if keep.any() else np.zeros((2, 0), np.uint64)
             yield pa.record_batch([pa.array(pairs[0].view(np.int64)), pa.array(pairs[1].view(np.int64))], names=["a", "b"])
             start = stop
@@ -281,11 +351,11 @@ def wanted_lines(batches: Iterator[pa.RecordBatch], bits: dict[int, bytes]) -> I
 
 
 def verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of (id, line, id, line) within the threshold."""
+    """The pairs of (id, line, id, line) within a threshold."""
     for b in batches:
         for at in range(0, b.num_rows, 2000):
             part = b.slice(at, 2000)
-            ok = [within(x, y, edits) for x, y in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            ok = [within(x, y, edits) or words_within(x.split(), y.split()) for x, y in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True)]
             mask = pa.array(ok, pa.bool_())
             yield pa.record_batch([part.column(0).filter(mask), part.column(2).filter(mask)], names=["a", "b"])
 
@@ -296,10 +366,10 @@ def _bucket_count(n_lines: int, edits: int) -> int:
 
 
 def line_links(texts: DataFrame, n_lines: int, edits: int = EDITS) -> DataFrame:
-    """Links (a, b) between the ids of different lines within ``edits`` of each other."""
+    """Links (a, b) between the ids of different lines within ``edits`` characters of each other, or as many words as their lengths allow."""
     buckets = max(_bucket_count(n_lines, edits), 1)
     blobs = texts.mapInArrow(task(key_blobs, edits=edits, buckets=buckets), "bucket long, keys binary, ids binary")
-    pairs = blobs.repartition(min(buckets, 4000), "bucket").sortWithinPartitions("bucket").mapInArrow(task(candidate_pairs), "a long, b long")
+    pairs = blobs.repartition(min(2 * buckets, 4000), "bucket").sortWithinPartitions("bucket").mapInArrow(task(candidate_pairs, buckets=buckets), "a long, b long")
     pairs = materialise(pairs.distinct(), "pairs")
     # the lines that occur in a candidate: a filter of fixed size keeps most others from being shuffled
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct(), "candidates")
