@@ -4,7 +4,8 @@ A payload is stored as the samples of an 8-bit mono WAV file.  What is read back
 samples, ``HOP`` apart; a short-time Fourier transform (Hann window) gives a magnitude spectrum per frame, whose
 ``PEAKS`` strongest local maxima are kept.  Each peak is paired with those of the next ``REACH`` frames: a landmark is
 (first bin, second bin, frames between), stored as an integer beside the time of its first peak, so a recording is a
-pair of arrays (times, landmarks) in order of time.
+pair of arrays (times, landmarks) in order of time.  A payload of one frame or less is
+padded to a frame with silence and repeated over ``REACH + 1`` frames, as one frame has no pairs.
 
 Null texts and payloads count as empty: a payload of 64 zero bytes.  Ids may be null; equal payloads have equal
 values; an empty table gives no rows; other columns are ignored.
@@ -51,7 +52,9 @@ def from_wav(stored: bytes) -> bytes:
 def peaks(samples: bytes) -> np.ndarray:
     """(frames, PEAKS) bins of the strongest local maxima, strongest first; -1 where a frame has fewer."""
     x = np.frombuffer(samples, np.uint8)
-    n = max(1, -(-(len(x) - FRAME) // HOP) + 1) if len(x) > FRAME else 1
+    if len(x) <= FRAME:
+        x = np.resize(np.pad(x, (0, FRAME - len(x)), constant_values=128), FRAME + REACH * HOP)
+    n = -(-(len(x) - FRAME) // HOP) + 1
     out = np.full((n, PEAKS), -1, np.int16)
     for at in range(0, n, CHUNK):
         m = min(CHUNK, n - at)
