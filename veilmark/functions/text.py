@@ -1,15 +1,21 @@
 """Sentences and tokens with offsets in code points.
 
-A covering pattern matches every character of a text, so offsets are running sums of piece lengths: one window per
-document, no matter how long it is.
+A covering pattern matches every character of a text.  Texts are walked in Arrow batches, which gives offsets with the matches: nothing is
+shuffled, and a text of any length costs one walk.  As column expressions the offsets would be running sums over a shuffled window of all pieces,
+or over nested arrays; both were several times slower.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from veilmark.functions.arrow import arrow_task
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"\+[0-9][0-9 ().-]{7,}[0-9]"
@@ -22,12 +28,49 @@ COVER = "(?:" + "|".join(p for _, p in RULES) + r"|\s+|[\p{L}\p{N}_]+|[^\s\p{L}\
 SENTENCE = r"(?:[^.!?\n]+[.!?\n]*|[.!?\n]+)"
 
 
+#: Texts of a batch that are walked at once.
+SLICE = 200
+#: ASCII white space, as ``\\s`` means it outside Python.
+_BLANK = r"[ \t\n\x0B\f\r]"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with ``value`` evaluated once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+@cache
+def _compiled(pattern: str):
+    import regex
+
+    return regex.compile(pattern.replace(r"[^\s", "[^ \\t\\n\\x0B\\f\\r").replace(r"\s", _BLANK).replace(r"\S", _BLANK.replace("[", "[^", 1)))
+
+
+def _rows(part: pa.RecordBatch, place: list[int], names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
+    """The last column's rows spread over their keys."""
+    at = pa.array(place, pa.int32())
+    return pa.RecordBatch.from_arrays([*[part.column(i).take(at) for i in range(part.num_columns - 1)], *columns], names=[*part.schema.names[:-1], *names])
+
+
+def piece_batches(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
+    find = _compiled(pattern).finditer
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            part = b.slice(at, SLICE)
+            found = [(r, i, m.group(), m.start(), m.end()) for r, x in enumerate(part.column(part.num_columns - 1).to_pylist()) for i, m in enumerate(find(x or ""))]
+            r, i, p, s, e = zip(*found, strict=True) if found else ((),) * 5
+            yield _rows(part, r, ["pos", "piece", "start", "end"], [pa.array(i, pa.int64()), pa.array(p, pa.string()), pa.array(s, pa.int64()), pa.array(e, pa.int64())])
+
+
+def _with(docs: DataFrame, key: list[str], text: str, schema: str) -> tuple[DataFrame, T.StructType]:
+    src = docs.select(*key, F.col(text).cast("string").alias("__text"))
+    return src, T.StructType([*src.schema.fields[:-1], *T.StructType.fromDDL(schema).fields])
+
+
 def pieces(docs: DataFrame, pattern: str, key: list[str], text: str = "text") -> DataFrame:
-    """(key, pos, piece, start, end) of a covering pattern's matches."""
-    w = Window.partitionBy(*key).orderBy("pos")
-    out = docs.select(*key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("pos", "piece"))
-    out = out.withColumn("end", F.sum(F.length("piece").cast("long")).over(w))
-    return out.select(*key, F.col("pos").cast("long").alias("pos"), "piece", (F.col("end") - F.length("piece")).alias("start"), "end")
+    """(key, pos, piece, start, end) of a covering pattern's matches; ``\\s`` is ASCII white space."""
+    src, schema = _with(docs, key, text, "pos long, piece string, start long, end long")
+    return src.mapInArrow(arrow_task(piece_batches, pattern=pattern), schema)
 
 
 def rule_label(piece: Column) -> Column:
@@ -35,22 +78,66 @@ def rule_label(piece: Column) -> Column:
     out = F.lit(None).cast("string")
     for label, p in reversed(RULES):
         out = F.when(piece.rlike(f"^(?:{p})$"), label).otherwise(out)
+    return F.when(piece.rlike("[0-9@]"), out)  # what no rule can do without
+
+
+TOKEN_FIELDS = "token string, start long, end long, sent long, label string, ent long, k long, n long"
+
+
+def text_tokens(text: str) -> list[tuple]:
+    """The tokens of a text, as ``TOKEN_FIELDS`` has them."""
+    rules = [(name, p) for name, p in RULES if name != "EMAIL" or "@" in text]
+    find = _compiled("|".join(f"({p})" for _, p in rules) + r"|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]").finditer
+    out, ent, sent, last = [], 0, 0, 0
+    for m in find(text):
+        start, end = m.span()
+        if start > last:  # blanks between tokens are a piece, and a line feed among them ends a sentence
+            ent += 1
+            sent += "\n" in text[last:start]
+        t, rule = m.group(), m.lastindex
+        if rule is None:
+            out.append((t, start, end, sent, None, ent, 1, 1))
+            sent += t in (".", "!", "?")
+        else:
+            inner = [x for x in _compiled(BASE).finditer(t) if not x.group().isspace()]
+            out += [(x.group(), start + x.start(), start + x.end(), sent, rules[rule - 1][0], ent, k, len(inner)) for k, x in enumerate(inner, 1)]
+        ent += 1
+        last = end
     return out
 
 
-def tokens(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+def token_batches(batches: Iterator[pa.RecordBatch], nested: bool, labelled: bool) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string() if f.endswith("string") else pa.int64() for f in TOKEN_FIELDS.split(", ")]
+    names = [f.split()[0] for f in TOKEN_FIELDS.split(", ")]
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            part = b.slice(at, SLICE)
+            found = [text_tokens(x or "") for x in part.column(part.num_columns - 1).to_pylist()]
+            if labelled:
+                found = [t if any(x[4] for x in t) else [] for t in found]
+            flat = [x for t in found for x in t]
+            columns = [pa.array(c, k) for c, k in zip(zip(*flat, strict=True) if flat else ((),) * len(kinds), kinds, strict=True)]
+            if nested:
+                ends = [0]
+                for t in found:
+                    ends.append(ends[-1] + len(t))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))], names=[*part.schema.names[:-1], "tokens"])
+            else:
+                yield _rows(part, [r for r, t in enumerate(found) for _ in t], ["idx", *names], [pa.array([i for t in found for i in range(len(t))], pa.int64()), *columns])
+
+
+def tokens(docs: DataFrame, key: list[str], text: str = "text", labelled: bool = False) -> DataFrame:
     """(key, idx, token, start, end, sent, label, ent, k, n): tokens that aren't blank, with the rule entity ``ent`` that they
-    belong to, the token's place ``k`` of ``n`` in it, and their sentence.  Entities are split into tokens like any other text."""
-    raw = docs.select(*key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(COVER), F.lit(0))).alias("ent", "piece"))
-    raw = raw.select(*key, F.col("ent").cast("long").alias("ent"), rule_label(F.col("piece")).alias("label"), F.posexplode(F.regexp_extract_all("piece", F.lit(BASE), F.lit(0))).alias("sub", "token"))
-    w = Window.partitionBy(*key).orderBy("ent", "sub")
-    ends = F.col("label").isNull() & (F.col("token").isin(".", "!", "?") | (F.col("token").contains("\n")))
-    raw = raw.select("*", F.sum(F.length("token").cast("long")).over(w).alias("end"), F.coalesce(F.sum(ends.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("sent"))
-    e = Window.partitionBy(*key, "ent")
-    return raw.where(F.col("token").rlike(r"\S")).select(
-        *key, (F.row_number().over(w) - 1).cast("long").alias("idx"), "token", (F.col("end") - F.length("token")).alias("start"), "end", "sent", "label", "ent",
-        F.row_number().over(e.orderBy("sub")).cast("long").alias("k"), F.count("*").over(e).alias("n"),
-    )
+    belong to, the token's place ``k`` of ``n`` in it, and their sentence.  Entities are split into tokens like any other text.  ``labelled``: only the
+    tokens of texts that have an entity."""
+    src, schema = _with(docs, key, text, f"idx long, {TOKEN_FIELDS}")
+    return src.mapInArrow(arrow_task(token_batches, nested=False, labelled=labelled), schema)
+
+
+def note_tokens(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """(key, tokens): the same as an array of structs, a row for each text; a text without tokens has an empty one."""
+    src, schema = _with(docs, key, text, f"tokens array<struct<{TOKEN_FIELDS.replace(' ', ':').replace(',:', ',')}>>")
+    return src.mapInArrow(arrow_task(token_batches, nested=True, labelled=False), schema)
 
 
 def whole_note(text: Column) -> Column:

@@ -18,38 +18,101 @@ def trim(p: Column, c: Column, n: Column, budget: int, chunk: int) -> tuple[Colu
     return p1 - F.floor(more / 2), n1 - F.ceil(more / 2)
 
 
-def windows(tokens: DataFrame, key: list[str], before: int = 32, after: int = 32) -> DataFrame:
-    """(key, sent, i, j, n_before, n_after, context_before, context_after): sentences as token ranges [i, j) with bounded
-    context, sliced from the note's tokens.  ``tokens``: key, idx, sent, token."""
-    notes = tokens.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("idx", "token", "sent"))).alias("a"))
-    flat = F.transform("a", lambda t: t["token"])
-    starts = F.filter(F.transform("a", lambda t, i: F.when((i == 0) | (F.get("a", i - 1)["sent"] != t["sent"]), i)), lambda x: x.isNotNull())
-    out = notes.select(*key, F.size("a").alias("size"), flat.alias("flat"), starts.alias("starts"), F.col("a"))
-    out = out.select(*key, "size", "flat", "a", "starts", F.posexplode("starts").alias("s", "i"))
-    out = out.select(*key, "flat", "size", F.col("a")[F.col("i")]["sent"].alias("sent"), "i", F.coalesce(F.get("starts", F.col("s") + 1), F.col("size")).alias("j"))
-    p, n = F.least(F.col("i"), F.lit(before)), F.least(F.col("size") - F.col("j"), F.lit(after))
-    return out.select(
-        *key, "sent", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), p.cast("long").alias("n_before"), n.cast("long").alias("n_after"),
-        F.slice("flat", F.col("i") - p + 1, p).alias("context_before"), F.slice("flat", F.col("j") + 1, n).alias("context_after"),
-    )
+def sentence_ranges(tokens: Column) -> Column:
+    """``array<struct<sent, i, j>>`` of ``array<struct<sent, ..>>`` tokens: sentences as token ranges [i, j); none without a token."""
+    from veilmark.functions.text import let
 
+    def ranges(starts: Column) -> Column:
+        return F.transform(starts, lambda i, s: F.struct(tokens[i]["sent"].alias("sent"), i.alias("i"), F.coalesce(F.get(starts, s + 1), F.size(tokens)).alias("j")))
 
-def split_long(sentences: DataFrame, budget: int, chunk: int, before: int, after: int) -> DataFrame:
-    """Sentences that exceed the budget with their trimmed contexts, as chunks of ``budget - 2 * chunk`` tokens; others are one chunk.
+    opens = F.transform(tokens, lambda t, i: F.when((i == 0) | (F.get(tokens, i - 1)["sent"] != t["sent"]), i))
+    return let(F.filter(opens, lambda i: i.isNotNull()), ranges)
+
+
+def sentences(notes: DataFrame, key: list[str], before: int = 32, after: int = 32, tokens: str = "tokens") -> DataFrame:
+    """(key, sent, i, j, n_before, n_after): sentences of notes (key, tokens) with the sizes of their bounded contexts."""
+    out = notes.select(*key, F.size(tokens).alias("size"), F.inline(sentence_ranges(F.col(tokens))))
+    return out.select(*key, "sent", *[c.cast("long").alias(n) for n, c in _sizes(F.col("i"), F.col("j"), F.col("size"), before, after).items()])
+
+
+def _sizes(i: Column, j: Column, size: Column, before: int, after: int) -> dict[str, Column]:
+    return {"i": i, "j": j, "n_before": F.least(i, F.lit(before)), "n_after": F.least(size - j, F.lit(after))}
+
+
+def windows(notes: DataFrame, key: list[str], before: int = 32, after: int = 32, tokens: str = "tokens") -> DataFrame:
+    """(key, sent, i, j, n_before, n_after, context_before, context_after) of notes (key, ``array<struct<token, sent, ..>>`` tokens).
+
+    Contexts are sliced inside the row before it is exploded: nothing is shuffled, and no sentence's row holds the whole note."""
 
-    Adds part, part_i, part_j, left, right: a chunk's tokens [part_i, part_j) and the context tokens beside it.  Inner chunks have
-    context from their neighbours in the sentence only; the sentence's own contexts are the first chunk's and the last one's."""
+    def one(flat: Column) -> Column:
+        def row(s: Column) -> Column:
+            n = _sizes(s["i"], s["j"], F.size(flat), before, after)
+            return F.struct(s["sent"].alias("sent"), *[c.cast("long").alias(k) for k, c in n.items()], F.slice(flat, s["i"] - n["n_before"] + 1, n["n_before"]).alias("context_before"), F.slice(flat, s["j"] + 1, n["n_after"]).alias("context_after"))
+
+        return F.transform(sentence_ranges(F.col(tokens)), row)
+
+    from veilmark.functions.text import let
+
+    return notes.select(*key, F.inline(let(F.transform(tokens, lambda t: t["token"]), one)))
+
+
+def parts(i: Column, j: Column, n_before: Column, n_after: Column, budget: int, chunk: int, before: int, after: int) -> Column:
+    """``array<struct<part, part_i, part_j, left, right>>`` of a sentence [i, j) with contexts of ``n_before`` and ``n_after`` tokens.
+
+    A sentence that exceeds the budget with its trimmed contexts is cut into ``budget - 2 * chunk`` tokens each, and the cuts are treated as the
+    sentences of a note: each has up to ``before`` and ``after`` tokens of the others as context, trimmed to the budget.  The
+    sentence's own trimmed contexts are then put before the first and after the last one, whatever length that gives."""
     size = budget - 2 * chunk
     if size <= 0:
         raise ValueError("budget must exceed twice the chunk")
-    c = F.col("j") - F.col("i")
-    p, n = trim(F.col("n_before"), c, F.col("n_after"), budget, chunk)
-    s = sentences.withColumns({"tp": p.cast("long"), "tn": n.cast("long")})
-    long_ = F.col("tp") + c + F.col("tn") > budget
-    parts = F.when(long_, F.ceil(c / size)).otherwise(1).cast("int")
-    s = s.select("*", long_.alias("long"), parts.alias("parts")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    i = F.when(F.col("long"), F.col("i") + F.col("part") * size).otherwise(F.col("i"))
-    j = F.when(F.col("long"), F.least(F.col("j"), i + size)).otherwise(F.col("j"))
-    left = F.when(~F.col("long") | (F.col("part") == 0), F.col("tp")).otherwise(F.least(F.lit(before), F.lit(size), i - F.col("i")))
-    right = F.when(~F.col("long") | (F.col("part") == F.col("parts") - 1), F.col("tn")).otherwise(F.least(F.lit(after), F.col("j") - j, F.lit(size) * 1))
-    return s.select("*", i.cast("long").alias("part_i"), j.cast("long").alias("part_j"), left.cast("long").alias("left"), right.cast("long").alias("right")).drop("parts")
+    p, n = trim(n_before, j - i, n_after, budget, chunk)
+    long_ = p + (j - i) + n > budget
+
+    def cut(k: Column) -> Column:
+        a = i + k * size
+        z = F.least(j, a + size)
+        left, right = trim(F.least(F.lit(before), a - i), z - a, F.least(F.lit(after), j - z), budget, chunk)
+        return _part(k, a, z, left + F.when(k == 0, p).otherwise(0), right + F.when(z == j, n).otherwise(0))
+
+    return F.when(long_, F.transform(F.sequence(F.lit(0), F.ceil((j - i) / size).cast("int") - 1), cut)).otherwise(F.array(_part(F.lit(0), i, j, p, n)))
+
+
+def _part(*values: Column) -> Column:
+    return F.struct(*[v.cast("long").alias(n) for n, v in zip(("part", "part_i", "part_j", "left", "right"), values, strict=True)])
+
+
+def split_long(sentences: DataFrame, budget: int, chunk: int, before: int, after: int) -> DataFrame:
+    """Sentences (i, j, n_before, n_after) with part, part_i, part_j, left, right: see ``parts``."""
+    return sentences.select("*", F.inline(parts(F.col("i"), F.col("j"), F.col("n_before"), F.col("n_after"), budget, chunk, before, after)))
+
+
+CONTEXT_LABEL = "NA"
+
+
+def sentence_rows(notes: DataFrame, key: list[str], budget: int = 128, chunk: int = 32, before: int = 32, after: int = 32, context_labels: str = CONTEXT_LABEL, tokens: str = "tokens", info: list[str] | None = None) -> DataFrame:
+    """(key, sent, part, start, end, tokens, labels, current_sent_info): what a tagger is given, a row for each sentence or part of one.
+
+    ``tokens`` of the notes: ``array<struct<token, start, end, sent, tag, ..>>``.  A row holds a part's tokens between its contexts.  Context tokens are labelled NA, so that nothing is learned or scored from
+    them, or with ``context_labels="label"`` as they are.  ``current_sent_info`` holds the part's own tokens; start and end are those of its
+    first and last one.  A note without tokens gives no row."""
+    if context_labels not in (CONTEXT_LABEL, "label"):
+        raise ValueError(f"context_labels: {CONTEXT_LABEL} or label, not {context_labels!r}")
+    t, fields = F.col(tokens), info or ["text", "start", "end", "label"]
+    source = {"text": "token", "label": "tag"}
+
+    def row(s: Column, x: Column) -> Column:
+        a, z = (x["part_i"] - x["left"]).cast("int"), (x["part_j"] + x["right"]).cast("int")
+        own = F.slice(t, x["part_i"].cast("int") + 1, (x["part_j"] - x["part_i"]).cast("int"))
+        shown = F.slice(t, a + 1, z - a)
+        inside = lambda i: (i >= x["left"]) & (i < z - a - x["right"])
+        labels = F.transform(shown, lambda y, i: y["tag"] if context_labels == "label" else F.when(inside(i), y["tag"]).otherwise(CONTEXT_LABEL))
+        return F.struct(
+            s["sent"].alias("sent"), x["part"].alias("part"), own[0]["start"].alias("start"), F.element_at(own, -1)["end"].alias("end"), F.transform(shown, lambda y: y["token"]).alias("tokens"), labels.alias("labels"),
+            F.transform(own, lambda y: F.struct(*[y[source.get(f, f)].alias(f) for f in fields])).alias("current_sent_info"),
+        )
+
+    def rows(s: Column) -> Column:
+        n = _sizes(s["i"], s["j"], F.size(t), before, after)
+        return F.transform(parts(s["i"], s["j"], n["n_before"], n["n_after"], budget, chunk, before, after), lambda x: row(s, x))
+
+    return notes.select(*key, F.inline(F.flatten(F.transform(sentence_ranges(t), rows))))

@@ -78,11 +78,12 @@ def relax(tokens: DataFrame, tag: str = "tag") -> DataFrame:
 
 def absorb_signs(tokens: DataFrame, key: list[str], tag: str = "tag", token: str = "token") -> DataFrame:
     """``relax``, and O tokens of signs alone between two tokens of one type take that type."""
-    w = Window.partitionBy(*key).orderBy("idx")
+    # both ways a frame that only grows: one that shrinks from the front is evaluated anew from every row
+    w, back = (Window.partitionBy(*key).orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in ("idx", F.desc("idx")))
     t = relax(tokens, tag)
     soft = (F.col(tag) == "O") & F.col(token).rlike(r"^[^\p{L}\p{N}]+$")
     hard = F.when(~soft, F.col(tag))
-    t = t.withColumns({"back": F.last(hard, ignorenulls=True).over(w), "ahead": F.first(hard, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), "soft": soft})
+    t = t.withColumns({"back": F.last(hard, ignorenulls=True).over(w), "ahead": F.last(hard, ignorenulls=True).over(back), "soft": soft})
     return t.withColumn(tag, F.when(F.col("soft") & (F.col("back") == F.col("ahead")), F.col("back")).otherwise(F.col(tag))).drop("back", "ahead", "soft")
 
 

@@ -70,37 +70,50 @@ def post_process(name: str, v: Column, o: int, threshold: float | None = None) -
     return POST_PROCESS[name](v, o, threshold)
 
 
-def recall_threshold(scores: DataFrame, recall: float) -> DataFrame:
+def recall_threshold(scores: DataFrame, recall: float, parts: int = 64) -> DataFrame:
     """(precision, recall, threshold): the highest threshold whose recall exceeds ``recall``; no row if none does.
 
-    ``scores``: score, truth (boolean).  Rows are first counted by distinct score, so the window that runs over the scores holds one row
-    for each of them."""
+    ``scores``: score, truth (boolean).  Rows are counted by distinct score, and scores fall into ``parts`` ranges of about as many each;
+    a range's counts start from the sums of the ranges above it, so no task sees more than its range's scores."""
     by = scores.groupBy("score").agg(F.sum(F.col("truth").cast("long")).alias("t"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("score"))
-    run = by.select("score", F.sum("t").over(w).alias("tp"), F.sum("n").over(w).alias("pp"), F.sum("t").over(Window.partitionBy()).alias("all"))
+    cuts = by.agg(F.percentile_approx("score", [i / parts for i in range(1, parts)], 10_000).alias("cuts"))
+    placed = by.join(F.broadcast(cuts)).select("score", "t", "n", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c < F.col("score"))).alias("part"))  # one row of cuts
+    sums = placed.groupBy("part").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows
+    zero = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    base = sums.select("part", zero("t").alias("t0"), zero("n").alias("n0"), F.sum("t").over(Window.partitionBy()).alias("all"))
+    w = Window.partitionBy("part").orderBy(F.desc("score"))
+    run = placed.join(F.broadcast(base), "part").select("score", (F.sum("t").over(w) + F.col("t0")).alias("tp"), (F.sum("n").over(w) + F.col("n0")).alias("pp"), "all")
     ok = run.where((F.col("all") > 0) & (F.col("tp") / F.col("all") > recall))
     best = ok.agg(F.max_by(F.struct("tp", "pp", "all", "score"), "score").alias("b")).where("b is not null")
     return best.select((F.col("b.tp") / F.col("b.pp")).alias("precision"), (F.col("b.tp") / F.col("b.all")).alias("recall"), F.col("b.score").alias("threshold"))
 
 
+#: By notation: the tags that may come first, those that may come last, and for each tag those that may follow it, of any type or of its own.
+_RULES = {
+    "BILOU": ("OBUIL", "OBUIL", {**dict.fromkeys("OLU", ("OBU", "")), **dict.fromkeys("BI", ("", "IL"))}),
+    "BIO": ("OBI", "OBI", {"O": ("OB", ""), "B": ("OB", "I"), "I": ("OB", "I")}),
+    "IOB1": ("OI", "OBI", {"O": ("OI", ""), "B": ("OI", "B"), "I": ("OI", "B")}),
+    "BMES": ("BS", "ES", {"B": ("", "ME"), "M": ("", "ME"), "E": ("BS", ""), "S": ("BS", "")}),
+}
+_RULES["BIOUL"] = _RULES["BILOU"]
+
+
 def legal(notation: str, a: str, b: str) -> bool:
-    """Whether tag ``b`` may follow ``a``; START and END stand for the ends."""
-    if notation not in ("BIO", "BILOU", "IOB1", "BMES"):
+    """Whether tag ``b`` may follow ``a``; START and END stand for the ends.
+
+    A note's rows are cut where sentences are, so in BILOU and BIO an entity may go on from before the start, or past the end."""
+    if notation not in _RULES:
         raise ValueError(f"no transitions for {notation!r}")
-    p, s = a[:1] if a not in ("START", "END") else a, a[2:]
-    q, t = b[:1] if b not in ("START", "END") else b, b[2:]
-    if q == "START" or p == "END":
+    first, final, after = _RULES[notation]
+    if b == "START" or a == "END":
         return False
-    if notation == "BIO":
-        return True if q in ("O", "B", "END") else p in ("B", "I") and s == t
-    if notation == "IOB1":
-        if q == "B":
-            return p in ("B", "I") and s == t
-        return True
-    inner, last, only = ("I", "L", "U") if notation == "BILOU" else ("M", "E", "S")
-    if p in ("START", "O", last, only):
-        return q in ("O", "B", only) or (q == "END" and p != "START")
-    return q in (inner, last) and s == t
+    if a == "START":
+        return b != "END" and b[:1] in first
+    if b == "END":
+        return a[:1] in final
+    anyone, own = after.get(a[:1], ("", ""))
+    return b[:1] in anyone or (b[:1] in own and a[1:] == b[1:])
 
 
 def transitions(spark, notation: str, tags: list[str]) -> DataFrame:
@@ -109,40 +122,58 @@ def transitions(spark, notation: str, tags: list[str]) -> DataFrame:
     return spark.createDataFrame(pairs, "from_tag string, to_tag string")
 
 
-def viterbi(df: DataFrame, scores: str, notation: str, tags: list[str], out: str = "path") -> DataFrame:
+def viterbi(df: DataFrame, scores: str, notation: str, tags: list[str], out: str = "path", labels: str | None = None, weights: list[list[float]] | None = None, top_k: int | None = None) -> DataFrame:
     """Adds the best legal path (array of tags) for a column of ``array<array<double>>`` emission scores.
 
+    ``labels``: a column of label ids; places whose id is ``IGNORED`` (context, special tokens, later word pieces) are left out before decoding.  ``weights``: scores of tag
+    pairs, (tags + 2) squared with START and END last; 0 by default.  ``top_k``: the column holds that many paths at most, best first, as
+    structs of path and score.  A row without places, or without a legal path, has an empty one (none with ``top_k``).
+
     Dynamic programming per row over Arrow batches; the table of transitions is fixed by the tags."""
     import numpy as np
     import pyarrow as pa
 
-    n = len(tags)
-    trans = np.array([[0.0 if legal(notation, a, b) else -np.inf for b in tags] for a in tags])
-    first = np.array([0.0 if legal(notation, "START", b) else -np.inf for b in tags])
-    end = np.array([0.0 if legal(notation, a, "END") else -np.inf for a in tags])
+    n, k_ = len(tags), top_k or 1
+    named = [*tags, "START", "END"]
+    w = np.zeros((n + 2, n + 2)) if weights is None else np.array(weights, float)
+    table = np.array([[w[i, j] if legal(notation, a, b) else -np.inf for j, b in enumerate(named)] for i, a in enumerate(named)])
+    trans, first, end = table[:n, :n], table[n, :n], table[:n, n + 1]
 
-    def best(m: list) -> list[str]:
+    def best(m: list) -> list[tuple[float, list[str]]]:
         if not m:
             return []
         e = np.array(m, float).reshape(-1, n)
-        at, back = e[0] + first, []
+        at, back = (e[0] + first)[None], []  # (rank, tag): the best scores of paths that end there
         for row in e[1:]:
-            step = at[:, None] + trans
-            back.append(step.argmax(0))
-            at = step.max(0) + row
-        k = int((at + end).argmax())
-        path = [k]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return [tags[i] for i in reversed(path)]
-
-    where = df.columns.index(scores)
+            step = (at[:, :, None] + trans).reshape(-1, n)  # (rank and tag before, tag)
+            order = np.argsort(-step, axis=0, kind="stable")[:k_]
+            back.append(order)
+            at = np.take_along_axis(step, order, 0) + row
+        last = (at + end).ravel()
+        found = []
+        for x in np.argsort(-last, kind="stable")[:k_].tolist():
+            if not np.isfinite(last[x]):
+                break
+            path = [x]
+            for order in reversed(back):
+                path.append(int(order[divmod(path[-1], n)]))
+            found.append((float(last[x]), [tags[i % n] for i in reversed(path)]))
+        return found
+
+    where, ids = df.columns.index(scores), None if labels is None else df.columns.index(labels)
+    kind = pa.list_(pa.string()) if top_k is None else pa.list_(pa.struct([("path", pa.list_(pa.string())), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = pa.array([best(x or []) for x in b.column(where).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, out])
+            rows = b.column(where).to_pylist()
+            if ids is not None:
+                rows = [[v for v, y in zip(r or [], ys or [], strict=True) if y != IGNORED] for r, ys in zip(rows, b.column(ids).to_pylist(), strict=True)]
+            paths = [best(x or []) for x in rows]
+            got = [p[0][1] if p else [] for p in paths] if top_k is None else [[{"path": t, "score": v} for v, t in p] for p in paths]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, kind)], names=[*b.schema.names, out])
 
     from pyspark.sql import types as T
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.StringType()))]))
+    path = T.ArrayType(T.StringType())
+    added = path if top_k is None else T.ArrayType(T.StructType([T.StructField("path", path), T.StructField("score", T.DoubleType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, added)]))

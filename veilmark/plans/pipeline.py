@@ -13,9 +13,9 @@ from veilmark.operators.redact import redact
 from veilmark.sources.notes import RunConfig
 
 
-def tagged(docs: DataFrame, key: list[str], notation: str) -> DataFrame:
-    """Tokens with the rule tagger's tags."""
-    t = tokens(docs, key)
+def tagged(docs: DataFrame, key: list[str], notation: str, labelled: bool = False) -> DataFrame:
+    """Tokens with the rule tagger's tags; ``labelled``: only those of texts that have an entity."""
+    t = tokens(docs, key, labelled=labelled)
     return t.withColumn("tag", tag(F.col("k"), F.col("n"), F.col("label"), notation))
 
 
@@ -30,10 +30,9 @@ def extract(tags: DataFrame, key: list[str], config: RunConfig) -> DataFrame:
 def deidentify(docs: DataFrame, key: list[str], config: RunConfig | None = None) -> DataFrame:
     """(key, deid_text) of documents (key, text).
 
-    Entities are few beside texts: they are gathered by key and joined to the documents, and where no document of a partition has any, nothing
-    but the text is touched."""
+    Texts without an entity end at the tokeniser; only the tokens of the others are shuffled, and their entities joined to the documents."""
     config = config or RunConfig()
-    e = extract(tagged(docs, key, config.notation), key, config)
+    e = extract(tagged(docs, key, config.notation, labelled=True), key, config)
     by = e.groupBy(*key).agg(F.collect_list(F.struct("start", "end", "label")).alias("entities"))
     none = F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint,label:string>>")
     out = docs.join(by, key, "left").withColumn("entities", F.coalesce("entities", none))

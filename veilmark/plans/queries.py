@@ -103,15 +103,18 @@ def q05_rule_spans(spark, d):
 
 
 def q10_context_windows(spark, d):
-    w = context.windows(X.tokens(_docs(spark, d), KEY), KEY)
+    w = context.windows(_notes(spark, d), KEY)
     return w.select("doc_id", "sent", "i", "j", "n_before", "n_after", F.md5(F.array_join("context_before", " ")).alias("before_md5"), F.md5(F.array_join("context_after", " ")).alias("after_md5"))
 
 
+def _notes(spark: SparkSession, d: str, notation: str | None = None) -> DataFrame:
+    """(doc_id, tokens): the tokens of each document in its row, with their tags if a notation is given."""
+    n = X.note_tokens(_docs(spark, d), KEY)
+    return n.withColumn("tokens", F.transform("tokens", lambda x: x.withField("tag", tag(x["k"], x["n"], x["label"], notation)))) if notation else n
+
+
 def _sentences(spark, d):
-    """Token ranges of sentences and the sizes of their contexts, without the tokens."""
-    t = X.tokens(_docs(spark, d), KEY).groupBy("doc_id", "sent").agg(F.min("idx").alias("i"), (F.max("idx") + 1).alias("j"))
-    size = F.max("j").over(Window.partitionBy("doc_id"))
-    return t.select("*", F.least("i", F.lit(32)).cast("long").alias("n_before"), F.least(size - F.col("j"), F.lit(32)).cast("long").alias("n_after"))
+    return context.sentences(_notes(spark, d), KEY)
 
 
 _SENT_SQL = _T + """, s0 AS (SELECT doc_id, sent, min(idx) AS i, max(idx) + 1 AS j FROM t GROUP BY ALL),
@@ -123,12 +126,29 @@ def q11_trim_budget(spark, d):
     return _sentences(spark, d).select("doc_id", "sent", p.cast("long").alias("p"), n.cast("long").alias("n"))
 
 
+def _pop_sql(name: str, table: str, p: str, c: str, n: str, budget: int, chunk: int) -> str:
+    """Relation ``name`` (p, c, n, tp, tn): the context sizes that popping one token after another leaves, for the sizes in a table."""
+    return f"""{name}_r AS (SELECT DISTINCT {p} AS p, {c} AS c, {n} AS n, {p} AS tp, {n} AS tn FROM {table} UNION ALL
+  SELECT p, c, n, CASE WHEN tn >= tp THEN tp ELSE tp - 1 END, CASE WHEN tn >= tp THEN tn - 1 ELSE tn END FROM {name}_r WHERE tp + c + tn > {budget} AND (tn > {chunk} OR tp > {chunk})),
+{name} AS (SELECT p, c, n, min(tp) AS tp, min(tn) AS tn FROM {name}_r GROUP BY p, c, n)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _trim_sql(budget: int, chunk: int) -> str:
-    return f""", z0 AS (SELECT *, j - i AS c, greatest(0, n_before + j - i + n_after - {budget}) AS d0 FROM s),
-z1 AS (SELECT *, CASE WHEN n_after >= n_before THEN least(d0, n_after - n_before, greatest(n_after - {chunk}, 0)) ELSE least(d0, n_before - n_after, greatest(n_before - {chunk}, 0)) END AS k FROM z0),
-z2 AS (SELECT *, CASE WHEN n_after >= n_before THEN n_before ELSE n_before - k END AS p1, CASE WHEN n_after >= n_before THEN n_after - k ELSE n_after END AS n1, d0 - k AS d1 FROM z1),
-z3 AS (SELECT *, CASE WHEN d1 > 0 AND n1 = p1 AND n1 > {chunk} THEN least(d1, 2 * (n1 - {chunk})) ELSE 0 END AS m FROM z2),
-z AS (SELECT *, p1 - m // 2 AS tp, n1 - (m + 1) // 2 AS tn FROM z3)"""
+    return ", " + _pop_sql("z0", "s", "n_before", "j - i", "n_after", budget, chunk) + ", z AS (SELECT s.*, j - i AS c, tp, tn FROM s JOIN z0 ON n_before = z0.p AND j - i = z0.c AND n_after = z0.n)"
+
+
+def _parts_sql(budget: int, chunk: int, before: int, after: int) -> str:
+    """Relation ``parts``: long sentences cut and treated as notes of their own."""
+    size = budget - 2 * chunk
+    return _trim_sql(budget, chunk) + f""", q AS (SELECT *, tp + c + tn > {budget} AS lg, CASE WHEN tp + c + tn > {budget} THEN (c + {size - 1}) // {size} ELSE 1 END AS parts FROM z), r AS (SELECT *, unnest(range(parts)) AS part FROM q),
+u AS (SELECT *, CASE WHEN lg THEN i + part * {size} ELSE i END AS part_i, CASE WHEN lg THEN least(j, i + part * {size} + {size}) ELSE j END AS part_j FROM r),
+y AS (SELECT *, least({before}, part_i - i) AS y0, part_j - part_i AS yc, least({after}, j - part_j) AS y1 FROM u), """ + _pop_sql("x0", "y", "y0", "yc", "y1", budget, chunk) + """,
+parts AS (SELECT doc_id, sent, CAST(part AS BIGINT) AS part, CAST(part_i AS BIGINT) AS part_i, CAST(part_j AS BIGINT) AS part_j, CAST(CASE WHEN lg THEN x0.tp + CASE WHEN part = 0 THEN y.tp ELSE 0 END ELSE y.tp END AS BIGINT) AS "left",
+  CAST(CASE WHEN lg THEN x0.tn + CASE WHEN part = parts - 1 THEN y.tn ELSE 0 END ELSE y.tn END AS BIGINT) AS "right" FROM y JOIN x0 ON y0 = x0.p AND yc = x0.c AND y1 = x0.n)"""
 
 
 def q12_chunks(spark, d):
@@ -394,10 +414,8 @@ SELECT doc_id, pos, CASE WHEN regexp_matches(piece, '({sign}){{9,}}') THEN regex
         "q05_rule_spans": _T + "," + _SPANS_SQL + ' SELECT doc_id, label, "start", "end" FROM g',
         "q10_context_windows": _SENT_SQL + """, a AS (SELECT doc_id, list(token ORDER BY idx) AS l FROM t GROUP BY doc_id)
 SELECT doc_id, sent, i, j, n_before, n_after, md5(coalesce(array_to_string(l[i - n_before + 1 : i], ' '), '')) AS before_md5, md5(coalesce(array_to_string(l[j + 1 : j + n_after], ' '), '')) AS after_md5 FROM s JOIN a USING (doc_id)""",
-        "q11_trim_budget": _SENT_SQL + _trim_sql(64, 8) + " SELECT doc_id, sent, CAST(tp AS BIGINT) AS p, CAST(tn AS BIGINT) AS n FROM z",
-        "q12_chunks": _SENT_SQL + _trim_sql(32, 8) + """, q AS (SELECT *, tp + c + tn > 32 AS lg, CASE WHEN tp + c + tn > 32 THEN CAST(ceil(c / 16.0) AS BIGINT) ELSE 1 END AS parts FROM z), r AS (SELECT *, unnest(range(parts)) AS part FROM q),
-u AS (SELECT *, CASE WHEN lg THEN i + part * 16 ELSE i END AS part_i, CASE WHEN lg THEN least(j, i + part * 16 + 16) ELSE j END AS part_j FROM r)
-SELECT doc_id, sent, CAST(part AS BIGINT) AS part, CAST(part_i AS BIGINT) AS part_i, CAST(part_j AS BIGINT) AS part_j, CAST(CASE WHEN NOT lg OR part = 0 THEN tp ELSE least(32, 16, part_i - i) END AS BIGINT) AS "left", CAST(CASE WHEN NOT lg OR part = parts - 1 THEN tn ELSE least(32, j - part_j, 16) END AS BIGINT) AS "right" FROM u""",
+        "q11_trim_budget": _recursive(_SENT_SQL + _trim_sql(64, 8) + " SELECT doc_id, sent, CAST(tp AS BIGINT) AS p, CAST(tn AS BIGINT) AS n FROM z"),
+        "q12_chunks": _recursive(_SENT_SQL + _parts_sql(32, 8, 32, 32) + " SELECT * FROM parts"),
         "q13_label_distribution": _T + "," + _SPANS_SQL + " SELECT source, label, count(label) AS n FROM documents LEFT JOIN g USING (doc_id) GROUP BY ALL",
         "q14_label_percent": _T + "," + _SPANS_SQL + ", c AS (SELECT label, count(*) AS n FROM g GROUP BY label) SELECT label, n, round(100.0 * n / sum(n) OVER (), 6) AS percent FROM c",
         "q15_split_assign": f"SELECT doc_id, {_SPLIT_SQL} AS split FROM (SELECT doc_id, {_MD5_SQL} AS h FROM documents)",
@@ -434,7 +452,7 @@ m AS (SELECT label, CASE WHEN pp = 0 THEN 0 ELSE tp / pp END AS p, CASE WHEN ac
 SELECT doc_id, CAST(sum(CASE WHEN tag = 'O' THEN 0 WHEN tag[1] IN ('B', 'U') THEN CASE WHEN b[1] IN ('O', 'L', 'U') THEN 0 ELSE 1 END WHEN b[1] IN ('B', 'I') AND b[3:] = tag[3:] THEN 0 ELSE 1 END) AS BIGINT) AS violations FROM a GROUP BY doc_id""",
         "q38_crf_transitions": """WITH y AS (SELECT unnest(['AGE', 'DATE', 'ID']) AS ty), l AS (SELECT concat(p, '-', ty) AS tag, p, ty FROM y, (SELECT unnest(['B', 'I', 'L', 'U']) AS p) UNION ALL SELECT 'O', 'O', NULL),
 a AS (SELECT * FROM l UNION ALL SELECT 'START', 'S', NULL), b AS (SELECT * FROM l UNION ALL SELECT 'END', 'E', NULL)
-SELECT a.tag AS from_tag, b.tag AS to_tag FROM a, b WHERE CASE WHEN a.p IN ('S', 'O', 'L', 'U') THEN b.p IN ('O', 'B', 'U') OR (b.p = 'E' AND a.p <> 'S') ELSE b.p IN ('I', 'L') AND a.ty = b.ty END""",
+SELECT a.tag AS from_tag, b.tag AS to_tag FROM a, b WHERE (a.tag = 'START' AND b.tag <> 'END') OR (b.tag = 'END' AND a.tag <> 'START') OR (a.p IN ('O', 'L', 'U') AND b.p IN ('O', 'B', 'U')) OR (a.p IN ('B', 'I') AND b.p IN ('I', 'L') AND a.ty = b.ty)""",
         "q39_conll": _T + f""" SELECT doc_id, sent, md5(string_agg(concat(token, ' ', {_tag_sql("BILOU")}, ' ', '{{"start":', "start", ',"end":', "end", '}}'), chr(10) ORDER BY idx)) AS conll_md5 FROM t GROUP BY doc_id, sent""",
         "q40_conversation_redact": _redact_sql("replace_tag_type", "conversations", "conv_id, turn"),
         "q41_stream_redact": f"""WITH a AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_q(X.COVER)}') AS l FROM documents)), b AS (SELECT doc_id, pos, piece, {_LABEL} AS label FROM a),
