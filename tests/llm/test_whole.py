@@ -103,12 +103,34 @@ def test_line_dedup_links_short_equal_lines_and_changed_words(spark):
             k = rng.randrange(len(b))
             b[k : k + 1] = rng.choice(([], ["c"], [b[k], "a"]))
         assert words_within(a, b) == (0 < min(len(a), len(b)) // 20 >= far(a, b))
+    lines += ["a line of thirty-nine characters, abcdef", "a line of thirty-nine characters, abcdeg", "a line of thirty-nine characters, abcxyz", "short line", "short lino"]
+    lines += ["ünïcödé líne with ačçents in it, and more", "ünïcödé líne with ačçents in it; and morè", "ünïcödé líne with ačçents in it, and 日本"]
     own = [x.strip() for x in lines]
     comp = list(range(len(own)))
-    near = [(i, j) for j in range(len(own)) for i in range(j) if own[i] and (own[i] == own[j] or (min(len(own[i]), len(own[j])) >= 40 and (far(own[i].split(), own[j].split()) <= min(len(own[i].split()), len(own[j].split())) // 20 or (abs(len(own[i]) - len(own[j])) <= 2 and far(own[i], own[j]) <= 2))))]
+    def linked(a, b):
+        few, n = min(len(a.split()), len(b.split())) // 20, min(2, min(len(a), len(b)) // 20)
+        return a == b or (few and far(a.split(), b.split()) <= few) or (n and abs(len(a) - len(b)) <= n and far(a, b) <= n)
+
+    near = [(i, j) for j in range(len(own)) for i in range(j) if own[i] and linked(own[i], own[j])]
     for _ in own:
         for i, j in near:
             comp[i] = comp[j] = min(comp[i], comp[j])
     got = {r.doc_id: r.class_of for r in report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
     assert got == {i: "" if c == i else f"{c}:0" for i, c in enumerate(comp)}
     assert got[2] == "0:0" and sum(map(bool, got.values())) > 25
+
+
+def test_templated_lines_are_one_class_without_all_pairs(spark, monkeypatch):
+    from veilmark.llm import linededup
+
+    rng = random.Random(8)
+    # neighbours differ in one or two characters; thousands share every segment but one
+    numbered = [f"This page was made from a template, and it is page {i:05d} of all" for i in range(3000)]
+    apart = [f"{''.join(rng.choice('abcdefghijklmnop') for _ in range(30))} has a tail that two hundred others share as well" for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(numbered + apart)), "doc_id long, text string")
+    formed = []
+    real = linededup.verify
+    monkeypatch.setattr(linededup, "classes_of", lambda members, first, keep, verify, of=linededup.classes_of: of(members, first, keep, lambda p: (formed.append(p.count()), verify(p))[1]))
+    got = {r.doc_id: r.class_of for r in linededup.report(docs).collect()}
+    assert real is linededup.verify and sum(formed) < 60 * 3200
+    assert all(got[i] == "0:0" for i in range(1, 3000)) and got[0] == "" and not any(got[i] for i in range(3000, 3200))

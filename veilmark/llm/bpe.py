@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import task
+from veilmark.llm.common import mapped
 from veilmark.llm.tokens import byte_chars
 
 CACHE = 400_000
@@ -241,14 +241,14 @@ def _source(docs: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, ids array<int>)."""
-    return _source(docs).mapInArrow(task(encode_batches, path=tokenizer), "doc_id long, ids array<int>")
+    return mapped(_source(docs), encode_batches, "doc_id long, ids array<int>", path=tokenizer)
 
 
 def decode(ids: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, text) of (doc_id, ids)."""
-    return ids.select("doc_id", "ids").mapInArrow(task(decode_batches, path=tokenizer), "doc_id long, text string")
+    return mapped(ids.select("doc_id", "ids"), decode_batches, "doc_id long, text string", path=tokenizer)
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Each text encoded and decoded again: number of ids, and digests of ids and text."""
-    return _source(docs).mapInArrow(task(digest_batches, path=tokenizer), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(_source(docs), digest_batches, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", path=tokenizer)

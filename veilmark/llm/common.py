@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where the package lives, so that Python workers can import it whatever their working directory is.
@@ -15,9 +15,11 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else the context's, else a new one (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, else the context's; a new local one where the executors are the driver's threads."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="veilmark-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -35,6 +37,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch, where the session leaves them as they are: what a worker holds then depends on neither's number.
+BATCH_ROWS, BATCH_BYTES = "1000", "16m"
+
+
 def task(fn: Callable, **params) -> Callable:
     """``fn(batches, **params)`` of an importable module as a ``mapInArrow`` function.
 
@@ -48,11 +54,40 @@ def task(fn: Callable, **params) -> Callable:
 
         if root not in sys.path:
             sys.path.insert(0, root)
-        yield from getattr(importlib.import_module(module), name)(batches, **params)
+        from veilmark.llm.common import give_back
+
+        try:
+            yield from getattr(importlib.import_module(module), name)(batches, **params)
+        finally:
+            give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers wait for tasks of other stages, and what they keep adds up."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def mapped(df: DataFrame, fn: Callable, schema, **params) -> DataFrame:
+    """``mapInArrow`` with ``task(fn, **params)`` over batches of bounded rows and bytes."""
+    conf, prefix = df.sparkSession.conf, "spark.sql.execution.arrow."
+    if conf.get(prefix + "maxRecordsPerBatch") == "10000":  # the default
+        conf.set(prefix + "maxRecordsPerBatch", BATCH_ROWS)
+        conf.set(prefix + "maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(task(fn, **params), schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -76,3 +111,8 @@ def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have yet."""
     taken = {c.lower() for c in df.columns}
     return next(n for n in (f"{name}_{i}" for i in range(len(taken) + 1)) if n.lower() not in taken)
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Names a document by its id and text, in 128 bits: equal rows share it."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("binary")))

@@ -1,8 +1,15 @@
-"""Connected components of an edge table by alternating large and small stars; every round ends in a written table."""
+"""Connected components of an edge table by alternating large and small stars, and the pairs that a similarity join has to look at to find them.
+
+Every round ends in a written table.  A join by shared keys needn't look at all pairs of a key that many members share: ``stars`` pairs each
+member with the first one that it shares a key with, and ``crossing`` gives the pairs that share a key but no class yet, by
+representatives or whole.  Whatever pairs are left out lie within a class, so the classes are exact.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.llm.common import materialise
@@ -36,3 +43,44 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def stars(members: DataFrame, keep: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs (a, b), a < b: every member of (key, id, info) with the least one of its keys' least that ``keep`` (of both infos) allows."""
+    least = members.groupBy("key").agg(F.min(F.struct("id", "info")).alias("m"))
+    near = members.join(least, "key").where(F.col("id") != F.col("m.id")).where(keep(F.col("info"), F.col("m.info")))
+    return near.groupBy("id").agg(F.min("m.id").alias("m")).select(F.col("m").alias("a"), F.col("id").alias("b"))
+
+
+def crossing(members: DataFrame, classes: DataFrame, keep: Callable[[Column, Column], Column], whole: bool) -> DataFrame:
+    """Pairs (a, b) of members (key, id, info) that share a key but no class of ``classes`` (node, root); unless ``whole``, of one class its
+    least member of the key stands for all.  Keys whose members are all of one class end before any pair is formed."""
+    named = materialise(members.join(classes, F.col("id") == F.col("node"), "left").select("key", "id", "info", F.coalesce("root", "id").alias("root")), "members")
+    per = named.groupBy("key", "root").agg(F.min(F.struct("id", "info")).alias("rep"))
+    several = per.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    other = materialise(per.join(several, "key", "left_semi").select("key", F.col("root").alias("other"), "rep"), "key-classes")
+    meet = named.join(other, "key").where("root < other")
+    if whole:
+        far = named.select("key", F.col("root").alias("other"), F.struct("id", "info").alias("far"))
+        meet = meet.drop("rep").join(far, ["key", "other"]).withColumnRenamed("far", "rep")
+    pairs = meet.where(keep(F.col("info"), F.col("rep.info"))).select(F.least("id", "rep.id").alias("a"), F.greatest("id", "rep.id").alias("b"))
+    return pairs.distinct()
+
+
+def classes_of(members: DataFrame, first: DataFrame | None, keep: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that connect what the links between members that share a key connect.
+
+    ``first``: pairs to look at besides.  ``verify``: the pairs of (a, b) that are links, with whatever columns it adds."""
+    members = materialise(members.distinct(), "sharing")
+    pairs = stars(members, keep)
+    seen = materialise((pairs if first is None else pairs.unionByName(first)).where("a <> b").distinct(), "pairs")
+    links = materialise(verify(seen), "links")
+    if not members.head(1):
+        return links
+    for whole in (False, True):
+        classes = components(links.select("a", "b"))
+        more = materialise(crossing(members, classes, keep, whole).join(seen, ["a", "b"], "left_anti"), "pairs")
+        if more.head(1):
+            links = links.unionByName(materialise(verify(more), "links"))
+            seen = seen.unionByName(more)
+    return links

@@ -9,23 +9,23 @@ the similarity, so most other pairs end there; the pairs that are left are verif
 
 Shingles that a sample finds in several documents come last in the order, the more frequent the later, so that boilerplate isn't a key. The
 order decides how many pairs are looked at and never which are found, so the sample and the table of frequent shingles have fixed sizes.
-A group of m different sets that are all alike still has all its pairs, m * (m - 1) / 2, verified.
+Of many sets that share a key, each is compared with one first; only what that leaves in different classes is compared further (see ``graph``).
 
 Null texts and texts without words are equal, empty sets; rows that share an id count as one document; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import materialise, task
-from veilmark.llm.graph import components
+from veilmark.llm.common import mapped, materialise, row_key
+from veilmark.llm.graph import classes_of, components
 
 SHINGLE, NUM, DEN, SEED = 5, 4, 5, 42
 #: Documents of the sample, about, and frequent shingles that are told apart.
@@ -58,12 +58,12 @@ def sampled(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 
 def keyed(batches: Iterator[pa.RecordBatch], k: int, known: bytes, often: bytes) -> Iterator[pa.RecordBatch]:
-    """(doc_id, set, n, keys) of (doc_id, text).  known, often: the frequent shingles, sorted, and their counts."""
+    """(row, doc_id, set, n, keys) of (row, doc_id, text).  known, often: the frequent shingles, sorted, and their counts."""
     f, c = np.frombuffer(known, np.uint64), np.frombuffer(often, np.int64)
     for b in batches:
         for at in range(0, b.num_rows, 500):
             part, ids, ns, keys = b.slice(at, 500), [], [], []
-            for x in part.column(1).to_pylist():
+            for x in part.column(2).to_pylist():
                 s = shingles(x, k)
                 ids.append(set_id(s))
                 ns.append(len(s))
@@ -75,7 +75,7 @@ def keyed(batches: Iterator[pa.RecordBatch], k: int, known: bytes, often: bytes)
                 keys.append(ordered[: len(s) - -(-len(s) * NUM // DEN) + 1].view(np.int64))
             ends = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.record_batch([part.column(0), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), lists], names=["doc_id", "set", "n", "keys"])
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), lists], names=["row", "doc_id", "set", "n", "keys"])
 
 
 def whole(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -100,41 +100,42 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, component_id): component_id is the smallest doc_id that links lead to."""
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, hints: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(row, doc_id, component_id, stays), a row for each document, ``stays`` for one row of each class: component_id is the smallest doc_id that links lead to.
+
+    ``hints``: of the table of distinct sets (set, row, least, n, keys), pairs (a, b) of sets to look at first."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = src.withColumn("row", row_key())
     every = max(1, round(src.count() / SAMPLE))
-    some = src.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").mapInArrow(task(sampled, k=k), "s long")
+    some = mapped(src.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text"), sampled, "s long", k=k)
     top = some.groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(FREQUENT).collect()
     s, c = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
     order = np.argsort(s)
-    sets = materialise(src.mapInArrow(task(keyed, k=k, known=s[order].tobytes(), often=c[order].tobytes()), "doc_id long, set long, n long, keys array<long>"), "sets")
-    distinct = materialise(sets.groupBy("set").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
-
-    keys = distinct.select("set", "n", F.posexplode("keys").alias("pos", "key"))
-    a, b = (keys.select("key", *[F.col(x).alias(f"{x}_{side}") for x in ("set", "n", "pos")]) for side in "ab")
-    left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))  # what the sets can share from their first common key on
-    pairs = a.join(b, "key").where("set_a < set_b").where(left * (NUM + DEN) >= (F.col("n_a") + F.col("n_b")) * NUM)
-    pairs = materialise(pairs.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct(), "pairs")
-
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "candidates")
-    of = distinct.join(ids, "set", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    full = src.join(of, "doc_id", "left_semi").select("text").mapInArrow(task(whole, k=k), "set long, all binary")
-    full = materialise(full.join(ids, "set", "left_semi").dropDuplicates(["set"]), "whole-sets")
-    x, y = (full.select(F.col("set").alias(side), F.col("all").alias(f"all_{side}")) for side in "ab")
-    links = pairs.join(x, "a").join(y, "b").select("a", "b", "all_a", "all_b").mapInArrow(task(verify), "a long, b long")
-
-    comp = components(materialise(links, "links"))  # node, root
-    named = materialise(distinct.join(comp, distinct["set"] == comp.node, "left").select("set", "least", F.coalesce("root", "set").alias("root")), "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return sets.select("doc_id", "set").join(named.join(least, "root").select("set", "component_id"), "set").select("doc_id", "component_id")
-
-
-def distinct_documents(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """The documents, all their columns, of which each class of near-duplicates leaves the one with the smallest id.
-
-    Rows without an id can't stand for a class and all stay."""
-    some = docs.where("doc_id is not null")
-    keep = near_duplicates(some, k).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
-    kept = some.join(keep, some.doc_id.cast("long") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    sets = materialise(mapped(rows.select("row", "doc_id", "text"), keyed, "row binary, doc_id long, set long, n long, keys array<long>", k=k, known=s[order].tobytes(), often=c[order].tobytes()), "sets")
+    distinct = materialise(sets.groupBy("set").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
+
+    keys = distinct.select(F.col("set").alias("id"), "n", F.posexplode("keys").alias("pos", "key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    members = materialise(keys.join(shared, "key").select("key", "id", F.struct("n", "pos").alias("info")), "members")
+
+    def keep(a: Column, b: Column) -> Column:
+        left = F.least(a["n"] - a["pos"], b["n"] - b["pos"])  # what the sets can share from their first common key on
+        return left * (NUM + DEN) >= (a["n"] + b["n"]) * NUM
+
+    first = hints(distinct) if hints else None
+    ids = members.select("id") if first is None else members.select("id").unionByName(first.select(F.explode(F.array("a", "b")).alias("id")))
+    ids = materialise(ids.distinct().withColumnRenamed("id", "set"), "candidates")
+    of = distinct.join(ids, "set", "left_semi").select(F.col("row").alias("row"))
+    full = mapped(rows.join(of, "row", "left_semi").select("text"), whole, "set long, all binary", k=k)
+    full = materialise(full.dropDuplicates(["set"]), "whole-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = (full.select(F.col("set").alias(side), F.col("all").alias(f"all_{side}")) for side in "ab")
+        return mapped(pairs.join(x, "a").join(y, "b").select("a", "b", "all_a", "all_b"), verify, "a long, b long")
+
+    links = classes_of(members, first, keep, verified)
+    comp = components(links)  # node, root
+    named = distinct.join(comp, distinct["set"] == comp.node, "left").select("set", F.coalesce("root", "set").alias("root"))
+    named = materialise(sets.select("row", "doc_id", "set").join(named, "set").select("row", "doc_id", "root"), "named")
+    least = named.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    return named.join(least, "root").select("row", "doc_id", F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("stays"))

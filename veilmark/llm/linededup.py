@@ -1,12 +1,12 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines that a text holds are compared across all documents.  Equal lines are linked, whatever their length.  Two lines of ``MIN_CHARS`` code points
-or more are linked if they are within ``EDITS`` single-character edits of each other, or within one word inserted, deleted or replaced for every
-``PER_EDIT`` words of the one with fewer words: that threshold grows with the line.  Shorter lines are too short for edits to mean much.
+Lines that a text holds are compared across all documents.  Equal lines are linked, whatever their length.  Two different lines are linked if they are
+within one single-character edit for every ``PER_CHARS`` code points of the shorter one, ``EDITS`` at most, or within one word inserted, deleted or
+replaced for every ``PER_EDIT`` words of the one with fewer words: both thresholds grow with the line, and lines of fewer code points than ``PER_CHARS`` only equal each other.
 Linked lines form classes; of a class the first occurrence, by document and line, stays and the others
 go.  Blank lines always stay; blanks at a line's ends don't count.
 
-The join is exact.  A line is cut into ``EDITS + 1`` segments of even length; if another line is within the threshold,
+The join is exact.  A line is cut into one segment more than its threshold, of even length; if a line as long or longer is within the threshold,
 at least one segment of the shorter occurs in it unchanged, near its own place.  An index holds each segment's hash with its line's
 length and the segment's number; each line probes, for every length that may match, the few substrings that the length
 difference leaves possible.  Index and probe keys of a bucket meet as sorted arrays.
@@ -17,11 +17,13 @@ with the line's words only; lines whose sizes or places of the gram differ by mo
 a bit-parallel edit distance, banded by the threshold: it stops where no cell of the band can come back under it.
 
 Equal lines are one line throughout, by a 128-bit hash; for verification only lines that pass a filter of the candidates' ids, of fixed size, are moved.  Keys are spread over buckets by hash, the number of
-which grows with the number of lines; a key that many lines share is compared in slices of bounded size.  Classes are found by
-connected components on links.  Of a key's candidates those that already share a class by a chain of slices are still verified: no link is lost.
+which grows with the number of lines.  A key that more than ``HOT`` lines share (templates) is hot: such lines are paired with the key's first one and with the lines beside them
+in order of text, and then only with lines of the key that this leaves in another class (see ``graph``), so what is formed grows with the lines and not with their pairs, and no link between classes is lost.
+Keys that are hot within a task's own lines go to buckets of no one, so no task holds all lines of one key.
 
 Null texts stay null and have no lines; documents with a null id take part (they come first); repeated rows are documents of their
-own: the row that sorts first keeps its lines, and so does every row equal to it in id and text; an empty table gives no rows.
+own: the row that sorts first keeps its lines, and so does every row equal to it in id and text; of ties the smaller row hash is first; very long texts are split into lines
+and never held but as the batch they come in; an empty table gives no rows; other columns are kept by ``dedup`` and ignored by ``report``.
 """
 
 from __future__ import annotations
@@ -31,21 +33,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import free_name, materialise, task
-from veilmark.llm.graph import components
+from veilmark.llm.common import free_name, mapped, materialise, row_key
+from veilmark.llm.graph import classes_of, components
 
-EDITS, MIN_CHARS = 2, 40
+EDITS, PER_CHARS = 2, 20
+#: Lines that share a key from which on they aren't paired with each other at once; lines of a task whose keys were made already and are remembered.
+HOT, SEEN = 32, 200_000
 #: Words for each word edit; the untouched run that leaves (19 words in two parts, at worst), and words of a gram in it.
 PER_EDIT, RUN, GRAM = 20, 10, 5
 #: Keys of a bucket, about; and candidate pairs formed at once.
-BUCKET_KEYS, SLICE = 1_000_000, 2_000_000
+BUCKET_KEYS, SLICE, FLUSH = 1_000_000, 2_000_000, 300_000
 #: Bits of the filter that is sent along to find candidates' lines: 1 MB, whatever the number of lines.
 FILTER_BITS = 1 << 23
 
 
+def allowed(n: int, edits: int = EDITS) -> int:
+    """Edits that a line of n code points may be from one as long or longer."""
+    return min(edits, n // PER_CHARS)
+
+
 def line_id(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
@@ -79,10 +88,10 @@ _plans: dict[tuple[int, int], tuple[list, list]] = {}
 def _plan(n: int, edits: int) -> tuple[list, list]:
     """What a line of n characters puts into the index, and what it probes: (seed, start, end)."""
     if (n, edits) not in _plans:
-        if len(_plans) > 20_000:
+        if len(_plans) > 2_000:
             _plans.clear()
-        own = [(((n << 4) | i), p, p + s) for i, (p, s) in enumerate(segments(n, edits))]
-        ask = [(((m << 4) | i), p, p + s) for m in range(max(0, n - edits), n + 1) for i, p, s in probes(n, m, edits)]
+        own = [(((n << 4) | i), p, p + s) for i, (p, s) in enumerate(segments(n, allowed(n, edits)))]
+        ask = [(((m << 4) | i), p, p + s) for m in range(max(PER_CHARS, n - edits), n + 1) if n - m <= allowed(m, edits) for i, p, s in probes(n, m, allowed(m, edits))]
         _plans[n, edits] = own, ask
     return _plans[n, edits]
 
@@ -187,36 +196,78 @@ def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         docs.append(d)
                         nos.append(i)
                         ids.append(line_id(line))
-            yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(nos, pa.int64()), pa.array(ids, pa.binary())], names=["row", "doc_id", "no", "line"])
+            yield pa.record_batch([pa.array(rows, pa.binary()), pa.array(docs, pa.int64()), pa.array(nos, pa.int64()), pa.array(ids, pa.binary())], names=["row", "doc_id", "no", "line"])
+
+
+_BLOBS = "bucket long, kind int, keys binary, ids binary"
+#: Kinds of packed rows: keys with lines, members of hot keys, and hot keys alone.
+_COLD, _MEMBER, _MARK = 0, 1, 2
+
+
+def _groups(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts, sizes) of equal keys."""
+    order = np.argsort(k, kind="stable")
+    s = k[order]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1])))
+    return order, starts, np.diff(np.concatenate((starts, [len(s)])))
+
+
+def _pack(keys: np.ndarray, ids: np.ndarray, kind: int, bucket: np.ndarray) -> list[tuple]:
+    order, starts, sizes = _groups(bucket)
+    return [(int(bucket[order[a]]), kind, keys[order[a : a + n]].tobytes(), ids[order[a : a + n]].tobytes()) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+
+
+def _spread(k: np.ndarray, ids: np.ndarray, bits: int, buckets: int, first: int) -> list[tuple]:
+    """Packed rows of keys (whose lowest ``bits`` don't count for equality) with lines, ``ids`` being (line, what else): those hot here go as members, to any bucket, and as
+    marks, to that of their key."""
+    same = k >> np.uint64(bits)
+    home = ((k >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64) + first
+    order, starts, sizes = _groups(same)
+    hot = np.zeros(len(k), bool)
+    hot[order] = np.repeat(sizes > HOT, sizes)
+    out = _pack(k[~hot], ids[~hot], _COLD, home[~hot])
+    if hot.any():
+        any_ = (ids[hot, 0] % np.uint64(buckets)).astype(np.int64) + first
+        heads = order[starts[sizes > HOT]]
+        out += _pack(k[hot], ids[hot], _MEMBER, any_) + _pack(k[heads], ids[heads], _MARK, home[heads])
+    return out
 
 
 def key_blobs(batches: Iterator[pa.RecordBatch], edits: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packed index and probe keys (bucket, keys, ids) of the texts' lines; a line is taken once per batch."""
+    """Packed index and probe keys of the texts' lines; the first ``SEEN`` lines of a task are taken once."""
     digest = xxhash.xxh3_64_intdigest
 
-    def out(keys: list | np.ndarray, ids: list | np.ndarray, first: int = 0) -> pa.RecordBatch:
-        k, i = np.asarray(keys, np.uint64), np.asarray(ids, np.uint64)
-        bucket = ((k >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64) + first
-        order = np.argsort(bucket, kind="stable")
-        k, i, bucket = k[order], i[order], bucket[order]
-        cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        ends = [*cut[1:].tolist(), len(k)]
-        return pa.record_batch(
-            [pa.array(bucket[cut]), pa.array([k[a:b].tobytes() for a, b in zip(cut.tolist(), ends, strict=True)], pa.binary()), pa.array([i[a:b].tobytes() for a, b in zip(cut.tolist(), ends, strict=True)], pa.binary())],
-            names=["bucket", "keys", "ids"],
-        )
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        c = list(zip(*rows, strict=True))
+        return pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())], names=["bucket", "kind", "keys", "ids"])
+
+    keys, ids, hashes, sizes, mine, known, old = [], [], [], [], [], {}, set()
+
+    def segments_out() -> pa.RecordBatch:
+        i = np.zeros((len(ids), 2), np.uint64)
+        i[:, 0] = ids
+        got = batch(_spread(np.array(keys, np.uint64), i, 1, buckets, 0))
+        keys.clear()
+        ids.clear()
+        return got
+
+    def runs_out() -> list[pa.RecordBatch]:
+        k, i = run_keys(hashes, sizes, mine)
+        for x in (hashes, sizes, mine, known):
+            x.clear()
+        return [batch(_spread(k, i, 0, buckets, buckets))] if len(k) else []
 
     for b in batches:
-        keys, ids, seen, hashes, sizes, mine, known = [], [], set(), [], [], [], {}
+        seen = set()
         for x in b.column(0).to_pylist():
             for line in (x or "").split("\n"):
                 line = line.strip()
-                if len(line) < MIN_CHARS:
+                if len(line) < PER_CHARS:
                     continue
                 raw = line_id(line)
-                if raw in seen:
+                if raw in seen or raw in old:
                     continue
-                seen.add(raw)
+                (old if len(old) < SEEN else seen).add(raw)
                 own, ask = _plan(len(line), edits)
                 me = int.from_bytes(raw[:8], "big")
                 plain = line.isascii()
@@ -233,16 +284,14 @@ def key_blobs(batches: Iterator[pa.RecordBatch], edits: int, buckets: int) -> It
                     hashes += [known.get(w) or known.setdefault(w, digest(w.encode("utf-8", "surrogatepass"))) for w in words]
                     sizes.append(len(words))
                     mine.append(me)
-            if len(keys) > 800_000:
-                yield out(keys, ids)
-                keys, ids = [], []
-            if len(hashes) > 800_000:
-                yield out(*run_keys(hashes, sizes, mine), buckets)
-                hashes, sizes, mine, known = [], [], [], {}
-        if keys:
-            yield out(keys, ids)
-        if hashes:
-            yield out(*run_keys(hashes, sizes, mine), buckets)
+                if len(keys) > FLUSH:
+                    yield segments_out()
+                if len(hashes) > FLUSH:
+                    yield from runs_out()
+    if keys:
+        yield segments_out()
+    if hashes:
+        yield from runs_out()
 
 
 def run_keys(hashes: list[int], sizes: list[int], ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -271,16 +320,34 @@ def _narrow(raw: bytes) -> bytes:
     return text.encode("ascii") if text.isascii() else raw
 
 
+_CANDIDATES = "a long, b long, key long, runs boolean"
+
+
 def candidate_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b), a < b, of line ids that an index and a probe key share, or a run's key (from bucket ``buckets`` on); input sorted by bucket."""
-    held: dict = {"bucket": None, "keys": [], "ids": []}
+    """Pairs (a, b), a < b, of line ids that an index and a probe key share, or a run's key (from bucket ``buckets`` on), and the members of hot keys:
+    a line, b what else is known of it, and the key.  Input sorted by bucket."""
+    held: dict = {"bucket": None, _COLD: ([], []), _MARK: ([], [])}
+
+    def rows(a: np.ndarray, b: np.ndarray, key: np.ndarray | None, runs: bool) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none if key is None else pa.array(key.view(np.int64)), pa.array(np.full(len(a), runs))], names=["a", "b", "key", "runs"])
+
+    def members(k: np.ndarray, i: np.ndarray, runs: bool) -> pa.RecordBatch:
+        return rows(i[:, 0].copy(), i[:, 1].copy(), k if runs else k >> np.uint64(1), runs)
 
     def out() -> Iterator[pa.RecordBatch]:
-        k = np.concatenate([np.frombuffer(x, np.uint64) for x in held["keys"]])
-        i = np.concatenate([np.frombuffer(x, np.uint64) for x in held["ids"]])
         runs = held["bucket"] >= buckets
+        k, i, mark = (np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in held[c][f]]]) for c, f in ((_COLD, 0), (_COLD, 1), (_MARK, 0)))
+        i = i.reshape(-1, 2)
+        bits = np.uint64(0 if runs else 1)
+        same = k >> bits
+        order, starts, sizes = _groups(same)
+        hot = np.zeros(len(k), bool)
+        hot[order] = np.repeat((sizes > HOT) | np.isin(same[order[starts]], mark >> bits), sizes)
+        if hot.any():
+            yield members(k[hot], i[hot], runs)
+        k, i = k[~hot], i[~hot]
         if runs:  # each with those that come after it
-            i = i.reshape(-1, 2)
             order = np.argsort(k, kind="stable")
             ik = qk = k[order]
             ii = qi = i[order, 0]
@@ -289,8 +356,8 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator
         else:
             probe = (k & np.uint64(1)).astype(bool)
             k = k >> np.uint64(1)
-            ik, ii = _once(k[~probe], i[~probe])
-            qk, qi = _once(k[probe], i[probe])
+            ik, ii = _once(k[~probe], i[~probe, 0])
+            qk, qi = _once(k[probe], i[probe, 0])
             lo = np.searchsorted(ik, qk, "left")
         n = np.searchsorted(ik, qk, "right") - lo
         at = np.flatnonzero(n)
@@ -304,23 +371,27 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator
             q = np.searchsorted(ends, flat, "right")
             j = lo[q] + flat - (ends[q] - n[q])
             a, b = np.minimum(qi[q], ii[j]), np.maximum(qi[q], ii[j])
-            keep = a != b
+            ok = a != b
             if runs:  # word edits move a run, and change the number of words, by no more than there are edits
                 x = at[q]
-                keep &= np.maximum(np.abs(size[x] - size[j]), np.abs(place[x] - place[j])) <= np.minimum(size[x], size[j]) // PER_EDIT
-            pairs = np.unique(np.stack((a[keep], b[keep])), axis=1) if keep.any() else np.zeros((2, 0), np.uint64)
-            yield pa.record_batch([pa.array(pairs[0].view(np.int64)), pa.array(pairs[1].view(np.int64))], names=["a", "b"])
+                ok &= np.maximum(np.abs(size[x] - size[j]), np.abs(place[x] - place[j])) <= np.minimum(size[x], size[j]) // PER_EDIT
+            pairs = np.unique(np.stack((a[ok], b[ok])), axis=1) if ok.any() else np.zeros((2, 0), np.uint64)
+            yield rows(pairs[0].copy(), pairs[1].copy(), None, runs)
             start = stop
 
     for x in batches:
-        for bucket, keys, ids in zip(*[c.to_pylist() for c in x.columns], strict=True):
-            if bucket != held["bucket"] and held["keys"]:
+        for bucket, kind, keys, ids in zip(*[c.to_pylist() for c in x.columns], strict=True):
+            if bucket != held["bucket"] and held["bucket"] is not None:
                 yield from out()
-                held["keys"], held["ids"] = [], []
+                for c in (_COLD, _MARK):
+                    held[c] = ([], [])
             held["bucket"] = bucket
-            held["keys"].append(keys)
-            held["ids"].append(ids)
-    if held["keys"]:
+            if kind == _MEMBER:
+                yield members(np.frombuffer(keys, np.uint64), np.frombuffer(ids, np.uint64).reshape(-1, 2), bucket >= buckets)
+            else:
+                held[kind][0].append(keys)
+                held[kind][1].append(ids)
+    if held["bucket"] is not None:
         yield from out()
 
 
@@ -340,7 +411,7 @@ def wanted_lines(batches: Iterator[pa.RecordBatch], bits: dict[int, bytes]) -> I
         for x in b.column(0).to_pylist():
             for line in (x or "").split("\n"):
                 line = line.strip()
-                if len(line) < MIN_CHARS:
+                if len(line) < PER_CHARS:
                     continue
                 key = line_id(line)
                 slot = int.from_bytes(key[:8], "big") % FILTER_BITS
@@ -350,14 +421,27 @@ def wanted_lines(batches: Iterator[pa.RecordBatch], bits: dict[int, bytes]) -> I
         yield pa.record_batch([pa.array([int.from_bytes(k[:8], "big", signed=True) for k in seen], pa.int64()), pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.string())], names=["short", "line", "words"])
 
 
+def near(a: str, b: str, edits: int = EDITS) -> bool:
+    """Whether two different lines are linked."""
+    return within(a, b, allowed(min(len(a), len(b)), edits)) or words_within(a.split(), b.split())
+
+
 def verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of (id, line, id, line) within a threshold."""
+    """The pairs of (a, b, id, line, id, line) within a threshold."""
     for b in batches:
         for at in range(0, b.num_rows, 2000):
             part = b.slice(at, 2000)
-            ok = [within(x, y, edits) or words_within(x.split(), y.split()) for x, y in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True)]
-            mask = pa.array(ok, pa.bool_())
-            yield pa.record_batch([part.column(0).filter(mask), part.column(2).filter(mask)], names=["a", "b"])
+            mask = pa.array([near(x, y, edits) for x, y in zip(part.column(3).to_pylist(), part.column(5).to_pylist(), strict=True)], pa.bool_())
+            yield pa.record_batch([part.column(i).filter(mask) for i in (0, 1, 2, 4)], names=["a", "b", "la", "lb"])
+
+
+def adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b), a < b, of each id and the one after it."""
+    last = np.zeros(0, np.int64)
+    for b in batches:
+        ids = np.concatenate((last, b.column(0).to_numpy()))
+        last = ids[-1:]
+        yield pa.record_batch([pa.array(np.minimum(ids[:-1], ids[1:])), pa.array(np.maximum(ids[:-1], ids[1:]))], names=["a", "b"])
 
 
 def _bucket_count(n_lines: int, edits: int) -> int:
@@ -365,59 +449,72 @@ def _bucket_count(n_lines: int, edits: int) -> int:
     return max(1, -(-n_lines * per // BUCKET_KEYS))
 
 
+def _keep(a: Column, b: Column) -> Column:
+    """Whether a run's lines and places leave a link possible; segments have no more to say."""
+    size, place = (lambda x: F.shiftright(x["what"], 32)), (lambda x: x["what"].bitwiseAND(F.lit(0xFFFFFFFF)))
+    apart = F.greatest(F.abs(size(a) - size(b)), F.abs(place(a) - place(b)))
+    return ~a["runs"] | (apart <= F.floor(F.least(size(a), size(b)) / PER_EDIT))
+
+
 def line_links(texts: DataFrame, n_lines: int, edits: int = EDITS) -> DataFrame:
-    """Links (a, b) between the ids of different lines within ``edits`` characters of each other, or as many words as their lengths allow."""
+    """(la, lb) of ids of different lines: links that connect whatever lines are within the thresholds of each other."""
+    if not 0 <= edits <= 8:
+        raise ValueError("edits: from 0 to 8")
     buckets = max(_bucket_count(n_lines, edits), 1)
-    blobs = texts.mapInArrow(task(key_blobs, edits=edits, buckets=buckets), "bucket long, keys binary, ids binary")
-    pairs = blobs.repartition(min(2 * buckets, 4000), "bucket").sortWithinPartitions("bucket").mapInArrow(task(candidate_pairs, buckets=buckets), "a long, b long")
-    pairs = materialise(pairs.distinct(), "pairs")
+    blobs = mapped(texts, key_blobs, _BLOBS, edits=edits, buckets=buckets)
+    found = materialise(mapped(blobs.repartition(min(2 * buckets, 4000), "bucket").sortWithinPartitions("bucket"), candidate_pairs, _CANDIDATES, buckets=buckets), "candidates")
+    pairs = found.where("key is null").select("a", "b")
+    members = found.where("key is not null").select(F.xxhash64("key", "runs").alias("key"), F.col("a").alias("id"), F.struct("runs", F.col("b").alias("what")).alias("info"))
     # the lines that occur in a candidate: a filter of fixed size keeps most others from being shuffled
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct(), "candidates")
+    ids = materialise(found.select(F.explode(F.when(F.col("key").isNull(), F.array("a", "b")).otherwise(F.array("a"))).alias("short")).distinct(), "candidate-lines")
     slot = F.pmod("short", F.lit(FILTER_BITS)) + 1
     maps = ids.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     bits = {r["k"] - 1: bytes(r["bits"]) for r in maps.collect()}  # FILTER_BITS / 32768 rows of 4 KB at most
-    lines = texts.mapInArrow(task(wanted_lines, bits=bits), "short long, line binary, words string").join(ids, "short", "left_semi")
+    lines = mapped(texts, wanted_lines, "short long, line binary, words string", bits=bits).join(ids, "short", "left_semi")
     lines = materialise(lines.dropDuplicates(["line"]), "lines")
     a = lines.select(F.col("short").alias("a"), F.col("line").alias("la"), F.col("words").alias("wa"))
     b = lines.select(F.col("short").alias("b"), F.col("line").alias("lb"), F.col("words").alias("wb"))
-    return pairs.join(a, "a").join(b, "b").select("la", "wa", "lb", "wb").mapInArrow(task(verify, edits=edits), "a binary, b binary")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return mapped(pairs.join(a, "a").join(b, "b").select("a", "b", "la", "wa", "lb", "wb"), verify, "a long, b long, la binary, lb binary", edits=edits)
+
+    # lines of templates are mostly like those beside them in order of text, or of text read backwards
+    hot = lines.join(members.select(F.col("id").alias("short")).distinct(), "short", "left_semi").select("short", "words")
+    for order in (F.col("words"), F.reverse("words")):
+        beside = hot.select("short", order.alias("o")).repartitionByRange("o").sortWithinPartitions("o").select("short")
+        pairs = pairs.unionByName(mapped(beside, adjacent, "a long, b long"))
+    return classes_of(members, pairs, _keep, verified).select("la", "lb")
 
 
 def find(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(row, doc_id, n_lines, dropped, classes, n_links): per document that has comparable lines, how many, the numbers of the lines
-    that go, their classes (doc_id, line) of first occurrence, and the links of its lines.  ``docs``: row, doc_id, text."""
-    occ = materialise(docs.select("row", "doc_id", "text").mapInArrow(task(line_rows), "row long, doc_id long, no long, line binary"), "occurrences")
+    """(row, dropped, n_class_lines): per document with a line that isn't one of a kind, the numbers of the lines that go with their classes (doc_id, line) of first
+    occurrence, and how many other different lines are in its lines' classes.  ``docs``: row, doc_id, text."""
+    occ = materialise(mapped(docs.select("row", "doc_id", "text"), line_rows, "row binary, doc_id long, no long, line binary"), "occurrences")
     lines = materialise(occ.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("doc_id"), "row", "no")).alias("first")), "distinct")
     n_lines = lines.count()
-    found = materialise(line_links(docs.select("text"), n_lines, edits).distinct(), "line-links")
-    comp = materialise(components(found), "line-classes")
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    classed = lines.join(comp.join(degree, "node"), lines.line == F.col("node"), "left")
-    classed = classed.select("line", "n", "first", F.coalesce("root", "line").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    multi = classed.where("links > 0").groupBy("root").agg(F.min("first").alias("keep"))
-    dup = classed.where("links > 0 or n > 1").join(multi, "root", "left").select("line", F.coalesce("keep", "first").alias("keep"), "links")
+    links = line_links(docs.select("text"), n_lines, edits).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    comp = materialise(components(links), "line-classes")
+    classed = lines.join(comp, lines.line == F.col("node"), "left").select("line", "n", "first", "root")
+    multi = classed.where("root is not null").groupBy("root").agg(F.min("first").alias("keep"), (F.count("*") - 1).alias("others"))
+    dup = classed.where("root is not null or n > 1").join(multi, "root", "left").select("line", F.coalesce("keep", "first").alias("keep"), F.coalesce("others", F.lit(0)).alias("others"))
     dup = materialise(dup, "duplicates")
-    # lines that are one of a kind need no look at their class
-    hit = occ.join(dup, "line").where((F.col("keep.row") != F.col("row")) | (F.col("keep.no") != F.col("no")) | (F.col("links") > 0))
     gone = (F.col("keep.row") != F.col("row")) | (F.col("keep.no") != F.col("no"))
-    # a set: equal rows of the input share their number and have the same lines
-    one = F.struct("no", gone.alias("gone"), F.nullif(F.col("keep.doc_id"), F.lit(-(1 << 62))).alias("class_doc"), F.col("keep.no").alias("class_line"), "links")
+    # lines that are one of a kind need no look at their class
+    hit = occ.join(dup, "line").where(gone | (F.col("others") > 0))
+    # a set: equal rows of the input share their key and have the same lines
+    one = F.struct("no", gone.alias("gone"), F.nullif(F.col("keep.doc_id"), F.lit(-(1 << 62))).alias("class_doc"), F.col("keep.no").alias("class_line"), "others")
     per = hit.groupBy("row").agg(F.array_sort(F.collect_set(one)).alias("s"))
     dropped = F.transform(F.filter("s", lambda x: x["gone"]), lambda x: F.struct(x["no"].alias("no"), x["class_doc"].alias("class_doc"), x["class_line"].alias("class_line")))
-    return per.select("row", dropped.alias("dropped"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["links"]).alias("n_links"))
+    return per.select("row", dropped.alias("dropped"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["others"]).alias("n_class_lines"))
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    """Documents with a number ``row`` that equal rows share."""
-    return docs.select(
-        F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-    )
+    """Documents with a key ``row`` that equal rows share."""
+    return docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def report(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """One row per document: n_dropped lines, their numbers, the document and line that each repeats, and n_links of its lines to other lines."""
+    """One row per document: n_dropped lines, their numbers, the document and line of the class that each repeats, and how many other different lines are in the classes of its lines."""
     rows = rows_of(docs)
     per = find(rows, edits)
     out = rows.select("row", "doc_id").join(per, "row", "left")
@@ -428,14 +525,14 @@ def report(docs: DataFrame, edits: int = EDITS) -> DataFrame:
         F.size(d).cast("long").alias("n_dropped"),
         F.array_join(F.transform(d, lambda x: x["no"].cast("string")), ",").alias("dropped_lines"),
         F.array_join(F.transform(d, lambda x: F.concat(F.coalesce(x["class_doc"].cast("string"), F.lit("null")), F.lit(":"), x["class_line"].cast("string"))), ",").alias("class_of"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_class_lines", F.lit(0)).cast("long").alias("n_class_lines"),
     )
 
 
 def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """The documents, all their columns, without the lines that go; texts that lose none are as they were."""
-    key, gone, row = free_name(docs, "key"), free_name(docs, "gone"), F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    key, gone = free_name(docs, "key"), free_name(docs, "gone")
     per = find(rows_of(docs), edits).where(F.size("dropped") > 0).select(F.col("row").alias(key), F.transform("dropped", lambda x: x["no"]).alias(gone))
-    out = docs.withColumn(key, row).join(per, key, "left")
+    out = docs.withColumn(key, row_key()).join(per, key, "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col(gone), i.cast("long"))), "\n")
     return out.select(*[F.when(F.col(gone).isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])

@@ -37,7 +37,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import fresh_path, materialise, task
+from veilmark.llm.common import fresh_path, mapped, materialise
 
 MOD, HELD_OUT = 7, 2
 CONTEXTS = 5
@@ -385,7 +385,7 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def score(docs: DataFrame) -> DataFrame:
     """One row per document: see ``_SCORES`` and the module's text."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    steps = src.mapInArrow(task(count_steps), "last long, word binary, c long").groupBy("last", "word").agg(F.sum("c").alias("c"))
+    steps = mapped(src, count_steps, "last long, word binary, c long").groupBy("last", "word").agg(F.sum("c").alias("c"))
     steps = materialise(steps, "steps")
     n_steps = steps.count()
     words = materialise(steps.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "words")
@@ -394,19 +394,19 @@ def score(docs: DataFrame) -> DataFrame:
     bits = min(MAX_BITS, max(MIN_BITS, int(n_steps * 4).bit_length()))
     # words that begin alike go to one partition: its slots are then mostly its own, and partial counts stay few
     train = materialise(steps.where("c > 0").select("last", "word", "c").repartition(F.substring("word", 1, 4)), "train")
-    slots = train.mapInArrow(task(count_slots, bits=bits), "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    slots = mapped(train, count_slots, "slot long, n0 long, n1 long", bits=bits).groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     path = fresh_path(docs.sparkSession, "slots")
     slots.write.parquet(path)
     how = {"path": path, "bits": bits}
     # GATES * (INPUTS + _APM) rows at most, whatever the size of the corpus
-    sums = train.mapInArrow(task(learn, **how), "kind long, i long, a double, b double").groupBy("kind", "i").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
+    sums = mapped(train, learn, "kind long, i long, a double, b double", **how).groupBy("kind", "i").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
     weights, apm = start_weights().ravel().astype(float), np.zeros((2, GATES * _APM))
     for r in sums:
         if r["kind"]:
             apm[:, r["i"]] = r["a"], r["b"]
         else:
             weights[r["i"]] = r["a"] / r["b"]
-    scored = steps.select("last", "word").mapInArrow(task(score_steps, **how, weights=weights.tolist(), apm=apm.ravel().tolist()), "key long, value double")
+    scored = mapped(steps.select("last", "word"), score_steps, "key long, value double", **how, weights=weights.tolist(), apm=apm.ravel().tolist())
     step_table = _write_shards(scored, n_steps, "step-scores")
-    word_table = _write_shards(words.select("word", "c").mapInArrow(task(key_words), "key long, value double"), distinct, "word-counts")
-    return src.mapInArrow(task(score_documents, steps=step_table, words=word_table, total=int(total), distinct=int(distinct)), _SCORES)
+    word_table = _write_shards(mapped(words.select("word", "c"), key_words, "key long, value double"), distinct, "word-counts")
+    return mapped(src, score_documents, _SCORES, steps=step_table, words=word_table, total=int(total), distinct=int(distinct))

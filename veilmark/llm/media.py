@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import task
+from veilmark.llm.common import mapped
 
 UNIT, RATE, FRAME, HOP, PEAKS, REACH = 64, 8000, 256, 128, 3, 3
 #: Frames transformed at once, so that memory doesn't depend on a recording's length.
@@ -134,15 +134,15 @@ def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text stored as a WAV file."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task(store), _MEDIA)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), store, _MEDIA)
 
 
 def fingerprints(media: DataFrame) -> DataFrame:
     """(doc_id, times, landmarks) of WAV files (doc_id, media), as time-coded arrays."""
-    return media.select("doc_id", "media").mapInArrow(task(arrays), _ARRAYS)
+    return mapped(media.select("doc_id", "media"), arrays, _ARRAYS)
 
 
 def describe(media: DataFrame) -> DataFrame:
     """Sizes and digests of WAV files (doc_id, n_bytes, media) and of what is read back; ``feature``: SHA-256 of the
     time-coded arrays, times first, as little-endian 32-bit integers."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(task(features), _FEATURES)
+    return mapped(media.select("doc_id", "n_bytes", "media"), features, _FEATURES)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import materialise, task
+from veilmark.llm.common import mapped, materialise
 from veilmark.llm.tokens import byte_bpe
 
 WINDOW = 1024
@@ -161,12 +161,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 0)
     if window & (window - 1) or not 2 <= window <= 1 << 16:
         raise ValueError("window: a power of two from 2 to 65536")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = materialise(src.mapInArrow(task(tokenise, path=tokenizer, end_id=end_id), _TOKENS), "tokens")
+    ids = materialise(mapped(src, tokenise, _TOKENS, path=tokenizer, end_id=end_id), "tokens")
     # at most `window` rows, whatever the size of the corpus
     rows = ids.groupBy((F.col("n") % window).alias("r")).count().collect()
     hist = np.zeros(window + 1, np.int64)
     for r in rows:
         hist[r["r"]] += r["count"]
     pats, counts = plan(hist, window)
-    run = task(pack_tokens, pats=pats.tolist(), counts=counts.tolist(), docs=int(hist.sum()), window=window, width=byte_bpe(tokenizer).width)
-    return ids.select("doc_id", "ids").mapInArrow(run, _PIECES)
+    return mapped(ids.select("doc_id", "ids"), pack_tokens, _PIECES, pats=pats.tolist(), counts=counts.tolist(), docs=int(hist.sum()), window=window, width=byte_bpe(tokenizer).width)

@@ -24,8 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import SPACE, materialise
-from veilmark.llm.spans import joined, matches, ranked, row_key
+from veilmark.llm.common import SPACE, materialise, row_key
+from veilmark.llm.spans import joined, matches, ranked
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 REACH, NEAR, SUPPORT, GENERALISE, DISCLOSE = 3, 60, 2, 0.75, 0.9

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import task
+from veilmark.llm.common import mapped
 
 SEPARATORS, PLAIN_WORDS, NOTICE_WORDS, RUN, MAX_LOST = 3, 40, 25, 24, 0.5
 
@@ -121,7 +121,7 @@ def quality(docs: DataFrame, clean: bool = True) -> DataFrame:
     """doc_id and the measures and verdicts of the module's text; ``clean``: the cleaned text as well."""
     out = _OUT if clean else _OUT.removesuffix(", clean string")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(task(judged, clean=clean), f"doc_id long, {out}")
+    return mapped(src, judged, f"doc_id long, {out}", clean=clean)
 
 
 def cleaned(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
@@ -138,4 +138,4 @@ def cleaned(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordB
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, all their columns, with the lines that fail gone from ``text``."""
     src = docs.withColumn("text", F.col("text").cast("string"))
-    return src.mapInArrow(task(cleaned, text=src.columns.index("text")), src.schema)
+    return mapped(src, cleaned, src.schema, text=src.columns.index("text"))

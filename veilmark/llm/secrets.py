@@ -13,18 +13,20 @@ a secret lies within its scope, a weak secret where an identifier does, and an e
 complete an identifier, base identifiers complete a secret; two weak candidates complete each other too.
 
 The join is a running maximum over (document, stretch): each part is sent to all stretches of ``STRETCH`` code
-points that its scope reaches, so no text, however long, is one task's work.  All of it is DataFrame operations.
-Null texts count as empty: no spans.  Documents with a null id take part; repeated rows keep a row each with equal spans; an
+points that its scope reaches, so no text's parts, however many, are one task's work.  All of it is DataFrame operations.
+Null texts count as empty: no spans; very long texts are scanned whole, each in its row; of parts that start together each is judged on its own.  Documents with a null id take part; repeated rows keep a row each with equal spans; an
 empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import free_name, materialise
-from veilmark.llm.spans import joined, matches, ranked, row_key
+from veilmark.llm.common import free_name, materialise, row_key
+from veilmark.llm.spans import joined, let, matches, ranked
 
 KINDS = ["assign", "access", "hex", "ident", "weak", "endpoint"]
 SCOPE, STRETCH = 200, 4096
@@ -57,16 +59,22 @@ def _bare(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
 
-def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """doc_id, the base kinds as arrays of (start, end), and ``linked``: ``array<struct<start, rank, end>>`` of the weak
-    candidates that complement each other, rank being the place in ``KINDS``."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    text = F.col("text")
-    kinds = [*base_spans(text), matches(text, IDENT), matches(text, WEAK), matches(text, ENDPOINT)]
-    all_ = materialise(src.select("doc_id", row_key().alias("row_key"), *[_bare(c).alias(k) for k, c in zip(KINDS, kinds, strict=True)]), "secrets")
+_LINKED = "array<struct<start:int,rank:int,end:int>>"
+
+
+def _candidates(text: Column) -> dict[str, Column]:
+    found = [*base_spans(text), matches(text, IDENT), matches(text, WEAK), matches(text, ENDPOINT)]
+    return {k: _bare(c) for k, c in zip(KINDS, found, strict=True)}
+
+
+def _several(at: Callable[[str], Column] = F.col) -> Column:
+    """Whether a row has weak candidates at all."""
+    return F.size(at("ident")) + F.size(at("weak")) + F.size(at("endpoint")) > 0
 
-    several = F.size("ident") + F.size("weak") + F.size("endpoint") > 0
-    parts = all_.where(several).dropDuplicates(["row_key"]).select("row_key", F.explode(F.concat(*[ranked(F.col(k), i) for i, k in enumerate(KINDS)])).alias("s")).select("row_key", "s.*")
+
+def link(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """(row_key, linked) of rows (row_key, the kinds' spans): the weak candidates that complement each other, of rows that have some."""
+    parts = rows.where(_several()).dropDuplicates(["row_key"]).select("row_key", F.explode(F.concat(*[ranked(F.col(k), i) for i, k in enumerate(KINDS)])).alias("s")).select("row_key", "s.*")
     # every stretch that a part's scope touches: of two parts with a gap of at most a scope, each's scope reaches the other
     first, last = (F.greatest(F.col("start") - scope, F.lit(0)) / STRETCH).cast("int"), ((F.col("end") + scope) / STRETCH).cast("int")
     parts = parts.select("*", F.explode(F.sequence(first, last)).alias("stretch"))
@@ -77,9 +85,16 @@ def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     near = ends.select("*", has["id"].alias("id"), has["secret"].alias("secret")).where("asks")
     near = near.groupBy("row_key", "start", "rank", "end").agg(F.max("id").alias("id"), F.max("secret").alias("secret"))
     ok = ((F.col("rank") == 3) & F.col("secret")) | ((F.col("rank") == 4) & F.col("id")) | ((F.col("rank") == 5) & F.col("id") & F.col("secret"))
-    linked = near.where(ok).groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("linked"))
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,rank:int,end:int>>")
-    return all_.drop("ident", "weak", "endpoint").join(linked, "row_key", "left").withColumn("linked", F.coalesce("linked", none))
+    return near.where(ok).groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("linked"))
+
+
+def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """doc_id, the base kinds as arrays of (start, end), and ``linked``: ``array<struct<start, rank, end>>`` of the weak
+    candidates that complement each other, rank being the place in ``KINDS``."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    all_ = materialise(src.select("doc_id", row_key().alias("row_key"), *[c.alias(k) for k, c in _candidates(F.col("text")).items()]), "secrets")
+    out = all_.drop("ident", "weak", "endpoint").join(link(all_, scope), "row_key", "left")
+    return out.withColumn("linked", F.coalesce("linked", F.from_json(F.lit("[]"), _LINKED)))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -97,19 +112,26 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """The documents, all their columns, with every span of ``find`` replaced by ``mark``; texts without one are as
-    they were.  Where spans overlap they are replaced as one."""
-    key, span_list = free_name(docs, "key"), free_name(docs, "spans")
-    f = find(docs).dropDuplicates(["row_key"])
-    spans = F.concat(*[_bare(F.col(k)) for k in KINDS[:3]], _bare(F.col("linked")))
-    hit = f.select(F.col("row_key").alias(key), F.array_sort(spans).alias(span_list)).where(F.size(span_list) > 0)
-    done = F.aggregate(
-        F.col(span_list),
+    they were.  Where spans overlap they are replaced as one.
+
+    Texts are changed in their rows; only those with weak candidates are joined with what the interval join says of these."""
+    name = free_name(docs, "secrets")
+    own = docs.withColumn(name, F.struct(row_key().alias("row_key"), *[c.alias(k) for k, c in _candidates(F.coalesce(F.col("text").cast("string"), F.lit(""))).items()]))
+    own = materialise(own, "scanned")
+    at = lambda k: F.col(name)[k]
+    linked, none = link(own.select(f"{name}.*")).withColumnsRenamed({"linked": free_name(own, "linked"), "row_key": free_name(own, "key")}), F.from_json(F.lit("[]"), _LINKED)
+    extra, key = free_name(own, "linked"), free_name(own, "key")
+    both = own.where(~_several(at)).withColumn(extra, none).unionByName(
+        own.where(_several(at)).join(linked, at("row_key") == F.col(key), "left").drop(key).withColumn(extra, F.coalesce(extra, none))
+    )
+    spans = F.array_sort(F.concat(*[at(k) for k in KINDS[:3]], _bare(F.col(extra))))
+    done = lambda all_: F.aggregate(
+        all_,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda a, s: F.when(
             s["start"] < a["at"], F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
         ).otherwise(F.struct(F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out"), s["end"].alias("at"))),
         lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, F.length("text"))),
     )
-    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    out = keyed.join(hit, key, "left")
-    return out.select(*[F.when(F.col(span_list).isNotNull(), done).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    text = F.when(F.size(spans) > 0, let(spans, done)).otherwise(F.col("text"))
+    return both.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])

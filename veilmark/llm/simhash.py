@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import materialise, task
+from veilmark.llm.common import free_name, mapped, materialise, row_key
 from veilmark.llm.graph import components
 
 RADIUS, BLOCKS, SHINGLE, SEED = 4, 6, 4, 42
@@ -171,7 +171,7 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFra
     found = None
     for part in (cold, hot):
         if part is not None:
-            part = part.repartition("key").sortWithinPartitions("key", "side", pop).mapInArrow(task(compare, radius=radius), "a long, b long")
+            part = mapped(part.repartition("key").sortWithinPartitions("key", "side", pop), compare, "a long, b long", radius=radius)
             found = part if found is None else found.unionByName(part)
     return found.where("a <> b").distinct()
 
@@ -179,7 +179,7 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFra
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, k: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that links lead to."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fps = materialise(src.mapInArrow(task(fingerprints, k=k), "doc_id long, fp long"), "fingerprints")
+    fps = materialise(mapped(src, fingerprints, "doc_id long, fp long", k=k), "fingerprints")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = materialise(links(distinct, radius, blocks), "links")
     comp = components(found)  # node, root
@@ -191,11 +191,34 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def distinct_documents(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, k: int = SHINGLE) -> DataFrame:
+def _set_fingerprints(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        fps = [fingerprint(x, k) for at in range(0, b.num_rows, 500) for x in b.column(1).slice(at, 500).to_pylist()]
+        yield pa.record_batch([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["set", "fp"])
+
+
+def distinct_documents(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, k: int = 5) -> DataFrame:
     """The documents, all their columns, of which each class of near-duplicates leaves the one with the smallest id.
 
-    Rows that share an id count as one document.  Rows without an id can't stand for a class and all stay."""
-    keep = near_duplicates(docs.where("doc_id is not null"), radius, blocks, k).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    Documents are linked where the Jaccard similarity of their sets of ``k``-word shingles is 0.8 or more.  Fingerprints of the same shingles find the
+    closest of them by tiles; whatever similar pair differs in more than ``radius`` bits is found by a prefix-filtered join of the sets
+    (``jaccard``), and every pair is verified on whole sets.  Rows that share an id but not a text are documents
+    of their own, and of equal rows one stays.  Rows without an id can't stand for a class and all stay."""
+    from veilmark.llm import jaccard
+
     some = docs.where("doc_id is not null")
-    kept = some.join(keep, some.doc_id.cast("long") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    row = free_name(docs, "row")
+    texts = some.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def close(sets: DataFrame) -> DataFrame:
+        named = texts.withColumn("row", row_key()).join(sets.select("row", "set"), "row").select("set", "text").dropDuplicates(["set"])
+        fps = materialise(mapped(named, _set_fingerprints, "set long, fp long", k=k), "set-fingerprints")
+        least = fps.groupBy("fp").agg(F.min("set").alias("least"))
+        same = fps.join(least, "fp").where("set <> least").select(F.col("least").alias("a"), F.col("set").alias("b"))
+        far = materialise(links(least.select("fp"), radius, blocks), "close").join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+        return same.unionByName(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+    keep = jaccard.near_duplicates(some, k, close).where("stays").select(F.col("row").alias(row)).distinct()
+    kept = some.withColumn(row, row_key()).join(keep, row, "left_semi")
+    kept = kept.dropDuplicates([row]).drop(row)
     return kept.unionByName(docs.where("doc_id is null"))

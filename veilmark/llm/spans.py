@@ -38,8 +38,8 @@ def matches(text: Column, pattern: str, ask: Column | None = None) -> Column:
 def _offsets(x: Column) -> Column:
     steps = F.zip_with(F.slice(x["p"], 1, F.size(x["m"])), x["m"], lambda p, m: F.struct(F.length(p).alias("g"), F.length(m).alias("k"), m.alias("v")))
 
-    def blocks(s: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(s) / BLOCK).cast("int") - 1), lambda b: F.slice(s, b * BLOCK + 1, BLOCK))
+    def blocks(s: Column) -> Column:  # by place, not by slice, which copies the whole array each time
+        return F.transform(F.sequence(F.lit(0), F.size(s) - 1, F.lit(BLOCK)), lambda b: F.transform(F.sequence(b, F.least(b + BLOCK, F.size(s)) - 1), lambda i: s[i]))
 
     return F.when(F.size(x["m"]) == 0, no_spans()).otherwise(let(let(steps, blocks), _place))
 
@@ -75,8 +75,3 @@ def joined(spans: Column, kinds: list[str]) -> Column:
 
 def ranked(spans: Column, rank: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))
-
-
-def row_key() -> Column:
-    """Names a document by its id and text; equal rows share it."""
-    return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit("")))
