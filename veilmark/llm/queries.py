@@ -71,16 +71,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three documents of four arrive first, the others after them."""
-    from veilmark.llm.sharding import Store, append, layout
+    """The documents arrive in four parts, each compacted with what is there."""
+    from veilmark.llm.sharding import Store, append, compact, layout
 
     store = Store(spark, fresh_path(spark, "store"))
     docs = documents(spark, sf_dir)
-    late = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(4)) == 0
-    append(store, docs.where(~late))
-    manifest = append(store, docs.where(late))
-    store.vacuum()
-    return layout(store, manifest)
+    part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(4))
+    for i in range(4):
+        append(store, docs.where(part == i))
+        compact(store)
+        store.vacuum(grace=0, keep=1)  # there is no other writer
+    return layout(store)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
