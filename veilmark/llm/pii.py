@@ -1,34 +1,39 @@
 """Personal data: fixed patterns, and terms that disclose what the patterns found.
 
 Base spans are e-mail addresses, IP addresses, payment cards (Luhn) and phone numbers.  Each distinct value found is
-a protected entity.  The corpus then says how much a term near an entity reveals of it.  With ``N`` words in all
-texts, an entity ``e`` mentioned ``n(e)`` times, a term ``t`` occurring ``n(t)`` times and found ``n(e,t)`` times within
-``REACH`` words of a mention (and ``NEAR`` characters, on the same line), the information that ``t`` gives about ``e`` is
-the pointwise mutual information of "a word is t" and "a word lies near a mention of e",
+a protected entity, and each run of letters, in lower case, a term.  The corpus then says how much a term reveals of an entity.  With ``N``
+documents, ``n(e)`` of which hold the entity, ``n(t)`` the term and ``n(e,t)`` both, the information that ``t`` gives about ``e`` is the pointwise mutual information
 
-    PMI(e, t) = log2(n(e,t) * N / (n(t) * n(e) * 2 * REACH)),   IC(e) = log2(N / (n(e) * 2 * REACH)),
+    PMI(e, t) = log2(n(e,t) * N / (n(t) * n(e))),   IC(e) = log2(N / n(e)),
 
-and its share of what there is to know is PMI / IC.  A term whose share is ``DISCLOSE`` or more, seen near the entity in
-at least ``SUPPORT`` different surroundings, is removed where it stands near that entity; one whose share lies between ``GENERALISE`` and
-``DISCLOSE`` is generalised (its span is reported too, with the kind of the entity in its place).  Both are
-spans of kind ``term``.  Words with a digit or ``@`` are no terms: they belong to entities or are numbers.
+and its share of what there is to know is PMI / IC.  Shares are shrunk by how much evidence there is: if ``m`` different texts hold both, by
+``1 - 4 ** (1 - m)``, so one text, however often it is copied, shows nothing, two weigh three quarters, and more soon weigh all.  A term whose share of some entity is
+``DISCLOSE`` or more is removed; one whose share lies between ``GENERALISE`` and that is generalised: it's replaced by the term that says most
+about the entity below these thresholds, or by the entity's kind if there is none.  Both are spans of kind ``term``, at every place where the term
+stands, in whatever document, but for places inside base spans.
 
 All of it is DataFrame operations.  Statistics cover every row; joins are on (entity), (entity, term) and (term), whose
-counts are aggregated before the shuffle; nothing is gathered per key.  Null texts count as empty: no spans.
-Documents with a null id take part; repeated rows keep a row each with equal spans and count as one text; an empty table gives no rows;
-other columns are ignored.
+counts are aggregated before the shuffle; nothing is gathered per key.  Terms are looked for in all texts by way of a bitmap of fixed size, which lets through all
+terms asked for and few others.  Null texts count as empty: no spans.
+Documents with a null id take part; repeated rows keep a row each with equal spans, and each counts in ``n`` but not in ``m``; very long texts are scanned whole, each in its row; of an
+entity's terms with equal shares the last in order generalises; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import SPACE, materialise, row_key
+from veilmark.llm.common import materialise, row_key
 from veilmark.llm.spans import joined, matches, ranked
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-REACH, NEAR, SUPPORT, GENERALISE, DISCLOSE = 3, 60, 2, 0.75, 0.9
+GENERALISE, DISCLOSE = 0.75, 0.9
+#: Bits of the bitmap of terms: 256 KB, whatever the number of terms.
+BITMAP = 1 << 21
+_OTHER = r"[^\p{L}]+"
 
 _LOCAL, _DOMAIN = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[{_DOMAIN}]++(?:\.[{_DOMAIN}]++)++"
@@ -68,66 +73,72 @@ def base_spans(text: Column) -> list[Column]:
     ]
 
 
-def _near(text: Column, s: Column) -> Column:
-    """The up to ``REACH`` words on either side of a span, on its line, as (start, end, value); whole words only."""
-    # one character more on each side tells whether the outermost word is whole; it is dropped if not
-    at = F.greatest(s["start"] - NEAR, F.lit(0))
-    left = F.substring_index(F.substr(text, at + 1, s["start"] - at), "\n", -1)
-    right = F.substring_index(F.substr(text, s["end"] + 1, F.lit(NEAR)), "\n", 1)
-    word = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++(?=[\x20\x09-\x0D])"
-    # a left part that doesn't start the line or text may begin inside a word
-    cut = F.when((F.length(left) == s["start"] - at) & (at > 0), F.regexp_replace(left, r"^[^\x20\x09-\x0D]+", "")).otherwise(left)
-    before = F.transform(matches(cut, word, F.lit(True)), lambda w: F.struct((s["start"] - F.length(cut) + w["start"]).alias("start"), (s["start"] - F.length(cut) + w["end"]).alias("end"), w["value"].alias("value")))
-    # what touches the span isn't a word of its own: the rest of its word is skipped, as is a last word that may go on
-    skip = F.regexp_replace(right, r"^[^\x20\x09-\x0D]+", "")
-    whole = F.when(F.length(right) < NEAR, F.concat(skip, F.lit(" "))).otherwise(skip)
-    off = s["end"] + F.length(right) - F.length(skip)
-    after = F.transform(matches(whole, word, F.lit(True)), lambda w: F.struct((off + w["start"]).alias("start"), (off + w["end"]).alias("end"), w["value"].alias("value")))
-    return F.concat(F.slice(before, F.greatest(F.size(before) - REACH + 1, F.lit(1)), REACH), F.slice(after, 1, REACH))
-
-
-def _term(w: Column) -> Column:
-    """A word as a term: lower case, without punctuation around it."""
-    return F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-
-
-def find(docs: DataFrame, reach_share: float = DISCLOSE, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
-    """doc_id, the four base kinds as arrays (``email``, ``ip``, ``card``, ``phone``), and ``terms``:
-    ``array<struct<start, end, entity_kind, share, removed>>`` (see the module's text)."""
+def _terms(text: Column) -> Column:
+    """The terms of a text, each once."""
+    return F.array_distinct(F.filter(F.transform(F.split(text, _OTHER), F.lower), lambda t: t != ""))
+
+
+def _among(terms: DataFrame) -> Callable[[Column], Column] | None:
+    """Whether a term may be one of ``terms``; None if there are none."""
+    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(BITMAP))
+    at = terms.select(slot(F.col("term")).alias("s"))
+    words = at.groupBy((F.col("s") / 64).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("w")).collect()  # BITMAP / 64 rows at most
+    if not words:
+        return None
+    held = {r["i"]: r["w"] for r in words}
+    bits = F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(BITMAP // 64))), ",").cast("array<bigint>")
+    return lambda t: F.getbit(F.get(bits, (slot(t) / 64).cast("int")), (slot(t) % 64).cast("int")) == 1
+
+
+_TERMS = "array<struct<start:int,end:int,share:double,removed:boolean,by:string>>"
+
+
+def disclosing(hits: DataFrame, texts: DataFrame, total: int, disclose: float = DISCLOSE, generalise: float = GENERALISE) -> DataFrame | None:
+    """(term, share, removed, by) of the terms over a threshold; None if no entity is in two different texts.
+
+    ``hits``: (hash, values, terms) of the documents with entities; ``texts``: (text) of all."""
+    each = hits.select("hash", F.explode("values").alias("v"), "terms").select("hash", "v.kind", "v.value", "terms")
+    entities = materialise(each.groupBy("kind", "value").agg(F.count("*").alias("ne"), F.countDistinct("hash").alias("me")).where("me > 1"), "entities")
+    pairs = each.join(entities.select("kind", "value"), ["kind", "value"]).select("hash", "kind", "value", F.explode("terms").alias("term"))
+    joint = pairs.groupBy("kind", "value", "term").agg(F.count("*").alias("net"), F.countDistinct("hash").alias("m")).where("m > 1")
+    joint = materialise(joint, "joint")
+    asked = _among(joint)
+    if asked is None:
+        return None
+    counts = texts.select(F.explode(F.filter(_terms(F.col("text")), asked)).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
+    n = F.lit(float(total))
+    pmi, ic = F.log2(F.col("net") * n / (F.col("nt") * F.col("ne"))), F.log2(n / F.col("ne"))
+    share = F.when(ic > 0, pmi / ic).otherwise(0.0) * (1 - F.pow(F.lit(4.0), 1 - F.col("m")))
+    shares = materialise(joint.join(entities, ["kind", "value"]).join(counts, "term").select("kind", "value", "term", share.alias("share")), "shares")
+    below = shares.where((F.col("share") > 0) & (F.col("share") < generalise)).groupBy("kind", "value").agg(F.max(F.struct("share", "term")).alias("g"))
+    over = shares.where(F.col("share") >= generalise).join(below, ["kind", "value"], "left")
+    by = F.coalesce("g.term", F.concat(F.lit("<"), F.col("kind"), F.lit(">")))
+    best = over.groupBy("term").agg(F.max(F.struct("share", "kind", "value", by.alias("by"))).alias("x"))
+    return materialise(best.select("term", "x.share", (F.col("x.share") >= disclose).alias("removed"), "x.by"), "disclosing")
+
+
+def find(docs: DataFrame, disclose: float = DISCLOSE, generalise: float = GENERALISE) -> DataFrame:
+    """doc_id, row_key, the four base kinds as arrays (``email``, ``ip``, ``card``, ``phone``), and ``terms``: ``_TERMS`` (see the module's text)."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     src = src.select("doc_id", "text", row_key().alias("row_key"))
     text = F.col("text")
     found = src.select("doc_id", "row_key", "text", *[c.alias(k) for k, c in zip(KINDS, base_spans(text), strict=False)])
-
-    def named(k: str) -> Column:
-        return F.transform(F.col(k), lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-
-    every = F.concat(*map(named, KINDS[:4]))
-    mentions = F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), F.filter(_near(text, s), lambda w: ~w["value"].rlike("[0-9@]")).alias("near")))
+    values = F.array_distinct(F.concat(*[F.transform(F.col(k), lambda s: F.struct(F.lit(k).alias("kind"), s["value"].alias("value"))) for k in KINDS[:4]]))
     hit = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
-    base = materialise(found.select("doc_id", "row_key", *[F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS[:4]], F.when(hit, mentions).alias("mentions")), "pii")
-
-    words = src.select(F.explode(F.split("text", SPACE)).alias("w")).where("w <> ''")
-    counts = materialise(words.groupBy("w").count().groupBy(_term(F.col("w")).alias("term")).agg(F.sum("count").alias("nt")), "terms")
-    # copies of one text count once as evidence of co-occurrence
-    said = base.where("mentions is not null").dropDuplicates(["row_key"]).select("row_key", F.posexplode("mentions").alias("i", "m")).select("row_key", "i", "m.kind", "m.value", "m.near")
-    entities = said.groupBy("kind", "value").agg(F.count("*").alias("ne"))
-    pairs = said.select("row_key", "i", "kind", "value", F.explode("near").alias("w")).select("*", _term(F.col("w.value")).alias("term")).where("term <> ''")
-    # the same words around a mention in several texts (copies with small changes) are one piece of evidence
-    context = F.xxhash64(F.array_join(F.transform("near", lambda w: w["value"]), " "))
-    seen = said.select("kind", "value", context.alias("context"), F.explode("near").alias("w")).select("kind", "value", "context", _term(F.col("w.value")).alias("term")).where("term <> ''")
-    joint = seen.groupBy("kind", "value", "term").agg(F.count("*").alias("net"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support)
-    joint = materialise(joint, "joint")
-    flagged = joint.join(entities, ["kind", "value"]).join(counts, "term")
-    total = F.lit(float(counts.agg(F.sum("nt")).first()[0] or 1))
-    near = F.lit(2.0 * REACH)
-    pmi = F.log2(F.col("net") * total / (F.col("nt") * F.col("ne") * near))
-    ic = F.log2(total / (F.col("ne") * near))
-    flagged = flagged.select("kind", "value", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("share")).where(F.col("share") >= generalise)
-    terms = pairs.join(flagged, ["kind", "value", "term"]).groupBy("row_key", F.col("w.start").alias("start"), F.col("w.end").alias("end")).agg(F.max(F.struct("share", F.col("kind").alias("entity_kind"))).alias("x"))
-    terms = terms.select("row_key", F.struct("start", "end", "x.entity_kind", "x.share", (F.col("x.share") >= reach_share).alias("removed")).alias("t")).groupBy("row_key").agg(F.array_sort(F.collect_list("t")).alias("terms"))
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,entity_kind:string,share:double,removed:boolean>>")
-    return base.drop("mentions").join(terms, "row_key", "left").withColumn("terms", F.coalesce("terms", none))
+    bare = [F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS[:4]]
+    base = materialise(found.select("doc_id", "row_key", *bare, *[F.when(hit, c).alias(n) for n, c in (("hash", F.md5(text.cast("binary"))), ("values", values), ("words", _terms(text)))]), "pii")
+    hits = base.where("values is not null").select("hash", "values", F.col("words").alias("terms"))
+    flagged = disclosing(hits, src.select("text"), base.count(), disclose, generalise)
+    base, none = base.drop("hash", "values", "words"), F.from_json(F.lit("[]"), _TERMS)
+    asked = None if flagged is None else _among(flagged)
+    if asked is None:
+        return base.withColumn("terms", none)
+    placed = F.filter(F.transform(matches(text, r"\p{L}++", F.lit(True)), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("term"))), lambda w: asked(w["term"]))
+    places = src.where(F.exists(_terms(text), asked)).select("row_key", F.inline(placed)).distinct().join(flagged, "term")
+    terms = places.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share", "removed", "by"))).alias("terms"))
+    out = base.join(terms, "row_key", "left")
+    inside = lambda t: F.exists(F.concat(*KINDS[:4]), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+    return out.withColumn("terms", F.coalesce(F.filter("terms", lambda t: ~inside(t)), none))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -145,7 +156,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """doc_id and the text with base spans and generalised terms replaced by ``<kind>`` and disclosing terms removed.
+    """doc_id and the text with base spans replaced by ``<kind>``, terms generalised and disclosing ones removed.
 
     Where spans overlap, the first (and of those that start together the longest) is replaced."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -156,7 +167,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     edits = F.array_sort(F.concat(
         *map(marked, KINDS[:4]),
-        F.transform("terms", lambda t: F.struct(t["start"].alias("start"), (-t["end"]).alias("e"), F.when(t["removed"], "").otherwise(F.concat(F.lit("<"), t["entity_kind"], F.lit(">"))).alias("by"))),
+        F.transform("terms", lambda t: F.struct(t["start"].alias("start"), (-t["end"]).alias("e"), F.when(t["removed"], "").otherwise(t["by"]).alias("by"))),
     ))
     out = F.aggregate(
         edits,
