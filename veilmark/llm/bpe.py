@@ -228,7 +228,8 @@ def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
             part = b.slice(at, 500)
             n, ids_, texts = [], [], []
             for x in part.column(1).to_pylist():
-                ids, text = bpe.encode(x or "")
+                ids = bpe.encode(x or "")[0]
+                text = bpe.decode(ids)
                 n.append(len(ids) // 4)
                 ids_.append(hashlib.sha256(ids).hexdigest())
                 texts.append(hashlib.sha256(text.encode()).hexdigest())

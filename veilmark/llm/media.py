@@ -8,7 +8,7 @@ pair of arrays (times, landmarks) in order of time.  A payload of one frame or l
 padded to a frame with silence and repeated over ``REACH + 1`` frames, as one frame has no pairs.
 
 Null texts and payloads count as empty: a payload of 64 zero bytes.  Ids may be null; equal payloads have equal
-values; an empty table gives no rows; other columns are ignored.
+values; very long texts are transformed ``CHUNK`` frames at a time; of equally strong peaks the lower bin is first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ def payload(text: str | None) -> tuple[int, bytes]:
 
 
 _MEDIA = "doc_id long, n_bytes long, media binary"
-_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_landmarks long, feature string"
+_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_landmarks long, feature string, times array<int>, landmarks array<int>"
 _ARRAYS = "doc_id long, times array<int>, landmarks array<int>"
 
 
@@ -111,16 +111,21 @@ def _digest(d, n: int, stored: bytes) -> tuple:
     back = from_wav(stored)
     t, m = landmarks(back)
     feature = hashlib.sha256(t.astype("<i4").tobytes() + m.astype("<i4").tobytes()).hexdigest()
-    return d, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), len(t), feature
+    return d, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), len(t), feature, t, m
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in _FEATURES.split(", ")]
-    kinds = [pa.string() if f.endswith("string") else pa.int64() for f in _FEATURES.split(", ")]
+    kinds = [pa.string() if f.endswith("string") else pa.int64() for f in _FEATURES.split(", ")[:-2]]
     for b in batches:
-        for at in range(0, b.num_rows, 200):
-            rows = [_digest(*x) for x in zip(*[c.to_pylist() for c in b.slice(at, 200).columns], strict=True)]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for at in range(0, b.num_rows, 100):
+            rows = [_digest(*x) for x in zip(*[c.to_pylist() for c in b.slice(at, 100).columns], strict=True)]
+            *plain, times, marks = zip(*rows, strict=True)
+            yield pa.record_batch([*[pa.array(c, k) for c, k in zip(plain, kinds, strict=True)], _lists(times), _lists(marks)], names=names)
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values), pa.int32()))
 
 
 def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +133,7 @@ def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, b.num_rows, 100):
             part = b.slice(at, 100)
             got = [landmarks(from_wav(x)) for x in part.column(1).to_pylist()]
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(g[k]) for g in got]]), pa.int32()), pa.array(np.concatenate([g[k] for g in got]), pa.int32())) for k in (0, 1)]
-            yield pa.record_batch([part.column(0), *lists], names=["doc_id", "times", "landmarks"])
+            yield pa.record_batch([part.column(0), *[_lists([g[k] for g in got]) for k in (0, 1)]], names=["doc_id", "times", "landmarks"])
 
 
 def encode(docs: DataFrame) -> DataFrame:
@@ -143,6 +147,6 @@ def fingerprints(media: DataFrame) -> DataFrame:
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Sizes and digests of WAV files (doc_id, n_bytes, media) and of what is read back; ``feature``: SHA-256 of the
-    time-coded arrays, times first, as little-endian 32-bit integers."""
+    """Sizes and digests of WAV files (doc_id, n_bytes, media) and of what is read back; ``times`` and ``landmarks``: the
+    time-coded arrays of the spectral peaks' pairs; ``feature``: SHA-256 of both, times first, as little-endian 32-bit integers."""
     return mapped(media.select("doc_id", "n_bytes", "media"), features, _FEATURES)

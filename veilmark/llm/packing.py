@@ -1,13 +1,16 @@
 """Packing documents into token windows by non-negative least squares over a length histogram.
 
-A document's ids (and one end id) are cut into whole windows and a rest.  The histogram of rests, which has at
-most ``window`` bins however large the corpus is, is matched by shallow combinations of lengths that fill a
+A document's ids (and one end id) are cut into whole windows and a rest.  Of every block of documents the histogram of rests, which has at
+most ``window`` bins, is matched by shallow combinations of lengths that fill a
 window exactly: ``min ||A x - h||`` over ``x >= 0`` gives how often each combination should repeat.  Rounded
-counts are then applied block by block, and what they leave over is packed greedily, cutting where a window
-ends.  The last, partly filled window of a block is cut at powers of two, so that nothing is padded.
+counts are applied to the block, and what they leave over is packed greedily, cutting where a window
+ends.  The last, partly filled window of a block is cut at powers of two, so that nothing is padded.  Combinations are all pairs of lengths, and the
+triples of the ``TRIPLE_LENGTHS`` commonest: what no combination takes is packed greedily, so these decide how much is cut, never what is packed.
+
+A block is what a task tokenises one after another, of about ``BLOCK_TOKENS`` ids; nothing is shuffled, and a lost task's blocks come out the same again.
 
 Null texts count as empty, so such a document is its end id alone; null ids are kept as they are; repeated rows
-are packed each on its own; an empty table gives no rows; other columns of the input are ignored.
+are packed each on its own; very long texts are cut into whole windows, which are never moved; equal lengths are taken in order, the last first; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import mapped, materialise
+from veilmark.llm.common import mapped
 from veilmark.llm.tokens import byte_bpe
 
 WINDOW = 1024
@@ -29,7 +32,6 @@ BLOCK_TOKENS = 6_000_000
 #: Lengths, the commonest, from which combinations of three are formed.
 TRIPLE_LENGTHS = 64
 
-_TOKENS = "doc_id long, n long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
@@ -88,8 +90,9 @@ def plan(hist: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray
     return pats[[p for p, _ in keep]].reshape(-1, 3), np.array([m for _, m in keep], np.int64)
 
 
-def _pack_block(n: np.ndarray, share: float, pats: np.ndarray, counts: np.ndarray, window: int) -> list[tuple[int, int, int, int, int, int]]:
+def _pack_block(n: np.ndarray, window: int) -> list[tuple[int, int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset, sequence length) of the documents with ``n`` ids."""
+    pats, counts = plan(np.bincount(n % window, minlength=window + 1), window)
     out: list[tuple[int, int, int, int, int, int]] = []
     seq = 0
     rest: list[list[tuple[int, int]]] = [[] for _ in range(window)]  # by length: document, start
@@ -101,9 +104,7 @@ def _pack_block(n: np.ndarray, share: float, pats: np.ndarray, counts: np.ndarra
             rest[k % window].append((i, k - k % window))
     for lens, m in zip(pats.tolist(), counts.tolist(), strict=True):
         lens = [a for a in lens if a]
-        for _ in range(round(m * share)):
-            if any(len(rest[a]) < lens.count(a) for a in lens):
-                break
+        for _ in range(m):
             off = 0
             for a in lens:
                 i, at = rest[a].pop()
@@ -123,18 +124,19 @@ def _pack_block(n: np.ndarray, share: float, pats: np.ndarray, counts: np.ndarra
     return out
 
 
-def pack_tokens(batches: Iterator[pa.RecordBatch], pats: list, counts: list, docs: int, window: int, width: int) -> Iterator[pa.RecordBatch]:
+def pack_texts(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of (doc_id, text), block by block."""
     from pyspark import TaskContext
 
-    base, dtype = TaskContext.get().partitionId() << 40, f"<u{width}"
-    pats_, counts_ = np.array(pats, np.int64).reshape(-1, 3), np.array(counts, np.int64)
+    base, width = TaskContext.get().partitionId() << 40, byte_bpe(path).width
+    dtype = f"<u{width}"
     held: list[tuple[int | None, bytes]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
         nonlocal base, size
         n = np.array([len(x) // width for _, x in held], np.int64)
-        got = _pack_block(n, len(held) / max(1, docs), pats_, counts_, window)
+        got = _pack_block(n, window)
         crc = [zlib.crc32(np.frombuffer(held[i][1], dtype, k, at * width).astype("<u4").tobytes()) for i, at, k, *_ in got]
         c = list(zip(*got, strict=True))
         arrays = [pa.array([held[i][0] for i in c[0]], pa.int64()), c[1], c[2], crc, n[list(c[0])], np.array(c[3], np.int64) + base, c[4], c[5]]
@@ -143,8 +145,8 @@ def pack_tokens(batches: Iterator[pa.RecordBatch], pats: list, counts: list, doc
         size = 0
         return pa.record_batch([pa.array(x, pa.int64()) if not isinstance(x, pa.Array) else x for x in arrays], names=[f.split()[0] for f in _PIECES.split(", ")])
 
-    for b in batches:
-        for d, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+    for b in tokenise(batches, path, end_id):
+        for d, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
             held.append((d, ids))
             size += len(ids) // width
             if size >= BLOCK_TOKENS:
@@ -161,11 +163,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 0)
     if window & (window - 1) or not 2 <= window <= 1 << 16:
         raise ValueError("window: a power of two from 2 to 65536")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = materialise(mapped(src, tokenise, _TOKENS, path=tokenizer, end_id=end_id), "tokens")
-    # at most `window` rows, whatever the size of the corpus
-    rows = ids.groupBy((F.col("n") % window).alias("r")).count().collect()
-    hist = np.zeros(window + 1, np.int64)
-    for r in rows:
-        hist[r["r"]] += r["count"]
-    pats, counts = plan(hist, window)
-    return mapped(ids.select("doc_id", "ids"), pack_tokens, _PIECES, pats=pats.tolist(), counts=counts.tolist(), docs=int(hist.sum()), window=window, width=byte_bpe(tokenizer).width)
+    return mapped(src, pack_texts, _PIECES, path=tokenizer, end_id=end_id, window=window)
