@@ -108,7 +108,7 @@ def test_line_dedup_links_short_equal_lines_and_changed_words(spark):
     own = [x.strip() for x in lines]
     comp = list(range(len(own)))
     def linked(a, b):
-        few, n = min(len(a.split()), len(b.split())) // 20, min(2, min(len(a), len(b)) // 20)
+        few, n = min(len(a.split()), len(b.split())) // 20, min(2, min(len(a), len(b)) // 32)
         return a == b or (few and far(a.split(), b.split()) <= few) or (n and abs(len(a) - len(b)) <= n and far(a, b) <= n)
 
     near = [(i, j) for j in range(len(own)) for i in range(j) if own[i] and linked(own[i], own[j])]

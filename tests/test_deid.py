@@ -1,6 +1,10 @@
+import itertools
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from veilmark.functions.labels import tag_tokens
+from veilmark.functions.labels import checked, default_tags, tag_tokens, zip_equal
 from veilmark.functions.text import chunks, squeeze
 from veilmark.operators import context, entities, redact, scores, spans, split
 
@@ -40,7 +44,7 @@ def test_redaction_counts_code_points_and_joins_blanks(spark):
 
 def test_signs_between_one_type_are_absorbed(spark):
     tags = "B-LOC I-LOC L-LOC O U-LOC O U-LOC".split()
-    toks = "360 Longwood Ave , OBI , Boston".split()
+    toks = "12 Mill Lane , Annex ; Riverton".split()
     df = spark.createDataFrame([("a", i, t, g) for i, (t, g) in enumerate(zip(toks, tags))], "k string, idx int, token string, tag string")
     assert {r["tag"] for r in entities.absorb_signs(df, ["k"]).collect()} == {"I-LOC"}
 
@@ -70,10 +74,30 @@ def test_trim_is_the_loop(spark):
             assert (r.x, r.y) == loop_trim(r.p, r.c, r.n, b, k)
 
 
-def test_long_sentence_is_split(spark):
-    s = spark.createDataFrame([(0, 10, 160, 10, 20)], "k int, i int, j int, n_before int, n_after int")
-    got = sorted((r.part, r.part_j - r.part_i, r.left, r.right) for r in context.split_long(s, 128, 32, 32, 32).collect())
-    assert [(n, right) for _, n, _, right in got] == [(64, 32), (64, 22), (22, 20)]
+def loop_rows(n, start, end, budget, chunk, before, after, pre, post, sub=False):
+    """Rows (part's tokens, left, right) of a note's sentences by popping tokens; ``n``: their sizes, ``pre`` and ``post``: chunks put at the ends."""
+    at = [sum(n[:i]) for i in range(len(n) + 1)]
+    for i, c in enumerate(n):
+        p, z = loop_trim(min(before, at[i] - start), c, min(after, end - at[i + 1]), budget, chunk)
+        if p + c + z <= budget:
+            yield at[i], c, p + (pre if i == 0 else 0), z + (post if i == len(n) - 1 else 0)
+        else:
+            size = budget - 2 * chunk
+            cuts = [min(size, c - k) for k in range(0, c, size)]
+            yield from ((at[i] + a, m, q, r) for a, m, q, r in loop_rows(cuts, 0, c, budget, chunk, before, after, p, z, True))
+
+
+def test_long_sentences_are_split_as_the_loop_does(spark):
+    rng = random.Random(9)
+    for budget, chunk, before, after in ((32, 8, 32, 32), (128, 32, 32, 32), (20, 4, 7, 50)):
+        sizes = [60, 3, *[rng.choice((1, 5, 17, 30, 33, 64, 200)) for _ in range(25)]]
+        want = list(loop_rows(sizes, 0, sum(sizes), budget, chunk, before, after, 0, 0))
+        at = [sum(sizes[:i]) for i in range(len(sizes) + 1)]
+        rows = [(i, at[i], at[i + 1], min(before, at[i]), min(after, at[-1] - at[i + 1])) for i in range(len(sizes))]
+        s = spark.createDataFrame(rows, "k int, i int, j int, n_before int, n_after int")
+        got = [(r.part_i, r.part_j - r.part_i, r.left, r.right) for r in context.split_long(s, budget, chunk, before, after).orderBy("k", "part").collect()]
+        assert got == want
+    assert [sum(r[1:]) for r in loop_rows([60], 0, 60, 32, 8, 32, 32, 0, 0)][1] == 32
 
 
 def test_scores(spark):
@@ -89,6 +113,88 @@ def test_viterbi_takes_the_best_legal_path(spark):
     assert scores.viterbi(df, "s", "BIO", tags).first()["path"] == ["B-X", "I-X"]
 
 
+def test_legal_transitions():
+    for n, a, b, ok in (("BILOU", "START", "I-X", True), ("BILOU", "START", "L-X", True), ("BILOU", "B-X", "END", True), ("BIO", "START", "I-X", True), ("BIO", "START", "END", False), ("IOB1", "START", "END", False),
+                        ("IOB1", "START", "B-X", False), ("IOB1", "B-X", "B-X", True), ("BMES", "START", "O", False), ("BMES", "B-X", "M-X", True), ("BMES", "O", "B-X", False), ("BIOUL", "L-X", "I-X", False),
+                        ("BILOU", "B-X", "I-Y", False), ("BILOU", "O", "U-X", True), ("BIO", "O", "I-X", False), ("BIO", "START", "START", False), ("BIO", "END", "O", False)):
+        assert scores.legal(n, a, b) == ok, (n, a, b)
+    with pytest.raises(ValueError):
+        scores.legal("IO", "O", "O")
+
+
+def test_viterbi_is_enumeration(spark):
+    rng = random.Random(10)
+    for notation, tags in (("BIO", ["B-X", "B-Y", "I-X", "I-Y", "O"]), ("BILOU", ["B-X", "I-X", "L-X", "O", "U-X"])):
+        w = [[rng.random() for _ in range(7)] for _ in range(7)]
+        rows = [(i, [[rng.uniform(-2, 2) for _ in tags] for _ in range(rng.randint(0, 4))]) for i in range(12)]
+        rows = [(i, m, [rng.choice((1, 1, -100)) for _ in m]) for i, m in rows]
+        df = spark.createDataFrame(rows, "k int, s array<array<double>>, y array<int>")
+        got = {r.k: r.path for r in scores.viterbi(df, "s", notation, tags, labels="y", weights=w, top_k=3).collect()}
+        for k, m, y in rows:
+            m = [v for v, i in zip(m, y) if i != -100]
+            paths = []
+            for p in itertools.product(range(len(tags)), repeat=len(m)) if m else []:
+                ends = [5, *p, 6]
+                names = ["START", *[tags[i] for i in p], "END"]
+                if all(scores.legal(notation, a, b) for a, b in zip(names, names[1:])):
+                    paths.append((sum(v[i] for v, i in zip(m, p)) + sum(w[a][b] for a, b in zip(ends, ends[1:])), names[1:-1]))
+            want = sorted(paths, reverse=True)[:3]
+            assert [x["path"] for x in got[k]] == [p for _, p in want]
+            assert all(abs(x["score"] - v) < 1e-9 for x, (v, _) in zip(got[k], want))
+
+
+def test_decoding_leaves_out_ignored_places(spark):
+    df = spark.createDataFrame([([[0.0, 5.0, 0.0], [9.0, 0.0, 0.0], [0.0, 0.1, 0.2]], [1, -100, 2])], "predictions array<array<double>>, labels array<int>")
+    tags = ["B-X", "I-X", "O"]
+    for name, want in (("argmax", ["I-X", "O"]), ("threshold_max", ["I-X", "I-X"]), ("crf", ["I-X", "O"])):
+        r = scores.decoded(df, name, tags, 0.3, "BIO").first()
+        assert (r.predictions, r.labels) == (want, ["I-X", "O"]), name
+    assert scores.decoded(df, "logits", tags).first().predictions == [[0.0, 5.0, 0.0], [0.0, 0.1, 0.2]]
+
+
+def test_long_note_is_redacted_in_time(spark):
+    """50,000 tokens in one note, and an entity every hundred."""
+    import time
+
+    from veilmark.plans.pipeline import deidentify
+
+    text = " ".join(f"a.b{i}@c.example" if i % 100 == 0 else "word," for i in range(25_000))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    at = time.time()
+    got = {r.doc_id: r.deid_text for r in deidentify(docs, ["doc_id"]).collect()}
+    assert got[1].count("EMAIL") == 250 and "@" not in got[1] and got[3] == "" and time.time() - at < 60
+
+
+def test_modes_forbidden_types_and_unequal_arrays(spark):
+    toks = F.from_json(F.lit('[{"start":0,"end":2}]'), "array<struct<start:int,end:int>>")
+    assert one(spark, default_tags(toks, "predict", "BIO")) == ["O"]
+    with pytest.raises(ValueError):
+        default_tags(toks, "else", "BIO")
+    for bad in (checked(F.lit("B-OTHERISSUE")), zip_equal(F.array(F.lit(1)), F.array(F.lit(1), F.lit(2)))):
+        with pytest.raises(Exception, match="settled|different"):
+            one(spark, bad)
+
+
+def test_word_pieces_are_those_of_the_library(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from veilmark.operators.subwords import align, model_pieces
+
+    path, tags = public.path("word_bpe_49k.json"), ["B-AGE", "B-DATE", "I-AGE", "I-DATE", "O"]
+    rows = [(["Jan", "Doberman", "60", "years", "in", "20801", "\t"], ["NA", "NA", "B-AGE", "O", "O", "B-DATE", "O"]), ([], [])]
+    df = spark.createDataFrame(rows, "tokens array<string>, labels array<string>")
+    tok = Tokenizer.from_file(path)
+    for label_all in (False, True):
+        got = model_pieces(df, path).select(align(F.col("pieces"), F.col("labels"), tags, label_all).alias("a")).collect()
+        want = [(None, None, -100)]
+        for w, (t, y) in enumerate(zip(*rows[0])):
+            for i, p in enumerate(tok.encode(t, add_special_tokens=False).tokens or [""]):
+                first = -100 if y == "NA" else tags.index(y)
+                want.append((p, w, first if i == 0 else -100 if not label_all or y == "NA" else tags.index("I" + y[1:] if y[0] == "B" else y)))
+        assert [tuple(x) for x in got[0].a] == [*want, (None, None, -100)] and len(got[1].a) == 2
+
+
 def test_recall_threshold(spark):
     df = spark.createDataFrame([(0.9, True), (0.8, False), (0.7, True), (0.1, True)], "score double, truth boolean")
     r = scores.recall_threshold(df, 0.5).first()

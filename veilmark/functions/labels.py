@@ -40,6 +40,52 @@ def map_tag(t: Column, notation: str, types: dict[str, str]) -> Column:
     return F.when(t.isNull(), F.lit(None)).otherwise(F.coalesce(got, F.raise_error(F.concat(F.lit("no mapping for the tag "), t)).cast("string")))
 
 
+def map_label(label: Column, types: dict[str, str]) -> Column:
+    """A span's type under a projection of types; unknown types raise an error."""
+    return F.coalesce(F.element_at(_literal(types), label), F.raise_error(F.concat(F.lit("no mapping for the type "), label)).cast("string"))
+
+
+def map_spans(spans: Column, types: dict[str, str]) -> Column:
+    """Spans under a projection of types; those that become O stay, as O."""
+    return F.transform(spans, lambda s: s.withField("label", map_label(s["label"], types)))
+
+
+def label_ids(tags: list[str]) -> dict[str, int]:
+    """Ids of tags, by their place in the vocabulary."""
+    return {t: i for i, t in enumerate(tags)}
+
+
+def tag_id(t: Column, ids: dict[str, int]) -> Column:
+    """A tag's id; tags that aren't in the vocabulary raise an error."""
+    got = F.element_at(F.create_map(*[F.lit(x) for kv in ids.items() for x in kv]), t)
+    return F.coalesce(got, F.raise_error(F.concat(F.lit("no id for the tag "), t)).cast("int"))
+
+
+def inner_ids(tags: list[str]) -> dict[int, int]:
+    """For the id of a first tag that of the inner tag of its type, where there is one; others stay as they are."""
+    ids = label_ids(tags)
+    return {i: ids.get(f"I-{t[2:]}", i) if t[:1] == "B" and t[1:2] == "-" else i for t, i in ids.items()}
+
+
+FORBIDDEN = "OTHERISSUE"
+
+
+def checked(t: Column) -> Column:
+    """A tag; one of the type that marks an open question of annotation raises an error."""
+    return F.when(F.substring(t, 3, 1 << 20) == FORBIDDEN, F.raise_error(F.lit(f"spans of type {FORBIDDEN} are to be settled first")).cast("string")).otherwise(t)
+
+
+def default_tags(tokens: Column, mode: str, notation: str, spans: Column | None = None) -> Column:
+    """Tags of tokens for a mode: by their spans to train, O throughout to predict."""
+    if mode == "predict":
+        return F.transform(tokens, lambda _: F.lit("O"))
+    if mode != "train":
+        raise ValueError(f"mode: train or predict, not {mode!r}")
+    if spans is None:
+        raise ValueError("spans are needed to train")
+    return F.transform(tag_tokens(tokens, spans, notation), checked)
+
+
 def strip_prefix(t: Column) -> Column:
     """The type of a tag; O stays."""
     return F.when(t == "O", t).otherwise(F.substring(t, 3, 1 << 20))

@@ -33,3 +33,8 @@ def label_vocabulary(notation: str, types: list[str] = NER_TYPES) -> list[str]:
 def label_map(notation: str, types: dict[str, str]) -> dict[str, str]:
     """Tags under a projection of types; a type that becomes O loses its prefix."""
     return {"O": "O"} | {f"{p}-{t}": "O" if to == "O" else f"{p}-{to}" for p in prefixes(notation) for t, to in types.items()}
+
+
+def mapped_types(types: dict[str, str]) -> list[str]:
+    """The types that a projection leaves, without O, in order."""
+    return sorted(set(types.values()) - {"O"})

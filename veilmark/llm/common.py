@@ -25,9 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Intermediates written so far, for ``release``.
+_written: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediates that this process has written: for callers whose results are written and read again."""
+    while _written:
+        drop_path(spark, _written.pop())
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -113,6 +125,23 @@ def free_name(df: DataFrame, name: str) -> str:
     return next(n for n in (f"{name}_{i}" for i in range(len(taken) + 1)) if n.lower() not in taken)
 
 
+#: Bits of a bitmap of values that are looked for: 256 KB, whatever their number.
+BITMAP = 1 << 21
+
+
+def among(values: DataFrame) -> Callable[[Column], Column] | None:
+    """Whether a value may be one of ``values`` (one column), by a bitmap of fixed size: true for all of them, and for few others as long as there are
+    fewer than bits; None if there are none."""
+    slot = lambda v: F.pmod(F.xxhash64(v), F.lit(BITMAP))
+    at = values.select(slot(F.col(values.columns[0])).alias("s"))
+    words = at.groupBy((F.col("s") / 64).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("w")).collect()  # BITMAP / 64 rows at most
+    if not words:
+        return None
+    held = {r["i"]: r["w"] for r in words}
+    bits = F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(BITMAP // 64))), ",").cast("array<bigint>")
+    return lambda v: F.getbit(F.get(bits, (slot(v) / 64).cast("int")), (slot(v) % 64).cast("int")) == 1
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Names a document by its id and text, in 128 bits: equal rows share it."""
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("binary")))

@@ -24,8 +24,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import mapped, materialise, row_key
+from veilmark.llm.common import among, mapped, materialise, row_key
 from veilmark.llm.graph import classes_of, components
+from veilmark.llm.simhash import majority
 
 SHINGLE, NUM, DEN, SEED = 5, 4, 5, 42
 #: Documents of the sample, about, and frequent shingles that are told apart.
@@ -58,15 +59,16 @@ def sampled(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 
 def keyed(batches: Iterator[pa.RecordBatch], k: int, known: bytes, often: bytes) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, set, n, keys) of (row, doc_id, text).  known, often: the frequent shingles, sorted, and their counts."""
+    """(row, doc_id, set, n, fp, keys) of (row, doc_id, text); fp is the set's SimHash fingerprint.  known, often: the frequent shingles, sorted, and their counts."""
     f, c = np.frombuffer(known, np.uint64), np.frombuffer(often, np.int64)
     for b in batches:
         for at in range(0, b.num_rows, 500):
-            part, ids, ns, keys = b.slice(at, 500), [], [], []
+            part, ids, ns, fps, keys = b.slice(at, 500), [], [], [], []
             for x in part.column(2).to_pylist():
                 s = shingles(x, k)
                 ids.append(set_id(s))
                 ns.append(len(s))
+                fps.append(majority(s))
                 if len(f) and len(s):
                     i = np.minimum(np.searchsorted(f, s), len(f) - 1)
                     ordered = s[np.lexsort((s, np.where(f[i] == s, c[i], 0)))]
@@ -75,7 +77,7 @@ def keyed(batches: Iterator[pa.RecordBatch], k: int, known: bytes, often: bytes)
                 keys.append(ordered[: len(s) - -(-len(s) * NUM // DEN) + 1].view(np.int64))
             ends = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), lists], names=["row", "doc_id", "set", "n", "keys"])
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], names=["row", "doc_id", "set", "n", "fp", "keys"])
 
 
 def whole(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -103,7 +105,7 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, hints: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(row, doc_id, component_id, stays), a row for each document, ``stays`` for one row of each class: component_id is the smallest doc_id that links lead to.
 
-    ``hints``: of the table of distinct sets (set, row, least, n, keys), pairs (a, b) of sets to look at first."""
+    ``hints``: of the table of distinct sets (set, row, least, n, fp, keys), pairs (a, b) of sets to look at first."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = src.withColumn("row", row_key())
     every = max(1, round(src.count() / SAMPLE))
@@ -111,8 +113,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, hints: Callable[[DataFram
     top = some.groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(FREQUENT).collect()
     s, c = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
     order = np.argsort(s)
-    sets = materialise(mapped(rows.select("row", "doc_id", "text"), keyed, "row binary, doc_id long, set long, n long, keys array<long>", k=k, known=s[order].tobytes(), often=c[order].tobytes()), "sets")
-    distinct = materialise(sets.groupBy("set").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
+    sets = materialise(mapped(rows.select("row", "doc_id", "text"), keyed, "row binary, doc_id long, set long, n long, fp long, keys array<long>", k=k, known=s[order].tobytes(), often=c[order].tobytes()), "sets")
+    distinct = materialise(sets.groupBy("set").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "distinct")
 
     keys = distinct.select(F.col("set").alias("id"), "n", F.posexplode("keys").alias("pos", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
@@ -123,13 +125,14 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, hints: Callable[[DataFram
         return left * (NUM + DEN) >= (a["n"] + b["n"]) * NUM
 
     first = hints(distinct) if hints else None
-    ids = members.select("id") if first is None else members.select("id").unionByName(first.select(F.explode(F.array("a", "b")).alias("id")))
-    ids = materialise(ids.distinct().withColumnRenamed("id", "set"), "candidates")
-    of = distinct.join(ids, "set", "left_semi").select(F.col("row").alias("row"))
-    full = mapped(rows.join(of, "row", "left_semi").select("text"), whole, "set long, all binary", k=k)
-    full = materialise(full.dropDuplicates(["set"]), "whole-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+        of = materialise(distinct.select("set", "row").join(ids, "set", "left_semi").select("row"), "candidates")
+        asked = among(of)
+        texts = rows.limit(0) if asked is None else rows.where(asked(F.col("row"))).join(of, "row", "left_semi").dropDuplicates(["row"])
+        full = mapped(texts.select("text"), whole, "set long, all binary", k=k)
+        full = materialise(full, "whole-sets")
         x, y = (full.select(F.col("set").alias(side), F.col("all").alias(f"all_{side}")) for side in "ab")
         return mapped(pairs.join(x, "a").join(y, "b").select("a", "b", "all_a", "all_b"), verify, "a long, b long")
 

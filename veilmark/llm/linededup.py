@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from veilmark.llm.common import free_name, mapped, materialise, row_key
 from veilmark.llm.graph import classes_of, components
 
-EDITS, PER_CHARS = 2, 20
+EDITS, PER_CHARS = 2, 32
 #: Lines that share a key from which on they aren't paired with each other at once; lines of a task whose keys were made already and are remembered.
 HOT, SEEN = 32, 200_000
 #: Words for each word edit; the untouched run that leaves (19 words in two parts, at worst), and words of a gram in it.

@@ -21,18 +21,14 @@ entity's terms with equal shares the last in order generalises; an empty table g
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import materialise, row_key
+from veilmark.llm.common import among, materialise, row_key
 from veilmark.llm.spans import joined, matches, ranked
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 GENERALISE, DISCLOSE = 0.75, 0.9
-#: Bits of the bitmap of terms: 256 KB, whatever the number of terms.
-BITMAP = 1 << 21
 _OTHER = r"[^\p{L}]+"
 
 _LOCAL, _DOMAIN = "A-Za-z0-9._%+-", "A-Za-z0-9-"
@@ -78,18 +74,6 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(text, _OTHER), F.lower), lambda t: t != ""))
 
 
-def _among(terms: DataFrame) -> Callable[[Column], Column] | None:
-    """Whether a term may be one of ``terms``; None if there are none."""
-    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(BITMAP))
-    at = terms.select(slot(F.col("term")).alias("s"))
-    words = at.groupBy((F.col("s") / 64).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("w")).collect()  # BITMAP / 64 rows at most
-    if not words:
-        return None
-    held = {r["i"]: r["w"] for r in words}
-    bits = F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(BITMAP // 64))), ",").cast("array<bigint>")
-    return lambda t: F.getbit(F.get(bits, (slot(t) / 64).cast("int")), (slot(t) % 64).cast("int")) == 1
-
-
 _TERMS = "array<struct<start:int,end:int,share:double,removed:boolean,by:string>>"
 
 
@@ -102,7 +86,7 @@ def disclosing(hits: DataFrame, texts: DataFrame, total: int, disclose: float =
     pairs = each.join(entities.select("kind", "value"), ["kind", "value"]).select("hash", "kind", "value", F.explode("terms").alias("term"))
     joint = pairs.groupBy("kind", "value", "term").agg(F.count("*").alias("net"), F.countDistinct("hash").alias("m")).where("m > 1")
     joint = materialise(joint, "joint")
-    asked = _among(joint)
+    asked = among(joint.select("term"))
     if asked is None:
         return None
     counts = texts.select(F.explode(F.filter(_terms(F.col("text")), asked)).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
@@ -130,7 +114,7 @@ def find(docs: DataFrame, disclose: float = DISCLOSE, generalise: float = GENERA
     hits = base.where("values is not null").select("hash", "values", F.col("words").alias("terms"))
     flagged = disclosing(hits, src.select("text"), base.count(), disclose, generalise)
     base, none = base.drop("hash", "values", "words"), F.from_json(F.lit("[]"), _TERMS)
-    asked = None if flagged is None else _among(flagged)
+    asked = None if flagged is None else among(flagged.select("term"))
     if asked is None:
         return base.withColumn("terms", none)
     placed = F.filter(F.transform(matches(text, r"\p{L}++", F.lit(True)), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("term"))), lambda w: asked(w["term"]))

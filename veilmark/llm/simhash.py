@@ -43,6 +43,11 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
     digest, seed = xxhash.xxh64_intdigest, SEED
     h = np.array([digest(buf[a:b], seed) for a, b in spans], "<u8")
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     set_ = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 15):
         set_ += np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -191,12 +196,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def _set_fingerprints(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fps = [fingerprint(x, k) for at in range(0, b.num_rows, 500) for x in b.column(1).slice(at, 500).to_pylist()]
-        yield pa.record_batch([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["set", "fp"])
-
-
 def distinct_documents(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, k: int = 5) -> DataFrame:
     """The documents, all their columns, of which each class of near-duplicates leaves the one with the smallest id.
 
@@ -208,13 +207,10 @@ def distinct_documents(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOC
 
     some = docs.where("doc_id is not null")
     row = free_name(docs, "row")
-    texts = some.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def close(sets: DataFrame) -> DataFrame:
-        named = texts.withColumn("row", row_key()).join(sets.select("row", "set"), "row").select("set", "text").dropDuplicates(["set"])
-        fps = materialise(mapped(named, _set_fingerprints, "set long, fp long", k=k), "set-fingerprints")
-        least = fps.groupBy("fp").agg(F.min("set").alias("least"))
-        same = fps.join(least, "fp").where("set <> least").select(F.col("least").alias("a"), F.col("set").alias("b"))
+        least = materialise(sets.groupBy("fp").agg(F.min("set").alias("least")), "set-fingerprints")
+        same = sets.select("set", "fp").join(least, "fp").where("set <> least").select(F.col("least").alias("a"), F.col("set").alias("b"))
         far = materialise(links(least.select("fp"), radius, blocks), "close").join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
         return same.unionByName(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 

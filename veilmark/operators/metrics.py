@@ -61,14 +61,37 @@ def confusion(tokens: DataFrame, types: list[str], truth: str = "truth", pred: s
     return out
 
 
-def flatten(report: DataFrame, scope: str, description: str = "") -> DataFrame:
-    """(name, value): a metric a row, named label, scope and description, for reports of several maps to be put together."""
-    long_ = report.unpivot(["label"], ["precision", "recall", "f1", "support"], "metric", "value") if dict(report.dtypes).get("support") == "double" else report.withColumn("support", F.col("support").cast("double")).unpivot(["label"], ["precision", "recall", "f1", "support"], "metric", "value")
-    parts = [F.concat_ws("-", "label", *([F.lit(scope)] if scope else [])), F.col("metric"), *([F.lit(description)] if description else [])]
-    return long_.select(F.concat_ws("_", *parts).alias("name"), "value")
+_METRIC = r"^(.*)_(precision|recall|f1|number)$"
+
+
+def report(spans: DataFrame, tokens: DataFrame, violations: DataFrame, description: str = "", beta: float = 1.0, zero: float = 0.0) -> DataFrame:
+    """(name, value), a metric a row: by type, micro and macro averages, of spans and of tokens, and the number of violations.
+
+    ``spans``, ``tokens``: counters (label, tp, predicted, actual); ``violations``: (violations) a note."""
+    out = None
+
+    def add(rows: DataFrame) -> None:
+        nonlocal out
+        out = rows if out is None else out.unionByName(rows)
+
+    for counts, scope in ((spans, ""), (tokens, "TOKEN")):
+        own = scores(counts, beta, zero).withColumn("name", F.concat_ws("-", "label", *([F.lit(scope)] if scope else [])))
+        add(_named(own, {"precision": "precision", "recall": "recall", "f1": "f1", "number": "support"}))
+        mean = averages(counts, beta, zero).where("average <> 'weighted'")
+        token = "token-" if scope else ""
+        name = F.when(F.col("average") == "micro", f"{token}overall{description}").otherwise(f"macro-{token}overall{description}")
+        add(_named(mean.withColumn("name", name), {m: m for m in ("precision", "recall", "f1")}))
+    total = violations.agg(F.coalesce(F.sum("violations"), F.lit(0)).cast("double").alias("count")).withColumn("name", F.lit(f"violations{description}"))
+    add(_named(total, {"count": "count"}))
+    return out
+
+
+def _named(rows: DataFrame, values: dict[str, str]) -> DataFrame:
+    wide = rows.select("name", *[F.col(c).cast("double").alias(m) for m, c in values.items()])
+    return wide.unpivot(["name"], list(values), "metric", "value").select(F.concat_ws("_", "name", "metric").alias("name"), "value")
 
 
 def pivot(flat: DataFrame) -> DataFrame:
-    """(entity, precision, recall, f1, support) from flat names."""
-    e = flat.select(F.regexp_extract("name", r"^(.*)_(precision|recall|f1|support)", 1).alias("entity"), F.regexp_extract("name", r"^(.*)_(precision|recall|f1|support)", 2).alias("m"), "value")
-    return e.groupBy("entity").pivot("m", ["precision", "recall", "f1", "support"]).agg(F.first("value"))
+    """(entity, precision, recall, f1, number) from flat names."""
+    e = flat.select(F.regexp_extract("name", _METRIC, 1).alias("entity"), F.regexp_extract("name", _METRIC, 2).alias("m"), "value")
+    return e.where("m <> ''").groupBy("entity").pivot("m", ["precision", "recall", "f1", "number"]).agg(F.first("value"))

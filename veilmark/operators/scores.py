@@ -70,6 +70,22 @@ def post_process(name: str, v: Column, o: int, threshold: float | None = None) -
     return POST_PROCESS[name](v, o, threshold)
 
 
+def decoded(df: DataFrame, name: str, tags: list[str], threshold: float | None = None, notation: str = "BILOU", predictions: str = "predictions", labels: str = "labels") -> DataFrame:
+    """Note rows with ``labels`` (ids) and ``predictions`` (a score vector a place) as tags, without the places that are ignored.
+
+    ``name``: argmax, threshold_max, threshold_sum, logits (vectors stay), or crf (the best legal path)."""
+    names = F.array(*[F.lit(t) for t in tags])
+    kept = F.transform(F.filter(labels, lambda y: y != IGNORED), lambda y: names[y])
+    if name == "crf":
+        own = viterbi(df, predictions, notation, tags, "__path", labels)
+        return own.withColumn(labels, kept).withColumn(predictions, F.col("__path")).drop("__path")
+    o = tags.index("O")
+    own = F.transform(unmasked(F.col(predictions), F.col(labels)), lambda v: post_process(name, v, o, threshold))
+    # ignored places are taken out by the labels as they were
+    out = own if name == "logits" else F.transform(own, lambda i: names[i.cast("int")])
+    return df.withColumns({predictions: out, labels: kept})
+
+
 def recall_threshold(scores: DataFrame, recall: float, parts: int = 64) -> DataFrame:
     """(precision, recall, threshold): the highest threshold whose recall exceeds ``recall``; no row if none does.
 

@@ -47,6 +47,37 @@ def report(rows: DataFrame) -> DataFrame:
     return out
 
 
+def overview(rows: DataFrame, group: str) -> DataFrame:
+    """(split, notes, groups, label, n, percent, place) of (split, group, label), a row for each span and for each note without one: labels of a split by falling
+    count (by name where counts are equal), with the split's notes and groups beside them; ``total`` for all splits."""
+    both = rows.unionByName(rows.withColumn("split", F.lit("total")))
+    size = both.groupBy("split").agg(F.countDistinct("note").alias("notes"), F.countDistinct(group).alias("groups"))
+    n = both.where("label is not null").groupBy("split", "label").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("split")  # a row for each label
+    n = n.select("*", (100 * F.col("n") / F.sum("n").over(w)).alias("percent"), F.row_number().over(w.orderBy(F.desc("n"), "label")).cast("long").alias("place"))
+    return size.join(n, "split", "left").select("split", "notes", "groups", "label", "n", "percent", "place")
+
+
+def top_label(spans: DataFrame, group: str) -> DataFrame:
+    """(group, label, n): the commonest label of each group, the first by name of equally common ones."""
+    n = spans.where("label is not null").groupBy(group, "label").agg(F.count("*").alias("n"))
+    best = n.groupBy(group).agg(F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("b"))
+    return best.select(group, "b.label", (-F.col("b.m")).alias("n"))
+
+
+def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows in an order; fewer rows than that raise an error."""
+    out = df.orderBy(order).limit(n)
+    have = out.agg(F.count("*").alias("have"))
+    enough = have.select(F.when(F.col("have") < n, F.raise_error(F.lit(f"fewer than {n} rows")).cast("boolean")).otherwise(F.lit(True)).alias("enough"))
+    return out.join(F.broadcast(enough)).where("enough").drop("enough")  # one row
+
+
+def shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """The rows in an order that depends on the seed and each row's key alone, so it's the same however the rows are spread; adds that order's ``shuffle_key``."""
+    return df.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))).orderBy("shuffle_key", key)
+
+
 def greedy(groups: list[tuple[str, dict[str, int]]], weights: dict[str, float], margin: float, seed: int = 41) -> dict[str, str]:
     """Splits drawn one group at a time, on the driver, for corpora of few groups: a draw is taken if every label of the group keeps its
     share of that split within its share of the corpus and the margin; after two refusals, or where the other weights are 0, any draw is."""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.functions.labels import tag
+from veilmark.functions.labels import map_label, map_tag, strip_prefix, tag
 from veilmark.functions.text import tokens
 from veilmark.operators import metrics
-from veilmark.operators.entities import absorb_signs, entities, relax
+from veilmark.operators.entities import absorb_signs, entities, lenient_entities, relax, violations
 from veilmark.operators.redact import redact
 from veilmark.sources.notes import RunConfig
 
@@ -39,15 +39,21 @@ def deidentify(docs: DataFrame, key: list[str], config: RunConfig | None = None)
     return out.select(*key, redact(F.col("text"), F.col("entities"), config.strategy, config.keep_age).alias("deid_text"))
 
 
-def evaluate(gold: DataFrame, predicted: DataFrame, key: list[str], maps: dict[str, dict[str, str]] | None = None) -> DataFrame:
-    """(description, label, precision, recall, f1, support): span scores under the identity and every label map, with averages."""
+def evaluate(gold: DataFrame, tags: DataFrame, key: list[str], notation: str = "BILOU", maps: dict[str, dict[str, str]] | None = None, mode: str = "strict", zero: float = 0.0) -> DataFrame:
+    """(name, value): the metrics of ``metrics.report`` as tagged, and under every projection of types, by its name.
+
+    ``gold``: key, label, start, end; ``tags``: key, idx, start, end, and ``truth`` and ``tag``, both tags of the notation.  ``mode``: strict takes well-formed entities only,
+    default any run of a type."""
+    if mode not in ("strict", "default"):
+        raise ValueError(f"mode: strict or default, not {mode!r}")
     out = None
     for name, m in ({"": {}} | (maps or {})).items():
-        both = [gold, predicted]
+        g, t = gold, tags
         if m:
-            to = F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
-            both = [d.withColumn("label", F.coalesce(F.element_at(to, F.col("label")), F.col("label"))).where("label <> 'O'") for d in both]
-        counts = metrics.span_counts(*both, key)
-        own = metrics.scores(counts).unionByName(metrics.averages(counts).withColumnRenamed("average", "label")).withColumn("description", F.lit(name))
+            g = gold.withColumn("label", map_label(F.col("label"), m)).where("label <> 'O'")
+            t = tags.withColumns({c: map_tag(F.col(c), notation, m) for c in ("truth", "tag")})
+        p = entities(t, key, notation) if mode == "strict" else lenient_entities(t, key)
+        types = t.select(strip_prefix(F.col("truth")).alias("truth"), strip_prefix(F.col("tag")).alias("pred"))
+        own = metrics.report(metrics.span_counts(g, p, key), metrics.token_counts(types), violations(t, key, notation), name, zero=zero)
         out = own if out is None else out.unionByName(own)
     return out

@@ -209,8 +209,15 @@ def q18_span_dedupe(spark, d):
 
 
 def q19_validation_spans(spark, d):
-    g = _gold(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("s"))
-    return g.select("doc_id", F.array_join(F.transform("s", lambda s: F.concat_ws(":", s["start"], s["end"], s["label"])), ",").alias("note_spans"))
+    from veilmark.sources.notes import validation_spans
+
+    v = validation_spans(_gold_notes(spark, d).select(F.struct(F.col("doc_id").alias("note_id")).alias("meta"), "spans"))
+    return v.select(F.col("note_id").alias("doc_id"), F.array_join(F.transform("note_spans", lambda s: F.concat_ws(":", s["start"], s["end"], s["label"])), ",").alias("note_spans"))
+
+
+def _gold_notes(spark, d):
+    """(doc_id, spans) of the documents with an entity."""
+    return _gold(spark, d).groupBy("doc_id").agg(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("start", "end")], "label")).alias("spans"))
 
 
 def q20_note_aggregate(spark, d):
@@ -370,10 +377,10 @@ def q38_crf_transitions(spark, d):
 
 
 def q39_conll(spark, d):
-    t = tagged(_docs(spark, d), KEY, "BILOU")
-    line = F.concat_ws(" ", "token", "tag", F.to_json(F.struct("start", "end")))
-    s = t.groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))).alias("a"))
-    return s.select("doc_id", "sent", F.md5(F.array_join(F.transform("a", lambda x: x["line"]), "\n")).alias("conll_md5"))
+    from veilmark.sources.notes import conll
+
+    rows = context.sentence_rows(_notes(spark, d, "BILOU"), KEY, budget=1 << 20, before=0, after=0, info=["start", "end"])
+    return rows.select("doc_id", "sent", F.md5(conll(F.col("tokens"), F.col("labels"), F.col("current_sent_info"))).alias("conll_md5"))
 
 
 def q40_conversation_redact(spark, d):
@@ -388,6 +395,284 @@ def q41_stream_redact(spark, d):
     return redact_stream(_docs(spark, d), "replace_informative").select("doc_id", "deid_text")
 
 
+def _temporary(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query writes and reads again: in the folder that all executors share, or a local one where the executors are the driver's threads."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="veilmark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q42_json_splits(spark, d):
+    """Notes written as JSON lines by split, and read again by the splits' names."""
+    from veilmark.sources.notes import load_splits, write_splits
+
+    n = _docs(spark, d).join(_gold_notes(spark, d), "doc_id", "left").withColumn("split", split.bucket(F.col("doc_id").cast("string"), WEIGHTS))
+    none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,label:string>>")
+    path = _temporary(spark, "splits")
+    write_splits(n.select("text", F.struct(F.col("doc_id").cast("string").alias("note_id"), F.lit("p").alias("patient_id")).alias("meta"), F.coalesce("spans", none).alias("spans"), "split"), path)
+    out = None
+    for name, notes in load_splits(spark, {s: f"{path}/split={s}" for s in WEIGHTS}).items():
+        own = notes.select(F.col("meta.note_id").cast("long").alias("doc_id"), F.lit(name).alias("split"), F.md5("text").alias("text_md5"), F.size("spans").cast("long").alias("n_spans"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def q43_conll_file(spark, d):
+    """What the CoNLL sink writes, read as text: lines by label, and empty lines between sentences."""
+    from veilmark.sources.notes import write_conll
+
+    path = _temporary(spark, "conll")
+    write_conll(context.sentence_rows(_notes(spark, d, "BILOU"), KEY, budget=1 << 20, before=0, after=0), path)
+    label = F.when(F.col("value") == "", "").otherwise(F.regexp_extract("value", r"^\S+ (\S+) \{", 1))
+    return spark.read.text(path).groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+
+
+def q44_span_tags(spark, d):
+    from veilmark.functions.labels import default_tags
+
+    n = X.note_tokens(_docs(spark, d), KEY).join(_gold_notes(spark, d), "doc_id")
+    tags = default_tags(F.col("tokens"), "train", "BIOES", F.col("spans"))
+    return n.select("doc_id", F.posexplode(tags).alias("idx", "tag")).select("doc_id", *_long("idx"), "tag")
+
+
+def q45_predict_rows(spark, d):
+    """Sentence rows to predict: O, and NA for context."""
+    from veilmark.functions.labels import default_tags
+
+    n = X.note_tokens(_docs(spark, d), KEY)
+    n = n.withColumn("tokens", F.zip_with("tokens", default_tags(F.col("tokens"), "predict", "BILOU"), lambda t, y: t.withField("tag", y)))
+    return _row_digest(context.sentence_rows(n, KEY, 64, 8, 16, 16))
+
+
+def _row_digest(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "sent", "part", *_long("start", "end"), F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"), F.md5(F.array_join("labels", " ")).alias("labels_md5"), F.size("current_sent_info").cast("long").alias("n_own"))
+
+
+def q46_train_rows(spark, d):
+    return _row_digest(context.sentence_rows(_notes(spark, d, "BILOU"), KEY, 32, 8, 32, 32))
+
+
+def q47_label_context_rows(spark, d):
+    """Context tokens with their own labels."""
+    return _row_digest(context.sentence_rows(_notes(spark, d, "BIO"), KEY, 128, 32, 32, 32, context_labels="label"))
+
+
+def q48_span_fix(spark, d):
+    """Spans with the blanks beside them, put back to their tokens."""
+    g = _gold_notes(spark, d).join(X.note_tokens(_docs(spark, d), KEY), "doc_id").join(_docs(spark, d), "doc_id")
+    blank = lambda at: F.substr(F.col("text"), at, F.lit(1)).isin(" ", "\n").cast("int")
+    wide = F.transform("spans", lambda s: F.struct((s["start"] - F.when(s["start"] > 0, blank(s["start"])).otherwise(0)).alias("start"), (s["end"] + F.coalesce(blank(s["end"] + 1), F.lit(0))).alias("end"), s["label"].alias("label")))
+    starts, ends = F.transform("tokens", lambda t: t["start"].cast("int")), F.transform("tokens", lambda t: t["end"].cast("int"))
+    return g.select("doc_id", F.inline(spans.fix(F.col("text"), wide, starts, ends))).select("doc_id", *_long("start", "end"), "label")
+
+
+def q49_span_strip(spark, d):
+    """One leading blank and all trailing ones taken off spans that reach two characters too far."""
+    g = _gold(spark, d).where("start > 1").join(_docs(spark, d), "doc_id")
+    wide = F.struct((F.col("start") - 2).cast("int").alias("start"), (F.col("end") + 2).cast("int").alias("end"), "label")
+    return g.select("doc_id", "ent", spans.strip_blanks(F.col("text"), wide).alias("s")).select("doc_id", "ent", *[F.col(f"s.{c}").cast("long").alias(c) for c in ("start", "end")])
+
+
+def q50_split_targets(spark, d):
+    """Groups wanted of each split, in whole numbers."""
+    n = spark.read.parquet(f"{d}/documents.parquet").count()
+    return spark.createDataFrame(list(split.targets(n, {"train": 66.6, "validation": 16.7, "test": 16.7}).items()), "split string, target long")
+
+
+def q51_split_overview(spark, d):
+    s = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source").join(_gold(spark, d).select("doc_id", "label"), "doc_id", "left")
+    o = split.overview(s.select(split.bucket(F.col("source"), WEIGHTS).alias("split"), "source", F.col("doc_id").alias("note"), "label"), "source")
+    return o.select("split", "notes", "groups", "label", "n", F.round("percent", 6).alias("percent"), "place")
+
+
+def q52_top_label(spark, d):
+    return split.top_label(_span_labels(spark, d), "source")
+
+
+def q53_first_n(spark, d):
+    return split.first_n(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source"), "doc_id", 100)
+
+
+def q54_shuffle(spark, d):
+    return split.shuffle(spark.read.parquet(f"{d}/documents.parquet").select("doc_id"), "doc_id", 41)
+
+
+def _truth(spark, d, notation="BILOU"):
+    return _tags(spark, d, notation).withColumn("truth", tag(F.col("k"), F.col("n"), F.col("label"), notation))
+
+
+MAPS = {"PHI": {"EMAIL": "PHI", "ID": "PHI", "PHONE": "O"}}
+
+
+def _evaluation(spark, d, **more):
+    from veilmark.plans.pipeline import evaluate
+
+    return evaluate(_gold(spark, d), _truth(spark, d), KEY, maps=MAPS, **more)
+
+
+def q55_evaluation_report(spark, d):
+    return _evaluation(spark, d).select("name", F.round("value", 9).alias("value"))
+
+
+def q56_report_table(spark, d):
+    t = metrics.pivot(_evaluation(spark, d))
+    return t.where("entity not like 'violations%'").select("entity", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "number")])
+
+
+def q57_entities_lenient(spark, d):
+    return entities.lenient_entities(_tags(spark, d), KEY).select("doc_id", "label", "start", "end")
+
+
+def q58_entities_bio(spark, d):
+    return entities.entities(_tags(spark, d, "BIO"), KEY, "BIO").select("doc_id", "label", "start", "end")
+
+
+def q59_entities_bioes(spark, d):
+    return entities.entities(_tags(spark, d, "BIOES"), KEY, "BIOES").select("doc_id", "label", "start", "end")
+
+
+def q60_whole_note(spark, d):
+    return X.sentencizer("note")(_docs(spark, d), KEY).select("doc_id", "pos", F.md5("piece").alias("piece_md5"), "start", "end")
+
+
+def q61_squeeze_blanks(spark, d):
+    """Whole lines as tokens, so that they hold blanks."""
+    n = X.pieces(_docs(spark, d), r"(?:[^\n]+|\n)", KEY).where("piece <> '\n'")
+    return n.select("doc_id", "pos", F.md5(X.squeeze(F.col("piece"))).alias("token_md5"))
+
+
+def q62_chunker(spark, d):
+    t = X.chunks(F.transform("tokens", lambda t: t["token"]), 50)
+    return X.note_tokens(_docs(spark, d), KEY).select("doc_id", F.posexplode(t).alias("chunk", "c")).select("doc_id", *_long("chunk"), F.size("c").cast("long").alias("n"), F.md5(F.array_join("c", " ")).alias("chunk_md5"))
+
+
+VOCABULARY = label_vocabulary("BILOU", ["EMAIL", "ID", "PHONE"])
+
+
+def _pieces(spark, d, label_all=False):
+    from veilmark.operators import subwords
+
+    rows = context.sentence_rows(_notes(spark, d, "BILOU"), KEY, 128, 32, 8, 8)
+    return rows.select("doc_id", "sent", "part", subwords.align(subwords.rule_pieces(F.col("tokens")), F.col("labels"), VOCABULARY, label_all).alias("a"))
+
+
+def _piece_digest(rows: DataFrame) -> DataFrame:
+    join = lambda f: F.md5(F.array_join(F.transform("a", f), ","))
+    return rows.select("doc_id", "sent", "part", F.size("a").cast("long").alias("n"), join(lambda x: F.coalesce(x["piece"], F.lit("-"))).alias("pieces_md5"), join(lambda x: x["label"].cast("string")).alias("labels_md5"), join(lambda x: F.coalesce(x["word"].cast("string"), F.lit("-"))).alias("words_md5"))
+
+
+def q63_subword_labels(spark, d):
+    return _piece_digest(_pieces(spark, d))
+
+
+def q64_subword_labels_all(spark, d):
+    return _piece_digest(_pieces(spark, d, True))
+
+
+def q65_ignored_places(spark, d):
+    """Label ids of pieces, zipped with as many predictions, without the ignored places."""
+    from veilmark.functions.labels import zip_equal
+
+    p = _pieces(spark, d).select("doc_id", "sent", "part", F.transform("a", lambda x: x["label"]).alias("y"), F.transform("a", lambda x, i: i.cast("int")).alias("p"))
+    z = p.select("doc_id", "sent", "part", F.transform(zip_equal(F.col("y"), F.col("p")), lambda z: z["y"]).alias("y"), scores.unmasked(F.col("p"), F.col("y")).alias("kept"))
+    return z.select("doc_id", "sent", "part", F.size("kept").cast("long").alias("n"), F.md5(F.array_join(F.transform("kept", lambda i: i.cast("string")), ",")).alias("kept_md5"))
+
+
+def q66_phi_scores(spark, d):
+    v = _vectors(spark, d)
+    return v.select("vec_id", *[F.round(scores.phi_score(F.col("v"), 0, h), 9).alias(h) for h in ("max", "sum")])
+
+
+TAGS3 = ["B-X", "I-X", "O"]
+
+
+def _emissions(spark, d):
+    """Three places with a vector for each of three tags, and label ids of which the second is ignored in every fifth row."""
+    at = F.array(*[F.slice("v", 3 * i + 1, 3) for i in range(3)])
+    y = F.array(F.lit(2), F.when(F.col("vec_id") % 5 == 0, -100).otherwise(2), F.lit(2))
+    return _vectors(spark, d).select("vec_id", at.alias("predictions"), y.alias("labels"))
+
+
+def q67_crf_decode(spark, d):
+    return scores.decoded(_emissions(spark, d), "crf", TAGS3, notation="BIO").select("vec_id", F.array_join("predictions", " ").alias("path"))
+
+
+def q68_viterbi_second(spark, d):
+    """The second best path of three places and its score."""
+    p = scores.viterbi(_emissions(spark, d), "predictions", "BIO", TAGS3, top_k=2)
+    return p.select("vec_id", F.array_join(F.col("path")[1]["path"], " ").alias("path"), F.round(F.col("path")[1]["score"], 6).alias("score"))
+
+
+def q69_logits(spark, d):
+    """Vectors as they are, without ignored places."""
+    p = scores.decoded(_emissions(spark, d), "logits", TAGS3)
+    return p.select("vec_id", F.size("predictions").cast("long").alias("n"), F.round(F.aggregate(F.flatten("predictions"), F.lit(0.0), lambda a, x: a + x), 9).alias("total"))
+
+
+def q70_decoded_threshold(spark, d):
+    p = scores.decoded(_emissions(spark, d), "threshold_sum", TAGS3, 0.7)
+    return p.select("vec_id", F.array_join("predictions", " ").alias("tags"), F.array_join("labels", " ").alias("labels"))
+
+
+def q71_map_spans(spark, d):
+    from veilmark.functions.labels import map_spans
+
+    s = _gold_notes(spark, d).select("doc_id", F.inline(map_spans(F.col("spans"), MAPS["PHI"])))
+    return s.select("doc_id", *_long("start", "end"), "label")
+
+
+def q72_strip_prefix(spark, d):
+    from veilmark.functions.labels import checked, strip_prefix
+
+    return _tags(spark, d).groupBy(strip_prefix(checked(F.col("tag"))).alias("type")).agg(F.count("*").alias("n"))
+
+
+def q73_label_ids(spark, d):
+    """The vocabulary with ids, and the types that a projection leaves."""
+    from veilmark.functions.schema import mapped_types
+
+    ids = [(t, i, "tag") for i, t in enumerate(VOCABULARY)] + [(t, i, "type") for i, t in enumerate(mapped_types(MAPS["PHI"]))]
+    return spark.createDataFrame(ids, "name string, id long, kind string")
+
+
+def q74_zero_division(spark, d):
+    """Scores where one type is never predicted, under the policy that counts that as 1."""
+    g = _gold(spark, d)
+    return _rounded(metrics.scores(metrics.span_counts(g, g.where("label <> 'PHONE'"), KEY), zero=1.0), "label")
+
+
+def q75_token_averages(spark, d):
+    return _rounded(metrics.averages(metrics.token_counts(_token_pairs(spark, d))), "average")
+
+
+def q76_violation_total(spark, d):
+    t = _tags(spark, d, "BIOES")
+    return entities.violations(t, KEY, "BIOES").agg(F.sum("violations").alias("violations"))
+
+
+def q77_redact_notes(spark, d):
+    """Entities joined with notes, of which one id occurs twice: the later one counts."""
+    docs = _docs(spark, d)
+    notes = docs.select(F.col("doc_id").cast("string").alias("note_id"), "text", F.lit(1).alias("seq")).unionByName(docs.select(F.col("doc_id").cast("string"), F.lit("an earlier one"), F.lit(0)).toDF("note_id", "text", "seq"))
+    e = _gold(spark, d).groupBy(F.col("doc_id").cast("string").alias("note_id")).agg(F.collect_list(F.struct("start", "end", "label")).alias("entities"))
+    return redact.redact_notes(notes, e, "replace_informative").select(F.col("note_id").cast("long").alias("doc_id"), "deid_text")
+
+
+def q78_label_map_words(spark, d):
+    """The lines of a word list, as they are and in lower case."""
+    from veilmark.sources.notes import abbreviations
+
+    path = _temporary(spark, "words")
+    spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit(" "), F.initcap("source"), F.lit("\n"))).distinct().write.text(path)
+    return spark.createDataFrame([(w,) for w in abbreviations(spark, path)], "word string")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _redact("replace_tag_type")(spark, sf_dir)
 
@@ -458,4 +743,124 @@ SELECT a.tag AS from_tag, b.tag AS to_tag FROM a, b WHERE (a.tag = 'START' AND b
         "q41_stream_redact": f"""WITH a AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_q(X.COVER)}') AS l FROM documents)), b AS (SELECT doc_id, pos, piece, {_LABEL} AS label FROM a),
 c AS (SELECT doc_id, string_agg(CASE WHEN label IS NULL THEN piece ELSE concat('<<', label, ':', piece, '>>') END, '' ORDER BY pos) AS x FROM b GROUP BY doc_id)
 SELECT d.doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(x, ''), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '\\n+', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS deid_text FROM documents d LEFT JOIN c USING (doc_id)""",
-    }
+    } | _more_sql()
+
+
+def _strict_sql(src: str, name: str, first: str, last: str, only: str) -> str:
+    """Relation ``name`` of the well-formed entities of tags."""
+    ends = "f = 'B'" if not last else f"(f = 'B' AND z = '{last}') OR f = '{only}'"
+    inner = "'I'" if not last else f"'I', '{last}'"
+    return f""", {name}a AS (SELECT *, substr(tag, 1, 1) AS p, CASE WHEN tag = 'O' THEN NULL ELSE substr(tag, 3) END AS ty FROM {src}), {name}b AS (SELECT *, lag(p) OVER w AS q, lag(ty) OVER w AS u FROM {name}a WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+{name}c AS (SELECT *, sum(CASE WHEN p IN ({inner}) AND q IN ('B', 'I') AND ty IS NOT DISTINCT FROM u THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM {name}b),
+{name}e AS (SELECT doc_id, ty AS label, arg_min(p, idx) AS f, arg_max(p, idx) AS z, min("start") AS "start", max("end") AS "end" FROM {name}c WHERE ty IS NOT NULL GROUP BY doc_id, run, ty), {name} AS (SELECT doc_id, label, "start", "end" FROM {name}e WHERE {ends})"""
+
+
+def _rows_sql(notation: str, budget: int, chunk: int, before: int, after: int, context_label: str = "'NA'", own: str = "") -> str:
+    """Sentence rows: relation ``rw`` (doc_id, sent, part, start, end, ts, ls, n_own)."""
+    s = _SENT_SQL.replace("least(i, 32)", f"least(i, {before})").replace("- j, 32)", f"- j, {after})")
+    label = own or _tag_sql(notation)
+    return _recursive(s + _parts_sql(budget, chunk, before, after) + f""", lab AS (SELECT doc_id, idx, token, "start", "end", {label} AS tag FROM t),
+rw AS (SELECT p.doc_id, p.sent, p.part, min("start") FILTER (idx >= part_i AND idx < part_j) AS "start", max("end") FILTER (idx >= part_i AND idx < part_j) AS "end", list(token ORDER BY idx) AS ts,
+  list(CASE WHEN idx >= part_i AND idx < part_j THEN tag ELSE {context_label} END ORDER BY idx) AS ls, part_j - part_i AS n_own FROM parts p JOIN lab ON lab.doc_id = p.doc_id AND idx >= part_i - "left" AND idx < part_j + "right" GROUP BY p.doc_id, p.sent, p.part, part_i, part_j)""")
+
+
+_DIGEST = """ SELECT doc_id, sent, part, "start", "end", len(ts) AS n, md5(array_to_string(ts, ' ')) AS tokens_md5, md5(array_to_string(ls, ' ')) AS labels_md5, n_own FROM rw"""
+
+
+def _report_sql() -> str:
+    """All metrics as (name, value): as tagged, and with PHONE as O and all else as PHI."""
+    sql = _T + "," + _SPANS_SQL.split("h AS (")[0].rstrip(",\n ") + _tags_sql() + f", tt AS (SELECT *, {_tag_sql('BILOU')} AS truth FROM v)"
+    parts = []
+    for d, to in (("", "{0}"), ("PHI", "CASE WHEN {0} IN ('EMAIL', 'ID') THEN 'PHI' END")):
+        x = d.lower() or "id"
+        ty = to.format("substr(tag, 3)")
+        sql += f""", m{x} AS (SELECT doc_id, idx, "start", "end", CASE WHEN tag = 'O' OR ({ty}) IS NULL THEN 'O' ELSE concat(substr(tag, 1, 2), {ty}) END AS tag, CASE WHEN truth = 'O' OR ({ty.replace("tag", "truth")}) IS NULL THEN 'O' ELSE {ty.replace("tag", "truth")} END AS truth FROM tt)"""
+        sql += _strict_sql(f"m{x}", f"p{x}", "B", "L", "U")
+        label = to.format("label")
+        sql += f""", g{x} AS (SELECT DISTINCT doc_id, {label} AS label, "start", "end" FROM g WHERE ({label}) IS NOT NULL),
+c{x} AS (SELECT '' AS sc, label, CAST(count(b) FILTER (a IS NOT NULL) AS DOUBLE) AS tp, CAST(count(b) AS DOUBLE) AS pp, CAST(count(a) AS DOUBLE) AS ac FROM (SELECT coalesce(a.label, b.label) AS label, a.label AS a, b.label AS b FROM g{x} a FULL JOIN (SELECT DISTINCT * FROM p{x}) b USING (doc_id, label, "start", "end")) GROUP BY label
+  UNION ALL SELECT '-TOKEN', l, CAST(count(*) FILTER (y = l AND z = l) AS DOUBLE), CAST(count(*) FILTER (z = l) AS DOUBLE), CAST(count(*) FILTER (y = l) AS DOUBLE) FROM (SELECT truth AS y, CASE WHEN tag = 'O' THEN 'O' ELSE substr(tag, 3) END AS z FROM m{x}) k, (SELECT DISTINCT truth AS l FROM m{x} WHERE truth <> 'O' UNION SELECT DISTINCT substr(tag, 3) FROM m{x} WHERE tag <> 'O') GROUP BY l),
+r{x} AS (SELECT *, CASE WHEN pp = 0 THEN 0 ELSE tp / pp END AS p, CASE WHEN ac = 0 THEN 0 ELSE tp / ac END AS r FROM (SELECT * FROM c{x} UNION ALL SELECT sc, '*', sum(tp), sum(pp), sum(ac) FROM c{x} GROUP BY sc)),
+f{x} AS (SELECT *, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f1 FROM r{x}), w{x} AS (SELECT tag, coalesce(lag(tag) OVER (PARTITION BY doc_id ORDER BY idx), 'O') AS b FROM m{x})"""
+        over = "concat(CASE WHEN sc = '' THEN '' ELSE 'token-' END, 'overall" + d + "')"
+        macro = "concat('macro-', CASE WHEN sc = '' THEN '' ELSE 'token-' END, 'overall" + d + "')"
+        for name, c in (("precision", "p"), ("recall", "r"), ("f1", "f1")):
+            parts += [f"SELECT concat(label, sc, '_{name}') AS name, {c} AS value FROM f{x} WHERE label <> '*'", f"SELECT concat({over}, '_{name}'), {c} FROM f{x} WHERE label = '*'", f"SELECT concat({macro}, '_{name}'), avg({c}) FROM f{x} WHERE label <> '*' GROUP BY sc"]
+        parts += [f"SELECT concat(label, sc, '_number'), ac FROM f{x} WHERE label <> '*'"]
+        parts += [f"SELECT 'violations{d}_count', CAST(sum(CASE WHEN tag = 'O' THEN 0 WHEN tag[1] IN ('B', 'U') THEN CASE WHEN b[1] IN ('O', 'L', 'U') THEN 0 ELSE 1 END WHEN b[1] IN ('B', 'I') AND b[3:] = tag[3:] THEN 0 ELSE 1 END) AS DOUBLE) FROM w{x}"]
+    return sql + ", al AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def _piece_sql(label_all: bool) -> str:
+    ids = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(VOCABULARY))
+    later = "CASE y " + " ".join(f"WHEN '{t}' THEN {VOCABULARY.index('I' + t[1:]) if t[0] == 'B' else i}" for i, t in enumerate(VOCABULARY)) + " END" if label_all else "-100"
+    return _rows_sql("BILOU", 128, 32, 8, 8) + f""", e0 AS (SELECT doc_id, sent, part, unnest(ts) AS x, unnest(ls) AS y, generate_subscripts(ts, 1) - 1 AS w FROM rw), e1 AS (SELECT doc_id, sent, part, y, w, unnest(range(CAST(ceil(length(x) / 4.0) AS BIGINT))) AS k, x FROM e0),
+e2 AS (SELECT doc_id, sent, part, w, k, substr(x, CAST(k * 4 + 1 AS BIGINT), 4) AS pc, CASE WHEN y = 'NA' THEN -100 WHEN k = 0 THEN CASE y {ids} END ELSE {later} END AS yl FROM e1),
+al AS (SELECT doc_id, sent, part, list_concat(list_concat(['-'], list(pc ORDER BY w, k)), ['-']) AS ps, list_concat(list_concat([-100], list(yl ORDER BY w, k)), [-100]) AS ys, list_concat(list_concat(['-'], list(CAST(w AS VARCHAR) ORDER BY w, k)), ['-']) AS ws FROM e2 GROUP BY doc_id, sent, part)"""
+
+
+_PIECES = " SELECT doc_id, sent, part, len(ps) AS n, md5(array_to_string(ps, ',')) AS pieces_md5, md5(array_to_string(ys, ',')) AS labels_md5, md5(array_to_string(ws, ',')) AS words_md5 FROM al"
+_PATHS = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), k AS (SELECT unnest([1, 2, 3]) AS k, unnest(['B-X', 'I-X', 'O']) AS n),
+a3 AS (SELECT vec_id, concat(a.n, ' ', b.n, ' ', c.n) AS path, v[a.k] + v[3 + b.k] + v[6 + c.k] AS score FROM e, k a, k b, k c WHERE NOT (a.k = 3 AND b.k = 2) AND NOT (b.k = 3 AND c.k = 2)),
+a2 AS (SELECT vec_id, concat(a.n, ' ', c.n) AS path, v[a.k] + v[6 + c.k] AS score FROM e, k a, k c WHERE NOT (a.k = 3 AND c.k = 2))"""
+
+
+def _more_sql() -> dict[str, str]:
+    g = _T + "," + _SPANS_SQL
+    bucket = lambda c: f"CAST(concat('0x', substr(md5({c}), 1, 4)) AS BIGINT) % 100"
+    ex = "list_transform({0}, lambda a: exp(a - list_max({0})))"
+    tagsum = lambda i: f"(1 - ({ex.format(f'v{i}')})[3] / list_sum({ex.format(f'v{i}')}))"
+    pick = lambda i: f"CASE WHEN {tagsum(i)} >= 0.7 THEN CASE WHEN v{i}[1] >= v{i}[2] THEN 'B-X' ELSE 'I-X' END ELSE 'O' END"
+    return {
+        "q42_json_splits": g + f", k AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) SELECT doc_id, {_SPLIT_SQL} AS split, md5(text) AS text_md5, n_spans FROM (SELECT doc_id, {_MD5_SQL} AS h, coalesce(text, '') AS text, coalesce(n, 0) AS n_spans FROM documents LEFT JOIN k USING (doc_id))",
+        "q43_conll_file": _T + f" SELECT {_tag_sql('BILOU')} AS label, count(*) AS n FROM t GROUP BY ALL UNION ALL SELECT '', count(*) FROM (SELECT DISTINCT doc_id, sent FROM t)",
+        "q44_span_tags": g + """, k AS (SELECT DISTINCT doc_id FROM g) SELECT t.doc_id, t.idx, CASE WHEN g.label IS NULL THEN 'O' ELSE concat(CASE WHEN t."start" = g."start" AND t."end" = g."end" THEN 'S' WHEN t."start" = g."start" THEN 'B' WHEN t."end" = g."end" THEN 'E' ELSE 'I' END, '-', g.label) END AS tag
+FROM t SEMI JOIN k USING (doc_id) LEFT JOIN g ON g.doc_id = t.doc_id AND t."start" >= g."start" AND t."end" <= g."end\"""",
+        "q45_predict_rows": _rows_sql("BILOU", 64, 8, 16, 16, own="'O'") + _DIGEST,
+        "q46_train_rows": _rows_sql("BILOU", 32, 8, 32, 32) + _DIGEST,
+        "q47_label_context_rows": _rows_sql("BIO", 128, 32, 32, 32, "tag") + _DIGEST,
+        "q48_span_fix": g + ' SELECT doc_id, "start", "end", label FROM g',
+        "q49_span_strip": g + """, k AS (SELECT doc_id, ent, "start" - 2 AS s, "end" + 2 AS e, coalesce(text, '') AS text FROM g JOIN documents USING (doc_id) WHERE "start" > 1),
+l AS (SELECT doc_id, ent, s + CASE WHEN regexp_matches(substr(text, CAST(s + 1 AS BIGINT), 1), '^\\s') THEN 1 ELSE 0 END AS s, e, text FROM k)
+SELECT doc_id, ent, s AS "start", s + length(regexp_replace(substr(text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)), '\\s+$', '')) AS "end" FROM l""",
+        "q50_split_targets": "SELECT split, CAST(floor(w * n / 100) AS BIGINT) AS target FROM (SELECT unnest(['train', 'validation', 'test']) AS split, unnest([66.6::DOUBLE, 16.7::DOUBLE, 16.7::DOUBLE]) AS w), (SELECT count(*) AS n FROM documents)",
+        "q51_split_overview": g + f""", k AS (SELECT {_SPLIT_SQL} AS split, source, doc_id, label FROM (SELECT doc_id, source, label, {bucket('source')} AS h FROM documents LEFT JOIN g USING (doc_id))), b AS (SELECT * FROM k UNION ALL SELECT 'total', source, doc_id, label FROM k),
+s AS (SELECT split, count(DISTINCT doc_id) AS notes, count(DISTINCT source) AS groups FROM b GROUP BY split), n AS (SELECT split, label, count(*) AS n FROM b WHERE label IS NOT NULL GROUP BY ALL)
+SELECT split, notes, groups, label, n, round(100.0 * n / sum(n) OVER (PARTITION BY split), 6) AS percent, CASE WHEN label IS NOT NULL THEN row_number() OVER (PARTITION BY split ORDER BY n DESC, label) END AS place FROM s LEFT JOIN n USING (split)""",
+        "q52_top_label": g + ", n AS (SELECT source, label, count(*) AS n FROM documents JOIN g USING (doc_id) GROUP BY ALL) SELECT source, label, n FROM n QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, label) = 1",
+        "q53_first_n": "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100",
+        "q54_shuffle": "SELECT doc_id, md5(concat('41:', doc_id)) AS shuffle_key FROM documents",
+        "q55_evaluation_report": _report_sql() + " SELECT name, round(CAST(value AS DOUBLE), 9) AS value FROM al",
+        "q56_report_table": _report_sql() + """ SELECT regexp_extract(name, '^(.*)_', 1) AS entity, """ + ", ".join(f"round(CAST(max(value) FILTER (name LIKE '%\\_{m}' ESCAPE '\\') AS DOUBLE), 9) AS {m}" for m in ("precision", "recall", "f1", "number")) + " FROM al WHERE name NOT LIKE 'violations%' GROUP BY ALL",
+        "q57_entities_lenient": _T + _tags_sql() + """, a AS (SELECT *, substr(tag, 1, 1) AS p, CASE WHEN tag = 'O' THEN NULL ELSE substr(tag, 3) END AS ty FROM v), b AS (SELECT *, lag(p) OVER w AS q, lag(ty) OVER w AS u FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+c AS (SELECT *, sum(CASE WHEN p IN ('B', 'S', 'U') OR q IN ('E', 'L', 'S', 'U') OR q IS NULL OR q = 'O' OR ty IS DISTINCT FROM u THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM b) SELECT doc_id, ty AS label, min("start") AS "start", max("end") AS "end" FROM c WHERE ty IS NOT NULL GROUP BY doc_id, run, ty""",
+        "q58_entities_bio": _T + _tags_sql("BIO") + _strict_sql("v", "x", "B", "", "") + " SELECT * FROM x",
+        "q59_entities_bioes": _T + _tags_sql("BIOES") + _strict_sql("v", "x", "B", "E", "S") + " SELECT * FROM x",
+        "q60_whole_note": "SELECT doc_id, CAST(0 AS BIGINT) AS pos, md5(coalesce(text, '')) AS piece_md5, CAST(0 AS BIGINT) AS \"start\", length(coalesce(text, '')) AS \"end\" FROM documents",
+        "q61_squeeze_blanks": """WITH a AS (SELECT doc_id, unnest(l) AS piece, CAST(generate_subscripts(l, 1) AS BIGINT) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:[^\\n]+|\\n)') AS l FROM documents))
+SELECT doc_id, pos, md5(CASE WHEN regexp_matches(piece, '([^\\p{L}\\p{N}]){9,}') THEN regexp_replace(piece, '([^\\p{L}\\p{N}]){8,}', '\\1\\1\\1\\1\\1\\1\\1\\1', 'g') ELSE replace(piece, ' ', '-') END) AS token_md5 FROM a WHERE piece <> chr(10)""",
+        "q62_chunker": _T + " SELECT doc_id, CAST(idx // 50 AS BIGINT) AS chunk, count(*) AS n, md5(string_agg(token, ' ' ORDER BY idx)) AS chunk_md5 FROM t GROUP BY doc_id, idx // 50",
+        "q63_subword_labels": _piece_sql(False) + _PIECES,
+        "q64_subword_labels_all": _piece_sql(True) + _PIECES,
+        "q65_ignored_places": _piece_sql(False) + ", f AS (SELECT doc_id, sent, part, list_filter(list_transform(ys, lambda y, i: CASE WHEN y = -100 THEN -1 ELSE i - 1 END), lambda i: i >= 0) AS kept FROM al) SELECT doc_id, sent, part, len(kept) AS n, md5(array_to_string(kept, ',')) AS kept_md5 FROM f",
+        "q66_phi_scores": _SOFT + " SELECT vec_id, round(list_max(q), 9) AS max, round(list_sum(q), 9) AS sum FROM p",
+        "q67_crf_decode": _PATHS + " SELECT vec_id, arg_max(path, score) AS path FROM (SELECT * FROM a3 WHERE vec_id % 5 <> 0 UNION ALL SELECT * FROM a2 WHERE vec_id % 5 = 0) GROUP BY vec_id",
+        "q68_viterbi_second": _PATHS + " SELECT vec_id, path, round(score, 6) AS score FROM a3 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC) = 2",
+        "q69_logits": "SELECT vec_id, CAST(CASE WHEN vec_id % 5 = 0 THEN 2 ELSE 3 END AS BIGINT) AS n, round(list_sum(CASE WHEN vec_id % 5 = 0 THEN list_concat(v[1:3], v[7:9]) ELSE v[1:9] END), 9) AS total FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)",
+        "q70_decoded_threshold": f"WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), f AS (SELECT vec_id, v[1:3] AS v1, v[4:6] AS v2, v[7:9] AS v3 FROM e) SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN concat({pick(1)}, ' ', {pick(3)}) ELSE concat({pick(1)}, ' ', {pick(2)}, ' ', {pick(3)}) END AS tags, CASE WHEN vec_id % 5 = 0 THEN 'O O' ELSE 'O O O' END AS labels FROM f",
+        "q71_map_spans": g + """ SELECT doc_id, "start", "end", CASE WHEN label = 'PHONE' THEN 'O' ELSE 'PHI' END AS label FROM g""",
+        "q72_strip_prefix": _T + _tags_sql() + " SELECT CASE WHEN tag = 'O' THEN 'O' ELSE substr(tag, 3) END AS type, count(*) AS n FROM v GROUP BY ALL",
+        "q73_label_ids": "SELECT name, row_number() OVER (ORDER BY name) - 1 AS id, 'tag' AS kind FROM (SELECT concat(p, '-', y) AS name FROM (SELECT unnest(['B', 'I', 'L', 'U']) AS p), (SELECT unnest(['EMAIL', 'ID', 'PHONE']) AS y) UNION ALL SELECT 'O') UNION ALL SELECT 'PHI', 0, 'type'",
+        "q74_zero_division": g + """, c AS (SELECT label, CAST(count(*) AS DOUBLE) AS n FROM (SELECT DISTINCT doc_id, label, "start", "end" FROM g) GROUP BY label) SELECT label, 1.0::DOUBLE AS precision, CASE WHEN label = 'PHONE' THEN 0.0::DOUBLE ELSE 1.0 END AS recall, CASE WHEN label = 'PHONE' THEN 0.0::DOUBLE ELSE 1.0 END AS f1, CAST(n AS BIGINT) AS support FROM c""",
+        "q75_token_averages": _PAIRS_SQL + """, l AS (SELECT DISTINCT truth AS label FROM w WHERE truth <> 'O' UNION SELECT DISTINCT pred FROM w WHERE pred <> 'O'), n AS (SELECT truth, pred, count(*) AS n FROM w GROUP BY ALL),
+c AS (SELECT label, CAST(sum(CASE WHEN truth = label AND pred = label THEN n ELSE 0 END) AS DOUBLE) AS tp, CAST(sum(CASE WHEN pred = label THEN n ELSE 0 END) AS DOUBLE) AS pp, CAST(sum(CASE WHEN truth = label THEN n ELSE 0 END) AS DOUBLE) AS ac FROM l, n GROUP BY label), a AS (SELECT * FROM c UNION ALL SELECT '*', sum(tp), sum(pp), sum(ac) FROM c),
+m AS (SELECT label, CASE WHEN pp = 0 THEN 0 ELSE tp / pp END AS p, CASE WHEN ac = 0 THEN 0 ELSE tp / ac END AS r, ac FROM a), f AS (SELECT *, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f1 FROM m)
+SELECT 'micro' AS average, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1, CAST(ac AS BIGINT) AS support FROM f WHERE label = '*' UNION ALL SELECT 'macro', round(avg(p), 9), round(avg(r), 9), round(avg(f1), 9), CAST(sum(ac) AS BIGINT) FROM f WHERE label <> '*'
+UNION ALL SELECT 'weighted', round(sum(p * ac) / sum(ac), 9), round(sum(r * ac) / sum(ac), 9), round(sum(f1 * ac) / sum(ac), 9), CAST(sum(ac) AS BIGINT) FROM f WHERE label <> '*'""",
+        "q76_violation_total": _T + _tags_sql("BIOES") + """, a AS (SELECT tag, coalesce(lag(tag) OVER (PARTITION BY doc_id ORDER BY idx), 'O') AS b FROM v)
+SELECT CAST(sum(CASE WHEN tag = 'O' THEN 0 WHEN tag[1] IN ('B', 'S') THEN CASE WHEN b[1] IN ('O', 'E', 'S') THEN 0 ELSE 1 END WHEN b[1] IN ('B', 'I') AND b[3:] = tag[3:] THEN 0 ELSE 1 END) AS BIGINT) AS violations FROM a""",
+        "q77_redact_notes": g + """, f AS (SELECT doc_id, "start" AS s, "end" AS e, label, text, lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY "start") AS prev FROM g JOIN documents USING (doc_id)),
+o AS (SELECT doc_id, any_value(text) AS text, string_agg(concat(substr(text, CAST(prev + 1 AS BIGINT), CAST(s - prev AS BIGINT)), '<<', label, ':', substr(text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)), '>>'), '' ORDER BY s) AS head, max(e) AS last FROM f GROUP BY doc_id)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(concat(head, substr(text, CAST(last + 1 AS BIGINT))), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '\\n+', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS deid_text FROM o""",
+        "q78_label_map_words": "SELECT DISTINCT w AS word FROM (SELECT unnest([concat(upper(source[1]), lower(source[2:])), lower(source)]) AS w FROM documents WHERE source <> '')",
+    }
