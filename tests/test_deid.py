@@ -109,8 +109,8 @@ def test_scores(spark):
 
 def test_viterbi_takes_the_best_legal_path(spark):
     tags = ["B-X", "I-X", "O"]
-    df = spark.createDataFrame([([[0.0, 5.0, 1.0], [0.0, 5.0, 0.0]],)], "s array<array<double>>")
-    assert scores.viterbi(df, "s", "BIO", tags).first()["path"] == ["B-X", "I-X"]
+    df = spark.createDataFrame([([[0.0, 1.0, 2.0], [0.0, 5.0, 0.0]],)], "s array<array<double>>")
+    assert scores.viterbi(df, "s", "BIO", tags).first()["path"] == ["I-X", "I-X"]  # not O before I-X
 
 
 def test_legal_transitions():
