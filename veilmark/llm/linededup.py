@@ -217,19 +217,32 @@ def _pack(keys: np.ndarray, ids: np.ndarray, kind: int, bucket: np.ndarray) -> l
     return [(int(bucket[order[a]]), kind, keys[order[a : a + n]].tobytes(), ids[order[a : a + n]].tobytes()) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
+def _hot(same: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows have a key that more than ``HOT`` different lines have, which rows are the first of their key and line, and a row of each hot key."""
+    order = np.lexsort((ids, same))
+    k, i = same[order], ids[order]
+    key = np.ones(len(k), bool)
+    key[1:] = k[1:] != k[:-1]
+    new = key.copy()
+    new[1:] |= i[1:] != i[:-1]
+    group = np.cumsum(key) - 1
+    many = np.bincount(group, new) > HOT if len(k) else np.zeros(0, bool)
+    hot, first = np.zeros(len(k), bool), np.zeros(len(k), bool)
+    hot[order], first[order] = many[group], new
+    return hot, first, order[np.flatnonzero(key)[many]]
+
+
 def _spread(k: np.ndarray, ids: np.ndarray, bits: int, buckets: int, first: int) -> list[tuple]:
-    """Packed rows of keys (whose lowest ``bits`` don't count for equality) with lines, ``ids`` being (line, what else): those hot here go as members, to any bucket, and as
+    """Packed rows of keys (whose lowest ``bits`` don't count for equality) with lines, ``ids`` being lines, or (line, what else): those hot here go as members, to any bucket, and as
     marks, to that of their key."""
-    same = k >> np.uint64(bits)
     home = ((k >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64) + first
-    order, starts, sizes = _groups(same)
-    hot = np.zeros(len(k), bool)
-    hot[order] = np.repeat(sizes > HOT, sizes)
+    line = ids if ids.ndim == 1 else ids[:, 0]
+    hot, once, heads = _hot(k >> np.uint64(bits), line)
     out = _pack(k[~hot], ids[~hot], _COLD, home[~hot])
-    if hot.any():
-        any_ = (ids[hot, 0] % np.uint64(buckets)).astype(np.int64) + first
-        heads = order[starts[sizes > HOT]]
-        out += _pack(k[hot], ids[hot], _MEMBER, any_) + _pack(k[heads], ids[heads], _MARK, home[heads])
+    if len(heads):
+        member = hot & once
+        any_ = (line[member] % np.uint64(buckets)).astype(np.int64) + first
+        out += _pack(k[member], ids[member], _MEMBER, any_) + _pack(k[heads], ids[heads], _MARK, home[heads])
     return out
 
 
@@ -244,9 +257,7 @@ def key_blobs(batches: Iterator[pa.RecordBatch], edits: int, buckets: int) -> It
     keys, ids, hashes, sizes, mine, known, old = [], [], [], [], [], {}, set()
 
     def segments_out() -> pa.RecordBatch:
-        i = np.zeros((len(ids), 2), np.uint64)
-        i[:, 0] = ids
-        got = batch(_spread(np.array(keys, np.uint64), i, 1, buckets, 0))
+        got = batch(_spread(np.array(keys, np.uint64), np.array(ids, np.uint64), 1, buckets, 0))
         keys.clear()
         ids.clear()
         return got
@@ -333,22 +344,22 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator
         return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none if key is None else pa.array(key.view(np.int64)), pa.array(np.full(len(a), runs))], names=["a", "b", "key", "runs"])
 
     def members(k: np.ndarray, i: np.ndarray, runs: bool) -> pa.RecordBatch:
-        return rows(i[:, 0].copy(), i[:, 1].copy(), k if runs else k >> np.uint64(1), runs)
+        return rows(i[:, 0].copy(), i[:, 1].copy(), k, True) if runs else rows(i, np.zeros_like(i), k >> np.uint64(1), False)
 
     def out() -> Iterator[pa.RecordBatch]:
         runs = held["bucket"] >= buckets
         k, i, mark = (np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in held[c][f]]]) for c, f in ((_COLD, 0), (_COLD, 1), (_MARK, 0)))
-        i = i.reshape(-1, 2)
+        i = i.reshape(-1, 2) if runs else i
         bits = np.uint64(0 if runs else 1)
-        same = k >> bits
-        order, starts, sizes = _groups(same)
-        hot = np.zeros(len(k), bool)
-        hot[order] = np.repeat((sizes > HOT) | np.isin(same[order[starts]], mark >> bits), sizes)
+        same, line = k >> bits, i[:, 0] if runs else i
+        hot, once, _ = _hot(same, line)
+        hot |= np.isin(same, mark >> bits)
         if hot.any():
-            yield members(k[hot], i[hot], runs)
+            yield members(k[hot & once], i[hot & once], runs)
         k, i = k[~hot], i[~hot]
         if runs:  # each with those that come after it
-            order = np.argsort(k, kind="stable")
+            order = np.lexsort((i[:, 1], i[:, 0], k))
+            order = order[np.concatenate((np.ones(min(1, len(order)), bool), (np.diff(k[order]) != 0) | (np.diff(i[order, 0]) != 0) | (np.diff(i[order, 1]) != 0)))]
             ik = qk = k[order]
             ii = qi = i[order, 0]
             size, place = (i[order, 1] >> np.uint64(32)).astype(np.int64), (i[order, 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -356,8 +367,8 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator
         else:
             probe = (k & np.uint64(1)).astype(bool)
             k = k >> np.uint64(1)
-            ik, ii = _once(k[~probe], i[~probe, 0])
-            qk, qi = _once(k[probe], i[probe, 0])
+            ik, ii = _once(k[~probe], i[~probe])
+            qk, qi = _once(k[probe], i[probe])
             lo = np.searchsorted(ik, qk, "left")
         n = np.searchsorted(ik, qk, "right") - lo
         at = np.flatnonzero(n)
@@ -387,7 +398,8 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator
                     held[c] = ([], [])
             held["bucket"] = bucket
             if kind == _MEMBER:
-                yield members(np.frombuffer(keys, np.uint64), np.frombuffer(ids, np.uint64).reshape(-1, 2), bucket >= buckets)
+                ids = np.frombuffer(ids, np.uint64)
+                yield members(np.frombuffer(keys, np.uint64), ids.reshape(-1, 2) if bucket >= buckets else ids, bucket >= buckets)
             else:
                 held[kind][0].append(keys)
                 held[kind][1].append(ids)
