@@ -2,28 +2,32 @@
 
 A text is its words (ASCII white space between them, A-Z in lower case) and one end.  The model codes it byte by
 byte: a word's bytes and a blank, or the end's byte alone, each byte as eight binary choices from the highest bit.  A bit is
-predicted from counts kept in hashed tables, one per context: the bytes so far of the word, the last one, two and three
-bytes, and all of the word so far with the last byte of the word before.  Contexts reach no further back than that byte, so the
-probability of a word depends on the word and that byte alone: a *step* is (last byte before, word), and all learning
-and scoring is done once per distinct step, weighted by how often it occurs.
-
-* counts: each table slot counts zeros and ones over all training steps.
-* mixing: the predictions' logits and confidences are combined by weights that a gate selects: which bit of the byte is coded, and in how many
-  contexts something is known.  The weights are learned online, slice by slice of the training steps, in every partition from the same start, and averaged over
-  partitions by the bits they saw (parallel stochastic gradient descent), which takes one small row per partition.
-* refining: an adaptive probability map corrects the mixed prediction by what was seen at that quantised prediction in
-  training, counted over all steps as the weights are learned.
+predicted from counts in five contexts: the last one, two and three bytes (hashed), all of the word so far, and all of the word so far
+with the class of the byte that the word before ended in (``CLASS``: which endings a language has says much about what comes next).
+
+* counts: each context counts zeros and ones over all training tokens.
+* mixing: the predictions' logits are combined by weights that a gate selects: how often the word so far was seen, and how often with that class.
+  Weights are learned online, by Newton steps whose curvature adds up as nodes go by, in slices of the vocabulary, each from the same start, and averaged over
+  slices by their curvature.  A bit is predicted without its own occurrence in the two deep contexts, so these are trusted as far as they
+  hold for unseen text.
+* refining: an adaptive probability map corrects the mixed prediction by what was seen at that quantised prediction and gate in learning.
 
 Every bit's two probabilities add up to one, so the model is a distribution over texts.  ``score`` is the log10
 probability of the text, ``bits_per_byte`` its total bits over its coded bytes.  ``base_score`` is the unigram score of
 the contract.
 
-Step and word counts, and the scores of steps, are tables in the shared folder, cut by hash into shards of bounded size; a task
-looks up the distinct steps of a block of documents shard by shard, so no table is ever held whole.  The hashed
-tables have a fixed number of slots that grows with the number of steps, ``2**MAX_BITS`` at most, and are written once to the shared folder.
+The probability of a word depends on the word and that class alone: a *step* is (class, word), and all learning and scoring is done once per
+distinct step, weighted by how often it occurs.  Words lie in order, so the contexts of the word so far are runs of neighbours; what the
+steps of a run share is worked out once.  Slices are cut by a hash of a word's first ``HEAD`` bytes, and the nodes of these bytes are worked out in a slice of
+their own, so all counts are whole.  Slices depend on the vocabulary alone: however the documents are spread, their scores are the same.
+
+Counts of the low contexts come from distinct sequences of four bytes, which grow with the alphabet and not with the corpus; the tables of the deep
+ones grow with the corpus, as do the slices' number.  Documents are split into words once: their numbers in a block and the block's vocabulary are written, the vocabularies
+are counted, and joined with the scores.
 
 Null texts count as empty: an end alone.  A null id counts as training (its remainder is null); repeated rows are scored
-and learned each on its own; an empty table gives no rows; other columns are ignored.
+and learned each on its own; very long texts are split in their row, and their words are looked up in their block's vocabulary; the order of equal
+counts is that of the words; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,13 +44,28 @@ from pyspark.sql import functions as F
 from veilmark.llm.common import fresh_path, mapped, materialise
 
 MOD, HELD_OUT = 7, 2
-CONTEXTS = 5
-MIN_BITS, MAX_BITS = 16, 21
-#: Rows of a shard of looked-up tables, about; and characters of text in a block.
-SHARD_ROWS, BLOCK_CHARS = 500_000, 24_000_000
-RATE, ROUND = 0.2, 8192
+CLASSES, LOW, INPUTS = 8, 3, 6
+HEAD = 4
+#: Words of a slice, about; characters of text in a block; rows of a packed vocabulary.
+SLICE_WORDS, BLOCK_CHARS, PACK = 100_000, 12_000_000, 20_000
+#: Bits of the hashed tables of one, two and three bytes.
+LOW_BITS = (16, 20, 22)
+#: Nodes of a step of learning, and tokens that the weights it starts from are worth.
+ROUND, PRIOR = 8192, 20.0
 _APM, _LIMIT = 33, 12.0
-BLANK = 0x20
+_NONE = CLASSES - 1
+
+
+def _classes() -> np.ndarray:
+    out = np.zeros(256, np.uint8)  # letters outside ASCII and digits
+    for c, group in enumerate((b"e", b"n", b"s", b"rt", b"aoiu", b"dhlmygfbcjkpqvwxz"), 1):
+        out[list(group)] = c
+    out[[b for b in range(128) if not chr(b).isalnum()]] = _NONE
+    return out
+
+
+#: Classes of last bytes; the last one is that of signs, and of no byte at all.
+CLASS = _classes()
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -57,356 +76,356 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % MOD == HELD_OUT
 
 
-class _Block:
-    """Words of a block of documents by number, with each document's steps as (last byte, word number)."""
+_BLOCKS = "block long, doc_id long, place long, ids binary, words array<binary>, classes array<int>, counts array<long>"
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {b"": 0}  # the end is the empty word
-        self.codes: list[np.ndarray] = []
 
-    def add(self, text: str | None) -> np.ndarray:
-        known = self.known
-        words = tokens(text)
-        ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-        last = np.fromiter((w[-1] for w in words), np.int64, len(words))
-        code = np.concatenate((ids, [0])) << 8
-        code[1:] |= last
-        code[0] |= BLANK
-        return code
+def split_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of (doc_id, text): of each document its steps by number, and of each block the steps with their training occurrences, packed."""
+    from pyspark import TaskContext
 
-    def words(self) -> list[bytes]:
-        return list(self.known)
+    block = TaskContext.get().partitionId() << 24
+    known, codes, ids, size = {b"": 0}, [], [], 0  # the end is the empty word
 
-
-def count_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of the steps in (doc_id, text): training occurrences and all, per block."""
-    block, codes, train, size = _Block(), [], [], 0
-
-    def flush() -> pa.RecordBatch:
-        step, place = np.unique(np.concatenate(codes), return_inverse=True)
-        n_train = np.bincount(place, np.repeat(train, list(map(len, codes))), len(step)).astype(np.int64)
-        words = block.words()
-        return pa.record_batch([pa.array(step & 255), pa.array([words[i] for i in (step >> 8).tolist()], pa.binary()), pa.array(n_train)], names=["last", "word", "c"])
+    def add(text: str | None) -> np.ndarray:
+        words = tokens(text)
+        own = np.zeros(len(words) + 1, np.int64)
+        own[:-1] = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+        cls = np.full(len(words) + 1, _NONE, np.int64)
+        cls[1:] = CLASS[np.fromiter((w[-1] for w in words), np.int64, len(words))]
+        return own * CLASSES + cls
+
+    def rows(docs: list, place: list, number: list, words: list, classes: list, counts: list) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        cols = [[block] * len(docs), docs, place, number, words, classes, counts]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in _BLOCKS.split(", ")])
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal block, size
+        ends = np.cumsum([0, *map(len, codes)])
+        step, at = np.unique(np.concatenate(codes), return_inverse=True)
+        at = at.astype("<u4")
+        train = np.repeat([0 if held_out(d) else 1 for d in ids], np.diff(ends))
+        n = np.bincount(at, train, len(step)).astype(np.int64)
+        names, cls = list(known), (step % CLASSES).astype(np.int32)
+        for lo in range(0, len(step), PACK):
+            own = slice(lo, lo + PACK)
+            yield rows([None], [lo], [None], [[names[i] for i in (step[own] // CLASSES).tolist()]], [cls[own]], [n[own]])
+        for lo in range(0, len(ids), 500):
+            k = range(lo, min(lo + 500, len(ids)))
+            yield rows([ids[i] for i in k], [-1] * len(k), [at[ends[i] : ends[i + 1]].tobytes() for i in k], [None] * len(k), [None] * len(k), [None] * len(k))
+        block += 1
+        known.clear()
+        known[b""] = 0
+        codes.clear()
+        ids.clear()
+        size = 0
 
     for b in batches:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            for d, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                codes.append(block.add(x))
-                train.append(0 if held_out(d) else 1)
-                size += len(x or "")
+        for d, x in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            codes.append(add(x))
+            ids.append(d)
+            size += len(x or "")
             if size > BLOCK_CHARS:
-                yield flush()
-                block, codes, train, size = _Block(), [], [], 0
-    if codes:
-        yield flush()
+                yield from flush()
+    if ids:
+        yield from flush()
 
 
-def _lay_out(last: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(step, position, byte history) of every coded byte; history: the contexts as 64-bit numbers, one row each, and the byte."""
-    coded = [w + b"\x20" if w else b"\x0a" for w in words]
-    n = np.fromiter(map(len, coded), np.int64, len(coded))
-    data = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
-    step = np.repeat(np.arange(len(coded)), n)
-    pos = np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)
-    ctx = np.zeros((CONTEXTS, len(data)), np.uint64)
-    before = last.astype(np.uint64)[step]
-    with np.errstate(over="ignore"):
-        # bytes before: within the word, else blank, the byte before it, nothing
-        back = []
-        for k in (1, 2, 3):
-            x = np.zeros(len(data), np.uint64)
-            ok = pos >= k
-            x[ok] = data[np.flatnonzero(ok) - k]
-            x[pos == k - 1] = BLANK
-            x[pos == k - 2] = before[pos == k - 2]
-            back.append(x)
-        ctx[0] = back[0]
-        ctx[1] = back[0] | back[1] << np.uint64(8)
-        ctx[2] = ctx[1] | back[2] << np.uint64(16)
-        # all of the word so far, by a running hash; words are walked position by position
-        h = np.zeros(len(data), np.uint64)
-        prime, at = np.uint64(0x9E3779B97F4A7C15), np.flatnonzero(pos == 0)
-        for p in range(1, int(n.max()) if len(n) else 0):
-            at = at[pos[np.minimum(at + 1, len(pos) - 1)] == p] + 1
-            at = at[at < len(pos)]
-            if not len(at):
-                break
-            h[at] = (h[at - 1] + data[at - 1] + np.uint64(1)) * prime
-            h[at] ^= h[at] >> np.uint64(29)
-        ctx[3] = h
-        ctx[4] = (h + before + np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return step, ctx, data
-
-
-def _slots(ctx: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    """(contexts, rows) table slots of contexts with a partial byte."""
-    with np.errstate(over="ignore"):
-        h = (ctx + (np.arange(1, len(ctx) + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))[:, None]) * np.uint64(0x9E3779B97F4A7C15)
-        h = ((h ^ (h >> np.uint64(31))) + node) * np.uint64(0xD6E8FEB86659FD93)
-        return ((h ^ (h >> np.uint64(32))) >> np.uint64(64 - bits)).astype(np.int64)
+def _coded(words: list[bytes]) -> list[bytes]:
+    return [w + b"\x20" if w else b"\x0a" for w in words]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], names: list[str], rows: int = 20_000) -> Iterator[dict]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            part = b.slice(at, rows)
-            yield {n: part.column(i) for i, n in enumerate(names)}
+_WORDS = ", ".join(f"c{i} long" for i in range(CLASSES))
 
 
-def count_slots(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Partial counts (slot of all tables, zeros, ones) of the steps' bits, by partition."""
-    from collections import defaultdict
+def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[list[bytes], np.ndarray]:
+    """Words and their counts by class (nan: no such step), from batches of both."""
+    words, counts = [], [np.zeros((0, CLASSES))]
+    for b in batches:
+        words += b.column(0).to_pylist()
+        counts.append(np.stack([b.column(1 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(CLASSES)], 1))
+    return words, np.concatenate(counts)
 
-    held: dict[int, np.ndarray] = defaultdict(lambda: np.zeros((2, 1 << bits), np.uint32))
-    for x in _chunks(batches, ["last", "word", "c"]):
-        c = x["c"].to_numpy()
-        step, ctx, data = _lay_out(x["last"].to_numpy(), x["word"].to_pylist())
-        weight = c[step]
-        for k in range(8):
-            node = (np.uint64(1) << np.uint64(k)) | (data >> np.uint64(8 - k))
-            bit = ((data >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
-            for i, s in enumerate(_slots(ctx, node, bits)):
-                np.add.at(held[i], (bit.astype(np.int64), s), np.minimum(weight, 1 << 20).astype(np.uint32))
-    for i, t in held.items():
-        at = np.flatnonzero(t.any(0))
-        for lo in range(0, len(at), 50_000):
-            own = at[lo : lo + 50_000]
-            yield pa.record_batch([pa.array((i << bits) + own), pa.array(t[0][own].astype(np.int64)), pa.array(t[1][own].astype(np.int64))], names=["slot", "n0", "n1"])
 
+def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, c): counts of four bytes in a row, the last three before a coded byte and it, over the words' tokens."""
+    held = np.zeros(0, np.int64), np.zeros(0)
+    for b in batches:
+        words, counts = _columns([b])
+        coded = _coded(words)
+        n = np.fromiter(map(len, coded), np.int64, len(coded))
+        data = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64)
+        pos = np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)
+        code = data.copy()
+        for k in (1, 2, 3):
+            code |= np.where(pos >= k, np.roll(data, k), 0x20) << (8 * k)
+        all_, c = np.concatenate((held[0], code)), np.concatenate((held[1], np.repeat(np.nansum(counts, 1), n)))
+        code, at = np.unique(all_, return_inverse=True)
+        held = code, np.bincount(at, c, len(code))
+    some = held[1] > 0
+    yield pa.record_batch([pa.array(held[0][some]), pa.array(held[1][some].astype(np.int64))], names=["code", "c"])
 
-def _filesystem(path: str):
-    from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+def _slot(ctx: np.ndarray, node: np.ndarray, order: int) -> np.ndarray:
+    key = (ctx.astype(np.uint64) << np.uint64(8)) | node.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - LOW_BITS[order - 1])).astype(np.int64)
+
 
+class LowOrders:
+    """Logits in the contexts of the last one, two and three bytes, from a table of ``grams``."""
 
-def _read(path: str, columns: list[str]) -> pa.Table:
-    """Rows of the Parquet files in a folder; an empty table if there is no such folder."""
-    from pyarrow import fs
+    def __init__(self, path: str):
+        from pyarrow import fs
 
-    system, at = _filesystem(path)
-    files = [f for f in system.get_file_info(fs.FileSelector(at, allow_not_found=True)) if f.path.endswith(".parquet")]
-    parts = [pq.read_table(f.path, columns=columns, filesystem=system, partitioning=None) for f in sorted(files, key=lambda f: f.path)]
-    return pa.concat_tables(parts) if parts else None
+        system, at = fs.FileSystem.from_uri(path)
+        files = sorted(f.path for f in system.get_file_info(fs.FileSelector(at)) if f.path.endswith(".parquet"))
+        n = [np.zeros((2, 1 << b)) for b in LOW_BITS]
+        for f in files:
+            for b in pq.ParquetFile(system.open_input_file(f)).iter_batches(200_000, columns=["code", "c"]):
+                code, c = (b.column(i).to_numpy() for i in range(2))
+                byte = code & 255
+                for k in range(8):
+                    node, bit = (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
+                    for o in range(1, LOW + 1):
+                        s = _slot((code >> 8) & ((1 << (8 * o)) - 1), node, o)
+                        np.add.at(n[o - 1], (bit, s), c)
+        self.logit = [np.log((x[1] + 0.4) / (x[0] + 0.4)).astype(np.float32) for x in n]
 
+    def inputs(self, ctx: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+        return [self.logit[o - 1][_slot(ctx & ((1 << (8 * o)) - 1), node, o)] for o in range(1, LOW + 1)]
 
-class Model:
-    """The tables of logits and confidences, the mixing weights and the probability map."""
 
-    def __init__(self, path: str, bits: int, weights: np.ndarray | None, apm: np.ndarray | None):
-        size = CONTEXTS << bits
-        self.bits = bits
-        self.logit, self.sure = np.zeros(size, np.float32), np.zeros(size, np.uint8)
-        t = _read(path, ["slot", "n0", "n1"])
-        if t is not None:
-            for b in t.to_batches(200_000):
-                at, n0, n1 = (b.column(i).to_numpy() for i in range(3))
-                self.logit[at] = np.clip(np.log((n1 + 0.1) / (n0 + 0.1)), -_LIMIT, _LIMIT)
-                self.sure[at] = np.minimum(np.log2(1 + n0 + n1), 15).astype(np.uint8) + 1
-        self.weights = start_weights() if weights is None else weights
-        self.apm = apm
+_low: dict[str, LowOrders] = {}
 
-    def inputs(self, ctx: np.ndarray, node: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, inputs) and the gate of each row."""
-        s = _slots(ctx, node, self.bits) + (np.arange(len(ctx)) << self.bits)[:, None]
-        x, sure = self.logit[s], self.sure[s]
-        known = (sure > 0).sum(0)
-        return np.concatenate((x, x * np.minimum(sure, 8) / 8, np.full((1, x.shape[1]), 0.3, np.float32))).T, known + (CONTEXTS + 1) * k
 
-    def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip((x * self.weights[gate]).sum(1), -_LIMIT, _LIMIT)
+def _low_orders(path: str) -> LowOrders:
+    if path not in _low:
+        _low.clear()
+        _low[path] = LowOrders(path)
+    return _low[path]
 
-    def cell(self, z: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return gate * _APM + np.rint((z + _LIMIT) * (_APM - 1) / (2 * _LIMIT)).astype(np.int64)
 
-    def refine(self, z: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        p = 1 / (1 + np.exp(-z.astype(np.float64)))
-        if self.apm is not None:
-            c = self.cell(z, gate)
-            n0, n1 = self.apm[0][c], self.apm[1][c]
-            p = (p + (n1 + 32 * p) / (n0 + n1 + 32)) / 2
-        return np.clip(p, 1e-6, 1 - 1e-6)
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Numbers of runs of equal keys."""
+    new = np.zeros(len(keys[0]), np.int64)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.cumsum(new)
 
 
-GATES, INPUTS = 8 * (CONTEXTS + 1), 2 * CONTEXTS + 1
+def levels(words: list[bytes], counts: np.ndarray, first: int, until: int):
+    """The bits of the words' bytes from ``first`` to ``until``, one choice of one byte at a time, over words in order: for the pairs (node, class) that occur the context before, the node,
+    and zeros and ones of the node and of the pair; and for the steps their number, their pair and their bit."""
+    coded = _coded(words)
+    n = np.fromiter(map(len, coded), np.int64, len(coded))
+    start = np.cumsum(n) - n
+    data = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64)
+    word, cls = np.nonzero(~np.isnan(counts))
+    c = counts[word, cls]
+    live, step = np.arange(len(words)), np.arange(len(word))
+    group, back = np.zeros(len(words), np.int64), np.full(len(words), 0x202020, np.int64)
+    for p in range(min(until, int(n.max()) if len(n) else 0)):
+        more = n[live] > p
+        live, group, back = live[more], _runs(group[more]), back[more]
+        byte = data[start[live] + p]
+        if p >= first:
+            step = step[n[word[step]] > p]
+            of = np.searchsorted(live, word[step])
+            for k in range(8):
+                g = _runs(group, byte >> (8 - k))
+                head = np.flatnonzero(np.diff(g, prepend=-1))
+                bit = (byte >> (7 - k)) & 1
+                gs, cs, bs = g[of], c[step], bit[of]
+                key = gs * CLASSES + cls[step]
+                size = len(head) * CLASSES
+                there = np.flatnonzero(np.bincount(key, minlength=size))
+                m1, m = np.bincount(key, cs * bs, size)[there], np.bincount(key, cs, size)[there]
+                n1, n_ = np.bincount(gs, cs * bs, len(head)), np.bincount(gs, cs, len(head))
+                at = there // CLASSES
+                pair = np.zeros(size, np.int64)
+                pair[there] = np.arange(len(there))
+                node = (1 << k) | (byte[head] >> (8 - k))
+                yield back[head][at], node[at], n_[at] - n1[at], n1[at], m - m1, m1, step, pair[key], bs
+        group = _runs(group, byte)
+        back = ((back << 8) | byte) & 0xFFFFFF
+
+
+_W_CUTS, _C_CUTS = np.array([1, 2, 4, 16, 256]), np.array([1, 4, 64])
+GATES = (len(_W_CUTS) + 1) * (len(_C_CUTS) + 1)
 
 
 def start_weights() -> np.ndarray:
-    w = np.full((GATES, INPUTS), 0.3 / CONTEXTS, np.float32)
-    w[:, CONTEXTS : 2 * CONTEXTS] = 0.9 / CONTEXTS
-    w[:, -1] = 0
+    """By gate: the low contexts lead where the word so far is unknown, and it leads where it is known."""
+    w = np.zeros((GATES, INPUTS))
+    for i in range(len(_W_CUTS) + 1):
+        for j in range(len(_C_CUTS) + 1):
+            w[i * (len(_C_CUTS) + 1) + j] = (0.1, 0.2, 0.7, 0, 0, 0) if i == 0 else (0, 0, 0.3, 0.6, 0.1, 0) if j < 2 else (0, 0, 0, 0.5, 0.5, 0)
     return w
 
 
-def _bits(x: dict, model: Model):
-    step, ctx, data = _lay_out(x["last"].to_numpy(), x["word"].to_pylist())
-    for k in range(8):
-        node = (np.uint64(1) << np.uint64(k)) | (data >> np.uint64(8 - k))
-        bit = ((data >> np.uint64(7 - k)) & np.uint64(1)).astype(np.float32)
-        inputs, gate = model.inputs(ctx, node, k)
-        yield step, inputs, gate, bit
-
-
-_models: dict[str, Model] = {}
-
-
-def _model(path: str, bits: int, weights=None, apm=None) -> Model:
-    """The model of a path; tables are read once per worker, one model at a time."""
-    if path not in _models:
-        _models.clear()
-        _models[path] = Model(path, bits, None, None)
-    m = _models[path]
-    m.weights = start_weights() if weights is None else np.array(weights, np.float32).reshape(GATES, INPUTS)
-    m.apm = None if apm is None else np.array(apm, float).reshape(2, GATES * _APM)
-    return m
-
-
-def learn(batches: Iterator[pa.RecordBatch], path: str, bits: int) -> Iterator[pa.RecordBatch]:
-    """Partial sums of a partition's training steps, in rows (kind, i, a, b): kind 0 the weights learned, times the bits seen, and these bits;
-    kind 1 the zeros and ones of each cell of the probability map, counted as the weights stood."""
-    m, total, n = None, 0.0, np.zeros((2, GATES * _APM))
-    for x in _chunks(batches, ["last", "word", "c"], ROUND):
-        m = m or _model(path, bits)
-        c = x["c"].to_numpy()
-        for step, inputs, gate, bit in _bits(x, m):
-            z = m.mix(inputs, gate)
-            w, cell = c[step], m.cell(z, gate)
-            n[0] += np.bincount(cell, w * (1 - bit), GATES * _APM)
-            n[1] += np.bincount(cell, w * bit, GATES * _APM)
-            w = np.minimum(w, 255).astype(np.float32)
-            err = (bit - 1 / (1 + np.exp(-z))) * w
-            grad = np.stack([np.bincount(gate, err * inputs[:, i], GATES) for i in range(INPUTS)], 1)
-            m.weights += (RATE * grad / np.maximum(np.bincount(gate, w, GATES)[:, None], 1)).astype(np.float32)
-            total += float(w.sum())
-    if m is not None and total:
-        at = np.flatnonzero(n.any(0))
-        flat = m.weights.ravel().astype(float)
-        cols = [np.repeat([0, 1], [len(flat), len(at)]), np.concatenate((np.arange(len(flat)), at)), np.concatenate((flat * total, n[0][at])), np.concatenate((np.full(len(flat), total), n[1][at]))]
-        yield pa.record_batch([pa.array(c) for c in cols], names=["kind", "i", "a", "b"])
-
-
-def step_key(last: np.ndarray, words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, b) for w, b in zip(words, last.tolist(), strict=True)), np.uint64, len(words)).view(np.int64)
-
-
-def score_steps(batches: Iterator[pa.RecordBatch], path: str, bits: int, weights: list[float], apm: list[float]) -> Iterator[pa.RecordBatch]:
-    """(key, log10 probability, coded bytes) of steps, learned and not."""
-    for x in _chunks(batches, ["last", "word"]):
-        m = _model(path, bits, weights, apm)
-        out = np.zeros(len(x["word"]))
-        for step, inputs, gate, bit in _bits(x, m):
-            p = m.refine(m.mix(inputs, gate), gate)
-            out += np.bincount(step, np.log10(np.where(bit > 0, p, 1 - p)), len(out))
-        yield pa.record_batch([pa.array(step_key(x["last"].to_numpy(), x["word"].to_pylist())), pa.array(out)], names=["key", "value"])
-
-
-def key_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, count) of word counts."""
-    for x in _chunks(batches, ["word", "c"], 100_000):
-        words = x["word"].to_pylist()
-        yield pa.record_batch([pa.array(step_key(np.full(len(words), 256), words)), pa.array(x["c"].to_numpy().astype(float))], names=["key", "value"])
-
-
-def _shard(key, shards: int):
-    return F.pmod(key, F.lit(shards)).cast("int")
-
-
-def _write_shards(table: DataFrame, rows: int, name: str) -> tuple[str, int]:
-    """(key, value) as one folder per shard of about ``SHARD_ROWS`` rows."""
-    shards = max(1, -(-rows // SHARD_ROWS))
-    path = fresh_path(table.sparkSession, name)
-    table.select("key", "value", _shard(F.col("key"), shards).alias("shard")).repartition(min(shards, 4096), "shard").write.partitionBy("shard").parquet(path)
-    return path, shards
-
-
-def _look_up(path: str, shards: int, keys: np.ndarray, missing: float) -> np.ndarray:
-    """Values of keys, shard by shard."""
-    out = np.full(len(keys), missing)
-    at = np.mod(keys, shards)
-    for s in np.unique(at).tolist():
-        t = _read(f"{path}/shard={s}", ["key", "value"])
-        if t is None:
-            continue
-        k, v = t.column("key").to_numpy(), t.column("value").to_numpy()
-        order = np.argsort(k, kind="stable")
-        k, v = k[order], v[order]
-        own = np.flatnonzero(at == s)
-        i = np.minimum(np.searchsorted(k, keys[own]), len(k) - 1)
-        ok = k[i] == keys[own]
-        out[own[ok]] = v[i[ok]]
-    return out
-
+def _inputs(low: list[np.ndarray], n0: np.ndarray, n1: np.ndarray, m0: np.ndarray, m1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, rows), and the gate of each row."""
+    x = np.stack([*low, np.log((n1 + 0.05) / (n0 + 0.05)), np.log((m1 + 0.05) / (m0 + 0.05)), np.full(len(n0), 0.3)])
+    gate = np.searchsorted(_W_CUTS, n0 + n1, "right") * (len(_C_CUTS) + 1) + np.searchsorted(_C_CUTS, m0 + m1, "right")
+    return np.clip(x, -_LIMIT, _LIMIT), gate
+
+
+def _mixed(x: np.ndarray, gate: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.clip(sum(x[i] * w[:, i][gate] for i in range(INPUTS)), -_LIMIT, _LIMIT)
+
+
+def _cell(z: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    return gate * _APM + np.rint((z + _LIMIT) * (_APM - 1) / (2 * _LIMIT)).astype(np.int64)
+
+
+_PAIRS = [(i, j) for i in range(INPUTS) for j in range(i, INPUTS)]
+
+
+def learn(batches: Iterator[pa.RecordBatch], path: str, first: int, until: int) -> Iterator[pa.RecordBatch]:
+    """What a slice of words learns, in rows (kind, i, a): kind 0 the curvature by gate, kind 1 the same times the weights, kinds 2 and 3 the ones and all of each cell of the
+    probability map."""
+    words, counts = _columns(batches)
+    if not words:
+        return
+    low_, w, seen = _low_orders(path), start_weights(), np.zeros((2, GATES * _APM))
+    bend = np.tile(np.eye(INPUTS) * PRIOR, (GATES, 1, 1))
+    for back, node, n0, n1, m0, m1, *_ in levels(words, counts, first, until):
+        for lo in range(0, len(node), ROUND):
+            s, slope = slice(lo, lo + ROUND), np.zeros((GATES, INPUTS))
+            low = low_.inputs(back[s], node[s])
+            for bit, often in ((1, m1[s]), (0, m0[s])):
+                own = np.flatnonzero(often)
+                if not len(own):
+                    continue
+                # without the occurrence that is predicted
+                x, gate = _inputs([v[own] for v in low], *(v[s][own] - (b == bit) for v, b in ((n0, 0), (n1, 1), (m0, 0), (m1, 1))))
+                z, c = _mixed(x, gate, w), often[own]
+                p = 1 / (1 + np.exp(-z))
+                cell = _cell(z, gate)
+                seen[0] += np.bincount(cell, c * bit, GATES * _APM)
+                seen[1] += np.bincount(cell, c, GATES * _APM)
+                err, bent = c * (bit - p), c * np.maximum(p * (1 - p), 1e-3)
+                for i in range(INPUTS):
+                    slope[:, i] += np.bincount(gate, err * x[i], GATES)
+                for i, j in _PAIRS:
+                    more = np.bincount(gate, bent * x[i] * x[j], GATES)
+                    bend[:, i, j] += more
+                    bend[:, j, i] += more if i != j else 0
+            w = w + np.linalg.solve(bend, slope[:, :, None])[:, :, 0]
+    parts = [bend.ravel(), (bend @ w[:, :, None]).ravel(), *seen]
+    yield pa.record_batch([pa.array(np.repeat(np.arange(4), list(map(len, parts)))), pa.array(np.concatenate([np.arange(len(v)) for v in parts])), pa.array(np.concatenate(parts))], names=["kind", "i", "a"])
+
+
+_SCORED = "word binary, c long, " + ", ".join(f"s{i} double" for i in range(CLASSES))
+
+
+def score_words(batches: Iterator[pa.RecordBatch], path: str, first: int, until: int, weights: list[float], apm: list[float]) -> Iterator[pa.RecordBatch]:
+    """log10 probabilities of a slice of words, bytes ``first`` to ``until``, by class (nan: no such step), with their training occurrences."""
+    words, counts = _columns(batches)
+    if not words:
+        return
+    low_, w = _low_orders(path), np.array(weights).reshape(GATES, INPUTS)
+    ones, all_ = np.array(apm).reshape(2, -1)
+    word, cls = np.nonzero(~np.isnan(counts))
+    out = np.zeros(len(word))
+    for back, node, n0, n1, m0, m1, step, pair, bit in levels(words, counts, first, until):
+        p = np.zeros(len(node))
+        for lo in range(0, len(node), 1 << 16):
+            s = slice(lo, lo + (1 << 16))
+            x, gate = _inputs(low_.inputs(back[s], node[s]), n0[s], n1[s], m0[s], m1[s])
+            z = _mixed(x, gate, w)
+            q = 1 / (1 + np.exp(-z))
+            c = _cell(z, gate)
+            p[s] = (q + (ones[c] + 32 * q) / (all_[c] + 32)) / 2
+        p = np.clip(p, 1e-6, 1 - 1e-6)
+        out[step] += np.where(bit > 0, np.log10(p)[pair], np.log10(1 - p)[pair])
+    grid = np.full(counts.shape, np.nan)
+    grid[word, cls] = out
+    known = np.nansum(counts, 1).astype(np.int64)
+    for lo in range(0, len(words), 10_000):
+        s = slice(lo, lo + 10_000)
+        yield pa.record_batch([pa.array(words[s], pa.binary()), pa.array(known[s]), *[pa.array(grid[s, i]) for i in range(CLASSES)]], names=[f.split()[0] for f in _SCORED.split(", ")])
 
-def score_documents(batches: Iterator[pa.RecordBatch], steps: tuple[str, int], words: tuple[str, int], total: int, distinct: int) -> Iterator[pa.RecordBatch]:
-    """The scores of (doc_id, text), block by block."""
-    block, codes, ids, size = _Block(), [], [], 0
-
-    def flush() -> pa.RecordBatch:
-        all_ = np.concatenate(codes)
-        step, place = np.unique(all_, return_inverse=True)
-        known = block.words()
-        value = _look_up(*steps, step_key(step & 255, [known[i] for i in (step >> 8).tolist()]), np.nan)
-        if np.isnan(value).any():
-            raise ValueError("a step has no score: the documents changed while they were scored")
-        c = _look_up(*words, step_key(np.full(len(known), 256), known), 0.0)
-        base = np.log10((c + 1) / (total + 1 * (distinct + 1)))
-        n = np.array(list(map(len, codes)))
-        doc = np.repeat(np.arange(len(codes)), n)
-        word = all_ >> 8
-        coded = np.array([len(w) + 1 for w in known], np.int64)
-        score = np.bincount(doc, value[place], len(codes))
-        size_ = np.bincount(doc, coded[word], len(codes))
-        cols = [
-            pa.array(ids, pa.int64()), pa.array([held_out(d) for d in ids], pa.bool_()), pa.array(n, pa.int64()), pa.array(np.bincount(doc, c[word] > 0, len(codes)).astype(np.int64)),
-            pa.array(np.full(len(codes), total), pa.int64()), pa.array(np.bincount(doc, base[word], len(codes))), pa.array(score), pa.array(-score / np.log10(2) / size_),
-        ]
-        return pa.record_batch(cols, names=[f.split()[0] for f in _SCORES.split(", ")])
 
-    for b in batches:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            for d, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                codes.append(block.add(x))
-                ids.append(d)
-                size += len(x or "")
-            if size > BLOCK_CHARS:
-                yield flush()
-                block, codes, ids, size = _Block(), [], [], 0
-    if codes:
-        yield flush()
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
-_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+def score_documents(batches: Iterator[pa.RecordBatch], total: int, distinct: int) -> Iterator[pa.RecordBatch]:
+    """The scores of documents (block, place, doc_id, ids), each block's after its vocabulary (block, place, its occurrences, score and bytes); sorted by block and place."""
+    block, table = None, [[], [], [], []]
+    values: list[np.ndarray] | None = None
+    names = [f.split()[0] for f in _SCORES.split(", ")]
+    for b in batches:
+        made: list[tuple] = []
+        for k, place, d, ids, c, s, size in zip(*[x.to_pylist() for x in b.columns], strict=True):
+            if k != block:
+                block, table, values = k, [[], [], [], []], None
+            if ids is None:
+                for column, v in zip(table, (place, c, s, size), strict=True):
+                    column.append(v)
+                continue
+            if values is None:
+                count = np.array(table[1], float)
+                values = [np.log10((count + 1) / (total + 1 * (distinct + 1))), np.array(table[2]), np.array(table[3], np.int64), count > 0]
+                if table[0] != list(range(len(table[0]))):
+                    raise ValueError("a step has no score: the documents changed while they were scored")
+            at = np.frombuffer(ids, "<u4")
+            score = float(values[1][at].sum())
+            made.append((d, held_out(d), len(at), int(values[3][at].sum()), total, float(values[0][at].sum()), score, -score / np.log10(2) / int(values[2][at].sum())))
+        if made:
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """One row per document: see ``_SCORES`` and the module's text."""
+    spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    steps = mapped(src, count_steps, "last long, word binary, c long").groupBy("last", "word").agg(F.sum("c").alias("c"))
-    steps = materialise(steps, "steps")
-    n_steps = steps.count()
-    words = materialise(steps.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "words")
-    n = words.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
-    distinct, total = n["v"], n["n"] or 0
-    bits = min(MAX_BITS, max(MIN_BITS, int(n_steps * 4).bit_length()))
-    # words that begin alike go to one partition: its slots are then mostly its own, and partial counts stay few
-    train = materialise(steps.where("c > 0").select("last", "word", "c").repartition(F.substring("word", 1, 4)), "train")
-    slots = mapped(train, count_slots, "slot long, n0 long, n1 long", bits=bits).groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    path = fresh_path(docs.sparkSession, "slots")
-    slots.write.parquet(path)
-    how = {"path": path, "bits": bits}
-    # GATES * (INPUTS + _APM) rows at most, whatever the size of the corpus
-    sums = mapped(train, learn, "kind long, i long, a double, b double", **how).groupBy("kind", "i").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
-    weights, apm = start_weights().ravel().astype(float), np.zeros((2, GATES * _APM))
+    blocks = materialise(mapped(src, split_words, _BLOCKS), "blocks")
+    packed = blocks.where("words is not null").select("block", "place", F.posexplode(F.arrays_zip("words", "classes", "counts")).alias("i", "s"))
+    vocabulary = packed.select("block", (F.col("place") + F.col("i")).alias("place"), F.col("s.words").alias("word"), F.col("s.classes").alias("cls"), F.col("s.counts").alias("c"))
+    by_class = [F.sum(F.when(F.col("cls") == i, F.col("c"))).alias(f"c{i}") for i in range(CLASSES)]
+    words = materialise(vocabulary.groupBy("word").agg(*by_class), "words")
+    counts = [f"c{i}" for i in range(CLASSES)]
+    known = sum((F.coalesce(F.col(c), F.lit(0)) for c in counts), F.lit(0))
+    n = words.agg(F.count("*").alias("all"), F.sum((known > 0).cast("long")).alias("v"), F.sum(known).alias("n")).first()
+    total, distinct = n["n"] or 0, n["v"] or 0
+    codes = fresh_path(spark, "grams")
+    mapped(words.select("word", *counts), grams, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).write.parquet(codes)
+
+    # the first bytes of all words as one slice, and the rest in slices of words that share theirs
+    start = F.concat("word", F.lit(b" "))
+    slices = max(1, -(-n["all"] // SLICE_WORDS))
+    rest = words.where(F.octet_length("word") >= HEAD).select("word", *counts)
+    rest = rest.repartitionById(slices, F.pmod(F.xxhash64(F.substring("word", 1, HEAD)), F.lit(slices)).cast("int")).sortWithinPartitions("word")
+    # the end is a word of its own; it has no blank, and no other word begins with its byte
+    cut = F.when(F.octet_length("word") == 0, F.col("word")).otherwise(F.substring(start, 1, HEAD))
+    first = words.groupBy(cut.alias("word")).agg(*[F.sum(c).alias(c) for c in counts])
+    first = materialise(first, "heads").repartition(1).sortWithinPartitions("word")
+    parts = ((first, 0, HEAD), (rest, HEAD, 1 << 30))
+
+    learned = None
+    for part, lo, hi in parts:
+        own = mapped(part, learn, "kind long, i long, a double", path=codes, first=lo, until=hi)
+        learned = own if learned is None else learned.unionByName(own)
+    # GATES * (INPUTS * INPUTS + INPUTS + 2 * _APM) rows at most, whatever the size of the corpus
+    sums = learned.groupBy("kind", "i").agg(F.sum("a").alias("a")).collect()
+    parts_ = [np.zeros(GATES * INPUTS * INPUTS), np.zeros(GATES * INPUTS), np.zeros(GATES * _APM), np.zeros(GATES * _APM)]
     for r in sums:
-        if r["kind"]:
-            apm[:, r["i"]] = r["a"], r["b"]
-        else:
-            weights[r["i"]] = r["a"] / r["b"]
-    scored = mapped(steps.select("last", "word"), score_steps, "key long, value double", **how, weights=weights.tolist(), apm=apm.ravel().tolist())
-    step_table = _write_shards(scored, n_steps, "step-scores")
-    word_table = _write_shards(mapped(words.select("word", "c"), key_words, "key long, value double"), distinct, "word-counts")
-    return mapped(src, score_documents, _SCORES, steps=step_table, words=word_table, total=int(total), distinct=int(distinct))
+        parts_[r["kind"]][r["i"]] = r["a"]
+    bend = parts_[0].reshape(GATES, INPUTS, INPUTS) + np.eye(INPUTS)
+    weights = np.linalg.solve(bend, (parts_[1].reshape(GATES, INPUTS) + start_weights())[:, :, None])[:, :, 0]
+    # sums of doubles depend on their order in the last places
+    how = {"path": codes, "weights": np.round(weights, 6).ravel().tolist(), "apm": np.round(np.concatenate(parts_[2:])).tolist()}
+    scored = [mapped(part, score_words, _SCORED, first=lo, until=hi, **how) for part, lo, hi in parts]
+    heads = materialise(scored[0], "head-scores").select(F.col("word").alias("head"), *[F.col(f"s{i}").alias(f"h{i}") for i in range(CLASSES)])
+    tails = materialise(scored[1], "tail-scores")
+    by_word = words.select("word", known.alias("c"), cut.alias("head")).join(heads, "head").join(tails.drop("c"), "word", "left")
+    value = F.array(*[F.col(f"h{i}") + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(CLASSES)])
+    by_word = by_word.select("word", "c", value.alias("value"))
+    named = vocabulary.select("block", "place", "word", "cls").join(by_word, "word")
+    vocab = named.select("block", "place", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("ids"), "c", F.col("value")[F.col("cls")].alias("s"), F.when(F.octet_length("word") == 0, 1).otherwise(F.octet_length("word") + 1).cast("long").alias("size"))
+    texts = blocks.where("words is null").select("block", F.lit(1 << 40).alias("place"), "doc_id", "ids", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("s"), F.lit(None).cast("long").alias("size"))
+    both = vocab.unionByName(texts).repartition("block").sortWithinPartitions("block", "place")
+    return mapped(both, score_documents, _SCORES, total=int(total), distinct=int(distinct))
