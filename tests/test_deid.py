@@ -219,6 +219,13 @@ def test_greedy_split_gives_each_group_one_split():
     assert set(split.greedy([("a", {"A": 1}), ("b", {})], {"train": 100, "validation": 0, "test": 0}, 0).values()) == {"train"}
 
 
+def test_word_list(spark, tmp_path):
+    from veilmark.sources.notes import abbreviations
+
+    (tmp_path / "w.txt").write_text("Dr.\n\n b.i.d. \nQD\n")
+    assert abbreviations(spark, str(tmp_path / "w.txt")) == ["Dr.", "QD", "b.i.d.", "dr.", "qd"]
+
+
 def test_archive_and_conll(spark, tmp_path):
     import io
     import tarfile
@@ -232,3 +239,35 @@ def test_archive_and_conll(spark, tmp_path):
         t.addfile(info, io.BytesIO(xml))
     row = map_span_types(load_archive(spark, str(tmp_path / "a.tar")), {"PATIENT": "PATIENT"}).first()
     assert (row.text, row.meta.note_id, [tuple(s) for s in row.spans]) == ("Al 40", "110-01", [(0, 2, "PATIENT")])
+
+
+def test_tagger_and_command_line(spark, tmp_path):
+    import json
+
+    from veilmark.plans.run import main
+    from veilmark.plans.tagger import Tagger
+    from veilmark.sources.notes import NOTE, RunConfig, load_json
+
+    notes = [("n1", "Call 123456789 now. Or not.", [(5, 14, "ID")]), ("n2", "Nothing here", []), ("n3", "", []), ("n4", "Id 999999999, 10.0.0.1 too", [(3, 12, "ID"), (14, 22, "ID")])]
+    (tmp_path / "notes.jsonl").write_text("".join(json.dumps({"text": t, "meta": {"note_id": n, "patient_id": "p"}, "spans": [dict(zip(("start", "end", "label"), s)) for s in sp]}) + "\n" for n, t, sp in notes))
+    (tmp_path / "s.json").write_text(json.dumps({"notation": "BIO", "ner_types": ["EMAIL", "ID", "PHONE"], "max_prev_sentence_token": 4, "learning_rate": 1}))
+    config, ignored = RunConfig.read(str(tmp_path / "s.json"))
+    assert config.max_prev == 4 and ignored == ["learning_rate"]
+    with pytest.raises(ValueError, match="learning_rate"):
+        RunConfig.load(str(tmp_path / "s.json"))
+    for what in ("redact", "tag", "evaluate"):
+        main([what, str(tmp_path / "s.json"), str(tmp_path / "notes.jsonl"), str(tmp_path / what)], spark)
+    out = {r.note_id: r.deid_text for r in spark.read.json(str(tmp_path / "redact")).collect()}
+    assert out == {"n1": "Call ID now. Or not.", "n2": "Nothing here", "n4": "Id ID too"}  # a comma between two of one type is taken in
+    tags = {r.note_id: r.predictions for r in spark.read.json(str(tmp_path / "tag")).collect()}
+    assert tags["n1"] == ["O", "B-ID", "O", "O", "O", "O", "O"] and tags["n4"][1] == "B-ID"
+    m = json.loads(spark.read.text(str(tmp_path / "evaluate")).first()[0])
+    assert abs(m["ID_recall"] - 2 / 3) < 1e-9 and m["violations_count"] == 0  # the address is seven tokens, none of which a rule takes on its own
+    tagger = Tagger(config).load({"test": load_json(spark, str(tmp_path / "notes.jsonl"), NOTE).select("meta.note_id", "text", "spans")})
+    with pytest.raises(ValueError):
+        tagger.predict()
+    with pytest.raises(ValueError):
+        tagger.set_predict("none")
+    assert tagger.set_predict(limit=2).predict().count() == 2 and tagger.set_train("test").train_rows().count() == 4
+    crf = RunConfig(notation="BIO", ner_types=["ID"], post_process="crf")
+    assert Tagger(crf).load({"test": tagger._splits["test"]}).set_predict().predict().count() == 3

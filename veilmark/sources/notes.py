@@ -112,6 +112,16 @@ def write_splits(notes: DataFrame, path: str, split: str = "split") -> None:
     notes.write.partitionBy(split).json(path)
 
 
+def write_metrics(report: DataFrame, path: str) -> None:
+    """(name, value) as one JSON object; a row for each metric of each type by now."""
+    one = report.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value"))))).alias("value"))
+    one.coalesce(1).write.text(path)
+
+
+#: Other names that settings go by.
+ALIASES = {"max_prev_sentence_token": "max_prev", "max_next_sentence_token": "max_next", "default_chunk_size": "chunk", "post_processor": "post_process", "deid_strategy": "strategy"}
+
+
 @dataclass
 class RunConfig:
     """Settings of a run."""
@@ -136,8 +146,15 @@ class RunConfig:
 
     @classmethod
     def load(cls, path: str) -> RunConfig:
-        raw = json.loads(Path(path).read_text())
+        """Settings of a JSON file; those that aren't known raise an error."""
+        config, extra = cls.read(path)
+        if extra:
+            raise ValueError(f"unknown settings: {', '.join(extra)}")
+        return config
+
+    @classmethod
+    def read(cls, path: str) -> tuple[RunConfig, list[str]]:
+        """Settings of a JSON file, and the names of those that aren't known."""
+        raw = {ALIASES.get(k, k): v for k, v in json.loads(Path(path).read_text()).items()}
         known = {f.name for f in fields(cls)}
-        if extra := set(raw) - known:
-            raise ValueError(f"unknown settings: {', '.join(sorted(extra))}")
-        return cls(**raw)
+        return cls(**{k: v for k, v in raw.items() if k in known}), sorted(set(raw) - known)
