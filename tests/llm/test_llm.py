@@ -291,3 +291,73 @@ def test_tiers_are_merged_among_themselves(spark):
     shards = spark.createDataFrame([(i, f"f/{i}", 1, s * mb, 0 if s < 4 else 1 if s < 16 else 2) for i, s in enumerate(sizes)], "seq long, path string, rows long, bytes long, tier int")
     got = sorted((r.into, r.seq) for r in plan(shards, target=64 * mb).collect())
     assert got == [(0, 0), (0, 1), (0, 2), (0, 3), (0, 6), (0, 12), (4, 4), (4, 5), (4, 8), (4, 9)]
+
+
+def test_quality_measures_are_those_of_brute_force(spark):
+    import re
+
+    from veilmark.llm import quality as Q
+
+    rng = random.Random(12)
+    texts = [None, "", " \n ", "é ü x #1", "a b c\na b c\n\na b c", "x" * 30]
+    for _ in range(60):
+        w = [rng.choice(["ab", "ç", "#tag", "x|y", "$5", "the", "of", "日本"]) + rng.choice(["", "", str(rng.randrange(30))]) for _ in range(rng.randint(0, 120))]
+        texts.append("".join(x + rng.choice([" ", " ", "\n", "\t", "\x0b"]) for x in w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in Q.quality(docs, clean=False).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        grams = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+        again = {k + j for k in range(len(words) - 2) if grams[tuple(words[k : k + 3])] > 1 for j in range(3)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), sum(x in lines[:k] for k, x in enumerate(lines)), len(again))
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (len(words) < 50 or 100 * len(again) > 50 * len(words)) and (not r.base_failed or not r.kept)
+
+
+def test_media_values_are_those_of_brute_force(spark):
+    from veilmark.llm import media as M
+
+    texts = [None, "", "a", "é" * 40, "x" * 64, "y" * 65, "the quick brown fox " * 200, "the quick brown fox " * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in M.describe(M.encode(docs)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        pay = raw + bytes((-len(raw) % 64) if raw else 64)
+        r = got[i]
+        wav = b"RIFF" + (36 + len(pay)).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + (1).to_bytes(2, "little") * 2 + (8000).to_bytes(4, "little") * 2 + (1).to_bytes(2, "little") + (8).to_bytes(2, "little") + b"data" + len(pay).to_bytes(4, "little") + pay
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(wav), hashlib.sha256(wav).hexdigest()) and len(r.times) == len(r.landmarks) == r.n_landmarks
+    assert got[6].feature == got[7].feature != got[5].feature
+    # peaks by a plain transform of each frame
+    pay = np.frombuffer(M.payload(texts[6])[1], np.uint8)
+    n = -(-(len(pay) - M.FRAME) // M.HOP) + 1
+    pad = np.concatenate((pay, np.full(M.FRAME, 128, np.uint8))).astype(np.float32) - 128
+    for f, own in enumerate(M.peaks(pay.tobytes())[:n]):
+        mag = np.abs(np.fft.rfft(pad[f * M.HOP : f * M.HOP + M.FRAME] * M._HANN))
+        tops = [k for k in range(1, len(mag) - 1) if mag[k] > mag[k - 1] * 1.0001 and mag[k] >= mag[k + 1]]
+        best = sorted(tops, key=lambda k: -mag[k])[:1]
+        assert not best or own[0] == best[0] or abs(mag[own[0]] - mag[best[0]]) < 1e-3 * mag[best[0]]
+
+
+def test_language_model_is_a_distribution_and_independent_of_partitions(spark):
+    from veilmark.llm import lmscore as L
+
+    rng = random.Random(13)
+    words = ["the", "of", "he", "she", "und", "été", "x1", "running", "runner", "run"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(80)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, None)], "doc_id long, text string")
+    one = {r.doc_id: r.score for r in L.score(docs.coalesce(1)).collect()}
+    many = {r.doc_id: r.score for r in L.score(docs.repartition(5)).collect()}
+    assert one == many and len(one) == 81
+    # both choices of every bit add up to one: the scores of all bytes in a place do
+    coded = sorted({*[bytes([b]) + b"q" for b in range(33, 127)], *[w.encode() for w in words]}, key=lambda w: w + b" ")
+    counts = np.full((len(coded), L.CLASSES), np.nan)
+    counts[:, 0] = [rng.randrange(5) for _ in coded]
+    seen = 0.0
+    for back, node, n0, n1, m0, m1, step, pair, bit in L.levels(coded, counts, 0, 1):
+        assert (n0 + n1 >= m0 + m1).all() and (np.bincount(pair, minlength=len(node)) > 0).all()
+        seen = max(seen, (n0 + n1).max())
+    assert seen == np.nansum(counts)
