@@ -361,3 +361,46 @@ def test_language_model_is_a_distribution_and_independent_of_partitions(spark):
         assert (n0 + n1 >= m0 + m1).all() and (np.bincount(pair, minlength=len(node)) > 0).all()
         seen = max(seen, (n0 + n1).max())
     assert seen == np.nansum(counts)
+
+
+def test_simhash_fingerprints_and_hot_buckets(spark, monkeypatch):
+    """Fingerprints by the definition; buckets cut into tiles link what whole ones do; null ids and odd columns take part."""
+    import re
+
+    import xxhash
+
+    from veilmark.llm import simhash as S
+
+    def plain(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        if not w:
+            return 0
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    texts = [None, "", " \t", "One", "one two THREE", "É é\x0bA b", "a b c d e f g " * 30, "Ünder w x y"]
+    assert [S.fingerprint(t) for t in texts] == [plain(t) for t in texts]
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 6, dtype=np.int64)
+    fps = np.unique(np.concatenate([b ^ (np.int64(1) << rng.integers(0, 62, (40, 3))).sum(1) for b in base]))
+    monkeypatch.setattr(S, "TILE", 8)
+    got = S.links(spark.createDataFrame([(int(x),) for x in fps], "fp long")).collect()
+    up = {int(x): int(x) for x in fps}
+
+    def root(up, x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    want = dict(up)
+    for r in got:
+        assert int(r.a ^ r.b).bit_count() <= 4
+        up[root(up, r.a)] = root(up, r.b)
+    for i, a in enumerate(fps.tolist()):
+        for b in fps.tolist()[:i]:
+            if (a ^ b).bit_count() <= 4:
+                want[root(want, a)] = root(want, b)
+    same = lambda m: {frozenset(x for x in m if root(m, x) == y) for y in {root(m, x) for x in m}}
+    assert same(up) == same(want)
+    docs = spark.createDataFrame([(None, "a b", 1), (None, "a b", 1), (4, "a b", 2), (2, "a b", 3), (2, "a b", 3)], "doc_id long, text string, fp int")
+    assert sorted((str(r.doc_id), r.component_id) for r in S.near_duplicates(docs).collect()) == [("2", 2), ("2", 2), ("4", 2), ("None", 2), ("None", 2)]

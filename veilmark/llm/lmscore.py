@@ -51,7 +51,7 @@ SLICE_WORDS, BLOCK_CHARS, PACK = 100_000, 12_000_000, 20_000
 #: Bits of the hashed tables of one, two and three bytes.
 LOW_BITS = (16, 20, 22)
 #: Nodes of a step of learning, and tokens that the weights it starts from are worth.
-ROUND, PRIOR = 8192, 20.0
+ROUND, PRIOR = 32_768, 20.0
 _APM, _LIMIT = 33, 12.0
 _NONE = CLASSES - 1
 
@@ -351,30 +351,68 @@ def score_words(batches: Iterator[pa.RecordBatch], path: str, first: int, until:
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
+def pack_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, ids, packed): the rows (block, place, c, s, size) of each block as columns of numbers, one after the other."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        t = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(5)]
+        order = np.argsort(t[0], kind="stable")
+        blocks = t[0][order]
+        cuts = np.flatnonzero(np.diff(blocks, prepend=blocks[0] - 1)).tolist()
+        kinds = ("<u4", "<i8", "<f8", "<u4")
+        packed = [b"".join(c[order[lo:hi]].astype(k).tobytes() for c, k in zip(t[1:], kinds, strict=True)) for lo, hi in zip(cuts, [*cuts[1:], len(blocks)])]
+        held.clear()
+        return pa.record_batch([pa.array(blocks[cuts]), pa.nulls(len(cuts), pa.int64()), pa.nulls(len(cuts), pa.binary()), pa.array(packed, pa.binary())], names=["block", "doc_id", "ids", "packed"])
+
+    rows = 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            rows += b.num_rows
+        if rows > 500_000:
+            yield flush()
+            rows = 0
+    if held:
+        yield flush()
+
+
+def _unpacked(parts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Occurrences, scores and bytes of a block's steps, in order of their places."""
+    columns: list[list[np.ndarray]] = [[], [], [], []]
+    for x in parts:
+        n, at = len(x) // 24, 0
+        for c, k in zip(columns, ("<u4", "<i8", "<f8", "<u4"), strict=True):
+            c.append(np.frombuffer(x, k, n, at))
+            at += n * int(k[-1])
+    place, c, s, size = (np.concatenate(v) for v in columns)
+    order = np.argsort(place)
+    if (place[order] != np.arange(len(place))).any():
+        raise ValueError("a step has no score: the documents changed while they were scored")
+    return c[order], s[order], size[order].astype(np.int64)
+
+
 def score_documents(batches: Iterator[pa.RecordBatch], total: int, distinct: int) -> Iterator[pa.RecordBatch]:
-    """The scores of documents (block, place, doc_id, ids), each block's after its vocabulary (block, place, its occurrences, score and bytes); sorted by block and place."""
-    block, table = None, [[], [], [], []]
-    values: list[np.ndarray] | None = None
+    """The scores of documents (block, doc_id, ids), each block's after its vocabulary (block, packed); sorted by block, vocabularies first."""
+    block, parts = None, []
+    values: tuple[np.ndarray, ...] | None = None
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
     names = [f.split()[0] for f in _SCORES.split(", ")]
     for b in batches:
         made: list[tuple] = []
-        for k, place, d, ids, c, s, size in zip(*[x.to_pylist() for x in b.columns], strict=True):
+        for k, d, ids, packed in zip(*[x.to_pylist() for x in b.columns], strict=True):
             if k != block:
-                block, table, values = k, [[], [], [], []], None
-            if ids is None:
-                for column, v in zip(table, (place, c, s, size), strict=True):
-                    column.append(v)
+                block, parts, values = k, [], None
+            if packed is not None:
+                parts.append(packed)
                 continue
             if values is None:
-                count = np.array(table[1], float)
-                values = [np.log10((count + 1) / (total + 1 * (distinct + 1))), np.array(table[2]), np.array(table[3], np.int64), count > 0]
-                if table[0] != list(range(len(table[0]))):
-                    raise ValueError("a step has no score: the documents changed while they were scored")
+                c, s, size = _unpacked(parts)
+                values, parts = (np.log10((c + 1) / (total + 1 * (distinct + 1))), s, size, c > 0), []
             at = np.frombuffer(ids, "<u4")
             score = float(values[1][at].sum())
             made.append((d, held_out(d), len(at), int(values[3][at].sum()), total, float(values[0][at].sum()), score, -score / np.log10(2) / int(values[2][at].sum())))
         if made:
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
 
 
@@ -425,7 +463,8 @@ def score(docs: DataFrame) -> DataFrame:
     value = F.array(*[F.col(f"h{i}") + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(CLASSES)])
     by_word = by_word.select("word", "c", value.alias("value"))
     named = vocabulary.select("block", "place", "word", "cls").join(by_word, "word")
-    vocab = named.select("block", "place", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("ids"), "c", F.col("value")[F.col("cls")].alias("s"), F.when(F.octet_length("word") == 0, 1).otherwise(F.octet_length("word") + 1).cast("long").alias("size"))
-    texts = blocks.where("words is null").select("block", F.lit(1 << 40).alias("place"), "doc_id", "ids", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("s"), F.lit(None).cast("long").alias("size"))
-    both = vocab.unionByName(texts).repartition("block").sortWithinPartitions("block", "place")
+    size = F.when(F.octet_length("word") == 0, 1).otherwise(F.octet_length("word") + 1).cast("long")
+    vocab = mapped(named.select("block", "place", "c", F.col("value")[F.col("cls")].alias("s"), size.alias("size")), pack_scores, "block long, doc_id long, ids binary, packed binary")
+    texts = blocks.where("words is null").select("block", "doc_id", "ids", F.lit(None).cast("binary").alias("packed"))
+    both = vocab.unionByName(texts).repartition("block").sortWithinPartitions("block", F.col("packed").isNull())
     return mapped(both, score_documents, _SCORES, total=int(total), distinct=int(distinct))

@@ -18,6 +18,7 @@ shards; other columns are stored too, and clashing names are no matter, as a mer
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
@@ -62,7 +63,7 @@ class Store:
         if version is None:
             version = max(self.versions(), default=0)
         if version == 0:
-            return 0, self.spark.createDataFrame([], _SHARDS)
+            return 0, _table(self.spark, [], _SHARDS)
         name = self.spark.read.text(f"{self.root}/manifests/v{version}").first()[0]
         return version, self.spark.read.schema(_SHARDS).parquet(f"{self.root}/tables/{name}")
 
@@ -115,6 +116,12 @@ class Store:
         return gone
 
 
+def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A few rows as a table that the JVM makes by itself."""
+    kind = f"array<struct<{schema.replace(', ', ',').replace(' ', ':')}>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
+
+
 def _relative(path):
     return F.regexp_extract(path, r"/data/([^/]+/[^/]+)$", 1)
 
@@ -176,7 +183,7 @@ def compact(store: Store, target: int = TARGET_BYTES, fanout: int = FANOUT) -> i
         # a file of partition p is that of the p-th merge
         new = _measured(store, folder, fanout).withColumn("p", F.regexp_extract("path", r"/part-(\d+)-", 1).cast("int"))
         seq = F.element_at(F.split(F.lit(",".join(map(str, into))), ","), F.col("p") + 1).cast("long")
-        old = store.spark.createDataFrame([(r["path"],) for r in parts], "path string")
+        old = _table(store.spark, [{"path": r["path"]} for r in parts], "path string")
         while True:
             if shards.join(old, "path", "left_semi").count() < len(parts):
                 break  # another compaction was first: its version is planned anew
@@ -192,7 +199,7 @@ def _merge(store: Store, parts: list[tuple[str, int]], n: int) -> str:
     spark, folder = store.spark, uuid.uuid4().hex
     rows = spark.read.parquet(*[f"{store.root}/data/{p}" for p, _ in parts])
     place, path = free_name(rows, "merge"), free_name(rows, "path")
-    where = spark.createDataFrame(parts, f"{path} string, {place} int")
+    where = _table(spark, [{path: p, place: i} for p, i in parts], f"{path} string, {place} int")
     columns = rows.columns
     tagged = rows.withColumn(path, _relative(F.col("_metadata.file_path"))).join(where, path)
     moved = tagged.repartitionById(n, F.col(place)).select(*columns)
