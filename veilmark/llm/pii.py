@@ -117,7 +117,16 @@ def find(docs: DataFrame, disclose: float = DISCLOSE, generalise: float = GENERA
     asked = None if flagged is None else among(flagged.select("term"))
     if asked is None:
         return base.withColumn("terms", none)
-    placed = F.filter(F.transform(matches(text, r"\p{L}++", F.lit(True)), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("term"))), lambda w: asked(w["term"]))
+    # only the places of terms that may be asked for are kept, so the walk over a text's words copies little
+    walk = F.aggregate(
+        F.zip_with(F.split(text, r"\p{L}++", -1), F.regexp_extract_all(text, F.lit(r"\p{L}++"), F.lit(0)), lambda g, w: F.struct(F.length(g).alias("g"), F.lower(w).alias("t"), F.length(w).alias("n"))),
+        F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<struct<start:int,end:int,term:string>>").alias("all")),
+        lambda a, x: F.struct(
+            (a["at"] + x["g"] + F.coalesce(x["n"], F.lit(0))).alias("at"),
+            F.when(asked(x["t"]), F.concat(a["all"], F.array(F.struct((a["at"] + x["g"]).alias("start"), (a["at"] + x["g"] + x["n"]).alias("end"), x["t"].alias("term"))))).otherwise(a["all"]).alias("all"),
+        ),
+    )
+    placed = walk["all"]
     places = src.where(F.exists(_terms(text), asked)).select("row_key", F.inline(placed)).distinct().join(flagged, "term")
     terms = places.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share", "removed", "by"))).alias("terms"))
     out = base.join(terms, "row_key", "left")
