@@ -49,7 +49,7 @@ _tidied = 0.0
 def _tidy(spark: SparkSession) -> None:
     """Let go of the shuffle files that written tables no longer need: Spark removes them once the driver has collected its garbage, which an idle driver puts off."""
     global _tidied
-    if time.monotonic() - _tidied > 10:
+    if time.monotonic() - _tidied > 3:
         _tidied = time.monotonic()
         spark.sparkContext._jvm.System.gc()
 
@@ -57,7 +57,7 @@ def _tidy(spark: SparkSession) -> None:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -47,7 +47,7 @@ MOD, HELD_OUT = 7, 2
 CLASSES, LOW, INPUTS = 8, 3, 6
 HEAD = 4
 #: Words of a slice, about; characters of text in a block; rows of a packed vocabulary.
-SLICE_WORDS, BLOCK_CHARS, PACK = 100_000, 12_000_000, 20_000
+SLICE_WORDS, BLOCK_CHARS, PACK = 100_000, 24_000_000, 20_000
 #: Bits of the hashed tables of one, two and three bytes.
 LOW_BITS = (16, 20, 22)
 #: Nodes of a step of learning, and tokens that the weights it starts from are worth.
