@@ -134,3 +134,38 @@ def test_templated_lines_are_one_class_without_all_pairs(spark, monkeypatch):
     got = {r.doc_id: r.class_of for r in linededup.report(docs).collect()}
     assert real is linededup.verify and sum(formed) < 60 * 3200
     assert all(got[i] == "0:0" for i in range(1, 3000)) and got[0] == "" and not any(got[i] for i in range(3000, 3200))
+
+
+def test_changed_words_are_found_at_the_thresholds_and_a_passage_is_no_hot_key(spark):
+    """Words changed as far apart as can be, put in, left out, and one too many; a passage of eight words, at any place of lines that are otherwise different, makes no key that all of them share."""
+    import random
+
+    import pyarrow as pa
+
+    from veilmark.llm import linededup as L
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    passage, held = [word() for _ in range(8)], []
+    for _ in range(300):
+        own = [word() for _ in range(rng.randint(30, 110))]
+        own[(at := rng.randrange(len(own) - 8)) : at + 8] = passage
+        held.append(" ".join(own))
+    blobs = [r for b in L.key_blobs(iter([pa.record_batch([pa.array(held)], names=["text"])]), edits=2, buckets=1) for r in zip(*[c.to_pylist() for c in b.columns])]
+    columns = [pa.array(c, k) for c, k in zip(zip(*sorted(blobs, key=lambda r: r[0])), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
+    found = list(L.candidate_pairs(iter([pa.record_batch(columns, names=["bucket", "kind", "keys", "ids"])]), buckets=1))
+    assert sum(b.num_rows for b in found) < 30  # it was the 300 members of a hot key, compared with each other's classes
+    lines, pairs = [], []
+    for n in (20, 39, 40, 41, 59, 60, 61, 62, 79, 80, 120, 200):
+        for kind in range(4):
+            own, e = [word() for _ in range(n)], n // 20 if kind != 2 else (n - n // 20) // 20
+            other = list(own)
+            for i in range(e, 0, -1):
+                at = i * n // (e + 1) - 1
+                other[at : at + (kind != 1)] = [word()] * (kind != 2)
+            if kind == 3:
+                other[0] = word()
+            pairs.append((len(lines), len(lines) + 1, kind != 3))
+            lines += [" ".join(own), " ".join(other)]
+    got = {r.doc_id: r.class_of for r in L.report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert all((got[j] == f"{i}:0") == alike for i, j, alike in pairs)

@@ -11,7 +11,8 @@ at least one segment of the shorter occurs in it unchanged, near its own place.
 length and the segment's number; each line probes, for every length that may match, the few substrings that the length
 difference leaves possible.  Index and probe keys of a bucket meet as sorted arrays.
 
-Word edits have keys of their own.  Of m words, ``m // PER_EDIT`` edits leave a run of at least ``RUN`` untouched, and whatever run of ``RUN``
+Word edits have keys of their own.  Lines of fewer than ``LONG`` words are cut into segments of words in the same way, so that a passage that many lines hold isn't a key.  Of m words, ``LONG`` or more,
+``m // PER_EDIT`` edits leave a run of at least ``RUN`` untouched, and whatever run of ``RUN``
 words two lines share, both have the smallest hash of the ``GRAM``-word grams in it among their keys: the smallest of every run's.  So their number grows
 with the line's words only; lines whose sizes or places of the gram differ by more than the edits are no candidates.  Candidates are verified on their whole lines by
 a bit-parallel edit distance, banded by the threshold: it stops where no cell of the band can come back under it.
@@ -19,6 +20,7 @@ a bit-parallel edit distance, banded by the threshold: it stops where no cell of
 Equal lines are one line throughout, by a 128-bit hash; for verification only lines that pass a filter of the candidates' ids, of fixed size, are moved.  Keys are spread over buckets by hash, the number of
 which grows with the number of lines.  A key that more than ``HOT`` lines share (templates) is hot: such lines are paired with the key's first one and with the lines beside them
 in order of text, and then only with lines of the key that this leaves in another class (see ``graph``), so what is formed grows with the lines and not with their pairs, and no link between classes is lost.
+A run's hot key is first divided by number of words and place, in overlapping cells, as lines of different ones can't be linked.
 Keys that are hot within a task's own lines go to buckets of no one, so no task holds all lines of one key.
 
 Null texts stay null and have no lines; documents with a null id take part (they come first); repeated rows are documents of their
@@ -29,6 +31,7 @@ and never held but as the batch they come in; an empty table gives no rows; othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +45,10 @@ from veilmark.llm.graph import classes_of, components
 EDITS, PER_CHARS = 2, 32
 #: Lines that share a key from which on they aren't paired with each other at once; lines of a task whose keys were made already and are remembered.
 HOT, SEEN = 32, 200_000
-#: Words for each word edit; the untouched run that leaves (19 words in two parts, at worst), and words of a gram in it.
-PER_EDIT, RUN, GRAM = 20, 10, 5
+#: Words for each word edit; words of a line from which on its keys are runs; the untouched run that the edits leave then (57 words in four parts, at worst), and words of a gram in it.
+PER_EDIT, LONG, RUN, GRAM = 20, 60, 15, 9
+#: Growth of the sizes that a cell of a hot run key holds: more than a linked line's may differ by.
+CELL = 1.06
 #: Keys of a bucket, about; and candidate pairs formed at once.
 BUCKET_KEYS, SLICE, FLUSH = 1_000_000, 2_000_000, 300_000
 #: Bits of the filter that is sent along to find candidates' lines: 1 MB, whatever the number of lines.
@@ -86,16 +91,29 @@ _plans: dict[tuple[int, int], tuple[list, list]] = {}
 
 
 def _plan(n: int, edits: int) -> tuple[list, list]:
-    """What a line of n characters puts into the index, and what it probes: (seed, start, end)."""
+    """What a line of n characters puts into the index, which it probes as well, and what else it probes: (seed, start, end)."""
     if (n, edits) not in _plans:
         if len(_plans) > 2_000:
             _plans.clear()
         own = [(((n << 4) | i), p, p + s) for i, (p, s) in enumerate(segments(n, allowed(n, edits)))]
         ask = [(((m << 4) | i), p, p + s) for m in range(max(PER_CHARS, n - edits), n + 1) if n - m <= allowed(m, edits) for i, p, s in probes(n, m, allowed(m, edits))]
-        _plans[n, edits] = own, ask
+        _plans[n, edits] = own, [x for x in ask if x not in own]
     return _plans[n, edits]
 
 
+_word_plans: dict[int, tuple[list, list]] = {}
+
+
+def _word_plan(n: int) -> tuple[list, list]:
+    """The same for n words and word edits, as far as a line of fewer than ``LONG`` words is concerned."""
+    if n not in _word_plans:
+        seed = lambda m, i: (1 << 40) | (m << 8) | i
+        own = [(seed(n, i), p, p + s) for i, (p, s) in enumerate(segments(n, n // PER_EDIT))] if n < LONG else []
+        ask = [(seed(m, i), p, p + s) for m in range(PER_EDIT, min(n + 1, LONG)) if n - m <= m // PER_EDIT for i, p, s in probes(n, m, m // PER_EDIT)]
+        _word_plans[n] = own, [x for x in ask if x not in own]
+    return _word_plans[n]
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance is at most ``edits``; what both lines start and end with is cut off first."""
     if abs(len(a) - len(b)) > edits:
@@ -206,7 +224,7 @@ _COLD, _MEMBER, _MARK = 0, 1, 2
 
 def _groups(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, starts, sizes) of equal keys."""
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k.astype(np.uint16) if len(k) and 0 <= k.min() and k.max() < 1 << 16 else k, kind="stable")  # small numbers are sorted by their digits
     s = k[order]
     starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1])))
     return order, starts, np.diff(np.concatenate((starts, [len(s)])))
@@ -217,21 +235,36 @@ def _pack(keys: np.ndarray, ids: np.ndarray, kind: int, bucket: np.ndarray) -> l
     return [(int(bucket[order[a]]), kind, keys[order[a : a + n]].tobytes(), ids[order[a : a + n]].tobytes()) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
-def _hot(same: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which rows have a key that more than ``HOT`` different lines have, which rows are the first of their key and line, and a row of each hot key."""
-    order = np.lexsort((ids, same))
+def _hot(same: np.ndarray, ids: np.ndarray, also: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows have a key that more than ``HOT`` different lines have, or one of ``also``; which of them are the first of their key and line, and a row of each hot key."""
+    hot, first = np.zeros(len(same), bool), np.zeros(len(same), bool)
+    s = np.sort(same)
+    often = s[HOT:][s[HOT:] == s[:-HOT]]  # by rows, of which a line may have several
+    often = np.unique(often if also is None else np.concatenate((often, also)))
+    at = np.flatnonzero(_in(same, often))
+    if not len(at):
+        return hot, first, at
+    order = at[np.lexsort((ids[at], same[at]))]
     k, i = same[order], ids[order]
     key = np.ones(len(k), bool)
     key[1:] = k[1:] != k[:-1]
     new = key.copy()
     new[1:] |= i[1:] != i[:-1]
     group = np.cumsum(key) - 1
-    many = np.bincount(group, new) > HOT if len(k) else np.zeros(0, bool)
-    hot, first = np.zeros(len(k), bool), np.zeros(len(k), bool)
+    many = np.bincount(group, new) > HOT
+    if also is not None:
+        many |= np.isin(k[key], also)
     hot[order], first[order] = many[group], new
     return hot, first, order[np.flatnonzero(key)[many]]
 
 
+def _in(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each is one of the sorted values."""
+    if not len(values):
+        return np.zeros(len(x), bool)
+    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
+
+
 def _spread(k: np.ndarray, ids: np.ndarray, bits: int, buckets: int, first: int) -> list[tuple]:
     """Packed rows of keys (whose lowest ``bits`` don't count for equality) with lines, ``ids`` being lines, or (line, what else): those hot here go as members, to any bucket, and as
     marks, to that of their key."""
@@ -280,18 +313,27 @@ def key_blobs(batches: Iterator[pa.RecordBatch], edits: int, buckets: int) -> It
                     continue
                 (old if len(old) < SEEN else seen).add(raw)
                 own, ask = _plan(len(line), edits)
-                me = int.from_bytes(raw[:8], "big")
-                plain = line.isascii()
-                data = line.encode("ascii") if plain else line.encode("utf-32-le", "surrogatepass")
-                w = 1 if plain else 4
+                me, before = int.from_bytes(raw[:8], "big"), len(keys)
                 # the lowest bit tells probes from index keys; ASCII and other lines hash their characters alike
-                for seed, p, q in own:
-                    keys.append(digest(data[p * w : q * w] if plain else _narrow(data[p * 4 : q * 4]), seed) & ~1)
-                for seed, p, q in ask:
-                    keys.append(digest(data[p * w : q * w] if plain else _narrow(data[p * 4 : q * 4]), seed) | 1)
-                ids += [me] * (len(own) + len(ask))
+                if line.isascii():
+                    data = line.encode("ascii")
+                    mine_ = [digest(data[p:q], seed) for seed, p, q in own]
+                    keys += [digest(data[p:q], seed) | 1 for seed, p, q in ask]
+                else:
+                    data = line.encode("utf-32-le", "surrogatepass")
+                    mine_ = [digest(_narrow(data[p * 4 : q * 4]), seed) for seed, p, q in own]
+                    keys += [digest(_narrow(data[p * 4 : q * 4]), seed) | 1 for seed, p, q in ask]
                 words = line.split()
-                if len(words) >= PER_EDIT:
+                if PER_EDIT <= len(words) < LONG + LONG // PER_EDIT:
+                    own, ask = _word_plan(len(words))
+                    data = " ".join(words).encode("utf-8", "surrogatepass")
+                    at = [0, *accumulate(map(len, data.split(b" ")))]  # word p begins at at[p] + p
+                    mine_ += [digest(data[at[p] + p : at[q] + q - 1], seed) for seed, p, q in own]
+                    keys += [digest(data[at[p] + p : at[q] + q - 1], seed) | 1 for seed, p, q in ask]
+                keys += [x & ~1 for x in mine_]
+                keys += [x | 1 for x in mine_]
+                ids += [me] * (len(keys) - before)
+                if len(words) >= LONG:
                     hashes += [known.get(w) or known.setdefault(w, digest(w.encode("utf-8", "surrogatepass"))) for w in words]
                     sizes.append(len(words))
                     mine.append(me)
@@ -352,8 +394,7 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator
         i = i.reshape(-1, 2) if runs else i
         bits = np.uint64(0 if runs else 1)
         same, line = k >> bits, i[:, 0] if runs else i
-        hot, once, _ = _hot(same, line)
-        hot |= np.isin(same, mark >> bits)
+        hot, once, _ = _hot(same, line, mark >> bits)
         if hot.any():
             yield members(k[hot & once], i[hot & once], runs)
         k, i = k[~hot], i[~hot]
@@ -368,7 +409,9 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator
             probe = (k & np.uint64(1)).astype(bool)
             k = k >> np.uint64(1)
             ik, ii = _once(k[~probe], i[~probe])
-            qk, qi = _once(k[probe], i[probe])
+            qk, qi = k[probe], i[probe]
+            there = _in(qk, ik)
+            qk, qi = _once(qk[there], qi[there])
             lo = np.searchsorted(ik, qk, "left")
         n = np.searchsorted(ik, qk, "right") - lo
         at = np.flatnonzero(n)
@@ -409,8 +452,13 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator
 
 def _once(k: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted by key and id, without repeats."""
-    order = np.lexsort((i, k))
+    order = np.argsort(k)
     k, i = k[order], i[order]
+    tied = np.zeros(len(k), bool)
+    tied[1:] = k[1:] == k[:-1]
+    tied[:-1] |= tied[1:]
+    at = np.flatnonzero(tied)
+    i[at] = i[at][np.lexsort((i[at], k[at]))]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
     return k[new], i[new]
@@ -468,6 +516,16 @@ def _keep(a: Column, b: Column) -> Column:
     return ~a["runs"] | (apart <= F.floor(F.least(size(a), size(b)) / PER_EDIT))
 
 
+def _by_cell(members: DataFrame) -> DataFrame:
+    """Members (key, id, info) of hot keys, those of runs by key, size and place: in each of two cells of either, so that whatever ``_keep`` allows shares one."""
+    size, place = F.shiftright("info.what", 32), F.col("info.what").bitwiseAND(F.lit(0xFFFFFFFF))
+    cell = F.floor(F.log(size.cast("double")) / F.log(F.lit(CELL)))
+    width = F.floor(F.pow(F.lit(CELL), F.col("cell") + 1) / PER_EDIT) + 1  # more than the edits of a line of the cell or the one before
+    runs = members.where("info.runs").withColumn("cell", F.explode(F.array(cell, cell + 1))).withColumn("at", F.floor(place / width))
+    runs = runs.withColumn("at", F.explode(F.array(F.col("at"), F.col("at") + 1))).select(F.xxhash64("key", "cell", "at").alias("key"), "id", "info")
+    return runs.unionByName(members.where("not info.runs"))
+
+
 def line_links(texts: DataFrame, n_lines: int, edits: int = EDITS) -> DataFrame:
     """(la, lb) of ids of different lines: links that connect whatever lines are within the thresholds of each other."""
     if not 0 <= edits <= 8:
@@ -495,7 +553,7 @@ def line_links(texts: DataFrame, n_lines: int, edits: int = EDITS) -> DataFrame:
     for order in (F.col("words"), F.reverse("words")):
         beside = hot.select("short", order.alias("o")).repartitionByRange("o").sortWithinPartitions("o").select("short")
         pairs = pairs.unionByName(mapped(beside, adjacent, "a long, b long"))
-    return classes_of(members, pairs, _keep, verified).select("la", "lb")
+    return classes_of(_by_cell(members), pairs, _keep, verified).select("la", "lb")
 
 
 def find(docs: DataFrame, edits: int = EDITS) -> DataFrame:
