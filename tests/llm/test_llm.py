@@ -404,3 +404,23 @@ def test_simhash_fingerprints_and_hot_buckets(spark, monkeypatch):
     assert same(up) == same(want)
     docs = spark.createDataFrame([(None, "a b", 1), (None, "a b", 1), (4, "a b", 2), (2, "a b", 3), (2, "a b", 3)], "doc_id long, text string, fp int")
     assert sorted((str(r.doc_id), r.component_id) for r in S.near_duplicates(docs).collect()) == [("2", 2), ("2", 2), ("4", 2), ("None", 2), ("None", 2)]
+
+
+def test_scores_of_a_block_are_packed_small_and_come_back():
+    import pyarrow as pa
+
+    from veilmark.llm import lmscore as L
+
+    rng = np.random.default_rng(1)
+    block, n = rng.integers(0, 3, 60_000), 60_000
+    place = np.zeros(n, np.int64)
+    for k in range(3):
+        place[block == k] = rng.permutation((block == k).sum())
+    c, s, size = rng.pareto(1, n).astype(np.int64), -9 * rng.random(n), rng.integers(1, 15, n)
+    batches = [pa.record_batch([pa.array(x[i : i + 7_000]) for x in (block, place, c, s, size)], names=list("abcde")) for i in range(0, n, 7_000)]
+    rows = [r for b in L.pack_scores(iter(batches)) for r in zip(b.column(0).to_pylist(), b.column(3).to_pylist())]
+    assert sum(len(x) for _, x in rows) < 12 * n  # it was 24
+    for k in range(3):
+        at = np.flatnonzero(block == k)[np.argsort(place[block == k])]
+        got = L._unpacked([x for q, x in rows if q == k])
+        assert all((x == y).all() for x, y in zip(got, (c[at], s[at], size[at]), strict=True))

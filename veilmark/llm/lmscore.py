@@ -351,17 +351,23 @@ def score_words(batches: Iterator[pa.RecordBatch], path: str, first: int, until:
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
+def _packed(place: np.ndarray, c: np.ndarray, s: np.ndarray, size: np.ndarray) -> bytes:
+    """The number of rows, the scores, and all bytes of the others by their significance, compressed; places as differences."""
+    small = [np.ascontiguousarray(x.astype(k)).view(np.uint8).reshape(len(x), -1).T.tobytes() for x, k in ((np.diff(place, prepend=0), "<u4"), (c, "<i8"), (size, "<u4"))]
+    return np.array([len(s)], "<u4").tobytes() + s.astype("<f8").tobytes() + zlib.compress(b"".join(small), 1)
+
+
 def pack_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, ids, packed): the rows (block, place, c, s, size) of each block as columns of numbers, one after the other."""
+    """(block, ids, packed): the rows (block, place, c, s, size) of each block in order of place, as columns of numbers: what the scores leave is small, and compressed."""
     held: list[pa.RecordBatch] = []
 
     def flush() -> pa.RecordBatch:
         t = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(5)]
-        order = np.argsort(t[0], kind="stable")
+        order = np.lexsort((t[1], t[0]))
         blocks = t[0][order]
         cuts = np.flatnonzero(np.diff(blocks, prepend=blocks[0] - 1)).tolist()
-        kinds = ("<u4", "<i8", "<f8", "<u4")
-        packed = [b"".join(c[order[lo:hi]].astype(k).tobytes() for c, k in zip(t[1:], kinds, strict=True)) for lo, hi in zip(cuts, [*cuts[1:], len(blocks)])]
+        place, c, s, size = (x[order] for x in t[1:])
+        packed = [_packed(place[lo:hi], c[lo:hi], s[lo:hi], size[lo:hi]) for lo, hi in zip(cuts, [*cuts[1:], len(blocks)])]
         held.clear()
         return pa.record_batch([pa.array(blocks[cuts]), pa.nulls(len(cuts), pa.int64()), pa.nulls(len(cuts), pa.binary()), pa.array(packed, pa.binary())], names=["block", "doc_id", "ids", "packed"])
 
@@ -381,10 +387,14 @@ def _unpacked(parts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Occurrences, scores and bytes of a block's steps, in order of their places."""
     columns: list[list[np.ndarray]] = [[], [], [], []]
     for x in parts:
-        n, at = len(x) // 24, 0
-        for c, k in zip(columns, ("<u4", "<i8", "<f8", "<u4"), strict=True):
-            c.append(np.frombuffer(x, k, n, at))
-            at += n * int(k[-1])
+        n = int(np.frombuffer(x, "<u4", 1)[0])
+        columns[2].append(np.frombuffer(x, "<f8", n, 4))
+        small, at = np.frombuffer(zlib.decompress(memoryview(x)[4 + 8 * n :]), np.uint8), 0
+        for i, k in ((0, "<u4"), (1, "<i8"), (3, "<u4")):
+            size = n * int(k[-1])
+            own = np.ascontiguousarray(small[at : at + size].reshape(-1, n).T).view(k).ravel()
+            columns[i].append(np.cumsum(own, dtype=np.int64) if i == 0 else own)
+            at += size
     place, c, s, size = (np.concatenate(v) for v in columns)
     order = np.argsort(place)
     if (place[order] != np.arange(len(place))).any():
