@@ -424,3 +424,30 @@ def test_scores_of_a_block_are_packed_small_and_come_back():
         at = np.flatnonzero(block == k)[np.argsort(place[block == k])]
         got = L._unpacked([x for q, x in rows if q == k])
         assert all((x == y).all() for x, y in zip(got, (c[at], s[at], size[at]), strict=True))
+
+
+def test_documents_of_a_block_are_not_shuffled(spark):
+    """Words travel once for a block, whatever their classes, and the numbers of the documents not at all."""
+    from veilmark.llm import lmscore as L
+
+    rng = random.Random(2)
+    words = [*"abcdefgh", "été", "of", "running", "runner", "x1", "q" * 300]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(60)], "doc_id long, text string").repartition(3)
+    out = L.score(docs)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 60
+    blocks = L.mapped(docs, L.split_words, L._BLOCKS).collect()
+    by_word = Counter((r.block, r.word) for r in blocks if r.word is not None)
+    assert set(by_word.values()) == {1}
+    # the numbers of a document's steps name its words and the class of the byte before each
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    steps = {}
+    for r in blocks:
+        if r.word is not None:
+            classes = [c for c in range(L.CLASSES) if r["mask"] >> c & 1]
+            assert [c for c in range(L.CLASSES) if r[f"c{c}"] is not None] == classes
+            steps |= {(r.block, r.place + i): (bytes(r.word), c) for i, c in enumerate(classes)}
+    for r in blocks:
+        if r.word is None:
+            own = [*L.tokens(texts[r.doc_id]), b""]
+            want = list(zip(own, [L._NONE, *[int(L.CLASS[w[-1]]) for w in own[:-1]]]))
+            assert [steps[r.block, i] for i in L._from_planes(bytes(r.ids), "<u4").tolist()] == want

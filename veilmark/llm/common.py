@@ -54,12 +54,17 @@ def _tidy(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there and survives lost executors."""
+def written(df: DataFrame, name: str, *by: str) -> str:
+    """Write ``df`` to the shared folder, by the values of columns ``by`` if any; its path."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     _tidy(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: its lineage ends there and survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
 #: Rows and bytes of an Arrow batch, where the session leaves them as they are: what a worker holds then depends on neither's number.

@@ -22,8 +22,8 @@ steps of a run share is worked out once.  Slices are cut by a hash of a word's f
 their own, so all counts are whole.  Slices depend on the vocabulary alone: however the documents are spread, their scores are the same.
 
 Counts of the low contexts come from distinct sequences of four bytes, which grow with the alphabet and not with the corpus; the tables of the deep
-ones grow with the corpus, as do the slices' number.  Documents are split into words once: their numbers in a block and the block's vocabulary are written, the vocabularies
-are counted, and joined with the scores.
+ones grow with the corpus, as do the slices' number.  Documents are split into words once: the numbers of their steps in a block and the block's vocabulary, a row for each word, are written, the
+vocabularies are counted, and joined with the scores.  A block's scores are written to a place of their own, from where the tasks that read its documents take them, so documents are never shuffled.
 
 Null texts count as empty: an end alone.  A null id counts as training (its remainder is null); repeated rows are scored
 and learned each on its own; very long texts are split in their row, and their words are looked up in their block's vocabulary; the order of equal
@@ -33,20 +33,23 @@ counts is that of the words; an empty table gives no rows; other columns are ign
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import fresh_path, mapped, materialise
+from veilmark.llm.common import drop_path, mapped, materialise, written
 
 MOD, HELD_OUT = 7, 2
 CLASSES, LOW, INPUTS = 8, 3, 6
 HEAD = 4
-#: Words of a slice, about; characters of text in a block; rows of a packed vocabulary.
+#: Words of a slice, about; characters of text in a block; words of a vocabulary in a batch.
 SLICE_WORDS, BLOCK_CHARS, PACK = 100_000, 24_000_000, 20_000
 #: Bits of the hashed tables of one, two and three bytes.
 LOW_BITS = (16, 20, 22)
@@ -76,53 +79,60 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % MOD == HELD_OUT
 
 
-_BLOCKS = "block long, doc_id long, place long, ids binary, words array<binary>, classes array<int>, counts array<long>"
+_WORDS = ", ".join(f"c{i} long" for i in range(CLASSES))
+_BLOCKS = f"block long, doc_id long, ids binary, place int, word binary, mask int, {_WORDS}"
 
 
 def split_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of (doc_id, text): of each document its steps by number, and of each block the steps with their training occurrences, packed."""
+    """Blocks of (doc_id, text): of each document its steps by number, and of each block the words with the number of their first step, their classes as bits, and the training
+    occurrences of each class that occurs."""
     from pyspark import TaskContext
 
     block = TaskContext.get().partitionId() << 24
-    known, codes, ids, size = {b"": 0}, [], [], 0  # the end is the empty word
-
-    def add(text: str | None) -> np.ndarray:
-        words = tokens(text)
-        own = np.zeros(len(words) + 1, np.int64)
-        own[:-1] = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-        cls = np.full(len(words) + 1, _NONE, np.int64)
-        cls[1:] = CLASS[np.fromiter((w[-1] for w in words), np.int64, len(words))]
-        return own * CLASSES + cls
+    known: dict[bytes, int] = defaultdict(count().__next__)
+    codes, ids, size = [], [], 0
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), *[pa.int64()] * CLASSES]
+    names = [f.split()[0] for f in _BLOCKS.split(", ")]
 
-    def rows(docs: list, place: list, number: list, words: list, classes: list, counts: list) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        cols = [[block] * len(docs), docs, place, number, words, classes, counts]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in _BLOCKS.split(", ")])
+    def rows(n: int, without: dict[str, np.ndarray], **columns) -> pa.RecordBatch:
+        columns["block"] = np.full(n, block)
+        return pa.record_batch([pa.array(columns[k], t, mask=without.get(k)) if k in columns else pa.nulls(n, t) for k, t in zip(names, kinds, strict=True)], names=names)
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal block, size
         ends = np.cumsum([0, *map(len, codes)])
-        step, at = np.unique(np.concatenate(codes), return_inverse=True)
-        at = at.astype("<u4")
-        train = np.repeat([0 if held_out(d) else 1 for d in ids], np.diff(ends))
-        n = np.bincount(at, train, len(step)).astype(np.int64)
-        names, cls = list(known), (step % CLASSES).astype(np.int32)
-        for lo in range(0, len(step), PACK):
+        word, words = np.concatenate(codes), list(known)
+        last = CLASS[np.frombuffer(b"".join([w[-1:] or b" " for w in words]), np.uint8)]
+        step = word * CLASSES  # before a document's first word is the end of another, or nothing: no byte in either case
+        step[1:] += last[word[:-1]]
+        step[0] += _NONE
+        there = np.bincount(step, minlength=len(words) * CLASSES) > 0
+        at = (np.cumsum(there) - 1)[step].astype("<u4")
+        train = np.repeat([0.0 if held_out(d) else 1.0 for d in ids], np.diff(ends))
+        n = np.bincount(step, train, len(there)).astype(np.int64).reshape(-1, CLASSES)
+        there = there.reshape(-1, CLASSES)
+        mask, place = np.packbits(there, 1, "little")[:, 0].astype(np.int32), np.cumsum(there.sum(1)) - there.sum(1)
+        for lo in range(0, len(words), PACK):
             own = slice(lo, lo + PACK)
-            yield rows([None], [lo], [None], [[names[i] for i in (step[own] // CLASSES).tolist()]], [cls[own]], [n[own]])
+            counts, without = ({f"c{i}": x[own, i] for i in range(CLASSES)} for x in (n, ~there))
+            yield rows(len(mask[own]), without, place=place[own], word=words[own], mask=mask[own], **counts)
         for lo in range(0, len(ids), 500):
             k = range(lo, min(lo + 500, len(ids)))
-            yield rows([ids[i] for i in k], [-1] * len(k), [at[ends[i] : ends[i + 1]].tobytes() for i in k], [None] * len(k), [None] * len(k), [None] * len(k))
+            yield rows(len(k), {}, doc_id=[ids[i] for i in k], ids=[_planes(at[ends[i] : ends[i + 1]]) for i in k])
         block += 1
         known.clear()
-        known[b""] = 0
+        known.default_factory = count().__next__
         codes.clear()
         ids.clear()
         size = 0
 
     for b in batches:
         for d, x in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            codes.append(add(x))
+            if not ids:
+                known[b""]  # the end is the empty word, and the first
+            words = tokens(x)
+            words.append(b"")
+            codes.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
             ids.append(d)
             size += len(x or "")
             if size > BLOCK_CHARS:
@@ -131,11 +141,17 @@ def split_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _coded(words: list[bytes]) -> list[bytes]:
-    return [w + b"\x20" if w else b"\x0a" for w in words]
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes of the numbers, then all second ones and so on: what compresses well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
-_WORDS = ", ".join(f"c{i} long" for i in range(CLASSES))
+def _from_planes(raw: bytes | np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(int(kind[-1]), -1).T).view(kind).ravel()
+
+
+def _coded(words: list[bytes]) -> list[bytes]:
+    return [w + b"\x20" if w else b"\x0a" for w in words]
 
 
 def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[list[bytes], np.ndarray]:
@@ -172,17 +188,23 @@ def _slot(ctx: np.ndarray, node: np.ndarray, order: int) -> np.ndarray:
         return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - LOW_BITS[order - 1])).astype(np.int64)
 
 
+def _files(path: str) -> Iterator[pq.ParquetFile]:
+    """The files of a written table, or of a part of it."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path)
+    for f in sorted(f.path for f in system.get_file_info(fs.FileSelector(at)) if f.path.endswith(".parquet")):
+        with system.open_input_file(f) as file:
+            yield pq.ParquetFile(file)
+
+
 class LowOrders:
     """Logits in the contexts of the last one, two and three bytes, from a table of ``grams``."""
 
     def __init__(self, path: str):
-        from pyarrow import fs
-
-        system, at = fs.FileSystem.from_uri(path)
-        files = sorted(f.path for f in system.get_file_info(fs.FileSelector(at)) if f.path.endswith(".parquet"))
         n = [np.zeros((2, 1 << b)) for b in LOW_BITS]
-        for f in files:
-            for b in pq.ParquetFile(system.open_input_file(f)).iter_batches(200_000, columns=["code", "c"]):
+        for f in _files(path):
+            for b in f.iter_batches(200_000, columns=["code", "c"]):
                 code, c = (b.column(i).to_numpy() for i in range(2))
                 byte = code & 255
                 for k in range(8):
@@ -320,8 +342,28 @@ def learn(batches: Iterator[pa.RecordBatch], path: str, first: int, until: int)
 _SCORED = "word binary, c long, " + ", ".join(f"s{i} double" for i in range(CLASSES))
 
 
-def score_words(batches: Iterator[pa.RecordBatch], path: str, first: int, until: int, weights: list[float], apm: list[float]) -> Iterator[pa.RecordBatch]:
-    """log10 probabilities of a slice of words, bytes ``first`` to ``until``, by class (nan: no such step), with their training occurrences."""
+def _of_heads(words: list[bytes], path: str) -> np.ndarray:
+    """Scores by class of the first ``HEAD`` bytes of words that have as many, from a table of ``score_words``; what is held is as long as the words are many."""
+    head, at = np.unique(np.array([w[:HEAD].hex() for w in words], "S"), return_inverse=True)
+    out, found = np.zeros((len(head), CLASSES)), np.zeros(len(head), bool)
+    for f in _files(path):
+        for b in f.iter_batches(100_000, columns=["word", *[f"s{i}" for i in range(CLASSES)]]):
+            b = b.filter(pc.equal(pc.binary_length(b.column(0)), HEAD))
+            if not b.num_rows:
+                continue
+            name = np.array([w.hex() for w in b.column(0).to_pylist()], "S")
+            k = np.minimum(np.searchsorted(head, name), len(head) - 1)
+            own = head[k] == name
+            out[k[own]] = np.stack([b.column(1 + i).to_numpy(zero_copy_only=False)[own] for i in range(CLASSES)], 1)
+            found[k[own]] = True
+    if not found.all():
+        raise ValueError("the first bytes of a word have no score: the documents changed while they were scored")
+    return out[at]
+
+
+def score_words(batches: Iterator[pa.RecordBatch], path: str, first: int, until: int, weights: list[float], apm: list[float], heads: str | None = None) -> Iterator[pa.RecordBatch]:
+    """log10 probabilities of a slice of words, bytes ``first`` to ``until``, by class (nan: no such step), with their training occurrences; ``heads``: with those of the bytes before
+    ``first``, from that table."""
     words, counts = _columns(batches)
     if not words:
         return
@@ -342,6 +384,8 @@ def score_words(batches: Iterator[pa.RecordBatch], path: str, first: int, until:
         out[step] += np.where(bit > 0, np.log10(p)[pair], np.log10(1 - p)[pair])
     grid = np.full(counts.shape, np.nan)
     grid[word, cls] = out
+    if heads:
+        grid += _of_heads(words, heads)
     known = np.nansum(counts, 1).astype(np.int64)
     for lo in range(0, len(words), 10_000):
         s = slice(lo, lo + 10_000)
@@ -351,30 +395,41 @@ def score_words(batches: Iterator[pa.RecordBatch], path: str, first: int, until:
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
-def _packed(place: np.ndarray, c: np.ndarray, s: np.ndarray, size: np.ndarray) -> bytes:
-    """The number of rows, the scores, and all bytes of the others by their significance, compressed; places as differences."""
-    small = [np.ascontiguousarray(x.astype(k)).view(np.uint8).reshape(len(x), -1).T.tobytes() for x, k in ((np.diff(place, prepend=0), "<u4"), (c, "<i8"), (size, "<u4"))]
-    return np.array([len(s)], "<u4").tobytes() + s.astype("<f8").tobytes() + zlib.compress(b"".join(small), 1)
+def _packed(place: np.ndarray, steps: np.ndarray, c: np.ndarray, size: np.ndarray, s: np.ndarray) -> bytes:
+    """The numbers of rows and scores, the scores, and all bytes of the others by their significance, compressed; places as differences."""
+    small = [_planes(x.astype(k)) for x, k in ((np.diff(place, prepend=0), "<u4"), (steps, "<u1"), (c, "<i8"), (size, "<u4"))]
+    return np.array([len(place), len(s)], "<u4").tobytes() + s.astype("<f8").tobytes() + zlib.compress(b"".join(small), 1)
 
 
 def pack_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, ids, packed): the rows (block, place, c, s, size) of each block in order of place, as columns of numbers: what the scores leave is small, and compressed."""
-    held: list[pa.RecordBatch] = []
+    """(block, ids, packed): the rows (block, place, c, s, size) of each block in order of place, as columns of numbers: what the scores leave is small, and compressed.  With a column
+    of bits after these, s is the scores of a word by class, from its first step's place on, and the bits tell which occur in the block."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def columns(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        block, place, c, size = (b.column(i).to_numpy() for i in (0, 1, 2, 4))
+        if b.num_columns == 5:
+            return block, place, c, size, b.column(3).to_numpy().reshape(-1, 1), np.ones((len(c), 1), bool)
+        there = np.unpackbits(b.column(5).to_numpy().astype(np.uint8).reshape(-1, 1), 1, CLASSES, "little").astype(bool)
+        return block, place, c, size, b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, CLASSES), there
 
     def flush() -> pa.RecordBatch:
-        t = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(5)]
+        t = [np.concatenate(x) for x in zip(*held)]
+        held.clear()
         order = np.lexsort((t[1], t[0]))
-        blocks = t[0][order]
+        blocks, place, c, size, s, there = (x[order] for x in t)
+        s, steps = s[there], there.sum(1)
+        if np.isnan(s).any():
+            raise ValueError("a step has no score: the documents changed while they were scored")
         cuts = np.flatnonzero(np.diff(blocks, prepend=blocks[0] - 1)).tolist()
-        place, c, s, size = (x[order] for x in t[1:])
-        packed = [_packed(place[lo:hi], c[lo:hi], s[lo:hi], size[lo:hi]) for lo, hi in zip(cuts, [*cuts[1:], len(blocks)])]
-        held.clear()
+        ends = np.concatenate(([0], np.cumsum(steps)))
+        packed = [_packed(place[lo:hi], steps[lo:hi], c[lo:hi], size[lo:hi], s[ends[lo] : ends[hi]]) for lo, hi in zip(cuts, [*cuts[1:], len(blocks)])]
         return pa.record_batch([pa.array(blocks[cuts]), pa.nulls(len(cuts), pa.int64()), pa.nulls(len(cuts), pa.binary()), pa.array(packed, pa.binary())], names=["block", "doc_id", "ids", "packed"])
 
     rows = 0
     for b in batches:
         if b.num_rows:
-            held.append(b)
+            held.append(columns(b))
             rows += b.num_rows
         if rows > 500_000:
             yield flush()
@@ -385,41 +440,37 @@ def pack_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unpacked(parts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Occurrences, scores and bytes of a block's steps, in order of their places."""
-    columns: list[list[np.ndarray]] = [[], [], [], []]
+    columns: list[list[np.ndarray]] = [[], [], [], [], []]
     for x in parts:
-        n = int(np.frombuffer(x, "<u4", 1)[0])
-        columns[2].append(np.frombuffer(x, "<f8", n, 4))
-        small, at = np.frombuffer(zlib.decompress(memoryview(x)[4 + 8 * n :]), np.uint8), 0
-        for i, k in ((0, "<u4"), (1, "<i8"), (3, "<u4")):
+        n, m = np.frombuffer(x, "<u4", 2).tolist()
+        columns[4].append(np.frombuffer(x, "<f8", m, 8))
+        small, at = np.frombuffer(zlib.decompress(memoryview(x)[8 + 8 * m :]), np.uint8), 0
+        for i, k in ((0, "<u4"), (1, "<u1"), (2, "<i8"), (3, "<u4")):
             size = n * int(k[-1])
-            own = np.ascontiguousarray(small[at : at + size].reshape(-1, n).T).view(k).ravel()
+            own = _from_planes(small[at : at + size], k)
             columns[i].append(np.cumsum(own, dtype=np.int64) if i == 0 else own)
             at += size
-    place, c, s, size = (np.concatenate(v) for v in columns)
+    first, steps, c, size, s = (np.concatenate(v) for v in columns)
+    steps = steps.astype(np.int64)
+    place = np.repeat(first - (np.cumsum(steps) - steps), steps) + np.arange(len(s))
     order = np.argsort(place)
     if (place[order] != np.arange(len(place))).any():
         raise ValueError("a step has no score: the documents changed while they were scored")
-    return c[order], s[order], size[order].astype(np.int64)
+    return np.repeat(c, steps)[order], s[order], np.repeat(size, steps)[order].astype(np.int64)
 
 
-def score_documents(batches: Iterator[pa.RecordBatch], total: int, distinct: int) -> Iterator[pa.RecordBatch]:
-    """The scores of documents (block, doc_id, ids), each block's after its vocabulary (block, packed); sorted by block, vocabularies first."""
-    block, parts = None, []
-    values: tuple[np.ndarray, ...] | None = None
+def score_documents(batches: Iterator[pa.RecordBatch], path: str, total: int, distinct: int) -> Iterator[pa.RecordBatch]:
+    """The scores of documents (block, doc_id, ids), by those of their block's steps, which lie in the folder of the block."""
+    block, values = None, ()
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
     names = [f.split()[0] for f in _SCORES.split(", ")]
     for b in batches:
         made: list[tuple] = []
-        for k, d, ids, packed in zip(*[x.to_pylist() for x in b.columns], strict=True):
+        for k, d, ids in zip(*[x.to_pylist() for x in b.columns], strict=True):
             if k != block:
-                block, parts, values = k, [], None
-            if packed is not None:
-                parts.append(packed)
-                continue
-            if values is None:
-                c, s, size = _unpacked(parts)
-                values, parts = (np.log10((c + 1) / (total + 1 * (distinct + 1))), s, size, c > 0), []
-            at = np.frombuffer(ids, "<u4")
+                c, s, size = _unpacked([x for f in _files(f"{path}/block={k}") for x in f.read(["packed"]).column(0).to_pylist()])
+                block, values = k, (np.log10((c + 1) / (total + 1 * (distinct + 1))), s, size, c > 0)
+            at = _from_planes(ids, "<u4")
             score = float(values[1][at].sum())
             made.append((d, held_out(d), len(at), int(values[3][at].sum()), total, float(values[0][at].sum()), score, -score / np.log10(2) / int(values[2][at].sum())))
         if made:
@@ -431,16 +482,21 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = materialise(mapped(src, split_words, _BLOCKS), "blocks")
-    packed = blocks.where("words is not null").select("block", "place", F.posexplode(F.arrays_zip("words", "classes", "counts")).alias("i", "s"))
-    vocabulary = packed.select("block", (F.col("place") + F.col("i")).alias("place"), F.col("s.words").alias("word"), F.col("s.classes").alias("cls"), F.col("s.counts").alias("c"))
-    by_class = [F.sum(F.when(F.col("cls") == i, F.col("c"))).alias(f"c{i}") for i in range(CLASSES)]
-    words = materialise(vocabulary.groupBy("word").agg(*by_class), "words")
+    vocabulary = blocks.where("word is not null")
+    by_class = [F.sum(f"c{i}").alias(f"c{i}") for i in range(CLASSES)]
+    kept: list[str] = []
+
+    def kept_at(df: DataFrame, name: str) -> DataFrame:
+        kept.append(written(df, name))
+        return spark.read.schema(df.schema).parquet(kept[-1])
+
+    words = kept_at(vocabulary.groupBy("word").agg(*by_class), "words")
     counts = [f"c{i}" for i in range(CLASSES)]
     known = sum((F.coalesce(F.col(c), F.lit(0)) for c in counts), F.lit(0))
     n = words.agg(F.count("*").alias("all"), F.sum((known > 0).cast("long")).alias("v"), F.sum(known).alias("n")).first()
     total, distinct = n["n"] or 0, n["v"] or 0
-    codes = fresh_path(spark, "grams")
-    mapped(words.select("word", *counts), grams, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).write.parquet(codes)
+    kept_at(mapped(words.select("word", *counts), grams, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "grams")
+    codes = kept[-1]
 
     # the first bytes of all words as one slice, and the rest in slices of words that share theirs
     start = F.concat("word", F.lit(b" "))
@@ -450,7 +506,7 @@ def score(docs: DataFrame) -> DataFrame:
     # the end is a word of its own; it has no blank, and no other word begins with its byte
     cut = F.when(F.octet_length("word") == 0, F.col("word")).otherwise(F.substring(start, 1, HEAD))
     first = words.groupBy(cut.alias("word")).agg(*[F.sum(c).alias(c) for c in counts])
-    first = materialise(first, "heads").repartition(1).sortWithinPartitions("word")
+    first = kept_at(first, "heads").repartition(1).sortWithinPartitions("word")
     parts = ((first, 0, HEAD), (rest, HEAD, 1 << 30))
 
     learned = None
@@ -466,15 +522,19 @@ def score(docs: DataFrame) -> DataFrame:
     weights = np.linalg.solve(bend, (parts_[1].reshape(GATES, INPUTS) + start_weights())[:, :, None])[:, :, 0]
     # sums of doubles depend on their order in the last places
     how = {"path": codes, "weights": np.round(weights, 6).ravel().tolist(), "apm": np.round(np.concatenate(parts_[2:])).tolist()}
-    scored = [mapped(part, score_words, _SCORED, first=lo, until=hi, **how) for part, lo, hi in parts]
-    heads = materialise(scored[0], "head-scores").select(F.col("word").alias("head"), *[F.col(f"s{i}").alias(f"h{i}") for i in range(CLASSES)])
-    tails = materialise(scored[1], "tail-scores")
-    by_word = words.select("word", known.alias("c"), cut.alias("head")).join(heads, "head").join(tails.drop("c"), "word", "left")
-    value = F.array(*[F.col(f"h{i}") + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(CLASSES)])
-    by_word = by_word.select("word", "c", value.alias("value"))
-    named = vocabulary.select("block", "place", "word", "cls").join(by_word, "word")
+    heads = kept_at(mapped(first, score_words, _SCORED, first=0, until=HEAD, **how), "head-scores")
+    tails = kept_at(mapped(rest, score_words, _SCORED, first=HEAD, until=1 << 30, heads=kept[-1], **how), "tail-scores")
+    for path in kept[:-2]:
+        drop_path(spark, path)
+    # a word of fewer bytes is a head with its blank, or the end
+    short = heads.where((F.octet_length("word") == 0) | (F.substring("word", -1, 1) == F.lit(b" ")))
+    short = short.withColumn("word", F.substring("word", F.lit(1), F.greatest(F.octet_length("word") - 1, F.lit(0))))
+    by_word = short.unionByName(tails).select("word", "c", F.array(*[f"s{i}" for i in range(CLASSES)]).alias("s"))
     size = F.when(F.octet_length("word") == 0, 1).otherwise(F.octet_length("word") + 1).cast("long")
-    vocab = mapped(named.select("block", "place", "c", F.col("value")[F.col("cls")].alias("s"), size.alias("size")), pack_scores, "block long, doc_id long, ids binary, packed binary")
-    texts = blocks.where("words is null").select("block", "doc_id", "ids", F.lit(None).cast("binary").alias("packed"))
-    both = vocab.unionByName(texts).repartition("block").sortWithinPartitions("block", F.col("packed").isNull())
-    return mapped(both, score_documents, _SCORES, total=int(total), distinct=int(distinct))
+    named = vocabulary.select("block", "place", "word", "mask").join(by_word, "word").select("block", "place", "c", "s", size.alias("size"), "mask")
+    vocab = mapped(named, pack_scores, "block long, doc_id long, ids binary, packed binary").select("block", "packed")
+    packed = written(vocab.repartition("block"), "packed", "block")
+    for path in kept[-2:]:
+        drop_path(spark, path)
+    texts = blocks.where("word is null").select("block", "doc_id", "ids")
+    return mapped(texts, score_documents, _SCORES, path=packed, total=int(total), distinct=int(distinct))
