@@ -169,3 +169,51 @@ def test_changed_words_are_found_at_the_thresholds_and_a_passage_is_no_hot_key(s
             lines += [" ".join(own), " ".join(other)]
     got = {r.doc_id: r.class_of for r in L.report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
     assert all((got[j] == f"{i}:0") == alike for i, j, alike in pairs)
+
+
+def test_keys_of_many_lines_are_those_of_each_line():
+    """A key for every segment and probe, by lines and by words: equal parts have equal keys in whatever line, batch and script they are, others have others."""
+    import numpy as np
+
+    from veilmark.llm import linededup as L
+
+    rng = random.Random(8)
+    words = ["a", "be", "see", "naïve", "Straße", "x" * 40, "\U0001f600\U0001f601", "\x00", "\ud800", "word", "words"]
+    blanks = [" ", "  ", "\t", "　", "\x1c", "\xa0", "\x85", " "]
+    lines = ["".join(rng.choice(words) + rng.choice(blanks) for _ in range(n)).strip() for n in (8, 12, 19, 20, 21, 39, 40, 41, 58, 59, 60, 61, 63, 64, 130) for _ in range(3)]
+    lines = [x for x in [*lines, *["y" + x[1:] for x in lines], *lines[:4], "z" * 32] if len(x) >= L.PER_CHARS]
+
+    def plain(line):
+        own, ask = L._plan(len(line), 2)
+        parts = [((seed, line[p:q]), k) for rows, k in ((own, 0), (own, 1), (ask, 1)) for seed, p, q in rows]
+        w = line.split()
+        if len(w) < L.LONG + L.LONG // L.PER_EDIT and len(w) >= L.PER_EDIT:
+            own, ask = L._word_plan(len(w))
+            parts += [((seed, *w[p:q]), k) for rows, k in ((own, 0), (own, 1), (ask, 1)) for seed, p, q in rows]
+        return parts
+
+    got, want, of_words, words_ = {}, {}, [], []
+    for at in (0, 7, len(lines)):  # batches of other sizes
+        for lo in range(0, len(lines), at or 1):
+            own = lines[lo : lo + (at or 1)]
+            keys, ids, hashes, sizes, long = L.line_keys(own, np.arange(lo, lo + len(own)).astype(np.uint64), 2)
+            for k, i in zip(keys.tolist(), ids.tolist()):
+                got.setdefault(i, []).append(k)
+            ends = np.cumsum(sizes).tolist()
+            of_words += [h for a, b in zip([0, *ends], ends) for h in hashes[a:b].tolist()]
+            words_ += [w for i in long.tolist() for w in lines[i].split()]
+    for i, line in enumerate(lines):
+        want[i] = plain(line)
+        assert len(got[i]) == 3 * len(want[i]) and len(set(got[i])) == len(set(want[i]))
+    name = {}
+    for i in want:
+        one = sorted(set(got[i]))
+        assert sorted(k & 1 for k in one) == sorted(k for _, k in set(want[i]))
+        for k in one:
+            name.setdefault(k, set()).add(i)
+    shared = {}
+    for i in want:
+        for part in set(want[i]):
+            shared.setdefault(part, set()).add(i)
+    assert sorted(map(sorted, name.values())) == sorted(map(sorted, shared.values()))
+    assert len(of_words) == len(words_) and len(set(zip(of_words, words_))) == len(set(words_)) == len(set(of_words))

@@ -31,7 +31,6 @@ and never held but as the batch they come in; an empty table gives no rows; othe
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -279,27 +278,125 @@ def _spread(k: np.ndarray, ids: np.ndarray, bits: int, buckets: int, first: int)
     return out
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
+
+#: What ``str.split`` splits at, by code point; there is none above.
+_BLANK = np.array([chr(c).isspace() for c in range(1 << 14)])
+_ODD, _ODD_INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
+_powers: list[np.ndarray] = []
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """The powers of the odd number and of its inverse, n and more; kept for texts of usual lengths."""
+    if _powers and n <= len(_powers[0]):
+        return _powers
+    with np.errstate(over="ignore"):
+        got = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64))), dtype=np.uint64) for x in (_ODD, _ODD_INVERSE)]
+    if n <= 4 * FLUSH:
+        _powers[:] = got
+    return got
+
+
+class Hashes:
+    """Hashes of parts of a sequence of numbers, from one sum over it: those of equal parts are equal, wherever they lie."""
+
+    def __init__(self, values: np.ndarray):
+        self.powers = _powers_to(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(_mix(values) * self.powers[0][: len(values)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray, seed: np.ndarray | int = 0) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (self.sums[end] - self.sums[start]) * self.powers[1][start]
+            return _mix(h + _mix(np.asarray(seed, np.uint64) + np.uint64(0xA0761D6478BD642F)))
+
+
+def _planned(plans: list[tuple[list, list]], cache: dict, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(line, seed, start, end, index) of the keys that lines with these plans have: those of the index twice, as such and as probes."""
+    held = []
+    for n, (own, ask) in zip(sizes.tolist(), plans, strict=True):
+        got = cache.get(n)
+        if got is None:
+            if len(cache) > 2_000:
+                cache.clear()
+            got = cache[n] = np.array([(*x, 1) for x in own] + [(*x, 0) for x in [*own, *ask]], np.int64).reshape(-1, 4)
+        held.append(got)
+    rows = np.concatenate(held) if held else np.zeros((0, 4), np.int64)
+    return np.repeat(np.arange(len(held)), list(map(len, held))), *rows.T
+
+
+_tables: dict[int, dict] = {}
+_word_table: dict[int, np.ndarray] = {}
+
+
+def line_keys(lines: list[str], me: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, ids) of the segments of lines and of their words, the lowest bit telling probes from index keys; and (hashes, sizes, ids) of the words of lines of ``LONG`` or more."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    base = np.cumsum(size + 1) - (size + 1)
+    text = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+    hashes = Hashes(text.astype(np.uint64))
+    line, seed, start, end, index = _planned([_plan(n, edits) for n in size.tolist()], _tables.setdefault(edits, {}), size)
+    keys, ids = [hashes.of(base[line] + start, base[line] + end, seed) & ~np.uint64(1) | (1 - index).astype(np.uint64)], [me[line]]
+    # words lie between blanks
+    blank = np.ones(len(text) + 1, bool)
+    low = text < len(_BLANK)
+    blank[1:] = low
+    blank[1:][low] = _BLANK[text[low]]
+    begin, stop = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    words = hashes.of(begin, stop)
+    first = np.searchsorted(begin, base)
+    n_words = np.diff(np.append(first, len(begin)))
+    at = np.flatnonzero((n_words >= PER_EDIT) & (n_words < LONG + LONG // PER_EDIT))
+    line, seed, start, end, index = _planned([_word_plan(n) for n in n_words[at].tolist()], _word_table, n_words[at])
+    if len(line):
+        of_words = Hashes(words)
+        line = at[line]
+        keys.append(of_words.of(first[line] + start, first[line] + end, seed) & ~np.uint64(1) | (1 - index).astype(np.uint64))
+        ids.append(me[line])
+    long = n_words >= LONG
+    return np.concatenate(keys), np.concatenate(ids), words[np.repeat(long, n_words)], n_words[long], me[long]
+
+
 def key_blobs(batches: Iterator[pa.RecordBatch], edits: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packed index and probe keys of the texts' lines; the first ``SEEN`` lines of a task are taken once."""
-    digest = xxhash.xxh3_64_intdigest
+    """Packed index and probe keys of the texts' lines, made of many lines at once; the first ``SEEN`` lines of a task are taken once."""
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         c = list(zip(*rows, strict=True))
         return pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())], names=["bucket", "kind", "keys", "ids"])
 
-    keys, ids, hashes, sizes, mine, known, old = [], [], [], [], [], {}, set()
+    lines, mine, chars, old = [], [], 0, set()
+    made: list[list[np.ndarray]] = [[], [], [], [], []]
 
-    def segments_out() -> pa.RecordBatch:
-        got = batch(_spread(np.array(keys, np.uint64), np.array(ids, np.uint64), 1, buckets, 0))
-        keys.clear()
-        ids.clear()
-        return got
+    def take() -> None:
+        nonlocal chars
+        for x, y in zip(made, line_keys(lines, np.array(mine, np.uint64), edits), strict=True):
+            x.append(y)
+        lines.clear()
+        mine.clear()
+        chars = 0
 
-    def runs_out() -> list[pa.RecordBatch]:
-        k, i = run_keys(hashes, sizes, mine)
-        for x in (hashes, sizes, mine, known):
+    def flushed(of: list[list[np.ndarray]]) -> list[np.ndarray]:
+        got = [np.concatenate(x) for x in of]
+        for x in of:
             x.clear()
-        return [batch(_spread(k, i, 0, buckets, buckets))] if len(k) else []
+        return got
+
+    def segments_out() -> Iterator[pa.RecordBatch]:
+        keys, ids = flushed(made[:2])
+        if len(keys):
+            yield batch(_spread(keys, ids, 1, buckets, 0))
+
+    def runs_out() -> Iterator[pa.RecordBatch]:
+        hashes, sizes, ids = flushed(made[2:])
+        if len(sizes):
+            k, i = run_keys(hashes, sizes, ids)
+            yield batch(_spread(k, i, 0, buckets, buckets))
 
     for b in batches:
         seen = set()
@@ -312,45 +409,27 @@ def key_blobs(batches: Iterator[pa.RecordBatch], edits: int, buckets: int) -> It
                 if raw in seen or raw in old:
                     continue
                 (old if len(old) < SEEN else seen).add(raw)
-                own, ask = _plan(len(line), edits)
-                me, before = int.from_bytes(raw[:8], "big"), len(keys)
-                # the lowest bit tells probes from index keys; ASCII and other lines hash their characters alike
-                if line.isascii():
-                    data = line.encode("ascii")
-                    mine_ = [digest(data[p:q], seed) for seed, p, q in own]
-                    keys += [digest(data[p:q], seed) | 1 for seed, p, q in ask]
-                else:
-                    data = line.encode("utf-32-le", "surrogatepass")
-                    mine_ = [digest(_narrow(data[p * 4 : q * 4]), seed) for seed, p, q in own]
-                    keys += [digest(_narrow(data[p * 4 : q * 4]), seed) | 1 for seed, p, q in ask]
-                words = line.split()
-                if PER_EDIT <= len(words) < LONG + LONG // PER_EDIT:
-                    own, ask = _word_plan(len(words))
-                    data = " ".join(words).encode("utf-8", "surrogatepass")
-                    at = [0, *accumulate(map(len, data.split(b" ")))]  # word p begins at at[p] + p
-                    mine_ += [digest(data[at[p] + p : at[q] + q - 1], seed) for seed, p, q in own]
-                    keys += [digest(data[at[p] + p : at[q] + q - 1], seed) | 1 for seed, p, q in ask]
-                keys += [x & ~1 for x in mine_]
-                keys += [x | 1 for x in mine_]
-                ids += [me] * (len(keys) - before)
-                if len(words) >= LONG:
-                    hashes += [known.get(w) or known.setdefault(w, digest(w.encode("utf-8", "surrogatepass"))) for w in words]
-                    sizes.append(len(words))
-                    mine.append(me)
-                if len(keys) > FLUSH:
-                    yield segments_out()
-                if len(hashes) > FLUSH:
-                    yield from runs_out()
-    if keys:
-        yield segments_out()
-    if hashes:
+                lines.append(line)
+                mine.append(int.from_bytes(raw[:8], "big"))
+                chars += len(line)
+                if chars > FLUSH:
+                    take()
+                    if sum(map(len, made[0])) > FLUSH:
+                        yield from segments_out()
+                    if sum(map(len, made[2])) > FLUSH:
+                        yield from runs_out()
+    if lines:
+        take()
+    if made[0]:
+        yield from segments_out()
+    if made[2]:
         yield from runs_out()
 
 
-def run_keys(hashes: list[int], sizes: list[int], ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def run_keys(hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of lines, given as the hashes of all their words: of every run of ``RUN`` words the smallest hash of a gram; with each the
     line's id, and its number of words (high half) with the gram's place (low half)."""
-    h, line = np.array(hashes, np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+    h, line = np.asarray(hashes, np.uint64), np.repeat(np.arange(len(sizes)), sizes)
     prime = np.uint64(0x9E3779B97F4A7C15)
     g = np.zeros(len(h) - GRAM + 1, np.uint64)
     with np.errstate(over="ignore"):
@@ -360,17 +439,11 @@ def run_keys(hashes: list[int], sizes: list[int], ids: list[int]) -> tuple[np.nd
     n = len(h) - RUN + 1
     place = np.arange(n) + np.stack([g[k : k + n] for k in range(RUN - GRAM + 1)]).argmin(0)
     place = np.unique(place[line[:n] == line[RUN - 1 :]])
-    size = np.array(sizes, np.uint64)
+    size = np.asarray(sizes, np.uint64)
     pos = place - (np.cumsum(sizes) - sizes)[line[place]]
     with np.errstate(over="ignore"):
         key = g[place] * np.uint64(0xD6E8FEB86659FD93)  # the smallest hashes would fill few buckets
-    return key ^ (key >> np.uint64(32)), np.stack((np.array(ids, np.uint64)[line[place]], size[line[place]] << np.uint64(32) | pos.astype(np.uint64)), 1)
-
-
-def _narrow(raw: bytes) -> bytes:
-    """Characters as UTF-32, or as ASCII where all are."""
-    text = raw.decode("utf-32-le", "surrogatepass")
-    return text.encode("ascii") if text.isascii() else raw
+    return key ^ (key >> np.uint64(32)), np.stack((np.asarray(ids, np.uint64)[line[place]], size[line[place]] << np.uint64(32) | pos.astype(np.uint64)), 1)
 
 
 _CANDIDATES = "a long, b long, key long, runs boolean"
