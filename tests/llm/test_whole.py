@@ -217,3 +217,108 @@ def test_keys_of_many_lines_are_those_of_each_line():
             shared.setdefault(part, set()).add(i)
     assert sorted(map(sorted, name.values())) == sorted(map(sorted, shared.values()))
     assert len(of_words) == len(words_) and len(set(zip(of_words, words_))) == len(set(words_)) == len(set(of_words))
+
+
+def test_lines_that_share_a_passage_alone_are_no_candidates():
+    """Thirty lines of a hundred words each that share forty: their words' marks tell them apart before any pair is written, and their keys travel in few bytes."""
+    import pyarrow as pa
+
+    from veilmark.llm import linededup as L
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    passage = [word() for _ in range(40)]
+    lines = [" ".join([*(word() for _ in range(30)), *passage, *(word() for _ in range(30))]) for _ in range(30)]
+    near = lines[0].split()
+    near[5], near[90] = word(), word()
+    held = [*lines, " ".join(near), lines[1][:-1]]
+    blobs = sorted((r for b in L.key_blobs(iter([pa.record_batch([pa.array(held)], names=["text"])]), edits=2, buckets=1) for r in zip(*[c.to_pylist() for c in b.columns])), key=lambda r: r[0])
+    columns = [pa.array(c, k) for c, k in zip(zip(*blobs), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
+    pairs = {(a, b) for x in L.candidate_pairs(iter([pa.record_batch(columns, names=["bucket", "kind", "keys", "ids"])]), buckets=1) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
+    short = [L.short_id(L.line_id(x)) for x in held]
+    assert pairs == {tuple(sorted((short[0], short[30]))), tuple(sorted((short[1], short[31])))}  # it was all of 496
+    assert sum(len(k) + len(i) for *_, k, i in blobs) < 32 * 26 * 20
+
+
+def test_marks_differ_by_no_more_than_edits_allow():
+    import numpy as np
+
+    from veilmark.llm import linededup as L
+
+    rng = random.Random(7)
+
+    def marks(lines, bits):
+        *_, words, first, _ = L._parsed(lines)
+        return [int(x) for x in L.word_marks(words, first, bits)]
+
+    for bits in (48, 64):
+        a = [" ".join(rng.choice(["an", "an", "the", "of", "was", "x" * rng.randint(1, 9)]) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+        by_word, by_char = [], []
+        for x in a:
+            w, k = x.split(), rng.randrange(len(x.split()))
+            w[k : k + 1] = rng.choice(([], ["new"], [w[k], "an"])) or ([] if len(w) > 1 else ["new"])
+            by_word.append(" ".join(w))
+            k = rng.randrange(len(x))
+            by_char.append((x[:k] + rng.choice(["", " ", "z", x[k] + " "]) + x[k + 1 :]).strip() or "z")
+        own = marks(a, bits)
+        assert max((p ^ q).bit_count() for p, q in zip(own, marks(by_word, bits))) == 2
+        assert 2 <= max((p ^ q).bit_count() for p, q in zip(own, marks(by_char, bits))) <= 3
+    # the same words, one of them in other numbers
+    assert len(set(marks(["an " * n + "the" for n in range(1, 40)], 64))) == 39
+
+
+def test_hot_keys_are_settled_or_given_back_whole(monkeypatch):
+    """Every pair that sizes and marks allow, or all members, however the batches are cut."""
+    import numpy as np
+    import pyarrow as pa
+
+    from veilmark.llm import linededup as L
+
+    rng = random.Random(9)
+    names = ["key", "id", "runs", "n", "m", "marks"]
+    # key 1: pairs of like lines; key 2: all alike; key 3: more members than are looked at
+    few = [(1, i, False, 100, 20, 3**40 * (i // 2 + 1) % (1 << 62)) for i in range(60)]
+    like = [(2, 100 + i, True, 400, 80, 5) for i in range(100)]
+    many = [(3, 300 + i, False, 100, 20, rng.getrandbits(62)) for i in range(150)]
+    rows = [*few, *like, *many]
+    monkeypatch.setattr(L, "ALL_PAIRS", 120)
+
+    def possible(a, b):
+        c, w, apart = min(2, min(a[3], b[3]) // 32), min(a[4], b[4]) // 20, (a[5] ^ b[5]).bit_count()
+        return (abs(a[3] - b[3]) <= c and apart <= 3 * c) or (abs(a[4] - b[4]) <= w and apart <= 2 * w)
+
+    want = {(a[1], b[1]) for a in few for b in few if a[1] < b[1] and possible(a, b)}
+    assert len(want) >= 30
+    for cut in (1, 7, 130, 1000):
+        batches = [pa.record_batch([pa.array(c) for c in zip(*rows[i : i + cut])], names=names) for i in range(0, len(rows), cut)]
+        out = [r for b in L.settle(iter(batches), edits=2) for r in b.to_pylist()]
+        assert {(r["a"], r["b"]) for r in out if r["key"] is None} == want
+        assert sorted((r["key"], r["a"]) for r in out if r["key"] is not None) == [(r[0], r[1]) for r in [*like, *many]]
+
+
+def test_components_of_few_links_are_those_of_the_rounds(spark, monkeypatch):
+    from veilmark.llm import graph
+
+    rng = random.Random(2)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 520)]
+    frames = [spark.createDataFrame(links, "a long, b long"), spark.createDataFrame([(bytes([a % 251] * 9), bytes([b % 251] * 9)) for a, b in links[:150]], "a binary, b binary")]
+    for df in frames:
+        got = []
+        for few in (graph.FEW, 0):
+            monkeypatch.setattr(graph, "FEW", few)
+            got.append(sorted((r.node, r.root) for r in graph.components(df).collect()))
+            monkeypatch.undo()
+        assert got[0] == got[1] and got[0]
+        assert graph.components(df.limit(0)).count() == 0
+
+
+def test_frequent_lines_and_null_ids_keep_their_first_occurrence(spark):
+    """A line in thousands of documents, of which its bucket holds none, and one of them in a class; the first is that of the null id."""
+    from veilmark.llm.linededup import report
+
+    first = "a line of thirty-nine characters, abcdef"
+    rows = [(i, f"own {i}\nLes.\n{first}") for i in range(1500)] + [(5000, first[:-1] + "g"), (None, "x\n\nLes.\nLes."), (None, "x\n\nLes.\nLes.")]
+    got = {r.doc_id: r for r in report(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got[0].class_of == "null:2" and got[0].n_class_lines == 1 and got[0].dropped_lines == "1"
+    assert all((got[i].dropped_lines, got[i].class_of, got[i].n_class_lines) == ("1,2", "null:2,0:2", 1) for i in range(1, 1500))
+    assert (got[5000].class_of, got[5000].n_class_lines) == ("0:2", 1) and (got[None].dropped_lines, got[None].class_of) == ("3", "null:2")

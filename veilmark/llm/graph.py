@@ -1,18 +1,45 @@
 """Connected components of an edge table by alternating large and small stars, and the pairs that a similarity join has to look at to find them.
 
-Every round ends in a written table.  A join by shared keys needn't look at all pairs of a key that many members share: ``stars`` pairs each
+Few links are one task's; else every round ends in a written table.  A join by shared keys needn't look at all pairs of a key that many members share: ``stars`` pairs each
 member with the first one that it shares a key with, and ``crossing`` gives the pairs that share a key but no class yet, by
 representatives or whole.  Whatever pairs are left out lie within a class, so the classes are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import materialise
+from veilmark.llm.common import mapped, materialise
+
+#: Links up to which one task finds the components.
+FEW = 500_000
+
+
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the components of all links (u, v) at once."""
+    held = pa.Table.from_batches(held) if (held := list(batches)) else None
+    if held is None or not held.num_rows:
+        return
+    nodes = pc.unique(pa.chunked_array([*held.column(0).chunks, *held.column(1).chunks]))
+    nodes = nodes.take(pc.sort_indices(nodes))
+    u, v = (pc.index_in(c, value_set=nodes).to_numpy().astype(np.int64) for c in held.columns)
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[u], root[v])
+        before = root.copy()
+        for end in (root[u], root[v], u, v):
+            np.minimum.at(root, end, least)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            break
+    yield pa.record_batch([nodes, nodes.take(pa.array(root))], names=["node", "root"])
 
 
 def _least(e: DataFrame) -> DataFrame:
@@ -22,11 +49,14 @@ def _least(e: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): root is the smallest node of its component.
 
-    Rounds grow with the logarithm of the number of nodes; nothing is gathered by node, as minima are aggregated
+    Up to ``FEW`` different links are one task's; beyond, rounds grow with the logarithm of the number of nodes; nothing is gathered by node, as minima are aggregated
     before the shuffle and the joins back are on the edges, where skewed nodes are split.  Self-links and
     repeated links do no harm; no links give no rows.
     """
     e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    if e.count() <= FEW:
+        kind = e.schema["u"].dataType.simpleString()
+        return materialise(mapped(e.coalesce(1), united, f"node {kind}, root {kind}"), "components")
     before = None
     while True:
         # large star: every larger neighbour of u joins u's smallest neighbour
@@ -72,10 +102,11 @@ def classes_of(members: DataFrame, first: DataFrame | None, keep: Callable[[Colu
 
     ``first``: pairs to look at besides.  ``verify``: the pairs of (a, b) that are links, with whatever columns it adds."""
     members = materialise(members.distinct(), "sharing")
-    pairs = stars(members, keep)
-    seen = materialise((pairs if first is None else pairs.unionByName(first)).where("a <> b").distinct(), "pairs")
+    some = bool(members.head(1))
+    pairs = stars(members, keep) if some or first is None else first
+    seen = materialise((pairs.unionByName(first) if some and first is not None else pairs).where("a <> b").distinct(), "pairs")
     links = materialise(verify(seen), "links")
-    if not members.head(1):
+    if not some:
         return links
     for whole in (False, True):
         classes = components(links.select("a", "b"))
