@@ -451,3 +451,25 @@ def test_documents_of_a_block_are_not_shuffled(spark):
             own = [*L.tokens(texts[r.doc_id]), b""]
             want = list(zip(own, [L._NONE, *[int(L.CLASS[w[-1]]) for w in own[:-1]]]))
             assert [steps[r.block, i] for i in L._from_planes(bytes(r.ids), "<u4").tolist()] == want
+
+
+def test_near_dedup_keeps_no_sets_on_disk_and_marks_bound_what_differs(spark):
+    from pathlib import Path
+
+    from veilmark.llm import jaccard, simhash
+    from veilmark.llm.common import shared_dir
+
+    rng = random.Random(3)
+    for n, m in ((0, 0), (1, 0), (3, 70), (40, 50), (900, 1000), (64, 4000)):
+        one = np.array(sorted({rng.getrandbits(64) for _ in range(n)}), np.uint64)
+        two = np.union1d(one[: n // 2], np.array(sorted({rng.getrandbits(64) for _ in range(m)}), np.uint64))
+        assert jaccard.marks_apart(jaccard.set_marks(one), jaccard.set_marks(two)) <= len(np.setxor1d(one, two))
+        assert jaccard.marks_apart(jaccard.set_marks(one), jaccard.set_marks(one)) == 0
+    texts = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(120)) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " one more") for i, t in enumerate(texts[:10])] + [(3, texts[3]), (200, texts[4]), (None, texts[5]), (300, None), (301, "")]
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in shared.iterdir()} if shared.exists() else set()
+    got = simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in got) == [-1, *range(20), 300]
+    left = {p.name.rsplit("-", 5)[0] for p in shared.iterdir() if p.name not in before}
+    assert not left & {"whole-sets", "keyed-sets", "candidates", "key-classes"}

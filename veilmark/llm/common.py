@@ -67,6 +67,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
+def alone(df: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``df`` returns, written and read back; whatever it has written on the way is removed."""
+    at = len(_written)
+    out = df()
+    out = materialise(out, name)
+    for path in _written[at:-1]:
+        drop_path(out.sparkSession, path)
+    del _written[at:-1]
+    return out
+
+
 #: Rows and bytes of an Arrow batch, where the session leaves them as they are: what a worker holds then depends on neither's number.
 BATCH_ROWS, BATCH_BYTES = "1000", "16m"
 
@@ -156,7 +167,8 @@ def among(values: DataFrame) -> Callable[[Column], Column] | None:
     if not words:
         return None
     held = {r["i"]: r["w"] for r in words}
-    bits = F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(BITMAP // 64))), ",").cast("array<bigint>")
+    # a subquery's value: as a literal it would be written out wherever the plan is described, which the driver keeps
+    bits = materialise(values.sparkSession.createDataFrame([([held.get(i, 0) for i in range(BITMAP // 64)],)], "bits array<long>"), "bitmap").scalar()
     return lambda v: F.getbit(F.get(bits, (slot(v) / 64).cast("int")), (slot(v) % 64).cast("int")) == 1
 
 

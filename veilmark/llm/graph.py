@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import mapped, materialise
+from veilmark.llm.common import alone, mapped, materialise
 
 #: Links up to which one task finds the components.
 FEW = 500_000
@@ -105,13 +105,13 @@ def classes_of(members: DataFrame, first: DataFrame | None, keep: Callable[[Colu
     some = bool(members.head(1))
     pairs = stars(members, keep) if some or first is None else first
     seen = materialise((pairs.unionByName(first) if some and first is not None else pairs).where("a <> b").distinct(), "pairs")
-    links = materialise(verify(seen), "links")
+    links = alone(lambda: verify(seen), "links")
     if not some:
         return links
     for whole in (False, True):
         classes = components(links.select("a", "b"))
-        more = materialise(crossing(members, classes, keep, whole).join(seen, ["a", "b"], "left_anti"), "pairs")
+        more = alone(lambda: crossing(members, classes, keep, whole).join(seen, ["a", "b"], "left_anti"), "pairs")  # noqa: B023
         if more.head(1):
-            links = links.unionByName(materialise(verify(more), "links"))
+            links = links.unionByName(alone(lambda: verify(more), "links"))  # noqa: B023
             seen = seen.unionByName(more)
     return links

@@ -5,7 +5,8 @@ linked where the Jaccard similarity of their sets is at least ``NUM / DEN``.  Eq
 
 The join is exact.  Every set is put in one order that all sets share, and of n shingles the first n - ceil(n * NUM / DEN) + 1 are its
 keys: two sets that are similar enough share a key.  At their first common key the sizes and what is left of both sets bound
-the similarity, so most other pairs end there; the pairs that are left are verified on their whole sets.
+the similarity, so most other pairs end there.  Sets have marks, a bit for each shingle or so, of which every shingle that only one of two sets has changes one
+(``set_marks``): pairs whose marks differ in more bits than the similarity allows end next, and the few that are left are verified on their whole sets.
 
 Shingles that a sample finds in several documents come last in the order, the more frequent the later, so that boilerplate isn't a key. The
 order decides how many pairs are looked at and never which are found, so the sample and the table of frequent shingles have fixed sizes.
@@ -21,10 +22,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import among, mapped, materialise, row_key
+from veilmark.llm.common import among, drop_path, mapped, materialise, row_key, written
 from veilmark.llm.graph import classes_of, components
 from veilmark.llm.simhash import majority
 
@@ -50,6 +51,28 @@ def set_id(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
 
 
+def set_marks(s: np.ndarray) -> bytes:
+    """Parities of the shingles by their last bits: as many bits as shingles, rounded up to a power of two, 64 at least."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def marks_apart(x: bytes, y: bytes) -> int:
+    """Bits that differ, the longer marks folded to the shorter: at most as many as there are shingles that one set has and the other hasn't."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, size), 0) for m in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of (a, b, shingles of a, of b, marks of a, of b) that may be similar enough."""
+    for b in batches:
+        n = b.column(2).to_numpy() + b.column(3).to_numpy()
+        apart = np.fromiter(map(marks_apart, b.column(4).to_pylist(), b.column(5).to_pylist()), np.int64, b.num_rows)
+        mask = pa.array(apart * (DEN + NUM) <= n * (DEN - NUM))
+        yield pa.record_batch([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+
+
 def sampled(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """The shingles of (text)."""
     for b in batches:
@@ -59,16 +82,17 @@ def sampled(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 
 def keyed(batches: Iterator[pa.RecordBatch], k: int, known: bytes, often: bytes) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, set, n, fp, keys) of (row, doc_id, text); fp is the set's SimHash fingerprint.  known, often: the frequent shingles, sorted, and their counts."""
+    """(row, doc_id, set, n, fp, marks, keys) of (row, doc_id, text); fp is the set's SimHash fingerprint.  known, often: the frequent shingles, sorted, and their counts."""
     f, c = np.frombuffer(known, np.uint64), np.frombuffer(often, np.int64)
     for b in batches:
         for at in range(0, b.num_rows, 500):
-            part, ids, ns, fps, keys = b.slice(at, 500), [], [], [], []
+            part, ids, ns, fps, marks, keys = b.slice(at, 500), [], [], [], [], []
             for x in part.column(2).to_pylist():
                 s = shingles(x, k)
                 ids.append(set_id(s))
                 ns.append(len(s))
                 fps.append(majority(s))
+                marks.append(set_marks(s))
                 if len(f) and len(s):
                     i = np.minimum(np.searchsorted(f, s), len(f) - 1)
                     ordered = s[np.lexsort((s, np.where(f[i] == s, c[i], 0)))]
@@ -77,7 +101,7 @@ def keyed(batches: Iterator[pa.RecordBatch], k: int, known: bytes, often: bytes)
                 keys.append(ordered[: len(s) - -(-len(s) * NUM // DEN) + 1].view(np.int64))
             ends = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], names=["row", "doc_id", "set", "n", "fp", "keys"])
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(marks, pa.binary()), lists], names=["row", "doc_id", "set", "n", "fp", "marks", "keys"])
 
 
 def whole(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -105,7 +129,7 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, hints: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(row, doc_id, component_id, stays), a row for each document, ``stays`` for one row of each class: component_id is the smallest doc_id that links lead to.
 
-    ``hints``: of the table of distinct sets (set, row, least, n, fp, keys), pairs (a, b) of sets to look at first."""
+    ``hints``: of the table of distinct sets (set, row, least, n, fp, marks), pairs (a, b) of sets to look at first."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = src.withColumn("row", row_key())
     every = max(1, round(src.count() / SAMPLE))
@@ -113,12 +137,18 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, hints: Callable[[DataFram
     top = some.groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(FREQUENT).collect()
     s, c = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
     order = np.argsort(s)
-    sets = materialise(mapped(rows.select("row", "doc_id", "text"), keyed, "row binary, doc_id long, set long, n long, fp long, keys array<long>", k=k, known=s[order].tobytes(), often=c[order].tobytes()), "sets")
-    distinct = materialise(sets.groupBy("set").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "distinct")
-
-    keys = distinct.select(F.col("set").alias("id"), "n", F.posexplode("keys").alias("pos", "key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = materialise(keys.join(shared, "key").select("key", "id", F.struct("n", "pos").alias("info")), "members")
+    keyed_sets = mapped(rows.select("row", "doc_id", "text"), keyed, "row binary, doc_id long, set long, n long, fp long, marks binary, keys array<long>", k=k, known=s[order].tobytes(), often=c[order].tobytes())
+    path = written(keyed_sets, "keyed-sets")
+    wide = docs.sparkSession.read.schema(keyed_sets.schema).parquet(path)
+    distinct = materialise(wide.groupBy("set").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("marks").alias("marks")), "distinct")
+
+    # keys travel once: equal sets and keys of one set alone end where the key's rows meet
+    keys = wide.select(F.col("set").alias("id"), F.col("n"), F.posexplode("keys").alias("pos", "key")).select("key", "id", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
+    met = keys.repartition("key").dropDuplicates(["key", "id"]).withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
+    info = F.struct(F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+    members = materialise(met.select("key", "id", info.alias("info")), "members")
+    sets = materialise(wide.select("row", "doc_id", "set"), "sets")
+    drop_path(docs.sparkSession, path)
 
     def keep(a: Column, b: Column) -> Column:
         left = F.least(a["n"] - a["pos"], b["n"] - b["pos"])  # what the sets can share from their first common key on
@@ -127,6 +157,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, hints: Callable[[DataFram
     first = hints(distinct) if hints else None
 
     def verified(pairs: DataFrame) -> DataFrame:
+        x, y = (distinct.select(F.col("set").alias(side), F.col("n").alias(f"n_{side}"), F.col("marks").alias(f"marks_{side}")) for side in "ab")
+        near = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "marks_a", "marks_b")
+        pairs = materialise(mapped(near, possible, "a long, b long"), "possible")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
         of = materialise(distinct.select("set", "row").join(ids, "set", "left_semi").select("row"), "candidates")
         asked = among(of)

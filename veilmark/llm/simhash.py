@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import free_name, mapped, materialise, row_key
+from veilmark.llm.common import among, free_name, mapped, materialise, row_key
 from veilmark.llm.graph import components
 
 RADIUS, BLOCKS, SHINGLE, SEED = 4, 6, 4, 42
@@ -214,7 +214,12 @@ def distinct_documents(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOC
         far = materialise(links(least.select("fp"), radius, blocks), "close").join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
         return same.unionByName(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
-    keep = jaccard.near_duplicates(some, k, close).where("stays").select(F.col("row").alias(row)).distinct()
-    kept = some.withColumn(row, row_key()).join(keep, row, "left_semi")
-    kept = kept.dropDuplicates([row]).drop(row)
-    return kept.unionByName(docs.where("doc_id is null"))
+    named = materialise(jaccard.near_duplicates(some, k, close).select(F.col("row").alias(row), "stays"), "verdicts")
+    # only documents that go or that have an equal row are gathered; the texts of all others stay where they are
+    looked = among(named.groupBy(row).agg((F.count("*") > 1).alias("several"), F.every("stays").alias("stays")).where("several or not stays").select(row))
+    docs_by = some.withColumn(row, row_key())
+    if looked is None:
+        return docs
+    keep = named.where("stays").select(row).distinct()
+    gathered = docs_by.where(looked(F.col(row))).join(keep, row, "left_semi").dropDuplicates([row])
+    return docs_by.where(~looked(F.col(row))).unionByName(gathered).drop(row).unionByName(docs.where("doc_id is null"))
