@@ -473,3 +473,28 @@ def test_near_dedup_keeps_no_sets_on_disk_and_marks_bound_what_differs(spark):
     assert sorted((-1 if r.doc_id is None else r.doc_id) for r in got) == [-1, *range(20), 300]
     left = {p.name.rsplit("-", 5)[0] for p in shared.iterdir() if p.name not in before}
     assert not left & {"whole-sets", "keyed-sets", "candidates", "key-classes"}
+
+
+def test_what_line_dedup_sends_to_the_driver_has_a_fixed_size(spark):
+    """Ranges of lines are found from a sample that the driver gathers: of the lines' starts, and for a number of ranges that doesn't follow the input's."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from veilmark.llm.common import among
+    from veilmark.llm.linededup import RANGES, START, beside
+
+    lines = spark.createDataFrame([(i, f"{i % 7} " * 3000) for i in range(50)], "short long, words string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3000")
+        df = beside(lines, F.col("words"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.short for r in df.collect()) == list(range(50))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    n = re.search(rf"rangepartitioning\(substring\(o#\d+, 1, {START}\) ASC NULLS FIRST, (\d+)\)", plan)
+    assert n and int(n[1]) <= RANGES, plan
+    may = among(spark.range(100_000))
+    held = spark.range(200_000).where(may(F.col("id")))
+    assert held.where("id < 100000").count() == 100_000 and len(held._jdf.queryExecution().toString()) < 20_000

@@ -62,6 +62,8 @@ PART, BUCKET_LINES, AT_ONCE, MANY = 50_000, 200_000, 100_000, 1_000
 NO_ID = -(1 << 62)
 #: Marks of a line's words that go with its runs' keys.
 MARKS = 48
+#: Ranges of lines in order of text, and code points of a line's start by which they are told apart.
+RANGES, START = 64, 256
 #: Members of a hot key up to which all its pairs are looked at by marks of the lines' words at once.
 ALL_PAIRS = 4096
 
@@ -744,6 +746,12 @@ def _by_cell(members: DataFrame) -> DataFrame:
     return runs.select(F.xxhash64("key", "cell").alias("key"), "id", "info").unionByName(members.where("not info.runs"))
 
 
+def beside(lines: DataFrame, order: Column) -> DataFrame:
+    """The short ids of lines in an order of text.  Ranges are found from the texts' starts, and there are ``RANGES`` at most, as the driver is sent a sample that grows with both."""
+    ranges = min(RANGES, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return lines.select("short", order.alias("o")).repartitionByRange(ranges, F.substring("o", 1, START)).sortWithinPartitions("o").select("short")
+
+
 def line_links(texts: DataFrame, n_lines: int, edits: int = EDITS) -> DataFrame:
     """(la, lb) of ids of different lines: links that connect whatever lines are within the thresholds of each other."""
     if not 0 <= edits <= 8:
@@ -768,8 +776,7 @@ def line_links(texts: DataFrame, n_lines: int, edits: int = EDITS) -> DataFrame:
     may = among(members.select("id").distinct())
     hot = materialise(lines.where(may(F.col("short"))).join(members.select(F.col("id").alias("short")).distinct(), "short", "left_semi"), "hot-lines") if may else lines
     for order in (F.col("words"), F.reverse("words")) if may else ():
-        beside = hot.select("short", order.alias("o")).repartitionByRange("o").sortWithinPartitions("o").select("short")
-        pairs = pairs.unionByName(mapped(beside, adjacent, "a long, b long"))
+        pairs = pairs.unionByName(mapped(beside(hot, order), adjacent, "a long, b long"))
     tables = iter([lines])
 
     def verified(pairs: DataFrame) -> DataFrame:
