@@ -1,6 +1,6 @@
 """Sentences and tokens with offsets in code points.
 
-A covering pattern matches every character of a text.  Texts are walked in Arrow batches, which gives offsets with the matches: nothing is
+A covering pattern matches every character of a text.  Texts are walked in Arrow batches, which gives offsets with the matches (tokens: ``walk``): nothing is
 shuffled, and a text of any length costs one walk.  As column expressions the offsets would be running sums over a shuffled window of all pieces,
 or over nested arrays; both were several times slower.
 """
@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilmark.functions.arrow import arrow_task
+from veilmark.functions.walk import slices, walk
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"\+[0-9][0-9 ().-]{7,}[0-9]"
@@ -40,7 +42,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 @cache
-def _compiled(pattern: str):
+def compiled(pattern: str):
     import regex
 
     return regex.compile(pattern.replace(r"[^\s", "[^ \\t\\n\\x0B\\f\\r").replace(r"\s", _BLANK).replace(r"\S", _BLANK.replace("[", "[^", 1)))
@@ -53,7 +55,7 @@ def _rows(part: pa.RecordBatch, place: list[int], names: list[str], columns: lis
 
 
 def piece_batches(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
-    find = _compiled(pattern).finditer
+    find = compiled(pattern).finditer
     for b in batches:
         for at in range(0, b.num_rows, SLICE):
             part = b.slice(at, SLICE)
@@ -84,60 +86,60 @@ def rule_label(piece: Column) -> Column:
 TOKEN_FIELDS = "token string, start long, end long, sent long, label string, ent long, k long, n long"
 
 
-def text_tokens(text: str) -> list[tuple]:
-    """The tokens of a text, as ``TOKEN_FIELDS`` has them."""
-    rules = [(name, p) for name, p in RULES if name != "EMAIL" or "@" in text]
-    find = _compiled("|".join(f"({p})" for _, p in rules) + r"|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]").finditer
-    out, ent, sent, last = [], 0, 0, 0
-    for m in find(text):
-        start, end = m.span()
-        if start > last:  # blanks between tokens are a piece, and a line feed among them ends a sentence
-            ent += 1
-            sent += "\n" in text[last:start]
-        t, rule = m.group(), m.lastindex
-        if rule is None:
-            out.append((t, start, end, sent, None, ent, 1, 1))
-            sent += t in (".", "!", "?")
-        else:
-            inner = [x for x in _compiled(BASE).finditer(t) if not x.group().isspace()]
-            out += [(x.group(), start + x.start(), start + x.end(), sent, rules[rule - 1][0], ent, k, len(inner)) for k, x in enumerate(inner, 1)]
-        ent += 1
-        last = end
-    return out
-
-
-def token_batches(batches: Iterator[pa.RecordBatch], nested: bool, labelled: bool) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string() if f.endswith("string") else pa.int64() for f in TOKEN_FIELDS.split(", ")]
-    names = [f.split()[0] for f in TOKEN_FIELDS.split(", ")]
+def kind_of(field: str) -> pa.DataType:
+    return pa.string() if field in ("token", "label") else pa.int64()
+
+
+def token_batches(batches: Iterator[pa.RecordBatch], nested: bool, labelled: bool, fields: list[str]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, SLICE):
-            part = b.slice(at, SLICE)
-            found = [text_tokens(x or "") for x in part.column(part.num_columns - 1).to_pylist()]
+        for at, off, data in slices(b.column(b.num_columns - 1)):
+            part, w = b.slice(at, len(off) - 1), walk(off, data)
+            keep = None
             if labelled:
-                found = [t if any(x[4] for x in t) else [] for t in found]
-            flat = [x for t in found for x in t]
-            columns = [pa.array(c, k) for c, k in zip(zip(*flat, strict=True) if flat else ((),) * len(kinds), kinds, strict=True)]
+                own = np.concatenate(([0], np.cumsum(w.label >= 0)))[w.ends]
+                keep = np.repeat(np.diff(own) > 0, np.diff(w.ends))
+            columns = [w.column(f) if keep is None else w.column(f).filter(pa.array(keep)) for f in fields]
+            of = np.diff(w.ends) if keep is None else np.diff(w.ends) * (np.diff(own) > 0)
             if nested:
-                ends = [0]
-                for t in found:
-                    ends.append(ends[-1] + len(t))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))], names=[*part.schema.names[:-1], "tokens"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(of))), pa.int32()), pa.StructArray.from_arrays(columns, fields))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*part.schema.names[:-1], "tokens"])
             else:
-                yield _rows(part, [r for r, t in enumerate(found) for _ in t], ["idx", *names], [pa.array([i for t in found for i in range(len(t))], pa.int64()), *columns])
+                yield _rows(part, np.repeat(np.arange(len(of)), of), fields, columns)
+
+
+def span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at, off, data in slices(b.column(b.num_columns - 1)):
+            part, w = b.slice(at, len(off) - 1), walk(off, data)
+            first, last = np.flatnonzero((w.label >= 0) & (w.k == 1)), np.flatnonzero((w.label >= 0) & (w.k == w.n))
+            label = pa.array([w.names[i] for i in w.label[first]], pa.string())
+            yield _rows(part, np.searchsorted(w.ends, first, "right") - 1, ["ent", "label", "start", "end"], [pa.array(w.ent[first]), label, pa.array(w.start[first]), pa.array(w.end[last])])
+
+
+def rule_spans(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """(key, ent, label, start, end): the texts' entities by the rules, as ``tokens`` has them."""
+    src, schema = _with(docs, key, text, "ent long, label string, start long, end long")
+    return src.mapInArrow(arrow_task(span_batches), schema)
+
+
+def _fields(names: list[str] | None) -> list[tuple[str, str]]:
+    every = [tuple(f.split()) for f in f"idx long, {TOKEN_FIELDS}".split(", ")]
+    return [f for f in every if names is None or f[0] in names]
 
 
-def tokens(docs: DataFrame, key: list[str], text: str = "text", labelled: bool = False) -> DataFrame:
+def tokens(docs: DataFrame, key: list[str], text: str = "text", labelled: bool = False, fields: list[str] | None = None) -> DataFrame:
     """(key, idx, token, start, end, sent, label, ent, k, n): tokens that aren't blank, with the rule entity ``ent`` that they
-    belong to, the token's place ``k`` of ``n`` in it, and their sentence.  Entities are split into tokens like any other text.  ``labelled``: only the
-    tokens of texts that have an entity."""
-    src, schema = _with(docs, key, text, f"idx long, {TOKEN_FIELDS}")
-    return src.mapInArrow(arrow_task(token_batches, nested=False, labelled=labelled), schema)
+    belong to, the token's place ``k`` of ``n`` in it, and their sentence; or ``fields`` of these.  Entities are split into tokens like any other text.  ``labelled``: only the
+    tokens of texts that have an entity.  A text's tokens come one after another."""
+    own = _fields(fields)
+    src, schema = _with(docs, key, text, ", ".join(map(" ".join, own)))
+    return src.mapInArrow(arrow_task(token_batches, nested=False, labelled=labelled, fields=[f for f, _ in own]), schema)
 
 
-def note_tokens(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key, tokens): the same as an array of structs, a row for each text; a text without tokens has an empty one."""
+def note_tokens(docs: DataFrame, key: list[str], text: str = "text", labelled: bool = False) -> DataFrame:
+    """(key, tokens): the same as an array of structs, a row for each text; a text without tokens has an empty one, and so has with ``labelled`` one without an entity."""
     src, schema = _with(docs, key, text, f"tokens array<struct<{TOKEN_FIELDS.replace(' ', ':').replace(',:', ',')}>>")
-    return src.mapInArrow(arrow_task(token_batches, nested=True, labelled=False), schema)
+    return src.mapInArrow(arrow_task(token_batches, nested=True, labelled=labelled, fields=[f for f, _ in _fields(None)][1:]), schema)
 
 
 def whole_note(text: Column) -> Column:
