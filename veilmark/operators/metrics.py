@@ -26,7 +26,11 @@ def span_counts(gold: DataFrame, predicted: DataFrame, key: list[str]) -> DataFr
 
 def token_counts(tokens: DataFrame, truth: str = "truth", pred: str = "pred") -> DataFrame:
     """The same for tokens with types ``truth`` and ``pred``; O is no type."""
-    n = tokens.groupBy(truth, pred).agg(F.count("*").alias("n"))
+    return pair_counts(tokens.groupBy(truth, pred).agg(F.count("*").alias("n")), truth, pred)
+
+
+def pair_counts(n: DataFrame, truth: str = "truth", pred: str = "pred") -> DataFrame:
+    """The same from the number ``n`` of tokens by both types."""
     long_ = n.select(F.explode(F.array_distinct(F.array(truth, pred))).alias("label"), F.col(truth).alias("t"), F.col(pred).alias("p"), "n").where("label <> 'O'")
     hit = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     return long_.groupBy("label").agg(hit((F.col("t") == F.col("label")) & (F.col("p") == F.col("label"))).alias("tp"), hit(F.col("p") == F.col("label")).alias("predicted"), hit(F.col("t") == F.col("label")).alias("actual"))
