@@ -98,9 +98,9 @@ def conll(tokens: Column, labels: Column, info: Column) -> Column:
     return F.array_join(F.transform(z, lambda x: F.concat_ws(" ", x["t"], x["l"], F.to_json(x["i"]))), "\n")
 
 
-def write_conll(sentences: DataFrame, path: str) -> None:
+def write_conll(sentences: DataFrame, path: str, compression: str = "none") -> None:
     """One text file per partition, an empty line after each sentence."""
-    sentences.select(F.concat(conll(F.col("tokens"), F.col("labels"), F.col("current_sent_info")), F.lit("\n")).alias("value")).write.text(path)
+    sentences.select(F.concat(conll(F.col("tokens"), F.col("labels"), F.col("current_sent_info")), F.lit("\n")).alias("value")).write.text(path, compression=compression)
 
 
 def write_json(df: DataFrame, path: str) -> None:
