@@ -158,17 +158,19 @@ def free_name(df: DataFrame, name: str) -> str:
 BITMAP = 1 << 21
 
 
-def among(values: DataFrame) -> Callable[[Column], Column] | None:
+def among(values: DataFrame, inside: bool = False) -> Callable[[Column], Column] | None:
     """Whether a value may be one of ``values`` (one column), by a bitmap of fixed size: true for all of them, and for few others as long as there are
-    fewer than bits; None if there are none."""
+    fewer than bits; None if there are none.  ``inside``: it is asked inside a higher-order function, where a subquery can't stand."""
     slot = lambda v: F.pmod(F.xxhash64(v), F.lit(BITMAP))
     at = values.select(slot(F.col(values.columns[0])).alias("s"))
     words = at.groupBy((F.col("s") / 64).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("w")).collect()  # BITMAP / 64 rows at most
     if not words:
         return None
     held = {r["i"]: r["w"] for r in words}
-    # a subquery's value: as a literal it would be written out wherever the plan is described, which the driver keeps
-    bits = materialise(values.sparkSession.createDataFrame([([held.get(i, 0) for i in range(BITMAP // 64)],)], "bits array<long>"), "bitmap").scalar()
+    if inside:
+        bits = F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(BITMAP // 64))), ",").cast("array<bigint>")
+    else:  # as a literal it would be written out wherever the plan is described, which the driver keeps
+        bits = materialise(values.sparkSession.createDataFrame([([held.get(i, 0) for i in range(BITMAP // 64)],)], "bits array<long>"), "bitmap").scalar()
     return lambda v: F.getbit(F.get(bits, (slot(v) / 64).cast("int")), (slot(v) % 64).cast("int")) == 1
 
 

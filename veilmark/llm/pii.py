@@ -86,7 +86,7 @@ def disclosing(hits: DataFrame, texts: DataFrame, total: int, disclose: float =
     pairs = each.join(entities.select("kind", "value"), ["kind", "value"]).select("hash", "kind", "value", F.explode("terms").alias("term"))
     joint = pairs.groupBy("kind", "value", "term").agg(F.count("*").alias("net"), F.countDistinct("hash").alias("m")).where("m > 1")
     joint = materialise(joint, "joint")
-    asked = among(joint.select("term"))
+    asked = among(joint.select("term"), inside=True)
     if asked is None:
         return None
     counts = texts.select(F.explode(F.filter(_terms(F.col("text")), asked)).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
@@ -114,7 +114,7 @@ def find(docs: DataFrame, disclose: float = DISCLOSE, generalise: float = GENERA
     hits = base.where("values is not null").select("hash", "values", F.col("words").alias("terms"))
     flagged = disclosing(hits, src.select("text"), base.count(), disclose, generalise)
     base, none = base.drop("hash", "values", "words"), F.from_json(F.lit("[]"), _TERMS)
-    asked = None if flagged is None else among(flagged.select("term"))
+    asked = None if flagged is None else among(flagged.select("term"), inside=True)
     if asked is None:
         return base.withColumn("terms", none)
     # only the places of terms that may be asked for are kept, so the walk over a text's words copies little
